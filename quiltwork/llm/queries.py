@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quiltwork.llm.common import documents
 from quiltwork.llm.piece_codec import encode_documents
+from quiltwork.llm.string_kernel import identify_held_out
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(documents(spark, sf_dir))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), PIECE_MODEL, spans=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_string_kernel": op5_string_kernel,
     "op7_piece_codec": op7_piece_codec,
 }
 ORACLE_SQL: dict[str, str] = {}
