@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quiltwork.llm.common import documents
+from quiltwork.llm.noisy_channel import score_held_out
 from quiltwork.llm.piece_codec import encode_documents
 from quiltwork.llm.string_kernel import identify_held_out
 
@@ -22,8 +23,13 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), PIECE_MODEL, spans=False)
 
 
+def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_string_kernel": op5_string_kernel,
     "op7_piece_codec": op7_piece_codec,
+    "op10_noisy_channel": op10_noisy_channel,
 }
 ORACLE_SQL: dict[str, str] = {}
