@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quiltwork.llm.common import documents
+from quiltwork.llm.mixing import plan_mix
 from quiltwork.llm.noisy_channel import score_held_out
 from quiltwork.llm.piece_codec import encode_documents
 from quiltwork.llm.string_kernel import identify_held_out
@@ -23,6 +24,10 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), PIECE_MODEL, spans=False)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -30,6 +35,7 @@ def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_string_kernel": op5_string_kernel,
     "op7_piece_codec": op7_piece_codec,
+    "op9_mixing": op9_mixing,
     "op10_noisy_channel": op10_noisy_channel,
 }
 ORACLE_SQL: dict[str, str] = {}
