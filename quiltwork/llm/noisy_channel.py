@@ -40,8 +40,8 @@ LEAST_TOKENS = 40
 class ToxicityOptions:
     """The classifier is fitted on at most max_toxic and max_clean labelled rows."""
 
-    max_toxic: int = 1500
-    max_clean: int = 2500
+    max_toxic: int = 800
+    max_clean: int = 1600
     features: int = 600
     least_documents: int = 3
     ridge: float = 0.005
@@ -156,11 +156,11 @@ class Restorer:
 
 
 def grams(word: str) -> set[str]:
-    """Character n-grams (4 to 7) of the runs of letters in a word, with marks for the ends of a run."""
+    """Character n-grams (4 to 6) of the runs of letters in a word, with marks for the ends of a run."""
     out: set[str] = set()
     for run in re.findall(r"[^\W\d_]+", word):
         marked = f"^{run}$"
-        for n in (4, 5, 6, 7):
+        for n in (4, 5, 6):
             out.update([marked[i : i + n] for i in range(len(marked) - n + 1)])
     return out
 
@@ -183,32 +183,32 @@ class Scorer:
 
     def fit(self, rows: list[tuple[str, int]]) -> None:
         """Chooses n-grams by their log-likelihood ratio with the label, then fits their weights by Newton's method."""
-        found, df = [], (Counter(), Counter())
-        words: dict[str, set[str]] = {}
-        for text, label in rows:
-            own = [self.restorer.restore_token(t) for t in self.tokens(text)]
-            seen: Counter[str] = Counter()
-            for w in own:
-                if w not in words:
-                    words[w] = grams(w)
-                seen.update(words[w])
-            found.append((len(own), seen))
-            df[label].update(seen.keys())
         n = (max(1, sum(1 - y for _, y in rows)), max(1, sum(y for _, y in rows)))
+        toxic: Counter[str] = Counter()
+        for text, label in rows:
+            if label:
+                toxic.update(set().union(*[grams(self.restorer.restore_token(t)) for t in self.tokens(text)]))
+        least = max(self.options.least_documents, n[1] // 200)
+        self.feature = {g: k for k, g in enumerate(sorted(g for g, a in toxic.items() if a >= least))}
+        toxic = Counter({g: toxic[g] for g in self.feature})
+        names, clean = list(self.feature), Counter()
+        for text, label in rows:
+            if not label:
+                clean.update({names[k] for t in self.tokens(text) for k in self.features_of(self.restorer.restore_token(t))})
 
         def gain(a: int, b: int) -> float:
             p, q, r = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1), (a + b + 1) / (n[0] + n[1] + 2)
             return a * math.log(p / r) + b * math.log(q / r) + (n[1] - a) * math.log((1 - p) / (1 - r)) + (n[0] - b) * math.log((1 - q) / (1 - r))
 
-        best = sorted((-gain(a, df[0][g]), g) for g, a in df[1].items() if a >= self.options.least_documents and a * n[0] > 4 * df[0][g] * n[1])
-        self.feature = {g: k for k, (_, g) in enumerate(best[: self.options.features])}
+        best = sorted((-gain(a, clean[g]), g) for g, a in toxic.items() if a * n[0] > 4 * clean[g] * n[1])
+        self.feature, self.automaton = {g: k for k, (_, g) in enumerate(best[: self.options.features])}, None
         x = np.zeros((len(rows), len(self.feature) + 2))
-        x[:, -1] = 1
-        for i, (size, seen) in enumerate(found):
-            for g, k in self.feature.items():
-                if g in seen:
-                    x[i, k] = math.log1p(seen[g])
-            x[i, -2] = math.log(max(size, LEAST_TOKENS))
+        for i, (text, _) in enumerate(rows):
+            tokens = self.tokens(text)
+            own = Counter(k for t in tokens for k in self.features_of(self.restorer.restore_token(t)))
+            for k, times in own.items():
+                x[i, k] = math.log1p(times)
+            x[i, -2:] = math.log(max(len(tokens), LEAST_TOKENS)), 1
         y = np.array([label for _, label in rows], float)
         w, decay = np.zeros(x.shape[1]), np.full(x.shape[1], self.options.ridge * math.sqrt(len(rows)))
         decay[-1] = 1e-6
