@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quiltwork.llm.common import documents
+from quiltwork.llm.fingerprints import compare_with_edits
 from quiltwork.llm.mixing import plan_mix
 from quiltwork.llm.noisy_channel import score_held_out
 from quiltwork.llm.piece_codec import encode_documents
@@ -16,6 +17,10 @@ from quiltwork.llm.string_kernel import identify_held_out
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(documents(spark, sf_dir))
+
+
 def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(documents(spark, sf_dir))
 
@@ -33,6 +38,7 @@ def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
     "op5_string_kernel": op5_string_kernel,
     "op7_piece_codec": op7_piece_codec,
     "op9_mixing": op9_mixing,
