@@ -254,11 +254,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, options: ToxicityO
     repeated label rows counts as toxic; null labels and ids are left out.
     """
     marked = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(F.col(text_col).isNotNull()).select("doc_id", F.col(text_col).alias("text")).join(marked, "doc_id")
-    taken = []
+    chosen = None
     for label, most in ((1, options.max_toxic), (0, options.max_clean)):
-        found = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select("text").collect()
-        taken += [(r.text, label) for r in found]
+        some = marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        chosen = some if chosen is None else chosen.union(some)
+    # The chosen ids are at most max_toxic + max_clean rows, so the texts needn't move.
+    rows = docs.where(F.col(text_col).isNotNull()).select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    taken = [(r.text, r.toxic) for r in sorted(rows.select("doc_id", "toxic", "text").collect(), key=lambda r: (-r.toxic, r.doc_id, r.text))]
     return Scorer(corpus_trigrams(docs, text_col), taken, options)
 
 
