@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quiltwork.llm.common import documents
 from quiltwork.llm.fingerprints import compare_with_edits
@@ -13,6 +14,7 @@ from quiltwork.llm.mixing import plan_mix
 from quiltwork.llm.noisy_channel import score_held_out
 from quiltwork.llm.piece_codec import encode_documents
 from quiltwork.llm.string_kernel import identify_held_out
+from quiltwork.llm.surrogates import replace_entities
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -25,6 +27,11 @@ def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(documents(spark, sf_dir))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = replace_entities(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("_entities").cast("long").alias("n_entities"), F.array_join(F.col("_entities.kind"), ",").alias("kinds"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), PIECE_MODEL, spans=False)
 
@@ -40,6 +47,7 @@ def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op5_string_kernel": op5_string_kernel,
+    "op6_surrogates": op6_surrogates,
     "op7_piece_codec": op7_piece_codec,
     "op9_mixing": op9_mixing,
     "op10_noisy_channel": op10_noisy_channel,
