@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quiltwork.llm.common import documents
 from quiltwork.llm.fingerprints import compare_with_edits
+from quiltwork.llm.hash_index import nearest
 from quiltwork.llm.mixing import plan_mix
 from quiltwork.llm.noisy_channel import score_held_out
 from quiltwork.llm.piece_codec import encode_documents
@@ -23,6 +24,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(documents(spark, sf_dir))
 
 
+def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(documents(spark, sf_dir))
 
@@ -46,6 +51,7 @@ def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
+    "op3_multi_index_hashing": op3_multi_index_hashing,
     "op5_string_kernel": op5_string_kernel,
     "op6_surrogates": op6_surrogates,
     "op7_piece_codec": op7_piece_codec,
