@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quiltwork.llm.common import documents
 from quiltwork.llm.fingerprints import compare_with_edits
 from quiltwork.llm.hash_index import nearest
+from quiltwork.llm.hyperminhash import NearOptions, near_duplicates
 from quiltwork.llm.mixing import plan_mix
 from quiltwork.llm.noisy_channel import score_held_out
 from quiltwork.llm.piece_codec import encode_documents
@@ -41,6 +42,10 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), PIECE_MODEL, spans=False)
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), NearOptions(shingle=2))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_string_kernel": op5_string_kernel,
     "op6_surrogates": op6_surrogates,
     "op7_piece_codec": op7_piece_codec,
+    "op8_hyperminhash": op8_hyperminhash,
     "op9_mixing": op9_mixing,
     "op10_noisy_channel": op10_noisy_channel,
 }
