@@ -14,6 +14,7 @@ from quiltwork.llm.hash_index import nearest
 from quiltwork.llm.hyperminhash import NearOptions, near_duplicates
 from quiltwork.llm.mixing import plan_mix
 from quiltwork.llm.noisy_channel import score_held_out
+from quiltwork.llm.phrase_automata import remove_phrases
 from quiltwork.llm.piece_codec import encode_documents
 from quiltwork.llm.string_kernel import identify_held_out
 from quiltwork.llm.surrogates import replace_entities
@@ -25,6 +26,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(documents(spark, sf_dir))
 
 
+def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_phrases(documents(spark, sf_dir))
+
+
 def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
@@ -56,6 +61,7 @@ def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
+    "op2_phrase_automata": op2_phrase_automata,
     "op3_multi_index_hashing": op3_multi_index_hashing,
     "op5_string_kernel": op5_string_kernel,
     "op6_surrogates": op6_surrogates,
@@ -64,4 +70,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_noisy_channel": op10_noisy_channel,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: Words of a text, whole and unchanged.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_phrase_automata": rf"""
+        WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35),
+        windows AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS s FROM starts),
+        again AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM windows WHERE s IN (SELECT s FROM again)),
+        places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+        kept AS (
+            SELECT p.doc_id, count(g.i) AS n_removed, string_agg(p.word, ' ' ORDER BY p.i) FILTER (g.i IS NULL) AS text
+            FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+            sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+}

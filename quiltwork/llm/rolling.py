@@ -80,39 +80,21 @@ def windows(hashes: np.ndarray, n: int, base: np.uint64 = WORD_BASE) -> np.ndarr
     return mix((total[n:] - total[:-n]) * powers(inverse, len(hashes) - n + 1))
 
 
-def least_in_row(values: np.ndarray, n: int) -> np.ndarray:
-    """Least of every n values in a row."""
-    out, have = values, 1
+def anchor_of(values: np.ndarray, n: int) -> np.ndarray:
+    """Winnowing: for every n values in a row the place of the least, the last of equal ones (compared by their high bits)."""
+    if len(values) < n:
+        return np.zeros(0, np.int64)
+    bits = np.uint64(max(24, len(values).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    best, have = (values & ~low) | (low - np.arange(len(values), dtype=np.uint64)), 1
     while have < n:
         step = min(have, n - have)
-        out = np.minimum(out[:-step], out[step:])
+        best = np.minimum(best[:-step], best[step:])
         have += step
-    return out
+    return (low - (best & low)).astype(np.int64)
 
 
 def anchors(values: np.ndarray, n: int) -> np.ndarray:
-    """Places of which some window of n values has its least value there (the last of equal ones): winnowing."""
-    if len(values) < n or not len(values):
-        return np.zeros(0, np.int64)
-    least = least_in_row(values, n)
-    chosen = np.zeros(len(values), bool)
-    # The last place in the window with the least value.
-    last = anchor_of(values, n, least)
-    chosen[last] = True
-    return np.flatnonzero(chosen)
-
-
-def anchor_of(values: np.ndarray, n: int, least: np.ndarray | None = None) -> np.ndarray:
-    """For every window of n values the place of its least value, the last of equal ones."""
-    if len(values) < n:
-        return np.zeros(0, np.int64)
-    place = np.arange(len(values))
-    best, at, have = values, place, 1
-    while have < n:
-        step = min(have, n - have)
-        right, right_at = best[step:], at[step:]
-        left, left_at = best[:-step], at[:-step]
-        take = right <= left
-        best, at = np.where(take, right, left), np.where(take, right_at, left_at)
-        have += step
-    return at
+    """The places that anchor_of() chooses for some window."""
+    place = anchor_of(values, n)
+    return place[np.append(True, place[1:] != place[:-1])] if len(place) else place
