@@ -26,8 +26,9 @@ TWICE, SILENT = 1, 2
 
 
 def text_key(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with tkey, equal for equal texts. Unequal texts of one key are looked at together, which changes no result."""
-    return df.withColumn("tkey", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    """df with tkey and twin, which together tell texts apart. tkey alone routes hashes: texts that share it get each other's, which finds no less."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.withColumn("tkey", F.xxhash64(text)).withColumn("twin", F.xxhash64(F.crc32(text.cast("binary")), F.octet_length(text)))
 
 
 def buckets_for(df: DataFrame) -> int:
@@ -126,5 +127,5 @@ def contains(values: np.ndarray, packed: list[bytes], width: int) -> np.ndarray:
 
 
 def distinct_texts(keyed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """For each tkey the least id (null ids last) and the number of rows."""
-    return keyed.groupBy("tkey").agg(F.min(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).alias("first"), F.count("*").alias("times"))
+    """For each text (tkey, twin) the least id (null ids last) and the number of rows."""
+    return keyed.groupBy("tkey", "twin").agg(F.min(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).alias("first"), F.count("*").alias("times"))

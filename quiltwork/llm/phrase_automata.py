@@ -66,7 +66,7 @@ def _join(parts: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndar
 
 
 def recurring_windows(docs: DataFrame, o: PhraseOptions, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """tkey, hashes (packed, of its windows that recur; null if all do), times (rows with this text)."""
+    """tkey, twin, hashes (packed, of its windows that recur) and times (rows with this text; if several, all windows recur)."""
     keyed = text_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     buckets = buckets_for(docs)
 
@@ -79,7 +79,7 @@ def recurring_windows(docs: DataFrame, o: PhraseOptions, id_col: str = "doc_id",
 
     known = by_text(recurring(keyed.select("text", "tkey"), anchor_entries, buckets, ANCHOR_BYTES))
     texts = distinct_texts(keyed)
-    once = keyed.join(known.join(texts, "tkey"), "tkey").where(F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("first"))
+    once = keyed.join(known.join(texts, "tkey"), ["tkey", "twin"]).where(F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("first"))
 
     def window_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys, packed, times = (batch.column(c).to_pylist() for c in (1, 2, 3))
@@ -93,7 +93,7 @@ def recurring_windows(docs: DataFrame, o: PhraseOptions, id_col: str = "doc_id",
         return _join(parts)
 
     found = by_text(recurring(once.select("text", "tkey", "hashes", "times"), window_entries, buckets, WINDOW_BYTES))
-    return materialise(found.join(texts.where("times > 1"), "tkey", "full").select("tkey", "hashes", F.coalesce("times", F.lit(1)).alias("times")))
+    return materialise(texts.join(found, "tkey", "left").where("times > 1 or hashes is not null").select("tkey", "twin", "hashes", "times"))
 
 
 def locate(shard: list[tuple[list[str], np.ndarray, np.ndarray]], o: PhraseOptions) -> list[np.ndarray]:
@@ -140,7 +140,7 @@ def remove_phrases(docs: DataFrame, options: PhraseOptions = PhraseOptions(), id
     """
     o = options
     keyed = text_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    rows = keyed.join(recurring_windows(docs, o, id_col, text_col), "tkey", "left").select("doc_id", "text", "hashes", "times")
+    rows = keyed.join(recurring_windows(docs, o, id_col, text_col), ["tkey", "twin"], "left").select("doc_id", "text", "hashes", "times")
 
     def finish(ids: list, shard: list, removed: list[np.ndarray]) -> pa.RecordBatch:
         kept = [" ".join([w for w, gone in zip(words, out.tolist(), strict=True) if not gone]) if out.any() else " ".join(words) for (words, _, _), out in zip(shard, removed, strict=True)]

@@ -17,6 +17,7 @@ from quiltwork.llm.noisy_channel import score_held_out
 from quiltwork.llm.phrase_automata import remove_phrases
 from quiltwork.llm.piece_codec import encode_documents
 from quiltwork.llm.string_kernel import identify_held_out
+from quiltwork.llm.suffix_merge import remove_earlier
 from quiltwork.llm.surrogates import replace_entities
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -34,6 +35,10 @@ def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op4_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_earlier(documents(spark, sf_dir))
+
+
 def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(documents(spark, sf_dir))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_phrase_automata": op2_phrase_automata,
     "op3_multi_index_hashing": op3_multi_index_hashing,
+    "op4_suffix_merge": op4_suffix_merge,
     "op5_string_kernel": op5_string_kernel,
     "op6_surrogates": op6_surrogates,
     "op7_piece_codec": op7_piece_codec,
