@@ -226,3 +226,9 @@ def near_duplicates(docs: DataFrame, options: NearOptions = NearOptions(), id_co
     rows = found.rows.select("doc_id", "n", "key").join(of, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
+    """The rows of docs, with all columns, that near_duplicates() keeps: one of each component. Rows without an id stay."""
+    kept = near_duplicates(docs, options).where("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)

@@ -285,6 +285,18 @@ def score_documents(docs: DataFrame, scorer: Scorer, restored: bool = False, id_
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int" + ", restored string" * restored)
 
 
+def without_toxic(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose score is below the threshold."""
+    scorer.memo, scorer.automaton = {}, None
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t or "") < scorer.options.threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_held_out(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> DataFrame:
     """Scores of all documents, with labels learned from two thirds of them (crc32 of the id modulo 3 isn't 1)."""
     found = score_documents(docs, learn(docs, labels, id_bucket(F.col("doc_id"), 3) != 1, options))

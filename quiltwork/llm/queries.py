@@ -49,7 +49,7 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(documents(spark, sf_dir), PIECE_MODEL, spans=False)
+    return encode_documents(documents(spark, sf_dir), PIECE_MODEL, ids=False)
 
 
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
