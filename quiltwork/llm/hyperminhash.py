@@ -37,10 +37,12 @@ class NearOptions:
     registers: int = 128
     band: int = 4
     mantissa: int = 10
-    #: Pairs whose estimate is lower aren't confirmed: five standard deviations below the threshold.
-    least_estimate: float = 0.62
-    #: Rounds of comparing each class with a few others of a band before all that is left is compared.
+    #: Pairs whose estimate is lower aren't confirmed: about five standard deviations below the threshold.
+    least_estimate: float = 0.63
+    #: Rounds of comparing each class with one other before all that is left is compared.
     rounds: int = 4
+    #: Classes of one band that are compared in a piece.
+    block: int = 1500
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -73,12 +75,13 @@ def sketch(shingles: np.ndarray, options: NearOptions) -> np.ndarray:
 
 
 def bands(registers: np.ndarray, options: NearOptions) -> list[int]:
-    """A number for each band of registers that isn't empty throughout."""
-    found = []
-    for k in range(0, options.registers, options.band):
-        part = registers[k : k + options.band]
+    """A number for each band of registers that isn't empty throughout; its remainder by the number of bands says which."""
+    found, many = [], options.registers // options.band
+    for k in range(many):
+        part = registers[k * options.band : (k + 1) * options.band]
         if (part != EMPTY).any():
-            found.append(int.from_bytes(hashlib.blake2b(k.to_bytes(2, "big") + part.tobytes(), digest_size=8).digest(), "big", signed=True))
+            digest = int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "big") >> 1
+            found.append(digest // many * many + k if digest >= many else k)
     return found
 
 
@@ -91,7 +94,7 @@ def estimate(one: np.ndarray, two: np.ndarray, options: NearOptions) -> np.ndarr
 
 
 def profile(docs: DataFrame, options: NearOptions, id_col: str, text_col: str, full: bool) -> DataFrame:
-    """doc_id and size and digest of the set; with registers and bands, or with the full set."""
+    """doc_id and size and digest of the set; with registers, or with the full set."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,11 +104,79 @@ def profile(docs: DataFrame, options: NearOptions, id_col: str, text_col: str, f
             if full:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "n", "key", "shingles"])
             else:
-                registers = [sketch(s, options) for s in found]
-                columns += [pa.array([r.tobytes() for r in registers], pa.binary()), pa.array([bands(r, options) for r in registers], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "registers", "bands"])
+                columns.append(pa.array([sketch(s, options).tobytes() for s in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "registers"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, key binary, " + ("shingles binary" if full else "registers binary, bands array<bigint>"))
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, key binary, " + ("shingles binary" if full else "registers binary"))
+
+
+def with_bands(classes: DataFrame, options: NearOptions) -> DataFrame:
+    """id and band, a row for each band of a class."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [bands(np.frombuffer(r, np.uint16), options) for r in part.column(1).to_pylist()]
+            ids = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([b for f in found for b in f], pa.int64())], ["id", "band"])
+
+    return classes.select("id", "registers").mapInArrow(run, "id bigint, band bigint")
+
+
+def alike(members: DataFrame, options: NearOptions) -> DataFrame:
+    """Pairs (a, b) of a band's members (band, id, c, n, registers) whose components differ and whose sizes and estimates allow a link.
+
+    A pair comes from the first band that both share, so it comes once. Members of a band are cut into blocks, and every
+    two blocks are compared in a piece of their own, so no piece holds more than two blocks.
+    """
+    o, many = options, options.registers // options.band
+    sized = members.join(members.groupBy("band").agg(F.ceil(F.count("*") / o.block).cast("int").alias("blocks")), "band")
+    own = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "n", "registers")
+    dealt = own.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
+
+    def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        band, i, j = (part.column(x)[0].as_py() for x in ("band", "i", "j"))
+        own, ids, c, n = (part.column(x).to_numpy() for x in ("own", "id", "c", "n"))
+        registers = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a, b = [], []
+        step = max(1, 100_000 // max(1, len(right)))
+        for at in range(0, len(left), step):
+            rows = left[at : at + step]
+            x, y = np.meshgrid(rows, right, indexing="ij")
+            take = (c[x] != c[y]) & (100 * np.minimum(n[x], n[y]) >= o.percent * np.maximum(n[x], n[y])) & ((x < y) | (i != j))
+            x, y = x[take], y[take]
+            one, two = registers[x], registers[y]
+            good = estimate(one, two, o) >= o.least_estimate
+            x, y, one, two = x[good], y[good], one[good], two[good]
+            agree = ((one == two).reshape(len(x), many, o.band).all(axis=2)) & (one != EMPTY).reshape(len(x), many, o.band).any(axis=2)
+            first = agree.argmax(axis=1) == band % many
+            a.append(ids[x[first]])
+            b.append(ids[y[first]])
+        return np.concatenate(a), np.concatenate(b)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for part in parts:
+            table = pa.Table.from_batches([part]) if held is None else pa.concat_tables([held, pa.Table.from_batches([part])])
+            marks = np.stack([table.column(x).to_numpy() for x in ("band", "i", "j")])
+            edge = np.append(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, len(table))
+            start, found = 0, []
+            for end in edge[:-1]:
+                if end - start > 1:
+                    found.append(pairs(table.slice(start, end - start)))
+                start = end
+            held = table.slice(start)
+            if found:
+                yield out(found)
+        if held is not None and len(held) > 1:
+            yield out([pairs(held)])
+
+    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def likely(options: NearOptions):
@@ -142,19 +213,17 @@ class Comparison:
     def __init__(self, docs: DataFrame, options: NearOptions, id_col: str, text_col: str) -> None:
         self.options = options
         self.rows = materialise(profile(docs, options, id_col, text_col, False))
-        self.classes = self.rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key").agg(
-            F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min_by("registers", "doc_id").alias("registers"), F.min_by("bands", "doc_id").alias("bands")
-        )
-        every = self.classes.select("id", "n", F.explode("bands").alias("band"))
-        shared = every.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-        self.members = materialise(every.join(shared, "band"))  # classes that share a band with others
-        self.sketches = materialise(self.classes.join(self.members.select("id").distinct(), "id", "left_semi").select("id", "n", "registers"))
+        self.classes = materialise(self.rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")))
+        self.rows = self.rows.drop("registers")
+        shared = with_bands(self.classes, options).withColumn("m", F.expr("count(*) over (partition by band)")).where("m > 1")
+        self.members = materialise(shared.select("id", "band"))  # classes that share a band with others
+        self.sketches = self.classes.join(self.members.select("id").distinct(), "id", "left_semi").select("id", "n", "registers")
+        self.sketches = materialise(self.sketches)
         wanted = self.sketches.select(F.col("id").alias("doc_id"))
         own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
         # Ids may repeat with other texts: the digest says which row the class has.
         full = profile(own, options, "doc_id", "text", True).join(self.classes.select("key", F.col("id").alias("doc_id")), ["key", "doc_id"], "left_semi")
         self.sets = materialise(full.groupBy("doc_id").agg(F.first("shingles").alias("shingles")).withColumnRenamed("doc_id", "id"))
-        self.links: DataFrame | None = None
         self.compared: DataFrame | None = None
         self.parts: DataFrame | None = None
 
@@ -163,51 +232,45 @@ class Comparison:
             return of.withColumn(to, F.col(column))
         return of.join(self.parts.select(F.col("node").alias(column), F.col("component").alias("_c")), column, "left").withColumn(to, F.coalesce("_c", column)).drop("_c")
 
-    def compare(self, pairs: DataFrame) -> bool:
-        """Confirms pairs (a, b) not compared before, merges the components of those that are linked; whether there were any links."""
+    def compare(self, pairs: DataFrame, estimated: bool = False) -> None:
+        """Confirms pairs (a, b) not compared before and merges the components of those that are linked."""
         if self.compared is not None:
             pairs = pairs.join(self.compared, ["a", "b"], "left_anti")
+        o, s = self.options, self.sketches
         pairs = materialise(pairs)
         self.compared = pairs if self.compared is None else self.compared.union(pairs)
-        o, s = self.options, self.sketches
-        left, right = (s.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
-        near = pairs.join(left, "a").join(right, "b").where((100 * F.least("na", "nb") >= o.percent * F.greatest("na", "nb")) & likely(o)("ra", "rb")).select("a", "b")
+        if not estimated:
+            left, right = (s.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
+            pairs = pairs.join(left, "a").join(right, "b").where((100 * F.least("na", "nb") >= o.percent * F.greatest("na", "nb")) & likely(o)("ra", "rb")).select("a", "b")
         left, right = (self.sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        found = materialise(near.join(left, "a").join(right, "b").where(linked(o)("sa", "sb")).select("a", "b"))
-        if found.isEmpty():
-            return False
-        self.links = found if self.links is None else self.links.union(found)
-        self.parts = components(self.links if self.parts is None else found.union(self.parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        return True
+        found = materialise(pairs.join(left, "a").join(right, "b").where(linked(o)("sa", "sb")).select("a", "b"))
+        if not found.isEmpty():
+            self.parts = components(found if self.parts is None else found.union(self.parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     def mixed(self) -> DataFrame:
-        """Members of bands whose members are in several components: band, id, n, c."""
+        """Members of bands whose members are in several components: band, id, c."""
         members = self.component(self.members, "id", "c")
         open_ = members.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("band")
         return materialise(members.join(open_, "band"))
 
     def run(self) -> DataFrame:
-        """id and component of the classes that are linked to another, except the least of a component."""
+        """node and component of the classes that are linked to another, except the least of a component."""
+        members = self.members.withColumn("c", F.col("id"))
         for k in range(self.options.rounds):
-            members = self.members if k == 0 else self.mixed()
-            if k and members.isEmpty():
+            # The least of the band and the class before, in an order that is another in each round; of these the one met most often.
+            order = "id" if k == 0 else f"xxhash64(id, {k})"
+            near = members.selectExpr("id", "c", f"lag(struct(id, c)) over (partition by band order by {order}) as p", f"min(struct({order} as o, id, c)) over (partition by band) as q")
+            met = near.select("id", "c", F.explode(F.array(F.struct("p.id", "p.c"), F.struct("q.id", "q.c"))).alias("x")).where("x.c != c").groupBy("id", F.col("x.id").alias("p")).agg(F.count("*").alias("times"))
+            if self.compared is not None:
+                known = self.compared.select(F.col("a").alias("id"), F.col("b").alias("p")).union(self.compared.select(F.col("b").alias("id"), F.col("a").alias("p")))
+                met = met.join(known, ["id", "p"], "left_anti")
+            best = met.groupBy("id").agg(F.max(F.struct("times", "p")).alias("best"))
+            self.compare(best.select(F.least("id", "best.p").alias("a"), F.greatest("id", "best.p").alias("b")).distinct())
+            members = self.mixed()
+            if members.isEmpty():
                 break
-            members = self.component(members, "id", "c") if k == 0 else members
-            pairs = None
-            # The least of the band, and the class before in an order that is another in each round.
-            order = "partition by band order by " + ("id" if k == 0 else f"xxhash64(id, {k})")
-            near = members.withColumn("p", F.expr(f"lag(id) over ({order})")).withColumn("q", F.expr(f"lag(c) over ({order})")).where("p is not null and q != c").select("id", "p")
-            least = members.groupBy("band").agg(F.min(F.struct((F.col("id") if k == 0 else F.xxhash64("id", F.lit(-k))).alias("o"), "id", "c")).alias("m"))
-            first = members.join(least, "band").where("m.c != c").select("id", F.col("m.id").alias("p"))
-            pairs = near.union(first).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).where("a != b").distinct()
-            self.compare(pairs)
-        left = self.mixed()
-        while not left.isEmpty():
-            # Sizes that a link allows, components that differ, nothing compared before.
-            one, two = (left.select("band", F.col("id").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-            fits = 100 * F.least("na", "nb") >= self.options.percent * F.greatest("na", "nb")
-            self.compare(one.join(two, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct())
-            break
+        else:
+            self.compare(alike(members.join(self.sketches, "id"), self.options), True)
         if self.parts is None:
             return self.sketches.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
         return self.parts

@@ -46,6 +46,9 @@ def test_brute_force(spark, k):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as key", "3 as id")
     got = sorted(tuple(x) for x in near_duplicates(df, NearOptions(shingle=k)).collect())
     assert got == brute(rows, k, 80)
+    # Without rounds, and in small blocks, all is compared at the end.
+    again = near_duplicates(df, NearOptions(shingle=k, rounds=0, block=3))
+    assert sorted(tuple(x) for x in again.collect()) == got
 
 
 def test_edges(spark):
