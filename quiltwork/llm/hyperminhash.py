@@ -153,7 +153,7 @@ def alike(members: DataFrame, options: NearOptions) -> DataFrame:
             first = agree.argmax(axis=1) == band % many
             a.append(ids[x[first]])
             b.append(ids[y[first]])
-        return np.concatenate(a), np.concatenate(b)
+        return np.concatenate([ids[:0], *a]), np.concatenate([ids[:0], *b])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
