@@ -9,15 +9,19 @@ from quiltwork.llm.common import materialise
 
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
-    """One half step: every node's neighbours (the lesser or the greater ones) move to its least neighbour."""
+    """One half step: every node's neighbours (the lesser or the greater ones) move to its least neighbour.
+
+    The links are dealt once, by the node; duplicates, the least neighbour and the join all use that.
+    """
     if small:
         # Of each link the greater end; its lesser neighbours and itself get the least of them.
-        least = links.groupBy("a").agg(F.min("b").alias("m"))
-        moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        dealt = links.repartition("a").distinct()
+        least = dealt.groupBy("a").agg(F.min("b").alias("m"))
+        moved = dealt.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return moved.union(least.select("a", F.col("m").alias("b"))).where("a != b")
+    dealt = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a").distinct()
+    least = dealt.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return dealt.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(links)
     while True:
-        links = materialise(_star(_star(links, False), True))
+        links = materialise(_star(_star(links, False), True).distinct())
         now = mark(links)
         if now == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -40,7 +40,7 @@ class NearOptions:
     #: Pairs whose estimate is lower aren't confirmed: about five standard deviations below the threshold.
     least_estimate: float = 0.63
     #: Rounds of comparing each class with one other before all that is left is compared.
-    rounds: int = 4
+    rounds: int = 2
     #: Classes of one band that are compared in a piece.
     block: int = 1500
 
@@ -233,9 +233,7 @@ class Comparison:
         return of.join(self.parts.select(F.col("node").alias(column), F.col("component").alias("_c")), column, "left").withColumn(to, F.coalesce("_c", column)).drop("_c")
 
     def compare(self, pairs: DataFrame, estimated: bool = False) -> None:
-        """Confirms pairs (a, b) not compared before and merges the components of those that are linked."""
-        if self.compared is not None:
-            pairs = pairs.join(self.compared, ["a", "b"], "left_anti")
+        """Confirms pairs (a, b) and merges the components of those that are linked."""
         o, s = self.options, self.sketches
         pairs = materialise(pairs)
         self.compared = pairs if self.compared is None else self.compared.union(pairs)
