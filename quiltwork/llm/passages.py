@@ -9,10 +9,10 @@ Hashes travel packed: a task cuts its own into buckets by hash and sends one row
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 #: Entries that a task gathers before it sends them on.
 GATHER = 4_000_000
 PACKED = "bucket int, hashes binary, keys binary, counts binary, flags binary"
+DEALT = "bucket int, keys binary, hashes binary"
 FOUND = "tkey bigint, hashes binary"
 #: Entry flags: counts as two occurrences; needs no answer.
 TWICE, SILENT = 1, 2
@@ -59,7 +60,7 @@ def pack(hashes: np.ndarray, keys: np.ndarray, flags: np.ndarray, buckets: int,
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "hashes", "keys", "counts", "flags"])
 
 
-def unpack(part: pa.Table | pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(part: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (the bytes kept, as the high ones), keys and flags of a bucket's rows."""
     hashes, keys, flags = [], [], []
     for h, k, c, f in zip(*(part.column(x).to_pylist() for x in ("hashes", "keys", "counts", "flags")), strict=True):
@@ -72,9 +73,9 @@ def unpack(part: pa.Table | pd.DataFrame, width: int) -> tuple[np.ndarray, np.nd
 
 
 def recurring(rows: DataFrame, entries: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, width: int) -> DataFrame:
-    """tkey and packed hashes for all entries whose hash occurs twice or more; entries: hashes, text keys and flags of a batch.
+    """tkey, hashes: for each text, packed, those of its entries whose hash occurs twice or more; entries: hashes, text keys and flags of a batch.
 
-    With width below 8, hashes that differ may count as one: that finds more, never less.
+    Hashes meet by bucket of the hash, what was found travels on by bucket of the text key. With width below 8, hashes that differ may count as one: that finds more, never less.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,25 +100,37 @@ def recurring(rows: DataFrame, entries: Callable[[pa.RecordBatch], tuple[np.ndar
         take = np.repeat(again, many) & (flags & SILENT == 0)
         take &= np.append(True, (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1]) | ~take[:-1])
         hashes, keys = hashes[take], keys[take]
+        bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((keys, bucket))
+        high, keys, bucket = hashes[order].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width], keys[order], bucket[order]
+        at, ends = runs(bucket)
+        pick = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())
+        return pa.table({"bucket": pa.array(bucket[at], pa.int32()), "keys": pa.array([zlib.compress(keys[a:b].tobytes(), 1) for a, b in zip(at, ends, strict=True)], pa.binary()), "hashes": pick(high)})
+
+    def gather(part: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(zlib.decompress(k), np.int64) for k in part.column("keys").to_pylist()])
+        high = np.frombuffer(b"".join(part.column("hashes").to_pylist()), np.uint8).reshape(-1, width)
         order = np.argsort(keys, kind="stable")
-        hashes, keys = hashes[order].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width], keys[order]
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-        ends = np.append(at[1:], len(keys)) if len(at) else at
-        return pa.table({"tkey": pa.array(keys[at], pa.int64()), "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+        keys, high = keys[order], high[order]
+        at, ends = runs(keys)
+        return pa.table({"tkey": pa.array(keys[at], pa.int64()), "hashes": pa.array([high[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
 
-    return rows.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(match, FOUND)
+    met = rows.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(match, DEALT)
+    return met.groupBy("bucket").applyInArrow(gather, FOUND)
 
 
-def by_text(found: DataFrame) -> DataFrame:
-    """tkey and the list of its packed hashes: bounded by the text itself."""
-    return found.groupBy("tkey").agg(F.collect_list("hashes").alias("hashes"))
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of runs of equal values."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return at, np.append(at[1:], len(values))
 
 
-def contains(values: np.ndarray, packed: list[bytes], width: int) -> np.ndarray:
+def contains(values: np.ndarray, packed: bytes, width: int) -> np.ndarray:
     """Which values are among packed hashes."""
-    joined = b"".join(packed)
-    raw = np.zeros((len(joined) // width, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(joined, np.uint8).reshape(-1, width)
+    raw = np.zeros((len(packed) // width, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
     known = np.unique(raw.view(">u8").ravel().astype(np.uint64))
     if not len(known) or not len(values):
         return np.zeros(len(values), bool)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltwork.llm.common import materialise
-from quiltwork.llm.passages import SILENT, TWICE, buckets_for, by_text, contains, distinct_texts, recurring, text_key
+from quiltwork.llm.passages import SILENT, TWICE, buckets_for, contains, distinct_texts, recurring, text_key
 from quiltwork.llm.rolling import anchor_of, anchors, batches, windows, word_hashes
 
 #: Bytes kept of an anchor's hash (finding more anchors does no harm) and of a window's.
@@ -77,7 +77,7 @@ def recurring_windows(docs: DataFrame, o: PhraseOptions, id_col: str = "doc_id",
             parts.append((short[anchors(short, o.row)], keys[k], 0))
         return _join(parts)
 
-    known = by_text(recurring(keyed.select("text", "tkey"), anchor_entries, buckets, ANCHOR_BYTES))
+    known = recurring(keyed.select("text", "tkey"), anchor_entries, buckets, ANCHOR_BYTES)
     texts = distinct_texts(keyed)
     once = keyed.join(known.join(texts, "tkey"), ["tkey", "twin"]).where(F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("first"))
 
@@ -92,7 +92,7 @@ def recurring_windows(docs: DataFrame, o: PhraseOptions, id_col: str = "doc_id",
             parts.append((windows(hashes, o.window)[able], keys[k], TWICE | SILENT if times[k] > 1 else 0))
         return _join(parts)
 
-    found = by_text(recurring(once.select("text", "tkey", "hashes", "times"), window_entries, buckets, WINDOW_BYTES))
+    found = recurring(once.select("text", "tkey", "hashes", "times"), window_entries, buckets, WINDOW_BYTES)
     return materialise(texts.join(found, "tkey", "left").where("times > 1 or hashes is not null").select("tkey", "twin", "hashes", "times"))
 
 
