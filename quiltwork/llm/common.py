@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +48,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """fn on every Arrow batch; batches for which it returns None vanish."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
+def release(spark: SparkSession) -> None:
+    """Lets go of steps that are done: Spark deletes shuffle files of plans that no one refers to once the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from quiltwork.llm.common import materialise
+from quiltwork.llm.common import materialise, release
 from quiltwork.llm.components import components
 from quiltwork.llm.rolling import batches, windows, word_hashes
 
@@ -122,24 +122,32 @@ def with_bands(classes: DataFrame, options: NearOptions) -> DataFrame:
     return classes.select("id", "registers").mapInArrow(run, "id bigint, band bigint")
 
 
-def alike(members: DataFrame, options: NearOptions) -> DataFrame:
-    """Pairs (a, b) of a band's members (band, id, c, n, registers) whose components differ and whose sizes and estimates allow a link.
+def alike(members: DataFrame, options: NearOptions, confirm: bool) -> DataFrame:
+    """Pairs of a band's members (band, id, c, n, registers) whose components differ and whose sizes and estimates allow a link.
 
+    Without confirm only the ids that are in some such pair are returned (a = b = id); with it the pairs (a, b) whose sets
+    (members' column small: sorted 32-bit hashes) are near enough, so that pairs that aren't never leave the task.
     A pair comes from the first band that both share, so it comes once. Members of a band are cut into blocks, and every
     two blocks are compared in a piece of their own, so no piece holds more than two blocks.
     """
     o, many = options, options.registers // options.band
     sized = members.join(members.groupBy("band").agg(F.ceil(F.count("*") / o.block).cast("int").alias("blocks")), "band")
     own = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "n", "registers")
+    own = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "n", "registers", *["small"] * confirm)
     dealt = own.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
 
+    def near(a: np.ndarray, b: np.ndarray) -> bool:
+        # Hashes that collide only add to what both have; a hundredth more makes up for those lost within a set.
+        both = len(np.intersect1d(a, b, assume_unique=True)) * 1.01 + 1
+        return 100 * both >= o.percent * (len(a) + len(b) - both)
+
     def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         band, i, j = (part.column(x)[0].as_py() for x in ("band", "i", "j"))
         own, ids, c, n = (part.column(x).to_numpy() for x in ("own", "id", "c", "n"))
         registers = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
+        sets = [np.unique(np.frombuffer(x, np.uint32)) for x in part.column("small").to_pylist()] if confirm else []
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
+        a, b = [ids[:0]], [ids[:0]]
         step = max(1, 100_000 // max(1, len(right)))
         for at in range(0, len(left), step):
             rows = left[at : at + step]
@@ -151,9 +159,15 @@ def alike(members: DataFrame, options: NearOptions) -> DataFrame:
             x, y, one, two = x[good], y[good], one[good], two[good]
             agree = ((one == two).reshape(len(x), many, o.band).all(axis=2)) & (one != EMPTY).reshape(len(x), many, o.band).any(axis=2)
             first = agree.argmax(axis=1) == band % many
-            a.append(ids[x[first]])
-            b.append(ids[y[first]])
-        return np.concatenate([ids[:0], *a]), np.concatenate([ids[:0], *b])
+            x, y = x[first], y[first]
+            if confirm:
+                good = np.array([near(sets[p], sets[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True)], bool)
+                a.append(ids[x[good]])
+                b.append(ids[y[good]])
+            else:
+                a.append(ids[np.union1d(x, y).astype(np.int64)])
+                b.append(a[-1])
+        return np.concatenate(a), np.concatenate(b)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -207,6 +221,18 @@ def linked(options: NearOptions):
     return arrow_udf(run, BooleanType())
 
 
+def shortened():
+    """The high 32 bits of each 64-bit hash."""
+
+    def run(a: pa.Array) -> pa.Array:
+        return pa.array([(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in a], pa.binary())
+
+    from pyspark.sql.functions import arrow_udf
+    from pyspark.sql.types import BinaryType
+
+    return arrow_udf(run, BinaryType())
+
+
 class Comparison:
     """The classes of a table and the components found among them so far."""
 
@@ -224,6 +250,7 @@ class Comparison:
         # Ids may repeat with other texts: the digest says which row the class has.
         full = profile(own, options, "doc_id", "text", True).join(self.classes.select("key", F.col("id").alias("doc_id")), ["key", "doc_id"], "left_semi")
         self.sets = materialise(full.groupBy("doc_id").agg(F.first("shingles").alias("shingles")).withColumnRenamed("doc_id", "id"))
+        release(docs.sparkSession)
         self.compared: DataFrame | None = None
         self.parts: DataFrame | None = None
 
@@ -244,6 +271,7 @@ class Comparison:
         found = materialise(pairs.join(left, "a").join(right, "b").where(linked(o)("sa", "sb")).select("a", "b"))
         if not found.isEmpty():
             self.parts = components(found if self.parts is None else found.union(self.parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        release(found.sparkSession)
 
     def mixed(self) -> DataFrame:
         """Members of bands whose members are in several components: band, id, c."""
@@ -268,7 +296,10 @@ class Comparison:
             if members.isEmpty():
                 break
         else:
-            self.compare(alike(members.join(self.sketches, "id"), self.options), True)
+            members = members.join(self.sketches, "id")
+            able = materialise(alike(members, self.options, False).select(F.col("a").alias("id")).distinct())
+            small = self.sets.join(able, "id", "left_semi").select("id", shortened()("shingles").alias("small"))
+            self.compare(alike(members.join(small, "id"), self.options, True), True)
         if self.parts is None:
             return self.sketches.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
         return self.parts
