@@ -192,3 +192,93 @@ def best_rows(df: DataFrame, group: str, options: FlowOptions = FlowOptions()) -
     pages = tried.groupBy(group, "tried", "page").agg((F.max(F.col("x") + F.col("frame_w")) * F.max(F.col("y") + F.col("frame_h"))).alias("area"))
     best = pages.groupBy(group, "tried").agg(F.count("*").alias("pages"), F.sum("area").alias("area")).groupBy(group).agg(F.min(F.struct("pages", "area", "tried")).alias("best"))
     return tried.join(best.select(group, F.col("best.tried").alias("tried")), [group, "tried"])
+
+
+def manual_rows(items: list[tuple[str, int, int, int | None, int | None]], o: FlowOptions, step: int = 0) -> list[Placed]:
+    """Items (id, padded w and h, wanted x and y or null): those with a wish where they wish, the others in rows below.
+
+    Wishes are kept within the page and moved to the alignment, up if that fits and down otherwise. With a step, rows and
+    items of the others begin at its multiples. Items go by descending area, then id.
+    """
+    low, out, free = o.border, [], []
+    iw, ih = o.width - 2 * o.border, o.height - 2 * o.border
+    down = lambda v: v // o.align * o.align if o.align > 1 else v
+    for name, w, h, x, y in sorted(items, key=lambda i: (i[1] * i[2], i[0]), reverse=True):
+        if w > iw or h > ih:
+            raise ValueError(f"{name} doesn't fit on a page")
+        if x is None or y is None:
+            free.append((name, w, h))
+            continue
+        fx, fy = min(max(x, 0), iw - w), min(max(y, 0), ih - h)
+        px, py = o.up(o.border + fx), o.up(o.border + fy)
+        if px + w > o.border + iw or py + h > o.border + ih:
+            px, py = o.border + down(fx), o.border + down(fy)
+        out.append((name, 0, px, py, w, h, False))
+        low = max(low, py + h)
+    snap = lambda v: -(-v // step) * step if step > 1 else v
+    page, x, y = 0, o.border, snap(low)
+    low = y
+    for name, w, h in free:
+        px, py = o.up(snap(x)), o.up(y)
+        if px + w > o.border + iw:
+            x, y = o.border, snap(low)
+            px, py = o.up(snap(x)), o.up(y)
+        if py + h > o.border + ih:
+            page, x, y = page + 1, o.border, snap(o.border)
+            low = y
+            px, py = o.up(snap(x)), o.up(y)
+            if px + w > o.border + iw or py + h > o.border + ih:
+                raise ValueError(f"{name} doesn't fit on a page")
+        out.append((name, page, px, py, w, h, False))
+        x, low = px + w, max(low, py + h)
+    return out
+
+
+def pack_manual(df: DataFrame, group: str, options: FlowOptions = FlowOptions(), step: int = 0) -> DataFrame:
+    """pack() for items (id, w, h, want_x, want_y) of which some say where they want to be."""
+    o = options
+
+    def place(part: pa.Table) -> pa.Table:
+        name, pad = part.column(group)[0], 2 * o.padding
+        items = [(i, w + pad, h + pad, x, y) for i, w, h, x, y in zip(*(part.column(c).to_pylist() for c in ("id", "w", "h", "want_x", "want_y")), strict=True)]
+        columns = list(zip(*manual_rows(items, o, step), strict=True))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        names = ["id", "page", "x", "y", "frame_w", "frame_h", "rotated"]
+        return pa.table({group: pa.array([name.as_py()] * len(items), name.type)} | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
+
+    return df.select(group, "id", "w", "h", "want_x", "want_y").groupBy(group).applyInArrow(place, f"{group} {dict(df.dtypes)[group]}, {PLACED}")
+
+
+def smallest_page(df: DataFrame, group: str, sides: list[int], options: FlowOptions = FlowOptions()) -> DataFrame:
+    """The free-rectangle placement of each group on the smallest page that holds it whole.
+
+    Every pair of sides is a row and a task of its own; of those where all items share a page the one with the least area
+    wins, then the least perimeter, then the least width. Groups that no page holds are left out.
+    """
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    tried = df.select(group, "ord", "id", "w", "h", F.explode(F.array(*[F.struct(F.lit(w).alias("width"), F.lit(h).alias("height")) for w in sides for h in sides])).alias("_s")).select("*", "_s.width", "_s.height").drop("_s")
+    kind = dict(df.dtypes)[group]
+
+    def place(part: pa.Table) -> pa.Table:
+        name, width, height = (part.column(c)[0] for c in (group, "width", "height"))
+        own = replace(options, width=width.as_py(), height=height.as_py())
+        items = ordered(list(zip(*(part.column(c).to_pylist() for c in ("ord", "id", "w", "h")), strict=True)), own)
+        room = (own.width - 2 * own.border) * (own.height - 2 * own.border)
+        try:
+            placed = free_rectangles(items, own, False) if sum(w * h for _, w, h in items) <= room else []
+        except ValueError:
+            placed = []
+        placed = placed if all(p[1] == 0 for p in placed) else []
+        columns = list(zip(*placed, strict=True)) if placed else [[]] * 7
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        names = ["id", "page", "x", "y", "frame_w", "frame_h", "rotated"]
+        first = {group: pa.array([name.as_py()] * len(placed), name.type), "width": pa.array([width.as_py()] * len(placed), pa.int32()), "height": pa.array([height.as_py()] * len(placed), pa.int32())}
+        return pa.table(first | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
+
+    found = tried.groupBy(group, "width", "height").applyInArrow(place, f"{group} {kind}, width int, height int, {PLACED}")
+    size = F.struct((F.col("width") * F.col("height")).alias("area"), (F.col("width") + F.col("height")).alias("around"), "width", "height")
+    best = found.groupBy(group).agg(F.min(size).alias("_b")).select(group, F.col("_b.width").alias("width"), F.col("_b.height").alias("height"))
+    return found.join(best, [group, "width", "height"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltwork.functions import numeric, pixels as px, text
-from quiltwork.operators import colour, dedup, flow, geometry, grouping, packing, pairing, render, select
+from quiltwork.operators import colour, dedup, flow, geometry, grouping, packing, pairing, raster, render, select
 from quiltwork.plans.views import PATHS, PIXELS, SPRITES, paths, pixels, sprites, table
 from quiltwork.streaming import events as ev
 
@@ -631,3 +631,101 @@ def dither_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = pixels(spark, d).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("k", "r", "g", "b", "a"))).alias("p"))
     images = rows.select("vec_id", F.unhex(code).alias("image"), F.lit(4).alias("width"))
     return colour.dithered(images, "image", "width").select("vec_id", F.hex("image").alias("image"))
+
+
+_XY = f"{PIXELS}, image AS (SELECT vec_id, k % 4 AS x, k // 4 AS y, r, g, b, a FROM pixels)"
+
+
+def _image(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select("vec_id", (F.col("k") % 4).alias("x"), px.div(F.col("k"), 4).alias("y"), *"rgba")
+
+
+@query(f"WITH {_XY} SELECT vec_id, 3 - y AS x, x AS y, r, g, b, a FROM image")
+def pixel_turn(spark: SparkSession, d: str) -> DataFrame:
+    return raster.turned(_image(spark, d), F.lit(4).cast("long"))
+
+
+@query(f"WITH {_XY} SELECT vec_id, x, 3 - y AS y, r, g, b, a FROM image")
+def pixel_flip(spark: SparkSession, d: str) -> DataFrame:
+    return raster.flipped(_image(spark, d), F.lit(4).cast("long"))
+
+
+@query(f"WITH {_XY} SELECT vec_id, x - 1 AS x, y - 2 AS y, r, g, b, a FROM image WHERE x BETWEEN 1 AND 3 AND y BETWEEN 2 AND 3")
+def pixel_crop(spark: SparkSession, d: str) -> DataFrame:
+    one, two, three = (F.lit(n).cast("long") for n in (1, 2, 3))
+    return raster.cropped(_image(spark, d), one, two, three, two)
+
+
+@query(f"""WITH {_XY}, spots AS (SELECT CAST(i AS BIGINT) AS x, CAST(j AS BIGINT) AS y FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j))
+    SELECT vec_id, s.x, s.y, r, g, b, a FROM spots s JOIN image p ON p.x = least(greatest(s.x - 2, 0), 3) AND p.y = least(greatest(s.y - 2, 0), 3)""")
+def pixel_extrude(spark: SparkSession, d: str) -> DataFrame:
+    four = F.lit(4).cast("long")
+    return raster.extruded(_image(spark, d), 2, four, four)
+
+
+@query(f"""WITH {_XY}, placed AS (SELECT vec_id, vec_id // 64 AS page, (vec_id % 8) * 3 AS lft, (vec_id // 8 % 8) * 3 AS top FROM embeddings),
+    moved AS (SELECT page, x + lft AS x, y + top AS y, r, g, b, a, row_number() OVER (PARTITION BY page, x + lft, y + top ORDER BY vec_id DESC) AS k FROM image JOIN placed USING (vec_id) WHERE a > 120)
+    SELECT page, x, y, r, g, b, a FROM moved WHERE k = 1""")
+def compose_pages(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("vec_id")
+    placed = table(spark, d, "embeddings").select("vec_id", px.div(v, 64).alias("page"), (v % 8 * 3).alias("left"), (px.div(v, 8) % 8 * 3).alias("top"), v.alias("nth"))
+    solid = _image(spark, d).withColumn("solid", F.when(F.col("a") > 120, F.col("a")).otherwise(0))
+    return raster.composed(solid, placed, "vec_id", ["page"], "nth", list("rgba"), "solid")
+
+
+@query(f"""WITH {_XY}, spots AS (SELECT CAST(i AS BIGINT) AS x, CAST(j AS BIGINT) AS y FROM (SELECT unnest(range(6)) AS i), (SELECT unnest(range(6)) AS j))
+    SELECT vec_id, s.x, s.y, r, g, b, a FROM spots s JOIN image p ON p.x = least(greatest(round((s.x + 0.5) / 1.5 - 0.5), 0), 3) AND p.y = least(greatest(round((s.y + 0.5) / 1.5 - 0.5), 0), 3)""")
+def pixel_scale_fast(spark: SparkSession, d: str) -> DataFrame:
+    return raster.scaled_fast(_image(spark, d), (4, 4), 1.5)
+
+
+@query(f"""WITH {_XY}, spots AS (SELECT CAST(i AS BIGINT) AS x, CAST(j AS BIGINT) AS y, greatest(floor((i + 0.5) / 2 - 0.5), 0) AS x0, greatest(floor((j + 0.5) / 2 - 0.5), 0) AS y0, (i + 0.5) / 2 - 0.5 AS sx, (j + 0.5) / 2 - 0.5 AS sy
+        FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j)),
+    mixed AS (SELECT p.vec_id, s.x, s.y, sx - x0 AS fx, sy - y0 AS fy, p.r AS r00, q.r AS r10, u.r AS r01, v.r AS r11, p.a AS a00, q.a AS a10, u.a AS a01, v.a AS a11 FROM spots s JOIN image p ON p.x = x0 AND p.y = y0
+        JOIN image q ON q.vec_id = p.vec_id AND q.x = least(x0 + 1, 3) AND q.y = y0 JOIN image u ON u.vec_id = p.vec_id AND u.x = x0 AND u.y = least(y0 + 1, 3) JOIN image v ON v.vec_id = p.vec_id AND v.x = least(x0 + 1, 3) AND v.y = least(y0 + 1, 3))
+    SELECT vec_id, x, y, CAST(least(greatest(round((r00 * (1 - fx) + r10 * fx) * (1 - fy) + (r01 * (1 - fx) + r11 * fx) * fy), 0), 255) AS BIGINT) AS r,
+        CAST(least(greatest(round((a00 * (1 - fx) + a10 * fx) * (1 - fy) + (a01 * (1 - fx) + a11 * fx) * fy), 0), 255) AS BIGINT) AS a FROM mixed""")
+def pixel_scale_smooth(spark: SparkSession, d: str) -> DataFrame:
+    return raster.scaled_smooth(_image(spark, d), ["vec_id"], (4, 4), 2.0, ["r", "a"])
+
+
+_AT = lambda n, dx, dy: f"JOIN art {n} ON {n}.vec_id = e.vec_id AND {n}.x = least(greatest(e.x + {dx}, 0), 3) AND {n}.y = greatest(e.y + {dy}, 0)"
+
+
+@query(f"""WITH {_XY}, art AS (SELECT vec_id, x, y, r // 32 * 8 + a // 64 AS v FROM image),
+    seen AS (SELECT e.vec_id, e.x, e.y, a.v AS a, b.v AS b, c.v AS c, d.v AS d, e.v AS e FROM art e {_AT('a', -1, -1)} {_AT('b', 0, -1)} {_AT('c', 1, -1)} {_AT('d', -1, 0)})
+    SELECT vec_id, 2 * x AS x, 2 * y AS y, CASE WHEN c = a AND c <> d AND a <> b THEN a ELSE e END AS v FROM seen UNION ALL SELECT vec_id, 2 * x + 1, 2 * y, CASE WHEN a = b AND a <> c AND b <> d THEN b ELSE e END FROM seen
+    UNION ALL SELECT vec_id, 2 * x, 2 * y + 1, CASE WHEN d = c AND d <> b AND c <> a THEN c ELSE e END FROM seen UNION ALL SELECT vec_id, 2 * x + 1, 2 * y + 1, CASE WHEN b = d AND b <> a AND d <> c THEN d ELSE e END FROM seen""")
+def pixel_scale_twice(spark: SparkSession, d: str) -> DataFrame:
+    art = _image(spark, d).select("vec_id", "x", "y", (px.div(F.col("r"), 32) * 8 + px.div(F.col("a"), 64)).alias("v"))
+    return raster.scaled_twice(art, ["vec_id"], (4, 4), "v")
+
+
+@query()
+def pixel_bleed(spark: SparkSession, d: str) -> DataFrame:
+    """Each pixel block with the colours of its solid pixels (alpha above 127) spread into the others, in hex."""
+    alpha = F.when(F.col("a") > 127, F.col("a")).otherwise(0)
+    rows = pixels(spark, d).withColumn("a", alpha).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("k", "r", "g", "b", "a"))).alias("p"))
+    code = F.array_join(F.transform("p", lambda v: F.concat(*[F.lpad(F.hex(v[c]), 2, "0") for c in "rgba"])), "")
+    return raster.with_bleeding(rows.select("vec_id", F.unhex(code).alias("image"), F.lit(4).alias("width")), "image", "width").select("vec_id", F.hex("image").alias("image"))
+
+
+@query(f"""WITH {SPRITES}, s AS (SELECT folder, id, w + 2 AS w, h + 2 AS h, ord % 600 AS px, ord % 555 AS py FROM sprites),
+    f AS (SELECT folder, id, w, h, least(px, 512 - w) AS fx, least(py, 512 - h) AS fy FROM s), u AS (SELECT *, (fx + 7) // 8 * 8 AS ux, (fy + 7) // 8 * 8 AS uy FROM f)
+    SELECT folder, id, CAST(CASE WHEN ux + w <= 512 AND uy + h <= 512 THEN ux ELSE fx // 8 * 8 END AS BIGINT) AS x, CAST(CASE WHEN ux + w <= 512 AND uy + h <= 512 THEN uy ELSE fy // 8 * 8 END AS BIGINT) AS y FROM u""")
+def manual_pack(spark: SparkSession, d: str) -> DataFrame:
+    wishes = sprites(spark, d).withColumns({"want_x": F.col("ord") % 600, "want_y": F.col("ord") % 555})
+    return flow.pack_manual(wishes, "folder", flow.FlowOptions(align=8)).select("folder", "id", "x", "y")
+
+
+@query(_AUDIT)
+def manual_flow_audit(spark: SparkSession, d: str) -> DataFrame:
+    wishes = sprites(spark, d).withColumns({"want_x": F.lit(None).cast("long"), "want_y": F.lit(None).cast("long")})
+    return _audited(flow.pack_manual(wishes, "folder"))
+
+
+@query()
+def page_size_search(spark: SparkSession, d: str) -> DataFrame:
+    """Sprites of each brand on the smallest page of powers of two that holds them."""
+    by_brand = sprites(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("ord"), "p_brand"), "ord")
+    return flow.smallest_page(by_brand, "p_brand", [64, 128, 256, 512, 1024])
