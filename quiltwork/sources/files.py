@@ -12,7 +12,7 @@ IMAGES = ["png", "jpg", "jpeg", "bmp", "tga", "gif", "webp", "tif", "tiff", "ico
 
 
 def scan(spark: SparkSession, roots: list[str], recursive: bool = True, ignore: list[str] | None = None, content: bool = True) -> DataFrame:
-    """path, modificationTime, length and, if asked for, content of files below the roots, each once, without ignored ones."""
+    """path, modificationTime, length and, if asked for, content of files below the roots, each once, without ignored and empty ones (Spark reads no empty files)."""
     found = None
     for root in roots:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
