@@ -94,20 +94,20 @@ def estimate(one: np.ndarray, two: np.ndarray, options: NearOptions) -> np.ndarr
 
 
 def profile(docs: DataFrame, options: NearOptions, id_col: str, text_col: str, full: bool) -> DataFrame:
-    """doc_id and size and digest of the set; with registers, or with the full set."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, a hash of the text, size and digest of the set; with registers, or with the full set."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             found = shingle_sets(part.column(1).to_pylist(), options.shingle)
-            columns = [part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary())]
+            columns = [part.column(0), part.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary())]
             if full:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "n", "key", "shingles"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "tkey", "n", "key", "shingles"])
             else:
                 columns.append(pa.array([sketch(s, options).tobytes() for s in found], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "registers"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "n", "key", "registers"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, key binary, " + ("shingles binary" if full else "registers binary"))
+    return rows.mapInArrow(run, "doc_id bigint, tkey bigint, n bigint, key binary, " + ("shingles binary" if full else "registers binary"))
 
 
 def with_bands(classes: DataFrame, options: NearOptions) -> DataFrame:
@@ -305,8 +305,8 @@ class Comparison:
         return self.parts
 
 
-def near_duplicates(docs: DataFrame, options: NearOptions = NearOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, options: NearOptions = NearOptions(), id_col: str = "doc_id", text_col: str = "text", text_key: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept and, if asked for, text_key, the text's xxhash64.
 
     component_id is the least id that links reach, kept says whether it is the document's own. Null, empty and blank texts
     have no shingles and no links. Rows without an id count for nothing and are kept with a null component. Repeated rows
@@ -315,12 +315,13 @@ def near_duplicates(docs: DataFrame, options: NearOptions = NearOptions(), id_co
     found = Comparison(docs, options, id_col, text_col)
     parts = found.run()
     of = found.classes.select("key", "id").join(parts, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component"))
-    rows = found.rows.select("doc_id", "n", "key").join(of, "key", "left")
+    rows = found.rows.join(of, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *[F.col("tkey").alias("text_key")] * text_key)
 
 
 def without_near_duplicates(docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
-    """The rows of docs, with all columns, that near_duplicates() keeps: one of each component. Rows without an id stay."""
-    kept = near_duplicates(docs, options).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """The rows of docs, with all columns, that near_duplicates() keeps: one of each component, one of rows alike in id and text. Rows without an id stay."""
+    kept = near_duplicates(docs, options, text_key=True).where("kept and doc_id is not null").select("doc_id", F.col("text_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    return keyed.join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))

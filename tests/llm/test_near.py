@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from quiltwork.llm.hyperminhash import NearOptions, near_duplicates, shingle_sets, sketch
+from quiltwork.llm.hyperminhash import NearOptions, near_duplicates, shingle_sets, sketch, without_near_duplicates
 
 
 def brute(rows, k, percent):
@@ -59,6 +59,13 @@ def test_edges(spark):
     assert got == sorted([(None, 1, None, True), (3, 1, 2, False), (3, 1, 2, False), (2, 1, 2, True), (3, 4, 3, True)], key=str)
 
 
+def test_one_of_each_group_stays(spark):
+    rows = [(1, "a b c d e f", 7), (2, "a b c d e f", 8), (3, None, 9), (4, "", 1), (None, "a b c d e f", 2), (5, "one two", 3), (5, "three four", 4), (5, "three four", 4), (2, "x y z", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tkey int")
+    got = sorted((tuple(r) for r in without_near_duplicates(df).collect()), key=str)
+    assert got == sorted(set(rows) - {rows[1]}, key=str)
+
+
 def test_sketch_keeps_zeros_and_mantissa():
     o = NearOptions()
     for s in shingle_sets(["a b c d e f g h i j k l m n o p"], 2):
