@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quiltwork.llm.common import materialise
 
+#: Rows of a partition of links.
+ROWS = 50_000
+
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
     """One half step: every node's neighbours (the lesser or the greater ones) move to its least neighbour.
@@ -29,11 +32,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large and small stars until the links no longer change; they then join every node to the least one.
     """
-    links = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    links = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), ROWS)
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(links)
     while True:
-        links = materialise(_star(_star(links, False), True).distinct())
+        links = materialise(_star(_star(links, False), True).distinct(), ROWS)
         now = mark(links)
         if now == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

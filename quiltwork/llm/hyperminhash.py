@@ -26,6 +26,8 @@ from quiltwork.llm.components import components
 from quiltwork.llm.rolling import batches, windows, word_hashes
 
 EMPTY = 0xFFFF
+#: Rows of a partition of classes, band members and pairs.
+ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -238,13 +240,13 @@ class Comparison:
 
     def __init__(self, docs: DataFrame, options: NearOptions, id_col: str, text_col: str) -> None:
         self.options = options
-        self.rows = materialise(profile(docs, options, id_col, text_col, False))
-        self.classes = materialise(self.rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")))
+        self.rows = materialise(profile(docs, options, id_col, text_col, False), ROWS)
+        self.classes = materialise(self.rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), ROWS)
         self.rows = self.rows.drop("registers")
         shared = with_bands(self.classes, options).withColumn("m", F.expr("count(*) over (partition by band)")).where("m > 1")
-        self.members = materialise(shared.select("id", "band"))  # classes that share a band with others
+        self.members = materialise(shared.select("id", "band"), ROWS)  # classes that share a band with others
         self.sketches = self.classes.join(self.members.select("id").distinct(), "id", "left_semi").select("id", "n", "registers")
-        self.sketches = materialise(self.sketches)
+        self.sketches = materialise(self.sketches, ROWS)
         wanted = self.sketches.select(F.col("id").alias("doc_id"))
         own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
         # Ids may repeat with other texts: the digest says which row the class has.
@@ -262,13 +264,13 @@ class Comparison:
     def compare(self, pairs: DataFrame, estimated: bool = False) -> None:
         """Confirms pairs (a, b) and merges the components of those that are linked."""
         o, s = self.options, self.sketches
-        pairs = materialise(pairs)
+        pairs = materialise(pairs, ROWS)
         self.compared = pairs if self.compared is None else self.compared.union(pairs)
         if not estimated:
             left, right = (s.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
             pairs = pairs.join(left, "a").join(right, "b").where((100 * F.least("na", "nb") >= o.percent * F.greatest("na", "nb")) & likely(o)("ra", "rb")).select("a", "b")
         left, right = (self.sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        found = materialise(pairs.join(left, "a").join(right, "b").where(linked(o)("sa", "sb")).select("a", "b"))
+        found = materialise(pairs.join(left, "a").join(right, "b").where(linked(o)("sa", "sb")).select("a", "b"), ROWS)
         if not found.isEmpty():
             self.parts = components(found if self.parts is None else found.union(self.parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         release(found.sparkSession)
@@ -277,7 +279,7 @@ class Comparison:
         """Members of bands whose members are in several components: band, id, c."""
         members = self.component(self.members, "id", "c")
         open_ = members.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("band")
-        return materialise(members.join(open_, "band"))
+        return materialise(members.join(open_, "band"), ROWS)
 
     def run(self) -> DataFrame:
         """node and component of the classes that are linked to another, except the least of a component."""
@@ -297,7 +299,7 @@ class Comparison:
                 break
         else:
             members = members.join(self.sketches, "id")
-            able = materialise(alike(members, self.options, False).select(F.col("a").alias("id")).distinct())
+            able = materialise(alike(members, self.options, False).select(F.col("a").alias("id")).distinct(), ROWS)
             small = self.sets.join(able, "id", "left_semi").select("id", shortened()("shingles").alias("small"))
             self.compare(alike(members.join(small, "id"), self.options, True), True)
         if self.parts is None:
