@@ -94,4 +94,32 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
             sha256(coalesce(k.text, '')) AS kept_sha256
         FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+    "op4_suffix_merge": """
+        WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+        starts AS (SELECT doc_id, i, substring(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, greatest(n - 49, 0))) AS i FROM docs)),
+        least AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s),
+        hits AS (SELECT doc_id, i FROM starts JOIN least USING (s) WHERE first < doc_id),
+        bytes AS (SELECT doc_id, unnest(h) AS h, generate_subscripts(h, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(x, '..') AS h FROM docs)),
+        marked AS (
+            SELECT b.doc_id, b.h, b.i, coalesce(b.i - max(t.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS UNBOUNDED PRECEDING) < 50, false) AS gone
+            FROM bytes b LEFT JOIN hits t ON t.doc_id = b.doc_id AND t.i = b.i),
+        edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked),
+        kept AS (
+            SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(h, '' ORDER BY i) FILTER (NOT gone) AS x
+            FROM edges GROUP BY doc_id)
+        SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(coalesce(k.x, ''))) AS kept_sha256
+        FROM docs d LEFT JOIN kept k USING (doc_id)""",
+    "op8_hyperminhash": r"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM docs WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+        sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, s.b FROM reach r JOIN sides s ON s.a = r.b),
+        least AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(l.b, d.doc_id) AS kept
+        FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN least l USING (doc_id)""",
 }
