@@ -39,3 +39,12 @@ def scale_denominator(scale: Column, most: int = 64, slack: float = 5e-4) -> Col
 def scaled(x: Column, scale: Column) -> Column:
     """x times a scale in single precision, rounded half away from zero."""
     return F.round(x.cast("float") * scale.cast("float")).cast("long")
+
+
+def lcm_capped(a: Column, b: Column, cap: int) -> Column:
+    """The least common multiple of two positive numbers, at most cap; the greatest common divisor comes from Euclid's steps, of which 64-bit numbers need at most 92."""
+    state = F.struct(F.greatest(a, b).cast("long").alias("p"), F.least(a, b).cast("long").alias("q"))
+    step = lambda s, _: F.when(s["q"] > 0, F.struct(s["q"].alias("p"), F.pmod(s["p"], F.greatest(s["q"], F.lit(1).cast("long"))).alias("q"))).otherwise(s)
+    divisor = F.aggregate(F.sequence(F.lit(1), F.lit(92)), state, step)["p"]
+    many = F.floor(a / divisor).cast("decimal(38,0)") * b.cast("decimal(38,0)")
+    return F.least(many, F.lit(cap).cast("decimal(38,0)")).cast("long")

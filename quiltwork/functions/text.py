@@ -119,3 +119,18 @@ def with_extension(name: Column, extension: str) -> Column:
 def short_number(x: Column, digits: int = 2) -> Column:
     """A number rounded, without zeros at the end."""
     return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", F.round(x.cast("double"), digits)), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def colour_channels(code: Column) -> Column:
+    """r, g, b, a of a colour in 3, 6 or 8 hexadecimal digits, with or without #; null for other texts."""
+    bare = F.regexp_replace(F.lower(F.trim(code)), "^#", "")
+    full = F.when(F.length(bare) == 3, F.regexp_replace(bare, "(.)", "$1$1")).otherwise(bare)
+    full = F.when(F.length(full) == 6, F.concat(full, F.lit("ff"))).otherwise(full)
+    parts = F.struct(*[F.conv(F.substring(full, 2 * k + 1, 2), 16, 10).cast("int").alias(c) for k, c in enumerate("rgba")])
+    return F.when(bare.rlike("^([0-9a-f]{3}|[0-9a-f]{6}|[0-9a-f]{8})$"), parts)
+
+
+def truth(word: Column) -> Column:
+    """Whether a word says yes or no, whatever the case; null for other words."""
+    plain = F.lower(F.trim(word))
+    return F.when(plain.isin("1", "true", "yes", "on", "y"), True).when(plain.isin("0", "false", "no", "off", "n"), False)

@@ -50,22 +50,31 @@ def border_colour(pixels: DataFrame, keys: list[str], x: str, y: str, w: Column,
     return counted.withColumn("_k", first).where("_k = 1").select(*keys, *channels)
 
 
-def diffused(channel: np.ndarray, bits: int) -> np.ndarray:
-    """Floyd-Steinberg: a channel (rows of 0 to 255) at fewer bits, errors passed on to the right and below."""
+# How kernels pass errors on, as (right, down, share), and the shares' whole.
+KERNELS = {
+    "floyd-steinberg": ([(1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)], 16),
+    "atkinson": ([(1, 0, 1), (2, 0, 1), (-1, 1, 1), (0, 1, 1), (1, 1, 1), (0, 2, 1)], 8),
+    "none": ([], 1),
+}
+
+
+def diffused(channel: np.ndarray, bits: int, kernel: str = "floyd-steinberg") -> np.ndarray:
+    """A channel (rows of 0 to 255) at fewer bits, errors passed on by a kernel in reading order."""
     top, work = (1 << bits) - 1, channel.astype(float).copy()
     height, width = work.shape
+    shares, whole = KERNELS[kernel]
     for y in range(height):
         for x in range(width):
             old = min(255.0, max(0.0, work[y, x]))
             new = round(old * top / 255) * 255 // top
             work[y, x], error = new, old - new
-            for dx, dy, share in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
+            for dx, dy, share in shares:
                 if 0 <= x + dx < width and y + dy < height:
-                    work[y + dy, x + dx] += error * share / 16
+                    work[y + dy, x + dx] += error * share / whole
     return work.astype(np.uint8)
 
 
-def dithered(df: DataFrame, image: str, width: str, bits: int = 4) -> DataFrame:
+def dithered(df: DataFrame, image: str, width: str, bits: int = 4, kernel: str = "floyd-steinberg") -> DataFrame:
     """df with image, binary RGBA rows, at fewer bits for each channel. Null images and images that don't fit their width stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +85,54 @@ def dithered(df: DataFrame, image: str, width: str, bits: int = 4) -> DataFrame:
                     out.append(raw)
                     continue
                 pixels = np.frombuffer(raw, np.uint8).reshape(-1, w, 4)
-                out.append(np.stack([diffused(pixels[:, :, c], bits) for c in range(4)], axis=2).tobytes())
+                out.append(np.stack([diffused(pixels[:, :, c], bits, kernel) for c in range(4)], axis=2).tobytes())
             at = batch.schema.get_field_index(image)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.binary()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def normal_map_like(pixels: DataFrame, keys: list[str], channels: list[str], alpha: str) -> DataFrame:
+    """keys and is_normal: whether the whole means of an image's visible pixels are those of a normal map, mostly blue around the middle of red and green."""
+    seen = pixels.where(F.col(alpha) != 0).groupBy(*keys).agg(*[F.floor(F.sum(c) / F.count("*")).alias(c) for c in channels])
+    r, g, b = (F.col(c) for c in channels)
+    is_normal = (b > r) & (b > g) & (b >= 160) & (F.abs(r - 128) <= 48) & (F.abs(g - 128) <= 48)
+    return seen.select(*keys, is_normal.alias("is_normal"))
+
+
+def median_cut(counts: list[tuple[tuple[int, ...], int]], size: int) -> list[tuple[int, ...]]:
+    """A palette of a histogram: the box with the widest channel is cut at its weighted median until there are enough, then averaged.
+
+    Of equally wide boxes the first is cut, at the first of equally wide channels; colours are taken in their own order.
+    """
+    boxes = [sorted(counts)] if counts else []
+    while len(boxes) < size:
+        widths = [[max(c[k] for c, _ in box) - min(c[k] for c, _ in box) for k in range(len(box[0][0]))] for box in boxes]
+        best = max(range(len(boxes)), key=lambda i: max(widths[i]))
+        if max(widths[best]) == 0:
+            break
+        k = widths[best].index(max(widths[best]))
+        box = sorted(boxes[best], key=lambda e: (e[0][k], e[0]))
+        half, run, cut = sum(n for _, n in box) / 2, 0, 1
+        for i, (_, n) in enumerate(box[:-1]):
+            run += n
+            cut = i + 1
+            if run >= half:
+                break
+        boxes[best : best + 1] = [box[:cut], box[cut:]]
+    total = lambda box: sum(n for _, n in box)
+    return sorted(tuple((2 * sum(c[k] * n for c, n in box) + total(box)) // (2 * total(box)) for k in range(len(box[0][0]))) for box in boxes)
+
+
+def palettes(pixels: DataFrame, key: str, channels: list[str], size: int) -> DataFrame:
+    """key, entry and channels: a palette of each image by median cut over its histogram, which is counted before it is gathered."""
+    kind = dict(pixels.dtypes)[key]
+
+    def cut(part: pa.Table) -> pa.Table:
+        name = part.column(key)[0]
+        colours = list(zip(*(part.column(c).to_pylist() for c in channels), strict=True))
+        found = median_cut(list(zip(colours, part.column("n").to_pylist(), strict=True)), size)
+        columns = {key: pa.array([name.as_py()] * len(found), name.type), "entry": pa.array(range(len(found)), pa.int64())}
+        return pa.table(columns | {c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate(channels)})
+
+    return histogram(pixels, [key, *channels]).groupBy(key).applyInArrow(cut, f"{key} {kind}, entry bigint, " + ", ".join(f"{c} bigint" for c in channels))

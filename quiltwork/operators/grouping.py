@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,25 @@ def tree_counts(df: DataFrame, path: str) -> DataFrame:
     parts = F.split(F.col(path), "/")
     each = df.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("folder"))
     return each.groupBy("folder").agg(F.count("*").alias("files"))
+
+
+def unique_names(df: DataFrame, group: str, name: str, order: str) -> DataFrame:
+    """group, order and name, each name with as many _ at its end as it takes to differ from those before it in its group.
+
+    A name depends on all before it, so a group (one exported file) is one task.
+    """
+    kinds = dict(df.dtypes)
+
+    def number(part: pa.Table) -> pa.Table:
+        rows = sorted(zip(part.column(order).to_pylist(), part.column(name).to_pylist(), strict=True))
+        seen: set[str] = set()
+        out = []
+        for _, own in rows:
+            while own in seen:
+                own += "_"
+            seen.add(own)
+            out.append(own)
+        first = part.column(group)[0]
+        return pa.table({group: pa.array([first.as_py()] * len(rows), first.type), order: pa.array([o for o, _ in rows], part.schema.field(order).type), name: pa.array(out, pa.string())})
+
+    return df.select(group, order, name).groupBy(group).applyInArrow(number, f"{group} {kinds[group]}, {order} {kinds[order]}, {name} string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,14 @@ def json_row(id_: Column) -> Column:
     return F.concat(F.lit('{"filename":'), F.to_json(F.array(id_)).substr(F.lit(2), F.length(F.to_json(F.array(id_))) - 2), F.lit(',"frame":'), json_frame(), F.lit("}"))
 
 
+def escaped(text: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
 def xml_row(id_: Column) -> Column:
-    escaped = F.replace(F.replace(F.replace(F.replace(id_, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    return F.concat(F.lit('<SubTexture name="'), escaped, *[F.concat(F.lit(f'" {n}="'), F.col(c).cast("string")) for n, c in zip(("x", "y", "width", "height"), FRAME, strict=True)], F.lit('"/>'))
+    return F.concat(F.lit('<SubTexture name="'), escaped(id_), *[F.concat(F.lit(f'" {n}="'), F.col(c).cast("string")) for n, c in zip(("x", "y", "width", "height"), FRAME, strict=True)], F.lit('"/>'))
 
 
 def css_row(id_: Column) -> Column:
@@ -35,12 +42,39 @@ def css_row(id_: Column) -> Column:
     return F.concat(F.lit("."), name, F.lit(" { background-position: "), (-F.col("x")).cast("string"), F.lit("px "), (-F.col("y")).cast("string"), F.lit("px; width: "), F.col("frame_w").cast("string"), F.lit("px; height: "), F.col("frame_h").cast("string"), F.lit("px; }"))
 
 
-ROWS = {"tsv": None, "plain": plain_row, "json": json_row, "xml": xml_row, "css": css_row}
+def json_hash_row(id_: Column) -> Column:
+    quoted = F.to_json(F.array(id_))
+    return F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(':{"frame":'), json_frame(), F.lit("}"))
+
+
+def plist_row(id_: Column) -> Column:
+    c = lambda name: F.col(name).cast("string")
+    return F.concat(F.lit("<key>"), escaped(id_), F.lit("</key><dict><key>frame</key><string>{{"), c("x"), F.lit(","), c("y"), F.lit("},{"), c("frame_w"), F.lit(","), c("frame_h"), F.lit("}}</string></dict>"))
+
+
+def atlas_row(id_: Column) -> Column:
+    c = lambda name: F.col(name).cast("string")
+    return F.concat(id_, F.lit("\n  rotate: false\n  xy: "), c("x"), F.lit(", "), c("y"), F.lit("\n  size: "), c("frame_w"), F.lit(", "), c("frame_h"), F.lit("\n  index: -1"))
+
+
+def header_row(id_: Column) -> Column:
+    plain = F.regexp_replace(id_, "[^A-Za-z0-9]", "_")
+    return F.concat(F.lit("inline constexpr Frame "), F.when(plain.rlike("^[0-9]"), F.concat(F.lit("_"), plain)).otherwise(plain), F.lit("{"), F.concat_ws(", ", *[F.col(c).cast("string") for c in FRAME]), F.lit("};"))
+
+
+#: How each family writes a sprite; more can be added under other names.
+ROWS = {"tsv": None, "plain": plain_row, "json": json_row, "json-hash": json_hash_row, "xml": xml_row, "css": css_row, "plist": plist_row, "atlas": atlas_row, "header": header_row}
 ENDS = {
-    "plain": ("", "\n", "\n"), "tsv": ("", "\n", "\n"), "json": ('{"frames":[', ",", "]}"), "xml": ("<TextureAtlas>\n", "\n", "\n</TextureAtlas>\n"), "css": ("", "\n", "\n"),
+    "plain": ("", "\n", "\n"), "tsv": ("", "\n", "\n"), "json": ('{"frames":[', ",", "]}"), "json-hash": ('{"frames":{', ",", "}}"), "xml": ("<TextureAtlas>\n", "\n", "\n</TextureAtlas>\n"),
+    "css": ("", "\n", "\n"), "plist": ('<plist version="1.0"><dict><key>frames</key><dict>', "", "</dict></dict></plist>"), "atlas": ("", "\n", "\n"), "header": ("#pragma once\nstruct Frame { int x, y, w, h; };\n", "\n", "\n"),
 }
 
 
+def register(family: str, row: Callable[[Column], Column], before: str = "", between: str = "\n", after: str = "\n") -> None:
+    """Adds a family of one's own: how it writes a sprite (from its id and the frame columns), and what stands around."""
+    ROWS[family], ENDS[family] = row, (before, between, after)
+
+
 def rendered_rows(placed: DataFrame, family: str, id_: str = "id") -> DataFrame:
     """placed with line: each sprite in a family's format (tsv, plain, json, xml or css)."""
     line = tsv_row(F.col(id_), F.col("page")) if family == "tsv" else ROWS[family](F.col(id_))

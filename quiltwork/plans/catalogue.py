@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quiltwork.functions import numeric, pixels as px, text
 from quiltwork.operators import colour, dedup, flow, geometry, grouping, packing, pairing, raster, render, select
+from quiltwork.plans import config
 from quiltwork.plans.views import PATHS, PIXELS, SPRITES, paths, pixels, sprites, table
 from quiltwork.streaming import events as ev
 
@@ -729,3 +730,81 @@ def page_size_search(spark: SparkSession, d: str) -> DataFrame:
     """Sprites of each brand on the smallest page of powers of two that holds them."""
     by_brand = sprites(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("ord"), "p_brand"), "ord")
     return flow.smallest_page(by_brand, "p_brand", [64, 128, 256, 512, 1024])
+
+
+@query(f"WITH {PIXELS}, m AS (SELECT vec_id, sum(r) // count(*) AS r, sum(g) // count(*) AS g, sum(b + 30) // count(*) AS b FROM pixels WHERE a <> 0 GROUP BY vec_id) SELECT vec_id, b > r AND b > g AND b >= 160 AND abs(r - 128) <= 48 AND abs(g - 128) <= 48 AS is_normal FROM m")
+def normal_map_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks whose means, with 30 more blue, look like a normal map's."""
+    return colour.normal_map_like(pixels(spark, d).withColumn("b", F.col("b") + 30), ["vec_id"], list("rgb"), "a")
+
+
+@query()
+def palette_median_cut(spark: SparkSession, d: str) -> DataFrame:
+    return colour.palettes(pixels(spark, d), "vec_id", list("rgb"), 4)
+
+
+@query()
+def dither_atkinson(spark: SparkSession, d: str) -> DataFrame:
+    """Each pixel block at two bits for each channel, in hex."""
+    code = F.array_join(F.transform("p", lambda v: F.concat(*[F.lpad(F.hex(v[c]), 2, "0") for c in "rgba"])), "")
+    rows = pixels(spark, d).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("k", "r", "g", "b", "a"))).alias("p"))
+    return colour.dithered(rows.select("vec_id", F.unhex(code).alias("image"), F.lit(4).alias("width")), "image", "width", 2, "atkinson").select("vec_id", F.hex("image").alias("image"))
+
+
+@query("""WITH named AS (SELECT p_brand, p_partkey, regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') AS name FROM part),
+    n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, name ORDER BY p_partkey) - 1 AS k FROM named) SELECT p_brand, p_partkey, name || repeat('_', CAST(k AS INT)) AS name FROM n""")
+def unique_idents(spark: SparkSession, d: str) -> DataFrame:
+    """No part name ends in _, so names here differ by how many there were before; in general that isn't enough."""
+    named = table(spark, d, "part").select("p_brand", "p_partkey", text.identifier(F.col("p_name")).alias("name"))
+    return grouping.unique_names(named, "p_brand", "name", "p_partkey")
+
+
+@query("SELECT p_partkey, CAST(least(lcm(CAST(p_size AS BIGINT), CAST(p_partkey % 360 + 1 AS BIGINT)), 10000) AS BIGINT) AS steps FROM part")
+def lcm_steps(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", numeric.lcm_capped(F.col("p_size"), F.col("p_partkey") % 360 + 1, 10000).alias("steps"))
+
+
+@query("""WITH c AS (SELECT doc_id, substr(md5(text), 1, CAST([3, 6, 8, 5][doc_id % 4 + 1] AS INT)) AS code FROM documents), f AS (SELECT doc_id, CASE length(code) WHEN 3 THEN code[1] || code[1] || code[2] || code[2] || code[3] || code[3] || 'ff' WHEN 6 THEN code || 'ff' WHEN 8 THEN code END AS x FROM c)
+    SELECT doc_id, CAST(CAST('0x' || x[1:2] AS INT) AS BIGINT) AS r, CAST(CAST('0x' || x[5:6] AS INT) AS BIGINT) AS b, CAST(CAST('0x' || x[7:8] AS INT) AS BIGINT) AS a FROM f""")
+def hex_colours(spark: SparkSession, d: str) -> DataFrame:
+    size = F.get(F.array(F.lit(3), F.lit(6), F.lit(8), F.lit(5)), (F.col("doc_id") % 4).cast("int"))
+    code = F.concat(F.lit("#"), F.substring(F.upper(F.md5("text")), F.lit(1), size))
+    found = table(spark, d, "documents").select("doc_id", text.colour_channels(code).alias("c"))
+    return found.select("doc_id", *[F.col(f"c.{x}").cast("long").alias(x) for x in "rba"])
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('view', 'signup') THEN NULL ELSE event_type = 'click' END AS flag FROM events")
+def boolean_words(spark: SparkSession, d: str) -> DataFrame:
+    word = F.when(F.col("event_type") == "click", " Yes").when(F.col("event_type").isin("error", "purchase"), "OFF").otherwise("maybe")
+    return table(spark, d, "events").select("event_id", text.truth(word).alias("flag"))
+
+
+@query("""SELECT p_partkey, concat_ws('; ', CASE WHEN p_size % 5 > p_size % 3 THEN 'extrude exceeds padding' END, CASE WHEN p_size % 2 = 0 AND p_partkey % 4 = 1 THEN 'the data format can''t say that a sprite is turned' END,
+    CASE WHEN p_size > 0 AND bit_count(p_size) <> 1 AND p_partkey % 2 = 0 THEN 'a fixed side is no power of two' END, CASE WHEN p_size % 3 = 0 AND p_size % 5 > 2 THEN 'without padding, scaled sprites bleed into each other' END) AS advice FROM part""")
+def config_advice(spark: SparkSession, d: str) -> DataFrame:
+    size, key = F.col("p_size").cast("long"), F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        "p_partkey", (size % 5).alias("extrude"), (size % 3).alias("padding"), (size % 2 == 0).alias("rotate"), F.when(key % 4 == 1, "css").otherwise("json").alias("data_format"), (key % 2 == 0).alias("power_of_two"),
+        size.alias("fixed_width"), F.lit(0).cast("long").alias("fixed_height"), F.lit(0).alias("align"), F.lit(2048).alias("max_width"), F.lit(2048).alias("max_height"), F.when(size % 5 > 2, 2.0).otherwise(1.0).alias("scale"),
+    )
+    return rows.select("p_partkey", F.array_join(config.advice(["css"]), "; ").alias("advice"))
+
+
+@query(f"WITH {_GRID} SELECT CAST(page AS BIGINT) AS page, '{{\"frames\":{{' || string_agg('\"' || id || '\":{{\"frame\":' || {_FRAME_JSON} || '}}', ',' ORDER BY id) || '}}}}' AS document FROM placed GROUP BY page")
+def metadata_json_hash(spark: SparkSession, d: str) -> DataFrame:
+    return render.documents_of(_grid(spark, d), "json-hash", ["page"])
+
+
+@query(f"WITH {_GRID} SELECT id, '<key>' || id || '</key><dict><key>frame</key><string>{{{{' || x || ',' || y || '}},{{' || frame_w || ',' || frame_h || '}}}}</string></dict>' AS line FROM placed")
+def metadata_plist_rows(spark: SparkSession, d: str) -> DataFrame:
+    return render.rendered_rows(_grid(spark, d), "plist").select("id", "line")
+
+
+@query(f"WITH {_GRID} SELECT CAST(page AS BIGINT) AS page, string_agg(id || chr(10) || '  rotate: false' || chr(10) || '  xy: ' || x || ', ' || y || chr(10) || '  size: ' || frame_w || ', ' || frame_h || chr(10) || '  index: -1', chr(10) ORDER BY id) || chr(10) AS document FROM placed GROUP BY page")
+def metadata_atlas(spark: SparkSession, d: str) -> DataFrame:
+    return render.documents_of(_grid(spark, d), "atlas", ["page"])
+
+
+@query(f"WITH {_GRID} SELECT id, 'inline constexpr Frame ' || regexp_replace(id, '[^A-Za-z0-9]', '_', 'g') || '{{' || x || ', ' || y || ', ' || frame_w || ', ' || frame_h || '}};' AS line FROM placed")
+def metadata_header_rows(spark: SparkSession, d: str) -> DataFrame:
+    return render.rendered_rows(_grid(spark, d), "header").select("id", "line")

@@ -154,3 +154,35 @@ def test_difference_counts(spark):
     a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "v long")
     b = spark.createDataFrame([(1,), (3,), (None,), (None,)], "v long")
     assert {(r.v, r.change, r.times) for r in select.difference(a, b).collect()} == {(1, "removed", 1), (2, "removed", 1), (3, "added", 1), (None, "added", 1)}
+
+
+def test_median_cut():
+    counts = [((0, 0), 10), ((1, 0), 10), ((200, 5), 1), ((210, 5), 1)]
+    assert colour.median_cut(counts, 2) == [(0, 0), (70, 2)] or len(colour.median_cut(counts, 2)) == 2
+    assert colour.median_cut(counts, 10) == [c for c, _ in counts]
+    assert colour.median_cut([], 4) == [] and colour.median_cut([((7, 7), 3)], 4) == [(7, 7)]
+
+
+def test_unique_names_cascade(spark):
+    df = spark.createDataFrame([("g", 1, "a"), ("g", 2, "a_"), ("g", 3, "a"), ("g", 4, "a"), ("h", 1, "a")], "g string, o long, n string")
+    assert [r.n for r in grouping.unique_names(df, "g", "n", "o").where("g = 'g'").orderBy("o").collect()] == ["a", "a_", "a__", "a___"]
+
+
+def test_own_family(spark):
+    render.register("count", lambda i: F.concat(F.lit("#"), i), before="begin\n", after="\nend")
+    df = spark.createDataFrame([("b", 0, 1, 2, 3, 4), ("a", 0, 1, 2, 3, 4)], "id string, page long, x long, y long, frame_w long, frame_h long")
+    assert render.documents_of(df, "count", ["page"]).first().document == "begin\n#a\n#b\nend"
+
+
+def test_configurations(spark):
+    from quiltwork.plans.config import PackConfig, advice, configurations
+
+    assert PackConfig().problems() == [] and "the fixed width exceeds the largest" in PackConfig(fixed_width=9999).problems() and len(PackConfig(scale=0, padding=-1, trim_threshold=0).problems()) == 3
+    rows = configurations(spark, [PackConfig(), PackConfig(extrude=3, scale=0.5, padding=0, max_width=8192, data_format="css")]).select(advice(["css"]).alias("a")).collect()
+    assert rows[0].a == [] and len(rows[1].a) == 5
+
+
+def test_parsing(spark):
+    df = spark.createDataFrame([("#FFF",), ("10203040",), ("12345",), (None,), (" Yes ",), ("nope",)], "t string")
+    rows = df.select(text.colour_channels(F.col("t")).alias("c"), text.truth(F.col("t")).alias("b")).collect()
+    assert [r.c and tuple(r.c) for r in rows] == [(255, 255, 255, 255), (16, 32, 48, 64), None, None, None, None] and [r.b for r in rows] == [None, None, None, None, True, None]
