@@ -106,7 +106,7 @@ def median_cut(counts: list[tuple[tuple[int, ...], int]], size: int) -> list[tup
     Of equally wide boxes the first is cut, at the first of equally wide channels; colours are taken in their own order.
     """
     boxes = [sorted(counts)] if counts else []
-    while len(boxes) < size:
+    while boxes and len(boxes) < size:
         widths = [[max(c[k] for c, _ in box) - min(c[k] for c, _ in box) for k in range(len(box[0][0]))] for box in boxes]
         best = max(range(len(boxes)), key=lambda i: max(widths[i]))
         if max(widths[best]) == 0:
