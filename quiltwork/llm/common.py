@@ -31,6 +31,16 @@ def id_bucket(doc_id: Column, buckets: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % buckets
 
 
+def near_least(hashed: Column, wanted: int, total: Column) -> Column:
+    """Whether a hash is among the least of `total` rows, of which about three times `wanted` are let through.
+
+    Taking the least `wanted` of those is then the same as taking them of all, but for bad luck that can leave fewer; and
+    what tasks send no longer grows with their number.
+    """
+    share = F.least(F.lit(1.0), F.lit(3.0 * wanted + 50) / F.greatest(total, F.lit(1)))
+    return F.pmod(F.shiftrightunsigned(hashed, 34), F.lit(1 << 30)) < F.ceil(share * (1 << 30))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; tests, which set none, get a folder under /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

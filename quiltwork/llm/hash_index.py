@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiltwork.llm.common import materialise
+from quiltwork.llm.common import materialise, near_least
 
 RESULT = "query_id bigint, vec_id bigint, score double"
 
@@ -152,7 +152,8 @@ def nearest(rows: DataFrame, is_query: Column, options: IndexOptions = IndexOpti
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     d, n, longest = lengths[0].d, lengths[0].n, lengths[0].longest
     every = every.where(F.size("v") == d)
-    sample = every.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(o.sample_rows).select("v").collect()
+    hashed = F.xxhash64("vec_id")
+    sample = every.where(near_least(hashed, o.sample_rows, F.lit(n))).orderBy(F.shiftrightunsigned(hashed, 34), hashed, "vec_id", "v").limit(o.sample_rows).select("v").collect()
     codes = learn_codes(np.array([r.v for r in sample], float).reshape(-1, d), longest, o)
     shards = max(o.least_shards, -(-n // o.shard_rows))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiltwork.llm.common import id_bucket
+from quiltwork.llm.common import id_bucket, near_least
 
 #: What a sign may stand for.
 LEET = {
@@ -254,9 +254,11 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, options: ToxicityO
     repeated label rows counts as toxic; null labels and ids are left out.
     """
     marked = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
     chosen = None
     for label, most in ((1, options.max_toxic), (0, options.max_clean)):
-        some = marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        own = marked.where(F.col("toxic") == label).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
+        some = own.where(near_least(F.col("h"), most, F.lit(counts.get(label, 0)))).orderBy(F.shiftrightunsigned("h", 34), "h", "doc_id").limit(most).drop("h")
         chosen = some if chosen is None else chosen.union(some)
     # The chosen ids are at most max_toxic + max_clean rows, so the texts needn't move.
     rows = docs.where(F.col(text_col).isNotNull()).select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltwork.llm.common import id_bucket
+from quiltwork.llm.common import id_bucket, near_least
 
 UNKNOWN = "und"
 
@@ -126,7 +126,10 @@ def learn(df: DataFrame, usable: Column, options: KernelOptions, id_col: str = "
     rows = df.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text")
     )
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("total"))  # a row for each language
+    rows = rows.join(F.broadcast(counts), "lang").where(near_least(F.col("h"), options.rows_per_language, F.col("total")))
+    order = F.shiftrightunsigned("h", 34)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "h", "text"))
     found = rows.withColumn("k", first).where(F.col("k") <= options.rows_per_language).select("lang", "k", "text").collect()
     kept = set(sorted({r.lang for r in found})[: options.max_languages])
     ordered = sorted((r.k, r.lang, r.text) for r in found if r.lang in kept)
