@@ -35,7 +35,7 @@ NAME_WORD = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
 _GIVEN = "|".join(sorted((n for names in GIVEN.values() for n in names), key=lambda n: (-len(n), n)))
 #: Kinds in the order in which they are tried.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
     "ipv6": r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
     "ipv4": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z\-_]{16,}|xox[bap]-[0-9A-Za-z\-]{10,}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
@@ -43,9 +43,10 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES)})\.? (?:{NAME_WORD} )?{NAME_WORD}|(?:{_GIVEN}) {NAME_WORD})(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES)})\.? (?:{NAME_WORD} )?{NAME_WORD}|(?:{_GIVEN}) {NAME_WORD})(?![\p{{L}}\p{{N}}])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Any of them. None begins within a word, which is said once and first, so most places of a text are done with at once.
+ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Rounds of new replacements for entities whose replacement collided; each leaves a small part of those before.
 ROUNDS = 12
 
