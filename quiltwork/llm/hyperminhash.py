@@ -17,9 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BinaryType, BooleanType
 
 from quiltwork.llm.common import materialise, release
 from quiltwork.llm.components import components
@@ -146,7 +146,7 @@ def alike(members: DataFrame, options: NearOptions, confirm: bool) -> DataFrame:
     def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         band, i, j = (part.column(x)[0].as_py() for x in ("band", "i", "j"))
         own, ids, c, n = (part.column(x).to_numpy() for x in ("own", "id", "c", "n"))
-        registers = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
+        registers = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(len(ids), o.registers)
         sets = [np.unique(np.frombuffer(x, np.uint32)) for x in part.column("small").to_pylist()] if confirm else []
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [ids[:0]], [ids[:0]]
@@ -199,12 +199,10 @@ def likely(options: NearOptions):
     """Whether registers and sizes allow a link."""
 
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        one, two = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), -1) for x in (a, b))
+        one, two = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), options.registers) for x in (a, b))
         return pa.array(estimate(one, two, options) >= options.least_estimate)
 
-    from pyspark.sql.functions import arrow_udf
-
-    return arrow_udf(run, BooleanType())
+    return F.arrow_udf(run, BooleanType())
 
 
 def linked(options: NearOptions):
@@ -218,9 +216,7 @@ def linked(options: NearOptions):
             out.append(100 * both >= options.percent * (len(one) + len(two) - both))
         return pa.array(out, pa.bool_())
 
-    from pyspark.sql.functions import arrow_udf
-
-    return arrow_udf(run, BooleanType())
+    return F.arrow_udf(run, BooleanType())
 
 
 def shortened():
@@ -229,10 +225,7 @@ def shortened():
     def run(a: pa.Array) -> pa.Array:
         return pa.array([(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in a], pa.binary())
 
-    from pyspark.sql.functions import arrow_udf
-    from pyspark.sql.types import BinaryType
-
-    return arrow_udf(run, BinaryType())
+    return F.arrow_udf(run, BinaryType())
 
 
 class Comparison:
