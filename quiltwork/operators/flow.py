@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PLACED = "id string, page bigint, x bigint, y bigint, frame_w bigint, frame_h bigint, rotated boolean"
 Rect = tuple[int, int, int, int]  # x, y, width, height
@@ -181,10 +182,6 @@ def pack(df: DataFrame, group: str, how: str, options: FlowOptions = FlowOptions
 
 def best_rows(df: DataFrame, group: str, options: FlowOptions = FlowOptions()) -> DataFrame:
     """pack(how rows) under each of ten orders, and of each group the tightest: fewest pages, then least area of extents; the first tried wins ties."""
-    from dataclasses import replace
-
-    from pyspark.sql import functions as F
-
     tried = None
     for k, (order, down) in enumerate((name, d) for name in ("name", "width", "height", "area", "around") for d in (False, True)):
         one = pack(df, group, "rows", replace(options, order=order, descending=down)).withColumn("tried", F.lit(k))
@@ -255,10 +252,6 @@ def smallest_page(df: DataFrame, group: str, sides: list[int], options: FlowOpti
     Every pair of sides is a row and a task of its own; of those where all items share a page the one with the least area
     wins, then the least perimeter, then the least width. Groups that no page holds are left out.
     """
-    from dataclasses import replace
-
-    from pyspark.sql import functions as F
-
     tried = df.select(group, "ord", "id", "w", "h", F.explode(F.array(*[F.struct(F.lit(w).alias("width"), F.lit(h).alias("height")) for w in sides for h in sides])).alias("_s")).select("*", "_s.width", "_s.height").drop("_s")
     kind = dict(df.dtypes)[group]
 
