@@ -50,7 +50,7 @@ class NearOptions:
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted hashes of the distinct k-word shingles of each text, A-Z lower-cased; of fewer words, of the whole sequence."""
     raw, out = [(t or "").encode("utf-8", "surrogatepass") for t in texts], []
-    for a, b in batches(raw):
+    for a, b in batches(raw, 500_000):
         hashes, _, _, first = word_hashes(raw[a:b], lower=True)
         every = windows(hashes, k)
         for i, j in zip(first[:-1], first[1:], strict=True):
@@ -150,7 +150,7 @@ def alike(members: DataFrame, options: NearOptions, confirm: bool) -> DataFrame:
         sets = [np.unique(np.frombuffer(x, np.uint32)) for x in part.column("small").to_pylist()] if confirm else []
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [ids[:0]], [ids[:0]]
-        step = max(1, 100_000 // max(1, len(right)))
+        step = max(1, 40_000 // max(1, len(right)))
         for at in range(0, len(left), step):
             rows = left[at : at + step]
             x, y = np.meshgrid(rows, right, indexing="ij")
