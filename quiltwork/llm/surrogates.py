@@ -43,7 +43,7 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}])",
-    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES)})\.? (?:{NAME_WORD} )?{NAME_WORD}|(?:{_GIVEN}) {NAME_WORD})(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:(?:{'|'.join(TITLES)})\.? )+(?:{NAME_WORD} )?{NAME_WORD}|(?:{_GIVEN}) {NAME_WORD})(?![\p{{L}}\p{{N}}])",
 }
 #: Any of them. None begins within a word, which is said once and first, so most places of a text are done with at once.
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
@@ -213,7 +213,8 @@ def replace_entities(docs: DataFrame, options: SurrogateOptions = SurrogateOptio
     dressed = parts.join(table, ["kind", "norm"], "left").select("_key", "part", F.struct("kind", F.when(F.col("kind") == "given", names[part]).otherwise(dress(part, F.col("kind"), F.col("surrogate"))).alias("surrogate")).alias("to"))
     # Bounded by the parts of one text.
     maps = dressed.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("part", "to"))).alias("_map"))
-    known = found.join(maps, "_key")
+    # Texts that mention titles alone have no map, and stay.
+    known = found.join(maps, "_key", "left")
 
     def to(mention: Column) -> Column:
         whole = F.get(F.array(F.element_at(F.col("_map"), mention)), F.lit(0))

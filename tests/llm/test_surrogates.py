@@ -48,6 +48,18 @@ def test_replacements(spark):
     assert other[1] != by[1][0] and other[6] == by[6][0]
 
 
+def test_titles_side_by_side(spark):
+    names = ["Prof. Dr. Weber", "Herr Dr. Schmidt", "Frau Prof. Klein", "Herr Prof. Dr. Robert Lang"]
+    alone = "The title Prof. Dr. is long"
+    df = spark.createDataFrame([*enumerate(f"Then {n} spoke" for n in names), (9, alone)], "doc_id long, text string")
+    by = {r.doc_id: r for r in replace_entities(df).collect()}
+    assert len(by) == len(names) + 1 and by[9].text == alone
+    for k, name in enumerate(names):
+        titles, family = name.rsplit(" ", 1)
+        assert family not in by[k].text and by[k].text.startswith(f"Then {titles.replace(' Robert', '')} ") and by[k].text.endswith(" spoke")
+        assert "Robert" not in by[k].text and [e.kind for e in by[k]._entities] == ["name"]
+
+
 def test_distinct(spark):
     entities = spark.range(3000).select(F.lit("family").alias("kind"), F.concat(F.lit("a"), F.conv("id", 10, 20)).alias("norm"))
     entities = entities.union(spark.range(3000).select(F.lit("ipv4"), F.concat_ws(".", F.lit("10"), F.lit("0"), (F.col("id") / 250).cast("int").cast("string"), (F.col("id") % 250).cast("string"))))
