@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding with source offsets.
 
 The text is normalised by longest-prefix look-ups in the model's compiled character map, keeping for every normalised
-character the source bytes that it came from. The normalised text falls into segments that no merge can join (a piece has
-the blank sign at its start only, and the line feed in no piece), so each distinct segment is encoded once per task and
-its ids reused; every piece is projected back to the bytes of the original text.
+character the source bytes that it came from; it is then encoded without the map, and every piece is projected back to the
+bytes of the original text. Under a model without a map the text falls into segments that no merge can join (a piece has
+the blank sign at its start only, and the line feed in no piece), so each distinct segment is encoded and projected once per
+task and the result reused.
 """
 
 from __future__ import annotations
@@ -53,14 +54,31 @@ class CharacterMap:
                 found = (k + 1 - at, units[node] & ((1 << 31) - 1))
         return found
 
-    def replace(self, text: str) -> tuple[str, list[int] | None]:
+    def replace(self, text: str, kept: re.Pattern[str] | None = None) -> tuple[str, list[int]]:
         """The mapped text, and for each of its characters the source byte where it begins (one more at the end).
 
-        Without a map the text stays and the alignment is None, meaning its own bytes.
+        What `kept` matches passes as it is.
         """
-        if not self.units:
-            return text, None
-        data, out, starts, at = text.encode("utf-8", "surrogatepass"), [], [], 0
+        out, starts, at = [], [], 0
+        whole = {m.start(): m.end() for m in kept.finditer(text)} if kept else {}
+        if not self.units or whole:
+            # Stretches between kept ones are mapped on their own.
+            k, edges = 0, [*sorted(whole.items()), (len(text), len(text))]
+            for begin, end in edges:
+                between = text[k:begin]
+                if self.units and between:
+                    mapped, own = self.replace(between)
+                    out.append(mapped)
+                    starts.extend([at + x for x in own[:-1]])
+                    at += own[-1]
+                    between = ""
+                for ch in between + text[begin:end]:
+                    starts.append(at)
+                    at += len(ch.encode("utf-8", "surrogatepass"))
+                out.append(between + text[begin:end])
+                k = end
+            return "".join(out), [*starts, at]
+        data = text.encode("utf-8", "surrogatepass")
         while at < len(data):
             if hit := self.longest(data, at):
                 length, offset = hit
@@ -68,7 +86,7 @@ class CharacterMap:
             else:
                 lead = data[at]
                 length = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                piece = data[at : at + length].decode()
+                piece = data[at : at + length].decode("utf-8", "surrogatepass")
             out.append(piece)
             starts.extend([at] * len(piece))
             at += length
@@ -85,70 +103,74 @@ class PieceCodec:
         rules = proto.normalizer_spec
         plain = [p.piece for p in proto.pieces]
         self.map = CharacterMap(rules.precompiled_charsmap)
+        own = sorted((p.piece for p in proto.pieces if p.type == p.USER_DEFINED), key=lambda x: (-len(x), x))
+        self.kept = re.compile("|".join(map(re.escape, own))) if own else None
         self.splits = (
             rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces and not rules.precompiled_charsmap
             and not proto.trainer_spec.treat_whitespace_as_suffix and not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in plain)
-            and not any(p.type == p.USER_DEFINED for p in proto.pieces)
+            and proto.trainer_spec.byte_fallback and BLANK in plain and not own
         )
+        # The map has been applied when the text is encoded.
+        rules.precompiled_charsmap, rules.name = b"", "identity"
+        self.mapped = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.blank_id = self.library.piece_to_id(BLANK)
         self.names = [f"{i}" for i in range(len(plain))]
-        self.memo: dict[str, tuple[int, str, bytes, np.ndarray]] = {}
-        self.segment = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n+[^{BLANK}\n]*")
+        self.memo: dict[str, tuple[int, str, bytes, bytes]] = {}
+        # How many source bytes a piece covers if its blank sign stands for a blank; bytes cover one each.
+        self.widths = np.array([1 if p.type == p.BYTE else len(p.piece.replace(BLANK, " ").encode()) for p in proto.pieces], np.int32)
+        self.first, self.segment = re.compile(r" *[^ \n]*"), re.compile(r" +[^ \n]*|\n+[^ \n]*")
+        self.first_signs, self.segment_signs = re.compile(f"[ {BLANK}]*[^ {BLANK}\n]*"), re.compile(f"[ {BLANK}]+[^ {BLANK}\n]*|\n+[^ {BLANK}\n]*")
 
     def segments(self, text: str) -> list[str]:
-        return self.segment.findall(BLANK + text.replace(" ", BLANK)) if text else []
-
-    def ids_of(self, segment: str) -> list[int]:
-        if segment[0] == "\n":
-            return self.library.encode(segment)[1:]  # without the blank that the library puts first
-        return self.library.encode(segment[1:]) if len(segment) > 1 else [self.blank_id]
+        """Stretches of the source; the first, marked by a null character, has the blank that is put first."""
+        if not text:
+            return []
+        first, rest = (self.first_signs, self.segment_signs) if BLANK in text else (self.first, self.segment)
+        head = first.match(text)[0]
+        found = rest.findall(text, len(head))
+        found.insert(0, "\0" + head)
+        return found
 
-    def look_up(self, segment: str) -> tuple[int, str, bytes, np.ndarray]:
+    def look_up(self, segment: str) -> tuple[int, str, bytes, bytes]:
         """Number of ids, the ids joined by commas, the decoded bytes, with a blank for each blank sign, and the ids."""
         if len(self.memo) >= MEMO_SEGMENTS:
             self.memo.clear()
-        ids = self.ids_of(segment)
-        decoded = self.library.decode([self.blank_id, *ids]) if segment[0] == "\n" else " " + self.library.decode(ids)
-        found = self.memo[segment] = (len(ids), ",".join([self.names[i] for i in ids]), decoded.encode(), np.array(ids, np.int32))
+        head = segment[0] == "\0"
+        text = (segment[1:] if head else segment).replace(" ", BLANK)
+        line = text[:1] == "\n" and not head
+        if line:
+            ids = self.mapped.encode(text)[1:]  # without the blank that the library puts first
+        elif text if head else len(text) > 1:
+            ids = self.mapped.encode(text if head else text[1:])
+        else:
+            ids = [self.blank_id]
+        decoded = self.mapped.decode([self.blank_id, *ids]) if line else " " + self.mapped.decode(ids)
+        found = self.memo[segment] = (len(ids), ",".join([self.names[i] for i in ids]), decoded.encode(), np.array(ids, np.int32).tobytes())
         return found
 
-    def ids(self, text: str) -> np.ndarray:
-        if not self.splits:
-            return np.array(self.library.encode(text), np.int32)
-        found = [(self.memo.get(s) or self.look_up(s))[3] for s in self.segments(text)]
-        return np.concatenate(found) if found else np.zeros(0, np.int32)
+    def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
+        """Ids with the first and the next byte of each in the UTF-8 source; the blank put first has an empty span."""
+        ids, first, last, _, _ = self.encoded(text)
+        return ids.tolist(), first.tolist(), last.tolist()
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by commas, and SHA-256 of the decoded text."""
+    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, bytes]:
+        """encode() in arrays, with the ids joined by commas and the decoded text."""
         if not self.splits:
-            ids = self.library.encode(text)
-            joined, decoded = ",".join(map(str, ids)), self.library.decode(ids).encode()
-            return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+            return self._project(text)
         memo, look_up = self.memo, self.look_up
         found = [memo.get(s) or look_up(s) for s in self.segments(text)]
-        joined = ",".join([x[1] for x in found]).encode()
-        decoded = b"".join([x[2] for x in found])[1:]
-        return sum([x[0] for x in found]), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
-    def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """Ids with the first and the next byte of each in the UTF-8 source; the blank put first has an empty span."""
-        if not text:
-            return [], [], []
+        ids = np.frombuffer(b"".join([x[3] for x in found]), np.int32)
+        joined, decoded = ",".join([x[1] for x in found]).encode(), b"".join([x[2] for x in found])[1:]
+        widths = self.widths[ids]
+        widths[:1] -= 1
+        if BLANK not in text and widths.sum() == len(text.encode("utf-8", "surrogatepass")):
+            last = widths.cumsum(dtype=np.int32)
+            return ids, last - widths, last, joined, decoded
         mapped, starts = self.map.replace(text)
-        if starts is None:
-            starts, at = [], 0
-            for ch in mapped:
-                starts.append(at)
-                at += len(ch.encode("utf-8", "surrogatepass"))
-            starts.append(at)
-        if not self.splits:
-            return self._project(text, mapped, starts)
-        ids, first, last, at = [], [], [], -1  # at: characters of the mapped text, the blank put first being -1
-        for segment in self.segments(text):
-            for i in (own := self.ids_of(segment)):
-                ids.append(i)
-            at = self._spans([self.library.id_to_piece(i) for i in own], own, at, mapped, starts, first, last)
-        return ids, first, last
+        begins: list[int] = []
+        ends: list[int] = []
+        self._spans([self.library.id_to_piece(i) for i in ids.tolist()], ids.tolist(), -1, mapped, starts, begins, ends)
+        return ids, np.array(begins, np.int32), np.array(ends, np.int32), joined, decoded
 
     def _spans(self, pieces: list[str], ids: list[int], at: int, mapped: str, starts: list[int], first: list[int], last: list[int]) -> int:
         left = 0  # bytes still to come of a character that fell back to bytes
@@ -170,22 +192,34 @@ class PieceCodec:
                 at = end
         return at
 
-    def _project(self, text: str, mapped: str, starts: list[int]) -> tuple[list[int], list[int], list[int]]:
-        """For other models: offsets that the library reports in bytes of the source."""
-        proto = self.library.encode(text, out_type="immutable_proto")
-        size = [0]
-        for ch in text:
-            size.append(size[-1] + len(ch.encode("utf-8", "surrogatepass")))
-        return [p.id for p in proto.pieces], [size[p.begin] for p in proto.pieces], [size[p.end] for p in proto.pieces]
+    def _project(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, bytes]:
+        """For other models: the mapped text's pieces, by the alignment of the map in bytes of the source."""
+        mapped, starts = self.map.replace(text, self.kept)
+        # The library's offsets are bytes of the mapped text.
+        widths = [len(ch.encode("utf-8", "surrogatepass")) for ch in mapped]
+        starts = [x for x, width in zip(starts, widths) for _ in range(width)] + starts[-1:]
+        pieces = self.mapped.encode(mapped, return_type="proto").pieces
+        ids = [p.id for p in pieces]
+        first, last = ([starts[x] for x in where] for where in ([p.begin for p in pieces], [p.end for p in pieces]))
+        joined = ",".join([self.names[i] for i in ids]).encode()
+        return np.array(ids, np.int32), np.array(first, np.int32), np.array(last, np.int32), joined, self.library.decode(ids).encode()
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.encoded(text)[0]
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids joined by commas, and SHA-256 of the decoded text."""
+        ids, _, _, joined, decoded = self.encoded(text)
+        return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
 
 def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, spans: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, the ids and, if asked for, the bytes of each.
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256, the ids and, if asked for, the bytes of each.
 
-    Null texts count as empty and have no ids. Repeated rows stay; other columns are left out, so their names can't
+    spans_sha256 is over the first and the next source byte of each id in turn, as 32-bit integers, little end first. Null texts count as empty and have no ids. Repeated rows stay; other columns are left out, so their names can't
     clash. The model file's bytes (half a megabyte, of fixed size) go to the tasks with the function.
     """
     with open(model_path, "rb") as file:
@@ -200,17 +234,18 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
         codec = PieceCodec(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n, joined, decoded = zip(*map(codec.digest, texts), strict=True) if texts else ((), (), ())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            found = [codec.encoded(t) for t in texts]
+            sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
+            spans_of = [np.stack([x[1], x[2]], axis=1).astype("<i4").tobytes() for x in found]
+            columns = [batch.column(0), pa.array([len(x[0]) for x in found], pa.int64()), sha([x[3] for x in found]), sha([x[4] for x in found]), sha(spans_of)]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
             if ids:
-                columns.append(lists([codec.ids(t) for t in texts]))
+                columns.append(lists([x[0] for x in found]))
                 names.append("ids")
             if spans:
-                found = [codec.encode(t) for t in texts]
-                columns += [lists([np.array(x[k], np.int32) for x in found]) for k in (1, 2)]
+                columns += [lists([x[k] for x in found]) for k in (1, 2)]
                 names += ["begins", "ends"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string{extra}")

@@ -1,4 +1,5 @@
 import hashlib
+import io
 import random
 
 import public_tokenizers
@@ -55,3 +56,32 @@ def test_documents(spark):
         assert r.n_tokens == len(r.ids) == len(r.begins) == len(r.ends)
         assert hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256
     assert encode_documents(df.limit(0), MODEL).collect() == []
+
+
+def test_model_with_a_map(monkeypatch):
+    r = random.Random(5)
+    model = io.BytesIO()
+    lines = [" ".join("".join(r.choice("abcdeéfiwxyz日本") for _ in range(r.randrange(1, 7))) for _ in range(9)) for _ in range(400)]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_writer=model, vocab_size=330, model_type="bpe", byte_fallback=True, normalization_rule_name="nmt_nfkc", user_defined_symbols=["ｗｘ"], minloglevel=2)
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=model.getvalue()), PieceCodec(model.getvalue())
+    assert not codec.splits
+    given = ["ﬁne  ｆｕｌｌ", " ①② áb ", "日本　ｶﾞ", "aｗｘb x​y", "", "  ", "eé ﬁ\nx\ty"]
+    # The library must not apply the map again.
+    calls = []
+    real = CharacterMap.replace
+    monkeypatch.setattr(CharacterMap, "replace", lambda self, *a: calls.append(a[0]) or real(self, *a))
+    for text in given + ["".join(r.choice(["ﬁ", "ｆ", "a", " ", "①", "é", "e\u0301", "　", "日", "😀", "ｗｘ", "ｗ"]) for _ in range(12)) for _ in range(300)]:
+        ids, first, last = codec.encode(text)
+        pieces = library.encode(text, return_type="proto").pieces
+        assert ids == library.encode(text), repr(text)
+        assert list(zip(first, last)) == [(p.begin, p.end) for p in pieces], repr(text)
+    assert calls
+
+
+def test_query_projects_to_source_bytes(spark):
+    rows = list(enumerate(["a  bé\n日 😀x", "▁ ▁a", ""]))
+    for r in encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), MODEL, ids=False).join(encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), MODEL, spans=True).select("doc_id", "begins", "ends"), "doc_id").collect():
+        raw = rows[r.doc_id][1].encode()
+        assert b"".join(raw[a:b] for a, b in zip(r.begins, r.ends)) == raw
+        flat = b"".join(x.to_bytes(4, "little") for pair in zip(r.begins, r.ends) for x in pair)
+        assert r.spans_sha256 == hashlib.sha256(flat).hexdigest()
