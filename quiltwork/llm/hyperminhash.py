@@ -234,17 +234,19 @@ class Comparison:
     def __init__(self, docs: DataFrame, options: NearOptions, id_col: str, text_col: str) -> None:
         self.options = options
         self.rows = materialise(profile(docs, options, id_col, text_col, False), ROWS)
-        self.classes = materialise(self.rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), ROWS)
+        # Ids may repeat with other texts, so a class has a number of its own (fixed by the checkpoint) beside its least doc_id.
+        classes = self.rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+        self.classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), ROWS)
         self.rows = self.rows.drop("registers")
         shared = with_bands(self.classes, options).withColumn("m", F.expr("count(*) over (partition by band)")).where("m > 1")
         self.members = materialise(shared.select("id", "band"), ROWS)  # classes that share a band with others
-        self.sketches = self.classes.join(self.members.select("id").distinct(), "id", "left_semi").select("id", "n", "registers")
+        self.sketches = self.classes.join(self.members.select("id").distinct(), "id", "left_semi").select("id", "least", "n", "registers")
         self.sketches = materialise(self.sketches, ROWS)
-        wanted = self.sketches.select(F.col("id").alias("doc_id"))
+        wanted = self.sketches.select(F.col("least").alias("doc_id"))
         own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
-        # Ids may repeat with other texts: the digest says which row the class has.
-        full = profile(own, options, "doc_id", "text", True).join(self.classes.select("key", F.col("id").alias("doc_id")), ["key", "doc_id"], "left_semi")
-        self.sets = materialise(full.groupBy("doc_id").agg(F.first("shingles").alias("shingles")).withColumnRenamed("doc_id", "id"))
+        # The digest says which of an id's rows the class has; rows of one digest have one set.
+        full = profile(own, options, "doc_id", "text", True).join(self.classes.select("key", "id", F.col("least").alias("doc_id")), ["key", "doc_id"])
+        self.sets = materialise(full.groupBy("id").agg(F.first("shingles").alias("shingles")))
         release(docs.sparkSession)
         self.compared: DataFrame | None = None
         self.parts: DataFrame | None = None
@@ -309,7 +311,11 @@ def near_duplicates(docs: DataFrame, options: NearOptions = NearOptions(), id_co
     """
     found = Comparison(docs, options, id_col, text_col)
     parts = found.run()
-    of = found.classes.select("key", "id").join(parts, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component"))
+    of = found.classes.select("key", "id", "least").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
+    # A component goes by its least doc_id; classes that are linked to none by their own.
+    ends = parts.select(F.col("component").alias("part")).distinct()
+    first = of.join(ends, "part", "left_semi").groupBy("part").agg(F.min("least").alias("first"))
+    of = of.join(first, "part", "left").select("key", F.coalesce("first", "least").alias("component"))
     rows = found.rows.join(of, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *[F.col("tkey").alias("text_key")] * text_key)

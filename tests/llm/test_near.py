@@ -59,6 +59,18 @@ def test_edges(spark):
     assert got == sorted([(None, 1, None, True), (3, 1, 2, False), (3, 1, 2, False), (2, 1, 2, True), (3, 4, 3, True)], key=str)
 
 
+@pytest.mark.parametrize("unlike", range(4))
+def test_ids_with_several_texts_keep_their_links(spark, unlike):
+    r = random.Random(unlike)
+    one, two = ([f"{c}{r.randrange(1000)}" for _ in range(200)] for c in "ab")
+    edited = [*one[:-1], "other"]
+    rows = [(3, " ".join(one)), (5, " ".join(edited)), (5, " ".join(two)), (7, " ".join([*two[:-1], "other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.component_id, x.kept) for x in near_duplicates(df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False)]
+    assert sorted(tuple(x) for x in without_near_duplicates(df).collect()) == sorted([rows[0], rows[2]])
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d e f", 7), (2, "a b c d e f", 8), (3, None, 9), (4, "", 1), (None, "a b c d e f", 2), (5, "one two", 3), (5, "three four", 4), (5, "three four", 4), (2, "x y z", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, tkey int")
