@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quiltwork.llm.common import materialise, word_count
@@ -72,14 +72,17 @@ def shard_ranges(shard: int, shards: int, quotas: list[int], seed: int) -> list[
 
 
 def first_fit(block: pd.DataFrame) -> pd.DataFrame:
-    """Documents of a block in keyed order, each taken once more if it still fits into what is left of the target."""
-    block = block.sort_values(["key", "doc_id", "size"], na_position="last", kind="stable")
+    """Documents of a block in keyed order, each taken once more if it still fits into what is left of the target.
+
+    A row stands for n documents alike in id and text; the first more of them fit.
+    """
+    block = block.sort_values("key", kind="stable")
     left, extra = float(block["room"].iloc[0]), []
-    for size in block["size"]:
-        fits = size <= left + 0.5
+    for size, n in zip(block["size"], block["n"], strict=True):
+        fits = max(0, min(int(n), int((left + 0.5) // size)))
         left -= size * fits
         extra.append(fits)
-    block["more"] = extra
+    block["more_of"] = extra
     return block
 
 
@@ -88,18 +91,22 @@ def plan_mix(docs: DataFrame, options: MixOptions = MixOptions(), id_col: str =
 
     copies has for each time that the document is taken (never more than max_epochs times) the epoch, the shard and its
     place in the shard's local shuffle (shards are written sorted by place). Null texts have size 0; empty tables give no
-    rows; null sources are one source, the last; null ids share a place in the order. Repeated rows are separate
+    rows; null sources are one source, the last; rows alike in id and text share a place in the order. Repeated rows are separate
     documents; other columns are left out. Only one row per source goes through the driver.
     """
-    spark, o = docs.sparkSession, options
-    rows = materialise(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.md5(F.concat(F.lit(f"{o.seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
-        )
-    )
+    rows = materialise(keyed(docs, options, id_col, text_col, source_col))
+    return planned(rows, rows, options).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+
+
+def keyed(docs: DataFrame, o: MixOptions, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """doc_id, source, size, the key of the order, and what else is asked for, of each row."""
+    named = F.concat(F.lit(f"{o.seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.xxhash64(text_col).cast("string"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(named).alias("key"), *more)
+
+
+def planned(rows: DataFrame, carried: DataFrame, o: MixOptions) -> DataFrame:
+    """The rows of carried (keyed, of the same documents as rows, which are read several times) with the columns of the plan."""
+    spark = rows.sparkSession
     sums = sorted(rows.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r.source is None, (r.source or "").encode()))
     weights = [o.weights[k % len(o.weights)] for k in range(len(sums))]
     targets = fill_targets([r["size"] for r in sums], weights, o.max_epochs)
@@ -110,7 +117,8 @@ def plan_mix(docs: DataFrame, options: MixOptions = MixOptions(), id_col: str =
         "rank int, of string, source_size bigint, target double, blocks int, whole int, rest double",
     )
     share = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / float(16**12)
-    placed = rows.join(sources, rows.source.eqNullSafe(sources.of), "left").drop("of").withColumn("block", F.least(F.floor(share * F.col("blocks")), F.col("blocks") - 1).cast("int"))
+    place_in = lambda df: df.join(F.broadcast(sources), df.source.eqNullSafe(sources.of), "left").drop("of").withColumn("block", F.least(F.floor(share * F.col("blocks")), F.col("blocks") - 1).cast("int"))
+    placed = place_in(rows)
     # A source's blocks are few (max_blocks), so running sums over them are small.
     filled = placed.groupBy("rank", "block", "rest", "whole").agg(F.sum("size").alias("words"))
     end = F.expr("sum(words) over (partition by rank order by block)")
@@ -135,21 +143,24 @@ def plan_mix(docs: DataFrame, options: MixOptions = MixOptions(), id_col: str =
         .groupBy("rank", (F.col("i") % F.col("n")).cast("int").alias("nth"))
         .agg(F.sort_array(F.collect_list(F.struct(F.floor(F.col("i") / F.col("n")).cast("int").alias("epoch"), "shard"))).alias("dealt"))
     )
-    known = placed.join(drawn.drop("whole").join(dealt, ["rank", "nth"], "left"), ["rank", "block"], "left")
-    columns = ["doc_id", "source", "size", "key", "source_size", "target", "whole", "room", "dealt"]
-    plain = known.where(~F.col("edge")).select(*columns, F.col("inside").alias("more"))
-    kinds = dict(plain.dtypes)
-    edge = known.where("edge").select("rank", *columns).groupBy("rank").applyInPandas(lambda g: first_fit(g)[[*columns, "more"]], ", ".join(f"{c} {kinds[c]}" for c in [*columns, "more"]))
+    cards = drawn.drop("whole").join(dealt, ["rank", "nth"], "left")
+    edge = (placed.join(cards.drop("dealt").where("edge"), ["rank", "block"]).where("size > 0").groupBy("rank", "key", "size", "room").agg(F.count("*").alias("n")))
+    fits = edge.groupBy("rank").applyInPandas(lambda g: first_fit(g)[["rank", "key", "more_of"]], "rank int, key string, more_of long")
+    known = place_in(carried).join(cards, ["rank", "block"], "left")
+    plain = known.where(~F.col("edge") | (F.col("size") == 0)).withColumn("more", F.col("inside") | F.col("edge"))
+    # Of rows alike in id and text the first ones; all other rows stay where they are.
+    alike = known.where("edge and size > 0").withColumn("turn", F.expr("row_number() over (partition by rank, key order by size)"))
+    last = alike.join(fits, ["rank", "key"]).withColumn("more", F.col("turn") <= F.col("more_of")).drop("turn", "more_of")
     times = F.col("whole") + F.col("more").cast("int")
     place = lambda x: F.xxhash64(F.lit(o.seed), x["shard"], x["epoch"], F.col("key"))
     copies = F.transform(F.filter("dealt", lambda x: x["epoch"] < times), lambda x: F.struct(x["epoch"].alias("epoch"), x["shard"].alias("shard"), place(x).alias("place")))
-    return plain.union(edge).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), F.when(times > 0, copies).otherwise(F.expr("cast(array() as array<struct<epoch:int,shard:int,place:bigint>>)")).alias("copies")
-    )
+    none = F.expr("cast(array() as array<struct<epoch:int,shard:int,place:bigint>>)")
+    return plain.unionByName(last).withColumn("taken", F.col("size") * times).withColumn("copies", F.when(times > 0, copies).otherwise(none))
 
 
 def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them, with shard, epoch and place."""
-    plan = plan_mix(docs, options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    found = docs.join(plan, docs.doc_id.eqNullSafe(plan["_id"]))
-    return found.select(*[docs[c] for c in docs.columns], F.explode("_copies").alias("_copy")).select(*docs.columns, "_copy.*")
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    columns = ("doc_id", "text", "source")
+    found = planned(materialise(keyed(docs, options, *columns)), keyed(docs, options, *columns, whole), options)
+    return found.select("row", F.explode("copies").alias("_copy")).select("row.*", "_copy.*")

@@ -54,3 +54,19 @@ def test_mix_repeats_rows(spark):
     got = [r.doc_id for r in found.collect()]
     assert {k: got.count(k) for k in plan} == plan
     assert plan_mix(docs.limit(0)).collect() == []
+
+
+def test_mix_goes_by_row(spark):
+    r = random.Random(4)
+    rows = [(r.choice([None, 1, 2, k]), f"t{k} " * r.choice([1, 3, 9]), r.choice("abc")) for k in range(300)] + [(None, "same", "c")] * 20 + [(None, None, "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = MixOptions(block_words=50)
+    plan = plan_mix(docs, options).collect()
+    taken, target, biggest = {}, {}, {}
+    for x in mix(docs, options).collect():
+        taken[x.source] = taken.get(x.source, 0) + len((x.text or "").split())
+    for x in plan:
+        target[x.source], biggest[x.source] = x.target, max(biggest.get(x.source, 0), x.size)
+    assert all(abs(taken.get(s, 0) - target[s]) <= biggest[s] for s in target)
+    want = sorted((str(x.doc_id), x.source, x.size) for x in plan for _ in x.copies)
+    assert sorted((str(x.doc_id), x.source, len((x.text or "").split())) for x in mix(docs, options).collect()) == want
