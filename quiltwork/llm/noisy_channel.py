@@ -101,12 +101,23 @@ class Restorer:
 
     #: Letters set apart by one blank or sign each, at least four of them.
     APART = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|+])(?:[ .\-_*~'’·](?:[^\W_]|[@$!|+])){3,}(?![^\s])")
-    DISGUISED = re.compile(r"(?:[^\W\d_][^\s]*?[0-9@$!|+(<{¡€£§*#_%.\-~'’·]|[0-9@$!|+(<{¡€£§][^\s]*?[^\W\d_])|([^\W\d_])\1\1")
+    ANY_LETTER, SIGN_AFTER, SIGN_BEFORE = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+(<{¡€£§*#_%.\-~'’·]"), re.compile(r"[0-9@$!|+(<{¡€£§]")
+    THRICE = re.compile(r"([^\W\d_])\1\1")
     TRIPLE = re.compile(r"(.)\1\1", re.I)
     EDGE = re.compile(r"^[\"'“”„«»(\[{.,;:?]+|[\"'“”„«»)\]}.,;:?!]+$|(?:([#&%*$!])\1+)$")
 
+    def disguised(self, token: str) -> bool:
+        """Whether a sign follows a letter, a letter follows a sign or a letter comes three times in a row; in time linear in the token."""
+        letter, sign = self.ANY_LETTER.search(token), self.SIGN_BEFORE.search(token)
+        if letter and self.SIGN_AFTER.search(token, letter.end()) or sign and self.ANY_LETTER.search(token, sign.end()):
+            return True
+        return bool(self.THRICE.search(token))
+
     def decode(self, token: str) -> str:
-        """The likeliest word behind a token, in lower case."""
+        """The likeliest word behind a token of any length, in lower case.
+
+        A run of one character is one position; states point back to the ones before, so time and memory are linear.
+        """
         lattice: list[list[tuple[str, float]]] = []
         for run in re.finditer(r"(.)\1*", token.lower(), re.S):
             ch, n = run[1], len(run[0])
@@ -121,11 +132,11 @@ class Restorer:
                 lattice.append([("", 0.2)])
             else:
                 lattice.append([(" ", 0.2)])
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         table, cost = class_table(), self.cost
         for options in [*lattice, [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (paid, word) in states.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (paid, back) in states.items():
                 for letters, price in options:
                     x, y, total = a, b, paid + price
                     for ch in letters:
@@ -133,9 +144,18 @@ class Restorer:
                         total += cost[x][y][k]
                         x, y = y, k
                     if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, word + letters)
+                        after[x, y] = (total, (back, letters))
             states = after
-        return min(states.values())[1].strip()
+        least = min(paid for paid, _ in states.values())
+        return min(self.spell(back) for paid, back in states.values() if paid == least).strip()
+
+    @staticmethod
+    def spell(back: tuple | None) -> str:
+        out = []
+        while back:
+            back, letters = back
+            out.append(letters)
+        return "".join(reversed(out))
 
     def restore_token(self, token: str) -> str:
         """The token in lower case without signs around it, decoded if it looks disguised."""
@@ -145,7 +165,7 @@ class Restorer:
         while (cut := self.EDGE.sub("", bare)) != bare:
             bare = cut
         bare = bare.lower()
-        if len(bare) <= 40 and self.DISGUISED.search(bare) and "@" not in bare[1:-1].replace("@", "", bare.count("@") - ("." in bare)):
+        if self.disguised(bare) and "@" not in bare[1:-1].replace("@", "", bare.count("@") - ("." in bare)):
             return self.decode(bare)
         return bare
 

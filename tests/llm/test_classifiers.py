@@ -42,6 +42,14 @@ def test_restored_words():
     assert restorer.restore("you s t u p i d ones") == "you stupid ones"
 
 
+def test_long_disguises():
+    restorer = Restorer(count_trigrams(["idiot moron stupid trash loser disgusting the other of and nothing"] * 50))
+    for given in ("s" + "t" * 20 + "u" * 20 + "p" * 10 + "1" * 10 + "d", "i.-.-.-.-.-.-.d.-.-.-.-.-.-.i.-.-.-.-.-.-.o.-.-.-.-.-.-.-.-.-.t"):
+        assert len(given) >= 60 and restorer.restore_token(given) in ("stupid", "idiot")
+    assert len(restorer.restore_token("1d10t-" * 20_000)) >= 100_000
+    assert not restorer.disguised("日本" * 200_000) and restorer.disguised("日" * 2 + "本" * 3)
+
+
 def toxic_corpus(n=600):
     r = random.Random(2)
     rows, labels = [], []
