@@ -24,10 +24,9 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class KernelOptions:
-    """The classifier is fitted on at most rows_per_language labelled rows of each of at most max_languages languages."""
+    """The classifier is fitted on at most rows_per_language labelled rows of each language, with landmarks shared out among all, two of each at least."""
 
     rows_per_language: int = 300
-    max_languages: int = 64
     landmarks: int = 128
     max_n: int = 3
     slots: int = 8192
@@ -87,16 +86,22 @@ def fit(rows: list[tuple[str, str]], options: KernelOptions) -> KernelModel:
     """rows: text and language, in an order that doesn't depend on how Spark read them."""
     languages = tuple(sorted({lang for _, lang in rows}))
     by = [[t for t, lang in rows if lang == want] for want in languages]
-    each = max(1, options.landmarks // max(1, len(languages)))
+    each = max(2, options.landmarks // max(1, len(languages)))
     marks = presence([t for texts in by for t in texts[:each]], options)
     inner = marks @ marks.T
     value, vector = np.linalg.eigh(inner.astype(np.float64))
     keep = value > max(value.max(initial=0), 1e-9) * 1e-6
     nystroem = vector[:, keep] / np.sqrt(value[keep])
-    kernel = np.concatenate([presence([t for t, _ in rows[a:b]], options) @ marks.T for a, b in chunks([t for t, _ in rows])]) if rows else np.zeros((0, 0))
-    phi = np.hstack([kernel @ nystroem, np.ones((len(rows), 1))])
-    target = np.array([[1.0 if lang == want else -1.0 for want in languages] for _, lang in rows])
-    solved = np.linalg.solve(phi.T @ phi + options.ridge * len(rows) * np.eye(phi.shape[1]), phi.T @ target)
+    # The normal equations add up over chunks, so that memory doesn't grow with rows times landmarks.
+    at = {lang: k for k, lang in enumerate(languages)}
+    squares, mixed = np.zeros((keep.sum() + 1,) * 2), np.zeros((keep.sum() + 1, len(languages)))
+    for a, b in chunks([t for t, _ in rows]):
+        phi = np.hstack([presence([t for t, _ in rows[a:b]], options) @ marks.T @ nystroem, np.ones((b - a, 1))])
+        target = np.full((b - a, len(languages)), -1.0)
+        target[np.arange(b - a), [at[lang] for _, lang in rows[a:b]]] = 1
+        squares += phi.T @ phi
+        mixed += phi.T @ target
+    solved = np.linalg.solve(squares + options.ridge * len(rows) * np.eye(len(squares)), mixed)
     weights = np.vstack([nystroem @ solved[:-1], solved[-1:]]).astype(np.float32)
     return KernelModel(options, languages, marks, weights)
 
@@ -131,8 +136,7 @@ def learn(df: DataFrame, usable: Column, options: KernelOptions, id_col: str = "
     order = F.shiftrightunsigned("h", 34)
     first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "h", "text"))
     found = rows.withColumn("k", first).where(F.col("k") <= options.rows_per_language).select("lang", "k", "text").collect()
-    kept = set(sorted({r.lang for r in found})[: options.max_languages])
-    ordered = sorted((r.k, r.lang, r.text) for r in found if r.lang in kept)
+    ordered = sorted((r.k, r.lang, r.text) for r in found)
     return fit([(text, lang) for _, lang, text in ordered], options) if ordered else None
 
 

@@ -29,6 +29,17 @@ def test_languages(spark):
     assert by[900] == by[901] == by[902] == "und" and by[903] == "en" and by[None] == "en"
 
 
+def test_more_than_64_languages(spark):
+    r = random.Random(7)
+    names = [f"l{k:03}" for k in range(70)]
+    lexicon = {name: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9))) for _ in range(12)] for name in names}
+    rows = [(k, " ".join(r.choice(lexicon[names[k % 70]]) for _ in range(30)), names[k % 70]) for k in range(70 * 12)]
+    found = identify_held_out(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    right = {x.doc_id for x in found if x.held_out and x.lang_pred == names[x.doc_id % 70]}
+    late = [x.doc_id for x in found if x.held_out and x.doc_id % 70 >= 64]
+    assert len(right) > 0.9 * sum(x.held_out for x in found) and late and sum(d in right for d in late) > 0.8 * len(late)
+
+
 def test_languages_without_training(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in identify(df, F.lit(True)).collect()] == [("und", 0.0)]
