@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +44,15 @@ def near_least(hashed: Column, wanted: int, total: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; tests, which set none, get a folder under /tmp."""
+    """The folder that driver and executors share; only a session of one process, as in tests, may leave it out."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = found.get() if found.isDefined() else f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+        if found.isDefined():
+            return found.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
     return folder
 
 

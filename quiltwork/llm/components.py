@@ -14,17 +14,17 @@ ROWS = 50_000
 def _star(links: DataFrame, small: bool) -> DataFrame:
     """One half step: every node's neighbours (the lesser or the greater ones) move to its least neighbour.
 
-    The links are dealt once, by the node; duplicates, the least neighbour and the join all use that.
+    A node's least neighbour is aggregated before it is shuffled and then joined, so that Spark can split a node that has
+    many neighbours over several tasks.
     """
     if small:
         # Of each link the greater end; its lesser neighbours and itself get the least of them.
-        dealt = links.repartition("a").distinct()
-        least = dealt.groupBy("a").agg(F.min("b").alias("m"))
-        moved = dealt.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = links.groupBy("a").agg(F.min("b").alias("m"))
+        moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.union(least.select("a", F.col("m").alias("b"))).where("a != b")
-    dealt = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a").distinct()
-    least = dealt.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return dealt.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 A document's set of word shingles is sketched in buckets; a bucket keeps of its least hash the number of leading zeros and
 a few bits of mantissa. Bands of registers that agree make candidates, the share of agreeing registers, corrected for
-chance agreement, estimates their Jaccard similarity, and the full sets confirm every link.
+chance agreement, estimates their Jaccard similarity, and the full sets confirm every link. Small sets, whose few registers
+can all be missed by banding, meet by their prefix as well: of two sets so alike, the least hashes share one.
 
-Documents with equal sets are one class. Classes that share a band are compared with the least of it and with the one
-before; links merge classes into components; what then still shares a band across components is compared until nothing is
-left, so that only pairs whose components are already one go uncompared.
+Documents with equal sets are one class. Classes that share a band are first compared with its least class and with the
+least of a small part of it; links merge classes into components. What then still shares a band across components is
+compared pair by pair within pieces of bounded size. A piece confirms its pairs itself, joins what is linked, and sends one
+link for each component that it merged, so neither pairs nor links grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType
+from pyspark.sql.types import BooleanType
 
 from quiltwork.llm.common import materialise, release
 from quiltwork.llm.components import components
-from quiltwork.llm.rolling import batches, windows, word_hashes
+from quiltwork.llm.rolling import batches, mix, windows, word_hashes
 
 EMPTY = 0xFFFF
 #: Rows of a partition of classes, band members and pairs.
@@ -32,20 +35,28 @@ ROWS = 20_000
 
 @dataclass(frozen=True)
 class NearOptions:
-    """Links: percent * union <= 100 * intersection. A pair at the threshold shares no band with probability 5e-8."""
+    """Links: percent * union <= 100 * intersection. A pair at the threshold shares no band with probability 5e-8 at most, and is never missed if a set has no more than `small` shingles."""
 
     shingle: int = 5
     percent: int = 80
     registers: int = 128
     band: int = 4
     mantissa: int = 10
-    #: Pairs whose estimate is lower aren't confirmed: about five standard deviations below the threshold.
-    least_estimate: float = 0.63
+    #: Pairs whose estimate is lower aren't confirmed: nearly six standard deviations below the threshold. Small sets have no estimate to pass.
+    least_estimate: float = 0.6
+    #: Sets of so few shingles are also found by their prefix.
+    small: int = 16
     #: Rounds of comparing each class with one other before all that is left is compared.
     rounds: int = 2
+    #: Classes of a band in the parts whose least is a candidate in a round.
+    part: int = 8
     #: Classes of one band that are compared in a piece.
     block: int = 1500
 
+    @property
+    def many(self) -> int:
+        return self.registers // self.band
+
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted hashes of the distinct k-word shingles of each text, A-Z lower-cased; of fewer words, of the whole sequence."""
@@ -76,15 +87,26 @@ def sketch(shingles: np.ndarray, options: NearOptions) -> np.ndarray:
     return out
 
 
-def bands(registers: np.ndarray, options: NearOptions) -> list[int]:
-    """A number for each band of registers that isn't empty throughout; its remainder by the number of bands says which."""
-    found, many = [], options.registers // options.band
-    for k in range(many):
-        part = registers[k * options.band : (k + 1) * options.band]
-        if (part != EMPTY).any():
-            digest = int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "big") >> 1
-            found.append(digest // many * many + k if digest >= many else k)
-    return found
+def bands(registers: np.ndarray, options: NearOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of each band that isn't empty throughout, of registers a row for each set; the number's remainder by many + 1 says which band."""
+    parts = registers.reshape(len(registers), options.many, options.band)
+    row, k = np.nonzero((parts != EMPTY).any(axis=2))
+    value = np.zeros(len(row), np.uint64)
+    for d in range(options.band):
+        value = mix(value + parts[row, k, d].astype(np.uint64) + np.uint64(1))
+    return row, numbered(value, k.astype(np.uint64), options)
+
+
+def numbered(value: np.ndarray, k: np.ndarray | np.uint64, options: NearOptions) -> np.ndarray:
+    """Hashes as numbers of 62 bits whose remainder by many + 1 is k."""
+    step = np.uint64(options.many + 1)
+    return (((value >> np.uint64(2)) // step) * step + k).astype(np.int64)
+
+
+def prefix(shingles: np.ndarray, options: NearOptions) -> np.ndarray:
+    """Of a small set the least hashes, so many that every set as near as a link asks for has one of them among its own."""
+    n = len(shingles)
+    return shingles[: n + 1 - -(-options.percent * n // 100)] if 0 < n <= options.small else shingles[:0]
 
 
 def estimate(one: np.ndarray, two: np.ndarray, options: NearOptions) -> np.ndarray:
@@ -95,80 +117,117 @@ def estimate(one: np.ndarray, two: np.ndarray, options: NearOptions) -> np.ndarr
     return np.maximum(0, (same - chance) / (1 - chance))
 
 
-def profile(docs: DataFrame, options: NearOptions, id_col: str, text_col: str, full: bool) -> DataFrame:
-    """doc_id, a hash of the text, size and digest of the set; with registers, or with the full set."""
+def profile(docs: DataFrame, options: NearOptions, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, a hash of the text, size and digest of the set, registers, and the prefix of small sets."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             found = shingle_sets(part.column(1).to_pylist(), options.shingle)
-            columns = [part.column(0), part.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary())]
-            if full:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "tkey", "n", "key", "shingles"])
-            else:
-                columns.append(pa.array([sketch(s, options).tobytes() for s in found], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "n", "key", "registers"])
+            digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary())
+            registers = pa.array([sketch(s, options).tobytes() for s in found], pa.binary())
+            firsts = pa.array([numbered(prefix(s, options), np.uint64(options.many), options).tobytes() for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in found], pa.int64()), digests, registers, firsts], ["doc_id", "tkey", "n", "key", "registers", "firsts"])
 
-    return rows.mapInArrow(run, "doc_id bigint, tkey bigint, n bigint, key binary, " + ("shingles binary" if full else "registers binary"))
+    return rows.mapInArrow(run, "doc_id bigint, tkey bigint, n bigint, key binary, registers binary, firsts binary")
 
 
 def with_bands(classes: DataFrame, options: NearOptions) -> DataFrame:
-    """id and band, a row for each band of a class."""
+    """id and band, a row for each band of a class and each hash of a small set's prefix."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [bands(np.frombuffer(r, np.uint16), options) for r in part.column(1).to_pylist()]
-            ids = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([b for f in found for b in f], pa.int64())], ["id", "band"])
+            ids = part.column(0).to_numpy()
+            row, band = bands(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, options.registers), options)
+            firsts = part.column(2).to_pylist()
+            own = np.repeat(ids, [len(f) // 8 for f in firsts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(ids[row], own), pa.int64()), pa.array(np.append(band, np.frombuffer(b"".join(firsts), np.int64)), pa.int64())], ["id", "band"])
 
-    return classes.select("id", "registers").mapInArrow(run, "id bigint, band bigint")
+    return classes.select("id", "registers", "firsts").mapInArrow(run, "id bigint, band bigint")
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, tkey, text) with the text compressed."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for part in parts:
+            texts = pa.array([small.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["doc_id", "tkey", "packed"])
+
+    return docs.mapInArrow(run, "doc_id bigint, tkey bigint, packed binary")
+
+
+def sets_of(packed: list[bytes], options: NearOptions) -> list[np.ndarray]:
+    large = zstandard.ZstdDecompressor()
+    return shingle_sets([large.decompress(p).decode("utf-8", "surrogatepass") for p in packed], options.shingle)
+
+
+def linked(one: np.ndarray, two: np.ndarray, options: NearOptions) -> bool:
+    """Whether two full sets, sorted, make a link."""
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= options.percent * (len(one) + len(two) - both)
+
+
+def confirmed(pairs: DataFrame, options: NearOptions) -> DataFrame:
+    """Of pairs (a, b, ta, tb: packed texts) those whose full sets make a link. Sets are built once for each text of a batch."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            a, b = (part.column(k).to_pylist() for k in (0, 1))
+            texts = dict(zip(a + b, part.column(2).to_pylist() + part.column(3).to_pylist(), strict=True))
+            known = dict(zip(texts, sets_of(list(texts.values()), options), strict=True))
+            good = pa.array([linked(known[x], known[y], options) for x, y in zip(a, b, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], ["a", "b"])
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def alike(members: DataFrame, options: NearOptions, confirm: bool) -> DataFrame:
-    """Pairs of a band's members (band, id, c, n, registers) whose components differ and whose sizes and estimates allow a link.
+    """Compares a band's members (band, id, c, n, registers) whose components differ and whose sizes and estimates allow a link.
 
-    Without confirm only the ids that are in some such pair are returned (a = b = id); with it the pairs (a, b) whose sets
-    (members' column small: sorted 32-bit hashes) are near enough, so that pairs that aren't never leave the task.
-    A pair comes from the first band that both share, so it comes once. Members of a band are cut into blocks, and every
-    two blocks are compared in a piece of their own, so no piece holds more than two blocks.
+    Without confirm the ids that are in some such pair are returned (a = b = id). With it (members' column packed: texts)
+    the full sets decide, and the links returned join the components of a piece: at most one fewer than it has.
+    A pair is looked at in the first band that both share. Members of a band are cut into blocks, and every two blocks are
+    compared in a piece of their own, so no piece holds more than two blocks.
     """
-    o, many = options, options.registers // options.band
+    o, many = options, options.many
     sized = members.join(members.groupBy("band").agg(F.ceil(F.count("*") / o.block).cast("int").alias("blocks")), "band")
     own = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "n", "registers", *["small"] * confirm)
+    own = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "n", "registers", *["packed"] * confirm)
     dealt = own.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
 
-    def near(a: np.ndarray, b: np.ndarray) -> bool:
-        # Hashes that collide only add to what both have; a hundredth more makes up for those lost within a set.
-        both = len(np.intersect1d(a, b, assume_unique=True)) * 1.01 + 1
-        return 100 * both >= o.percent * (len(a) + len(b) - both)
-
-    def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         band, i, j = (part.column(x)[0].as_py() for x in ("band", "i", "j"))
         own, ids, c, n = (part.column(x).to_numpy() for x in ("own", "id", "c", "n"))
         registers = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(len(ids), o.registers)
-        sets = [np.unique(np.frombuffer(x, np.uint32)) for x in part.column("small").to_pylist()] if confirm else []
+        packed = part.column("packed") if confirm else None
+        sets: dict[int, np.ndarray] = {}
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [ids[:0]], [ids[:0]]
         step = max(1, 40_000 // max(1, len(right)))
         for at in range(0, len(left), step):
-            rows = left[at : at + step]
-            x, y = np.meshgrid(rows, right, indexing="ij")
+            x, y = (v.ravel() for v in np.meshgrid(left[at : at + step], right, indexing="ij"))
             take = (c[x] != c[y]) & (100 * np.minimum(n[x], n[y]) >= o.percent * np.maximum(n[x], n[y])) & ((x < y) | (i != j))
             x, y = x[take], y[take]
             one, two = registers[x], registers[y]
-            good = estimate(one, two, o) >= o.least_estimate
+            good = (estimate(one, two, o) >= o.least_estimate) | (np.maximum(n[x], n[y]) <= o.small)
             x, y, one, two = x[good], y[good], one[good], two[good]
             agree = ((one == two).reshape(len(x), many, o.band).all(axis=2)) & (one != EMPTY).reshape(len(x), many, o.band).any(axis=2)
-            first = agree.argmax(axis=1) == band % many
+            slot = band % (many + 1)
+            first = ~agree.any(axis=1) if slot == many else agree[:, : slot + 1].argmax(axis=1) == slot
             x, y = x[first], y[first]
-            if confirm:
-                good = np.array([near(sets[p], sets[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True)], bool)
-                a.append(ids[x[good]])
-                b.append(ids[y[good]])
-            else:
+            if not confirm:
                 a.append(ids[np.union1d(x, y).astype(np.int64)])
                 b.append(a[-1])
+                continue
+            wanted = [k for k in np.union1d(x, y).astype(np.int64).tolist() if k not in sets]
+            sets.update(zip(wanted, sets_of([packed[k].as_py() for k in wanted], o), strict=True))
+            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                if c[p] != c[q] and linked(sets[p], sets[q], o):
+                    a.append(ids[p : p + 1])
+                    b.append(ids[q : q + 1])
+                    c = np.where(c == c[q], c[p], c)  # one component from now on
         return np.concatenate(a), np.concatenate(b)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +239,13 @@ def alike(members: DataFrame, options: NearOptions, confirm: bool) -> DataFrame:
             start, found = 0, []
             for end in edge[:-1]:
                 if end - start > 1:
-                    found.append(pairs(table.slice(start, end - start)))
+                    found.append(compare(table.slice(start, end - start)))
                 start = end
             held = table.slice(start)
             if found:
                 yield out(found)
         if held is not None and len(held) > 1:
-            yield out([pairs(held)])
+            yield out([compare(held)])
 
     def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -196,7 +255,7 @@ def alike(members: DataFrame, options: NearOptions, confirm: bool) -> DataFrame:
 
 
 def likely(options: NearOptions):
-    """Whether registers and sizes allow a link."""
+    """Whether registers allow a link."""
 
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         one, two = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), options.registers) for x in (a, b))
@@ -205,48 +264,25 @@ def likely(options: NearOptions):
     return F.arrow_udf(run, BooleanType())
 
 
-def linked(options: NearOptions):
-    """Whether full sets, sorted, make a link."""
-
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            out.append(100 * both >= options.percent * (len(one) + len(two) - both))
-        return pa.array(out, pa.bool_())
-
-    return F.arrow_udf(run, BooleanType())
-
-
-def shortened():
-    """The high 32 bits of each 64-bit hash."""
-
-    def run(a: pa.Array) -> pa.Array:
-        return pa.array([(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in a], pa.binary())
-
-    return F.arrow_udf(run, BinaryType())
-
-
 class Comparison:
     """The classes of a table and the components found among them so far."""
 
     def __init__(self, docs: DataFrame, options: NearOptions, id_col: str, text_col: str) -> None:
         self.options = options
-        self.rows = materialise(profile(docs, options, id_col, text_col, False), ROWS)
-        # Ids may repeat with other texts, so a class has a number of its own (fixed by the checkpoint) beside its least doc_id.
-        classes = self.rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers"))
-        self.classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), ROWS)
-        self.rows = self.rows.drop("registers")
-        shared = with_bands(self.classes, options).withColumn("m", F.expr("count(*) over (partition by band)")).where("m > 1")
-        self.members = materialise(shared.select("id", "band"), ROWS)  # classes that share a band with others
-        self.sketches = self.classes.join(self.members.select("id").distinct(), "id", "left_semi").select("id", "least", "n", "registers")
-        self.sketches = materialise(self.sketches, ROWS)
-        wanted = self.sketches.select(F.col("least").alias("doc_id"))
-        own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
-        # The digest says which of an id's rows the class has; rows of one digest have one set.
-        full = profile(own, options, "doc_id", "text", True).join(self.classes.select("key", "id", F.col("least").alias("doc_id")), ["key", "doc_id"])
-        self.sets = materialise(full.groupBy("id").agg(F.first("shingles").alias("shingles")))
+        self.rows = materialise(profile(docs, options, id_col, text_col), ROWS)
+        # Ids may repeat with other texts, so a class has a number of its own (fixed by the checkpoint) beside its least row.
+        classes = self.rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key")
+        classes = classes.agg(F.min(F.struct("doc_id", "tkey")).alias("least"), *[F.first(x).alias(x) for x in ("n", "registers", "firsts")])
+        self.classes = materialise(classes.select("key", "least.doc_id", "least.tkey", "n", "registers", "firsts").withColumn("id", F.monotonically_increasing_id()), ROWS)
+        self.rows = self.rows.drop("registers", "firsts")
+        every = with_bands(self.classes, options)
+        sizes = every.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+        self.members = materialise(every.join(sizes, "band").select("id", "band", "m"), ROWS)  # classes that share a band with others
+        sketches = self.classes.join(self.members.select("id").distinct(), "id", "left_semi")
+        self.sketches = materialise(sketches.select("id", "doc_id", "tkey", "n", "registers"), ROWS)
+        packed = packed_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")))
+        own = packed.join(self.sketches.select("doc_id", "tkey", "id"), ["doc_id", "tkey"])
+        self.texts = materialise(own.groupBy("doc_id", "tkey", "id").agg(F.first("packed").alias("packed")).select("id", "packed"))
         release(docs.sparkSession)
         self.compared: DataFrame | None = None
         self.parts: DataFrame | None = None
@@ -256,34 +292,38 @@ class Comparison:
             return of.withColumn(to, F.col(column))
         return of.join(self.parts.select(F.col("node").alias(column), F.col("component").alias("_c")), column, "left").withColumn(to, F.coalesce("_c", column)).drop("_c")
 
-    def compare(self, pairs: DataFrame, estimated: bool = False) -> None:
-        """Confirms pairs (a, b) and merges the components of those that are linked."""
-        o, s = self.options, self.sketches
-        pairs = materialise(pairs, ROWS)
-        self.compared = pairs if self.compared is None else self.compared.union(pairs)
-        if not estimated:
-            left, right = (s.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
-            pairs = pairs.join(left, "a").join(right, "b").where((100 * F.least("na", "nb") >= o.percent * F.greatest("na", "nb")) & likely(o)("ra", "rb")).select("a", "b")
-        left, right = (self.sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        found = materialise(pairs.join(left, "a").join(right, "b").where(linked(o)("sa", "sb")).select("a", "b"), ROWS)
+    def merge(self, found: DataFrame) -> None:
+        """Joins the components of linked classes (a, b)."""
         if not found.isEmpty():
             self.parts = components(found if self.parts is None else found.union(self.parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         release(found.sparkSession)
 
+    def compare(self, pairs: DataFrame) -> None:
+        """Confirms pairs (a, b), one for each class at most, and merges the components of those that are linked."""
+        o, s = self.options, self.sketches
+        pairs = materialise(pairs, ROWS)
+        self.compared = pairs if self.compared is None else self.compared.union(pairs)
+        left, right = (s.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
+        able = (100 * F.least("na", "nb") >= o.percent * F.greatest("na", "nb")) & (likely(o)("ra", "rb") | (F.greatest("na", "nb") <= o.small))
+        pairs = pairs.join(left, "a").join(right, "b").where(able).select("a", "b")
+        left, right = (self.texts.select(F.col("id").alias(x), F.col("packed").alias(f"t{x}")) for x in "ab")
+        self.merge(materialise(confirmed(pairs.join(left, "a").join(right, "b"), o), ROWS))
+
     def mixed(self) -> DataFrame:
-        """Members of bands whose members are in several components: band, id, c."""
+        """Members of bands whose members are in several components: band, id, m, c."""
         members = self.component(self.members, "id", "c")
         open_ = members.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("band")
-        return materialise(members.join(open_, "band"), ROWS)
+        return materialise(members.join(open_, "band").select("id", "band", "m", "c"), ROWS)
 
     def run(self) -> DataFrame:
         """node and component of the classes that are linked to another, except the least of a component."""
-        members = self.members.withColumn("c", F.col("id"))
-        for k in range(self.options.rounds):
-            # The least of the band and the class before, in an order that is another in each round; of these the one met most often.
-            order = "id" if k == 0 else f"xxhash64(id, {k})"
-            near = members.selectExpr("id", "c", f"lag(struct(id, c)) over (partition by band order by {order}) as p", f"min(struct({order} as o, id, c)) over (partition by band) as q")
-            met = near.select("id", "c", F.explode(F.array(F.struct("p.id", "p.c"), F.struct("q.id", "q.c"))).alias("x")).where("x.c != c").groupBy("id", F.col("x.id").alias("p")).agg(F.count("*").alias("times"))
+        o, members = self.options, self.members.withColumn("c", F.col("id"))
+        for k in range(o.rounds):
+            # The least of the band and that of a part of it, dealt anew in each round; of these the one met most often.
+            dealt = members.withColumn("part", F.pmod(F.xxhash64("id", F.lit(k)), F.ceil(F.col("m") / o.part)))
+            leasts = [members.groupBy("band").agg(F.min("id").alias("p")), dealt.groupBy("band", "part").agg(F.min("id").alias("p"))]
+            met = dealt.join(leasts[0], "band").select("id", "c", "p").union(dealt.join(leasts[1], ["band", "part"]).select("id", "c", "p")).where("id != p")
+            met = self.component(met, "p", "d").where("c != d").groupBy("id", "p").agg(F.count("*").alias("times"))
             if self.compared is not None:
                 known = self.compared.select(F.col("a").alias("id"), F.col("b").alias("p")).union(self.compared.select(F.col("b").alias("id"), F.col("a").alias("p")))
                 met = met.join(known, ["id", "p"], "left_anti")
@@ -294,9 +334,8 @@ class Comparison:
                 break
         else:
             members = members.join(self.sketches, "id")
-            able = materialise(alike(members, self.options, False).select(F.col("a").alias("id")).distinct(), ROWS)
-            small = self.sets.join(able, "id", "left_semi").select("id", shortened()("shingles").alias("small"))
-            self.compare(alike(members.join(small, "id"), self.options, True), True)
+            able = materialise(alike(members, o, False).select(F.col("a").alias("id")).distinct(), ROWS)
+            self.merge(materialise(alike(members.join(able, "id", "left_semi").join(self.texts, "id"), o, True), ROWS))
         if self.parts is None:
             return self.sketches.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
         return self.parts
@@ -311,7 +350,7 @@ def near_duplicates(docs: DataFrame, options: NearOptions = NearOptions(), id_co
     """
     found = Comparison(docs, options, id_col, text_col)
     parts = found.run()
-    of = found.classes.select("key", "id", "least").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
+    of = found.classes.select("key", "id", F.col("doc_id").alias("least")).join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
     # A component goes by its least doc_id; classes that are linked to none by their own.
     ends = parts.select(F.col("component").alias("part")).distinct()
     first = of.join(ends, "part", "left_semi").groupBy("part").agg(F.min("least").alias("first"))

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from quiltwork.llm.hyperminhash import NearOptions, near_duplicates, shingle_sets, sketch, without_near_duplicates
+from quiltwork.llm.hyperminhash import EMPTY, NearOptions, alike, estimate, near_duplicates, packed_texts, prefix, shingle_sets, sketch, without_near_duplicates
 
 
 def brute(rows, k, percent):
@@ -91,3 +92,39 @@ def test_sketch_keeps_zeros_and_mantissa():
             rest = format(((value << 7) & ((1 << 64) - 1)) | 127, "064b")
             zeros = len(rest) - len(rest.lstrip("0"))
             assert got[bucket] == (zeros << 10) | int((rest[zeros + 1 :] + "0" * 64)[:10], 2)
+
+
+def test_pairs_at_the_threshold_are_found():
+    """Measured recall: pairs whose similarity is 0.8 or just above, of every size, meet in a band or a prefix and pass the estimate."""
+    o, r, missed, tried = NearOptions(), np.random.default_rng(3), 0, 0
+    for union in [5, 6, 10, 15, 16, 17, 20, 21, 25, 40, 100, 400]:
+        both = -(-4 * union // 5)
+        for _ in range(1500):
+            every = r.integers(0, 1 << 64, union, dtype=np.uint64)
+            cut = r.integers(both, union + 1)
+            one, two = np.sort(np.append(every[:both], every[both:cut])), np.sort(np.append(every[:both], every[cut:]))
+            a, b = sketch(one, o), sketch(two, o)
+            same = ((a == b).reshape(-1, o.band).all(axis=1) & (a != EMPTY).reshape(-1, o.band).any(axis=1)).any()
+            met = same and (estimate(a[None], b[None], o)[0] >= o.least_estimate or max(len(one), len(two)) <= o.small)
+            met = met or len(np.intersect1d(prefix(one, o), prefix(two, o))) > 0
+            missed, tried = missed + (not met), tried + 1
+            if max(len(one), len(two)) <= o.small:
+                assert len(np.intersect1d(prefix(one, o), prefix(two, o)))
+    assert missed == 0, (missed, tried)
+
+
+def test_a_piece_sends_no_more_links_than_join_it(spark):
+    r, words = random.Random(2), [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(80):
+        w = list(words)
+        w[r.randrange(60)] = f"x{k}"
+        texts.append(" ".join(w))
+    o = NearOptions(shingle=2, block=40)
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "doc_id long, tkey long, text string")
+    rows = [(k, 7 * (o.many + 1) + o.many, k, len(s), bytearray(np.full(o.registers, EMPTY - 1 - k, np.uint16).tobytes())) for k, s in enumerate(shingle_sets(texts, 2))]
+    members = spark.createDataFrame(rows, "id long, band long, c long, n long, registers binary").join(packed_texts(docs).selectExpr("doc_id as id", "packed"), "id")
+    o = NearOptions(shingle=2, block=40, least_estimate=0.0)
+    links = alike(members, o, True).collect()
+    pieces = 3  # two blocks
+    assert 79 <= len(links) <= pieces * 79
