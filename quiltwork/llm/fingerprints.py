@@ -1,16 +1,17 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
-A text's k-mers are k words in a row, each numbered by how many equal ones stand before it. A text keeps the `sample`
-numbered k-mers that are least under one hash; each of `parts` further hashes then selects its `picked` least among those,
-puts them back into text order and hashes the tuple. Equal tuples at the same part mean that the texts share k-mers in
-the same order, so the share of equal parts falls with the edit distance and with moved passages alike.
-
-Positions have 24 bits: from the 16,777,216th word of one text on, k-mers count as standing at the same place.
+A text's k-mers are k words in a row, each numbered by how many equal ones stand before it. Under each of `parts` hashes,
+of all numbered k-mers the least and the least under the hash's complement (the greatest) are selected, put back into text
+order and hashed as a tuple. Both are selected without replacement by one random order, so two texts agree in a part as
+often as if the two least were taken: when both of the union's are common to them and stand in the same order. The share
+of equal parts falls with the edit distance and with moved passages alike.
+
+Numbered k-mers become rows and a hash aggregate keeps the minimum and maximum of every part, so a text's selection needs
+a fixed number of words of memory. Texts, their edited texts and their fingerprints stay in the task that their ids belong to: one shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,97 +19,76 @@ from pyspark.sql import functions as F
 
 from quiltwork.llm.common import words
 
-POSITION_BITS = 24
-LAST_POSITION = (1 << POSITION_BITS) - 1
-SAMPLE_BITS = 6
+#: Low bits of a numbered k-mer: its position. No array is longer.
+POSITION_BITS = 31
+POSITION = (1 << POSITION_BITS) - 1
 
 
 @dataclass(frozen=True)
 class FingerprintOptions:
     k: int = 3
     parts: int = 32
-    bucket_rows: int = 2000
-    coarse_buckets: int = 256
-
-    sample: int = 1 << SAMPLE_BITS
+    #: Bytes of text of neighbouring ids that are compared together.
+    bucket_bytes: int = 1 << 20
+    coarse_buckets: int = 1024
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+def bind(value: Column, body) -> Column:
     """body of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def numbered_kmers(text: Column, k: int) -> Column:
-    """For each k-mer the high 40 bits of its hash and its position, sorted; shorter k-mers end the text."""
+    """For each k-mer a hash of its words and its occurrence number (33 bits), then its position; shorter k-mers end the text. Texts without words have one that no other has.
+
+    Equal k-mers are neighbours in a sorted array; how many stand before one is found by adding powers of two as long as
+    the element that far back is still equal.
+    """
+    steps = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)])
 
     def packed(hashes: Column) -> Column:
         def at(x: Column, i: Column) -> Column:
-            parts = [x] + [F.get(hashes, i + d) for d in range(1, k)]
-            return F.xxhash64(*parts).bitwiseAND(~LAST_POSITION).bitwiseOR(F.least(i, F.lit(LAST_POSITION)))
+            return F.xxhash64(x, *[F.get(hashes, i + d) for d in range(1, k)]).bitwiseAND(~POSITION).bitwiseOR(i.cast("long"))
 
         return F.transform(hashes, at)
 
-    return F.sort_array(bind(F.transform(words(text), lambda w: F.xxhash64(w)), packed))
-
-
-def least_kmers(numbered: Column, sample: int) -> Column:
-    """Hashes of the sampled k-mers in text order, the occurrence number mixed in.
-
-    Equal k-mers are neighbours in the sorted array; how many stand before one is found by adding powers of two as long
-    as the element that far back is still equal.
-    """
-    steps = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)])
-
     def whole(sorted_: Column) -> Column:
-        def occurrence(x: Column, i: Column) -> Column:
-            def back(n: Column) -> Column:
-                return F.shiftright(F.get(sorted_, i - n), POSITION_BITS) == F.shiftright(x, POSITION_BITS)
-
-            many = F.aggregate(steps, F.lit(0), lambda n, step: F.when((step <= i - n) & back(n + step), n + step).otherwise(n))
-            return F.when((i > 0) & back(F.lit(1)), many).otherwise(F.lit(0))
-
-        def hashed(x: Column, i: Column) -> Column:
-            own = F.xxhash64(F.shiftright(x, POSITION_BITS), occurrence(x, i))
-            return own.bitwiseAND(~LAST_POSITION).bitwiseOR(x.bitwiseAND(LAST_POSITION))
-
-        return F.transform(sorted_, hashed)
-
-    least = F.slice(F.sort_array(bind(numbered, whole)), 1, sample)
-    # Position first, and of the hash what then fits.
-    in_order = F.sort_array(F.transform(least, lambda x: F.shiftleft(x.bitwiseAND(LAST_POSITION), 39).bitwiseOR(F.shiftrightunsigned(x, 25))))
-    return F.transform(in_order, lambda x: x.bitwiseAND((1 << 39) - 1))
+        def back(x: Column, i: Column, n: Column) -> Column:
+            return F.shiftright(F.get(sorted_, i - n), POSITION_BITS) == F.shiftright(x, POSITION_BITS)
 
+        def occurrence(x: Column, i: Column) -> Column:
+            many = F.aggregate(steps, F.lit(0), lambda n, step: F.when((step <= i - n) & back(x, i, n + step), n + step).otherwise(n))
+            return F.when((i > 0) & back(x, i, F.lit(1)), many).otherwise(F.lit(0))
 
-def tuples(sampled: Column, parts: int) -> Column:
-    """For each part the 32-bit hash of the two least k-mers under its hash, in text order."""
+        return F.transform(sorted_, lambda x, i: F.xxhash64(F.shiftright(x, POSITION_BITS), occurrence(x, i)).bitwiseAND(~POSITION).bitwiseOR(x.bitwiseAND(POSITION)))
 
-    def whole(values: Column) -> Column:
-        def part(seed: Column) -> Column:
-            ranked = F.transform(values, lambda x, i: F.xxhash64(x, seed).bitwiseAND(~((1 << SAMPLE_BITS) - 1)).bitwiseOR(i))
+    found = bind(F.sort_array(bind(F.transform(words(text), lambda w: F.xxhash64(w)), packed)), whole)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(-1)))
 
-            def chosen(all_: Column) -> Column:
-                def pair(first: Column) -> Column:
-                    second = F.array_min(F.filter(all_, lambda y: y > first))
-                    slot = lambda v: v.bitwiseAND((1 << SAMPLE_BITS) - 1).cast("int")
-                    a, b = slot(first), F.coalesce(slot(second), slot(first))
-                    one, two = F.get(values, F.least(a, b)), F.when(second.isNotNull(), F.get(values, F.greatest(a, b)))
-                    return F.xxhash64(one, two).bitwiseAND(0xFFFFFFFF)
 
-                return bind(F.array_min(all_), pair)
+def fingerprints(df: DataFrame, keys: list[str], text: Column, parts: int, k: int) -> DataFrame:
+    """keys and fingerprint, an array of parts numbers below 2 ** 32, of the rows that have those keys (which tell texts apart).
 
-            return bind(ranked, chosen)
+    Null, empty and blank texts have one and the same fingerprint, which no other text has (but for hash collisions).
+    """
+    rows = df.select(*keys, F.explode(numbered_kmers(text, k)).alias("x"))
+    ranks = [F.xxhash64(F.shiftright("x", POSITION_BITS), F.lit(p)).bitwiseAND(~POSITION).bitwiseOR(F.col("x").bitwiseAND(POSITION)).alias(f"r{p}") for p in range(parts)]
+    ends = rows.select(*keys, *ranks).groupBy(*keys).agg(*[F.min(f"r{p}").alias(f"a{p}") for p in range(parts)], *[F.max(f"r{p}").alias(f"b{p}") for p in range(parts)])
 
-        return F.transform(F.sequence(F.lit(1), F.lit(parts)), part)
+    def part(p: int) -> Column:
+        least, most = F.col(f"a{p}"), F.col(f"b{p}")
+        in_order = least.bitwiseAND(POSITION) <= most.bitwiseAND(POSITION)
+        one, two = F.shiftright(F.when(in_order, least).otherwise(most), POSITION_BITS), F.shiftright(F.when(in_order, most).otherwise(least), POSITION_BITS)
+        return F.xxhash64(one, two).bitwiseAND(0xFFFFFFFF)
 
-    return bind(sampled, whole)
+    return ends.select(*keys, F.array(*[part(p) for p in range(parts)]).alias("fingerprint"))
 
 
 def with_fingerprint(df: DataFrame, text: Column, to: str, options: FingerprintOptions = FingerprintOptions()) -> DataFrame:
-    """df with its fingerprint, an array of parts numbers below 2 ** 32.
-
-    Null, empty and blank texts have one and the same fingerprint, which no other text has (but for hash collisions).
-    """
-    return df.withColumn(to, tuples(least_kmers(numbered_kmers(text, options.k), options.sample), options.parts))
+    """df with the fingerprint of a text in a column of its own. Equal texts are fingerprinted once; they are told apart by SHA-256."""
+    keyed = df.withColumn("_key", F.sha2(F.coalesce(text, F.lit("")), 256))
+    found = fingerprints(keyed.select("_key", text.alias("_text")).dropDuplicates(["_key"]), ["_key"], F.col("_text"), options.parts, options.k)
+    return keyed.join(found.withColumnRenamed("fingerprint", to), "_key").drop("_key")
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -120,50 +100,63 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def with_next(df: DataFrame, columns: list[str], derive: Callable[[DataFrame], DataFrame], derived: list[str], options: FingerprintOptions) -> DataFrame:
-    """derive(df) with next, a struct of columns and derived columns of the row that follows by ascending doc_id; the first follows the last.
+def in_buckets(rows: DataFrame, options: FingerprintOptions) -> DataFrame:
+    """rows (doc_id, text) with _bucket and _copy: neighbours by doc_id share a bucket, and at its end stands a copy of the row that follows.
 
-    Rows are cut into buckets of neighbouring ids: quantiles of the id, each cut into equal widths. Within a bucket the
-    next row is a window's; so that a bucket's last row finds the next bucket's first, a copy of that row stands at its
-    end. Null ids come last; equal ids are ordered by text.
+    Buckets hold about equally many bytes: quantiles of the id, weighted by size, each cut into equal widths. Null ids come
+    last, in buckets by the text's hash; equal ids share a bucket.
     """
-    rows = df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    many = rows.count()
-    coarse = max(1, min(options.coarse_buckets, many // options.bucket_rows))
-    bounds = [min(int(x), (1 << 63) - 1) for x in rows.approxQuantile("_id", [k / coarse for k in range(coarse + 1)], 0.1 / coarse)] if many else [0, 0]
-    bounds = sorted(set(bounds))
-    fine = max(1, many // (coarse * options.bucket_rows))
+    size = F.octet_length("text")
+    rows = rows.withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    known = {r["_null"]: r["bytes"] or 0 for r in rows.groupBy("_null").agg(F.sum(size).alias("bytes")).collect()}
+    coarse = max(1, min(options.coarse_buckets, known.get(False, 0) // options.bucket_bytes))
+    weighted = rows.where(~F.col("_null")).select("_id", F.explode(F.sequence(F.lit(0), F.least(F.shiftright(size, 12), F.lit(1 << 20)))))
+    bounds = weighted.approxQuantile("_id", [k / coarse for k in range(coarse + 1)], 0.1 / coarse) if False in known else []
+    bounds = sorted({min(int(x), (1 << 63) - 1) for x in bounds}) or [0]
+    fine = max(1, known.get(False, 0) // (coarse * options.bucket_bytes))
+    nulls = max(1, known.get(True, 0) // options.bucket_bytes)
     lows = F.array(*[F.lit(b) for b in bounds])
     zone = F.greatest(F.size(F.filter(lows, lambda b: b <= F.col("_id"))) - 1, F.lit(0))
     low = F.get(lows, F.col("_zone")).cast("double")
     high = F.coalesce(F.get(lows, F.col("_zone") + 1).cast("double"), F.lit(bounds[-1]).cast("double") + 1)
-    within = F.least(F.greatest(F.floor((F.col("_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * fine), F.lit(0)), F.lit(fine - 1))
-    rows = rows.withColumn("_zone", zone).withColumn("_bucket", (F.col("_zone") * fine + within).cast("long"))
-    first = rows.groupBy("_zone", "_bucket").agg(F.min(F.struct("_id", *columns)).alias("_first"))
+    share = F.when(F.col("_null"), F.col("_id").cast("double") / float(1 << 64) + 0.5).otherwise((F.col("_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)))
+    many = F.when(F.col("_null"), F.lit(nulls)).otherwise(F.lit(fine))
+    within = F.least(F.greatest(F.floor(share * many), F.lit(0)), many - 1)
+    rows = rows.withColumn("_zone", F.when(F.col("_null"), F.lit(len(bounds))).otherwise(zone)).withColumn("_bucket", (F.col("_zone").cast("long") * fine + within).cast("long"))
+    first = rows.groupBy("_zone", "_bucket").agg(F.min(F.struct("_null", "_id", "text", "doc_id")).alias("_first"))
     zones = first.groupBy("_zone").agg(F.max("_bucket").alias("_end"))
-    # At most coarse_buckets zones; the zone before the first is the last.
+    # At most coarse_buckets + 1 zones; the zone before the first is the last.
     zones = zones.select("_zone", F.expr("coalesce(lag(_end) over (order by _zone), max(_end) over ())").alias("_before"))
     copies = first.withColumn("_own", F.expr("lag(_bucket) over (partition by _zone order by _bucket)")).join(F.broadcast(zones), "_zone")
-    copies = copies.select(F.coalesce("_own", "_before").alias("_bucket"), F.lit(1).alias("_copy"), F.col("_first._id").alias("_id"), *[F.col(f"_first.{c}").alias(c) for c in columns])
-    both = derive(rows.withColumn("_copy", F.lit(0)).drop("_zone")).unionByName(derive(copies), allowMissingColumns=True)
-    order = "partition by _bucket order by _copy, _id, " + ", ".join(columns)
-    return both.withColumn("next", F.expr(f"lead(struct({', '.join(columns + derived)})) over ({order})")).where(F.col("_copy") == 0).drop("_copy", "_bucket", "_id")
+    names = ["doc_id", "text", "_null", "_id"]
+    copies = copies.select(F.coalesce("_own", "_before").alias("_bucket"), F.lit(1).alias("_copy"), *[F.col(f"_first.{c}").alias(c) for c in names])
+    return rows.select("_bucket", F.lit(0).alias("_copy"), *names).unionByName(copies)
 
 
 def compare_with_edits(docs: DataFrame, options: FingerprintOptions = FingerprintOptions()) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose second half is the start of the next document.
 
     Null texts count as empty; repeated rows stay and follow one another; other columns are left out. A single document
-    follows itself. An empty table gives no rows.
+    follows itself. An empty table gives no rows. Equal ids are ordered by text, null ids come last, by the text's hash.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = with_next(rows, ["text"], lambda df: with_fingerprint(df, F.col("text"), "fingerprint", options), ["fingerprint"], options)
+    o = options
+    placed = in_buckets(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), o)
+    # What follows reads each bucket where it lies.
+    placed = placed.repartition("_bucket")
+    order = "partition by _bucket order by _copy, _id, text"
+    placed = placed.selectExpr("_bucket", "_copy", "doc_id", "text", f"row_number() over ({order}) as _nth", f"lead(text) over ({order}) as next")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    found = found.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"))
-    found = with_fingerprint(found, F.col("edited"), "edited_fingerprint", options)
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
+    placed = placed.select("_bucket", "_copy", "_nth", "doc_id", "text", n.cast("long").alias("n_chars"), F.when(F.col("_copy") == 0, edited).alias("edited"))
+    both = placed.select("_bucket", "_copy", "_nth", "doc_id", "n_chars", F.explode(F.array(
+        F.struct(F.lit(0).alias("_which"), F.col("text"), F.lit("").alias("sha")), F.struct(F.lit(1).alias("_which"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha"))
+    )).alias("_t")).where("_t.text is not null").select("_bucket", "_copy", "_nth", "doc_id", "n_chars", "_t._which", "_t.text", "_t.sha")
+    found = fingerprints(both, ["_bucket", "_copy", "_nth", "doc_id", "n_chars", "_which", "sha"], F.col("text"), o.parts, o.k)
+    # A row's edited text comes next, and after it the row that follows.
+    order = "partition by _bucket order by _nth, _which"
+    found = found.selectExpr("*", *[f"lead({c}, {k}) over ({order}) as {to}" for c, k, to in (("fingerprint", 1, "edited"), ("fingerprint", 2, "next"), ("sha", 1, "edited_sha256"))]).where("_which = 0 and _copy = 0")
     return found.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fingerprint")).alias("fingerprint"), as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("fingerprint")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
     )
