@@ -50,8 +50,8 @@ class NearOptions:
     rounds: int = 2
     #: Classes of a band in the parts whose least is a candidate in a round.
     part: int = 8
-    #: Classes of one band that are compared in a piece.
-    block: int = 1500
+    #: Classes of one band in a block; a piece compares two blocks.
+    block: int = 4000
 
     @property
     def many(self) -> int:
@@ -183,18 +183,22 @@ def confirmed(pairs: DataFrame, options: NearOptions) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def alike(members: DataFrame, options: NearOptions, confirm: bool) -> DataFrame:
-    """Compares a band's members (band, id, c, n, registers) whose components differ and whose sizes and estimates allow a link.
+def alike(members: DataFrame, sketches: DataFrame, options: NearOptions, texts: DataFrame | None = None) -> DataFrame:
+    """Compares a band's members (band, id, c, m: how many they are) whose components differ and whose sizes and estimates allow a link; sketches: id, n, registers.
 
-    Without confirm the ids that are in some such pair are returned (a = b = id). With it (members' column packed: texts)
-    the full sets decide, and the links returned join the components of a piece: at most one fewer than it has.
+    Without texts the ids that are in some such pair are returned (a = b = id). With them (id, packed) the full sets
+    decide, and the links returned join the components of a piece: at most one fewer than it has.
     A pair is looked at in the first band that both share. Members of a band are cut into blocks, and every two blocks are
     compared in a piece of their own, so no piece holds more than two blocks.
     """
     o, many = options, options.many
-    sized = members.join(members.groupBy("band").agg(F.ceil(F.count("*") / o.block).cast("int").alias("blocks")), "band")
-    own = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "n", "registers", *["packed"] * confirm)
+    confirm = texts is not None
+    blocks = F.ceil(F.col("m") / o.block).cast("int")
+    own = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = own.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c")
+    # What is wide joins last, so it moves once.
+    own = own.join(sketches.select("id", "n", "registers"), "id")
+    own = own.join(texts.select("id", "packed"), "id") if confirm else own
     dealt = own.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
 
     def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -333,9 +337,11 @@ class Comparison:
             if members.isEmpty():
                 break
         else:
-            members = members.join(self.sketches, "id")
-            able = materialise(alike(members, o, False).select(F.col("a").alias("id")).distinct(), ROWS)
-            self.merge(materialise(alike(members.join(able, "id", "left_semi").join(self.texts, "id"), o, True), ROWS))
+            able = materialise(alike(members, self.sketches, o).select(F.col("a").alias("id")).distinct(), ROWS)
+            release(able.sparkSession)
+            members = members.join(able, "id", "left_semi")
+            sizes = members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+            self.merge(materialise(alike(members.drop("m").join(sizes, "band"), self.sketches, o, self.texts), ROWS))
         if self.parts is None:
             return self.sketches.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
         return self.parts

@@ -120,11 +120,10 @@ def test_a_piece_sends_no_more_links_than_join_it(spark):
         w = list(words)
         w[r.randrange(60)] = f"x{k}"
         texts.append(" ".join(w))
-    o = NearOptions(shingle=2, block=40)
     docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "doc_id long, tkey long, text string")
-    rows = [(k, 7 * (o.many + 1) + o.many, k, len(s), bytearray(np.full(o.registers, EMPTY - 1 - k, np.uint16).tobytes())) for k, s in enumerate(shingle_sets(texts, 2))]
-    members = spark.createDataFrame(rows, "id long, band long, c long, n long, registers binary").join(packed_texts(docs).selectExpr("doc_id as id", "packed"), "id")
     o = NearOptions(shingle=2, block=40, least_estimate=0.0)
-    links = alike(members, o, True).collect()
+    rows = [(k, 7 * (o.many + 1) + o.many, k, len(texts), len(s), bytearray(np.full(o.registers, EMPTY - 1 - k, np.uint16).tobytes())) for k, s in enumerate(shingle_sets(texts, 2))]
+    members = spark.createDataFrame(rows, "id long, band long, c long, m long, n long, registers binary")
+    links = alike(members.select("id", "band", "c", "m"), members, o, packed_texts(docs).selectExpr("doc_id as id", "packed")).collect()
     pieces = 3  # two blocks
     assert 79 <= len(links) <= pieces * 79
