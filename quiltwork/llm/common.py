@@ -56,16 +56,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, rows: int = 0) -> DataFrame:
+def materialise(df: DataFrame, rows: int = 0, most: int = 0) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder; with rows, partitions of about so many rows at most follow.
 
-    Steps that go back and forth between small tables would else run as many tasks, and leave as many shuffle files, as
-    the session has shuffle partitions, however few rows there are.
+    Steps that go back and forth between small tables would else run as many tasks, and leave as many shuffle and
+    checkpoint files, as the session has shuffle partitions, however few rows there are. most: a known bound on the rows,
+    by which they are gathered before they are written.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    kept = df.checkpoint(eager=True)
+    kept = (df.coalesce(max(1, -(-most // rows))) if rows and most else df).checkpoint(eager=True)
     if rows:
         many = max(1, -(-kept.count() // rows))
         kept = kept.coalesce(many) if many < kept.rdd.getNumPartitions() else kept

@@ -27,16 +27,17 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (the least node reachable) for every node of links (a, b); nodes that are least are left out.
+def components(links: DataFrame, most: int = 0) -> DataFrame:
+    """node, component (the least node reachable) for every node of links (a, b; `most` rows, if known); nodes that are least are left out.
 
-    Alternates large and small stars until the links no longer change; they then join every node to the least one.
+    Alternates large and small stars until the links no longer change; they then join every node to the least one. A step
+    never makes more links than there were.
     """
-    links = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), ROWS)
+    links = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), ROWS, most)
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(links)
     while True:
-        links = materialise(_star(_star(links, False), True).distinct(), ROWS)
+        links = materialise(_star(_star(links, False), True).distinct(), ROWS, max(1, seen[0]))
         now = mark(links)
         if now == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

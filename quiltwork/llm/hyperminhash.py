@@ -207,6 +207,7 @@ def alike(members: DataFrame, sketches: DataFrame, options: NearOptions, texts:
         registers = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(len(ids), o.registers)
         packed = part.column("packed") if confirm else None
         sets: dict[int, np.ndarray] = {}
+        able = np.zeros(len(ids), bool)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [ids[:0]], [ids[:0]]
         step = max(1, 40_000 // max(1, len(right)))
@@ -222,8 +223,7 @@ def alike(members: DataFrame, sketches: DataFrame, options: NearOptions, texts:
             first = ~agree.any(axis=1) if slot == many else agree[:, : slot + 1].argmax(axis=1) == slot
             x, y = x[first], y[first]
             if not confirm:
-                a.append(ids[np.union1d(x, y).astype(np.int64)])
-                b.append(a[-1])
+                able[x] = able[y] = True
                 continue
             wanted = [k for k in np.union1d(x, y).astype(np.int64).tolist() if k not in sets]
             sets.update(zip(wanted, sets_of([packed[k].as_py() for k in wanted], o), strict=True))
@@ -232,7 +232,7 @@ def alike(members: DataFrame, sketches: DataFrame, options: NearOptions, texts:
                     a.append(ids[p : p + 1])
                     b.append(ids[q : q + 1])
                     c = np.where(c == c[q], c[p], c)  # one component from now on
-        return np.concatenate(a), np.concatenate(b)
+        return (np.concatenate(a), np.concatenate(b)) if confirm else (ids[able], ids[able])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -274,19 +274,21 @@ class Comparison:
     def __init__(self, docs: DataFrame, options: NearOptions, id_col: str, text_col: str) -> None:
         self.options = options
         self.rows = materialise(profile(docs, options, id_col, text_col), ROWS)
+        # No step has more rows than there are documents, but for the members of bands.
+        self.most = max(1, self.rows.count())
         # Ids may repeat with other texts, so a class has a number of its own (fixed by the checkpoint) beside its least row.
         classes = self.rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key")
         classes = classes.agg(F.min(F.struct("doc_id", "tkey")).alias("least"), *[F.first(x).alias(x) for x in ("n", "registers", "firsts")])
-        self.classes = materialise(classes.select("key", "least.doc_id", "least.tkey", "n", "registers", "firsts").withColumn("id", F.monotonically_increasing_id()), ROWS)
+        self.classes = materialise(classes.select("key", "least.doc_id", "least.tkey", "n", "registers", "firsts").withColumn("id", F.monotonically_increasing_id()), ROWS, self.most)
         self.rows = self.rows.drop("registers", "firsts")
         every = with_bands(self.classes, options)
         sizes = every.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-        self.members = materialise(every.join(sizes, "band").select("id", "band", "m"), ROWS)  # classes that share a band with others
+        self.members = materialise(every.join(sizes, "band").select("id", "band", "m"), ROWS, 4 * self.most)  # classes that share a band with others
         sketches = self.classes.join(self.members.select("id").distinct(), "id", "left_semi")
-        self.sketches = materialise(sketches.select("id", "doc_id", "tkey", "n", "registers"), ROWS)
+        self.sketches = materialise(sketches.select("id", "doc_id", "tkey", "n", "registers"), ROWS, self.most)
         packed = packed_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")))
         own = packed.join(self.sketches.select("doc_id", "tkey", "id"), ["doc_id", "tkey"])
-        self.texts = materialise(own.groupBy("doc_id", "tkey", "id").agg(F.first("packed").alias("packed")).select("id", "packed"))
+        self.texts = materialise(own.groupBy("doc_id", "tkey", "id").agg(F.first("packed").alias("packed")).select("id", "packed"), ROWS // 4, self.most)
         release(docs.sparkSession)
         self.compared: DataFrame | None = None
         self.parts: DataFrame | None = None
@@ -299,25 +301,25 @@ class Comparison:
     def merge(self, found: DataFrame) -> None:
         """Joins the components of linked classes (a, b)."""
         if not found.isEmpty():
-            self.parts = components(found if self.parts is None else found.union(self.parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            self.parts = components(found if self.parts is None else found.union(self.parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), 2 * self.most)
         release(found.sparkSession)
 
     def compare(self, pairs: DataFrame) -> None:
         """Confirms pairs (a, b), one for each class at most, and merges the components of those that are linked."""
         o, s = self.options, self.sketches
-        pairs = materialise(pairs, ROWS)
+        pairs = materialise(pairs, ROWS, self.most)
         self.compared = pairs if self.compared is None else self.compared.union(pairs)
         left, right = (s.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
         able = (100 * F.least("na", "nb") >= o.percent * F.greatest("na", "nb")) & (likely(o)("ra", "rb") | (F.greatest("na", "nb") <= o.small))
         pairs = pairs.join(left, "a").join(right, "b").where(able).select("a", "b")
         left, right = (self.texts.select(F.col("id").alias(x), F.col("packed").alias(f"t{x}")) for x in "ab")
-        self.merge(materialise(confirmed(pairs.join(left, "a").join(right, "b"), o), ROWS))
+        self.merge(materialise(confirmed(pairs.join(left, "a").join(right, "b"), o), ROWS // 4, self.most))
 
     def mixed(self) -> DataFrame:
         """Members of bands whose members are in several components: band, id, m, c."""
         members = self.component(self.members, "id", "c")
         open_ = members.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("band")
-        return materialise(members.join(open_, "band").select("id", "band", "m", "c"), ROWS)
+        return materialise(members.join(open_, "band").select("id", "band", "m", "c"), ROWS, 4 * self.most)
 
     def run(self) -> DataFrame:
         """node and component of the classes that are linked to another, except the least of a component."""
@@ -337,7 +339,7 @@ class Comparison:
             if members.isEmpty():
                 break
         else:
-            able = materialise(alike(members, self.sketches, o).select(F.col("a").alias("id")).distinct(), ROWS)
+            able = materialise(alike(members, self.sketches, o).select(F.col("a").alias("id")).distinct(), ROWS, self.most)
             release(able.sparkSession)
             members = members.join(able, "id", "left_semi")
             sizes = members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
