@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PLACED = "id string, page bigint, x bigint, y bigint, frame_w bigint, frame_h bigint, rotated boolean"
-Rect = tuple[int, int, int, int]  # x, y, width, height
+SIZED = f"{PLACED}, page_w bigint, page_h bigint"
+KINDS = {"id": pa.string(), "page": pa.int64(), "x": pa.int64(), "y": pa.int64(), "frame_w": pa.int64(), "frame_h": pa.int64(), "rotated": pa.bool_()}
 Item = tuple[str, int, int]  # id, padded width and height
+Placed = tuple[str, int, int, int, int, int, bool]
+#: Scores of free rectangles and orders of rows, as "best" tries them.
+SCORES = ("short", "area", "long", "bottom", "contact")
+ORDERS = tuple((name, down) for name in ("name", "width", "height", "area", "around") for down in (False, True))
 
 
 @dataclass(frozen=True)
 class FlowOptions:
-    """order: name, width, height, area or around (circumference); score: short, long, area, bottom or contact."""
+    """order: name, width, height, area, around (circumference) or best; score: short, long, area, bottom, contact or best.
+
+    A side in fixed isn't searched. constraint: any, pot, x4 or word (widths that are multiples of word).
+    """
 
     width: int = 512
     height: int = 512
@@ -27,130 +36,177 @@ class FlowOptions:
     order: str = "name"
     descending: bool = False
     score: str = "short"
+    fixed: tuple[bool, bool] = (False, False)
+    square: bool = False
+    constraint: str = "any"
+    word: int = 4
 
-    def up(self, v: int) -> int:
-        return -(-v // self.align) * self.align if self.align > 1 else v
+    def up(self, v):
+        return up_to(v, self.align)
 
+    @property
+    def inner(self) -> tuple[int, int]:
+        """Where the interior ends."""
+        return self.width - self.border, self.height - self.border
 
-Placed = tuple[str, int, int, int, int, int, bool]
+    def step(self, side: int) -> int:
+        """Sides that are searched are multiples of this."""
+        return 4 if self.constraint == "x4" else self.word if self.constraint == "word" and side == 0 else 1
 
 
-def rows_of(items: list[Item], o: FlowOptions) -> list[Placed]:
-    """From left to right, from row to row, from page to page. Items beyond the page raise an error that names them."""
-    right, bottom = o.width - o.border, o.height - o.border
-    x = y = low = o.border
-    page, out = 0, []
-    for name, w, h in items:
-        px, py = o.up(x), o.up(y)
-        if px + w > right:
-            x, y = o.border, low
-            px, py = o.up(x), o.up(y)
-        if py + h > bottom:
-            page, x, y, low = page + 1, o.border, o.border, o.border
-            px, py = o.up(x), o.up(y)
-            if px + w > right or py + h > bottom:
-                raise ValueError(f"{name} doesn't fit on a page")
-        if px + w > right:
-            raise ValueError(f"{name} doesn't fit on a page")
-        out.append((name, page, px, py, w, h, False))
-        x, low = px + w, max(low, py + h)
-    return out
+def up_to(v, step: int):
+    """The next multiple of a step; steps below 2 change nothing."""
+    return -(-v // step) * step if step > 1 else v
 
 
-def scores(kind: str) -> Callable[[Rect, int, int, list[Rect], FlowOptions], tuple]:
-    """A candidate's rank: lower is better. room is what is left of the free rectangle from the snapped origin on."""
+def misfit(name: str) -> ValueError:
+    return ValueError(f"{name} doesn't fit on a page")
 
-    def short(room: Rect, w: int, h: int, placed: list[Rect], o: FlowOptions) -> tuple:
-        a, b = room[2] - w, room[3] - h
-        return min(a, b), max(a, b)
 
-    def long(room: Rect, w: int, h: int, placed: list[Rect], o: FlowOptions) -> tuple:
-        a, b = room[2] - w, room[3] - h
-        return max(a, b), min(a, b)
+def check(items: Iterable[Item], o: FlowOptions) -> None:
+    """An error if borders leave no room or an item is larger than the page, naming up to eight of them."""
+    if min(o.inner) <= o.border:
+        raise ValueError(f"a border of {o.border} leaves no room on {o.width} x {o.height}")
+    large = [name for name, w, h in items if w > o.inner[0] - o.border or h > o.inner[1] - o.border]
+    if large:
+        raise misfit(", ".join(large[:8]) + (f" and {len(large) - 8} more" if len(large) > 8 else ""))
 
-    def area(room: Rect, w: int, h: int, placed: list[Rect], o: FlowOptions) -> tuple:
-        a, b = room[2] - w, room[3] - h
-        return a * b, min(a, b)
 
-    def bottom(room: Rect, w: int, h: int, placed: list[Rect], o: FlowOptions) -> tuple:
-        return room[1] + h, room[0] + w, min(room[2] - w, room[3] - h)
+def rows_of(items: Iterable[Item], o: FlowOptions, top: int | None = None, step: int = 0) -> list[Placed]:
+    """From left to right, from row to row, from page to page; the first row starts at top.
 
-    def contact(room: Rect, w: int, h: int, placed: list[Rect], o: FlowOptions) -> tuple:
-        x, y = room[0], room[1]
-        touch = h * ((x == 0) + (x + w == o.width)) + w * ((y == 0) + (y + h == o.height))
-        for px, py, pw, ph in placed:
-            if px == x + w or x == px + pw:
-                touch += max(0, min(py + ph, y + h) - max(py, y))
-            if py == y + h or y == py + ph:
-                touch += max(0, min(px + pw, x + w) - max(px, x))
-        return -touch, min(room[2] - w, room[3] - h)
-
-    return {"short": short, "long": long, "area": area, "bottom": bottom, "contact": contact}[kind]
+    An item goes where the row has come to, else to a new row under the lowest item, else to a new page. With a step, rows
+    and items begin at its multiples. Items beyond the page raise an error that names them.
+    """
+    right, bottom = o.inner
+    page, x, low, out = 0, o.border, o.border if top is None else top, []
+    row = up_to(low, step)
+    for name, w, h in items:
+        for where in ("row", "next row", "next page", "nowhere"):
+            if where == "next row":
+                x, row = o.border, up_to(low, step)
+            elif where == "next page":
+                page, x, row = page + 1, o.border, up_to(o.border, step)
+                low = row
+            elif where == "nowhere":
+                raise misfit(name)
+            px, py = o.up(up_to(x, step)), o.up(row)
+            if px + w <= right and py + h <= bottom:
+                break
+        out.append((name, page, px, py, w, h, False))
+        x, low = px + w, max(low, py + h)
+    return out
 
 
-def split_all(free: list[Rect], used: Rect) -> list[Rect]:
-    """Free rectangles after one is used: what it meets is split to its left, right, top and bottom; none within another stays."""
+def ranks(kind: str, room: np.ndarray, w: np.ndarray, h: np.ndarray, used: np.ndarray, o: FlowOptions) -> tuple[np.ndarray, ...]:
+    """Keys of candidates, the first weighing most; lower is better. room: x, y, width and height from the snapped origin on, a row each."""
+    x, y = room[:, 0], room[:, 1]
+    a, b = room[:, 2] - w, room[:, 3] - h
+    short, long = np.minimum(a, b), np.maximum(a, b)
+    if kind == "contact":
+        touch = h * ((x == 0).astype(int) + (x + w == o.width)) + w * ((y == 0).astype(int) + (y + h == o.height))
+        for k, s, end in ((0, h, w), (1, w, h)):  # sides that face each other along an axis, and how much of them is shared
+            p, q = used[None, :, k], used[None, :, 1 - k]
+            meets = (p == (room[:, k] + end)[:, None]) | (room[:, k, None] == p + used[None, :, 2 + k])
+            shared = np.minimum(q + used[None, :, 3 - k], (room[:, 1 - k] + s)[:, None]) - np.maximum(q, room[:, 1 - k, None])
+            touch = touch + (meets * np.maximum(shared, 0)).sum(axis=1)
+        return -touch, short
+    return {"short": (short, long), "long": (long, short), "area": (a * b, short), "bottom": (y + h, x + w, short)}[kind]
+
+
+def strips(free: np.ndarray, used: np.ndarray, columns: bool) -> np.ndarray:
+    """What an item leaves of a free rectangle, tiled: full-height columns beside it and its own column's ends, or the same by rows."""
+    if not columns:
+        turned = [1, 0, 3, 2]
+        return strips(free[turned], used[turned], True)[:, turned]
+    x, y, w, h = free
     ux, uy, uw, uh = used
-    kept, new = [], []
-    for r in free:
-        x, y, w, h = r
-        if ux >= x + w or ux + uw <= x or uy >= y + h or uy + uh <= y:
-            kept.append(r)
-            continue
-        parts = ((x, y, ux - x, h), (ux + uw, y, x + w - ux - uw, h), (x, y, w, uy - y), (x, uy + uh, w, y + h - uy - uh))
-        new.extend(p for p in parts if p[2] > 0 and p[3] > 0)
-    new = list(dict.fromkeys(new))
-    holds = lambda a, b: a[0] <= b[0] and a[1] <= b[1] and a[0] + a[2] >= b[0] + b[2] and a[1] + a[3] >= b[1] + b[3]
-    # What stays was maximal before, so only new pieces can lie within others.
-    new = [p for p in new if not any(q is not p and holds(q, p) for q in new) and not any(holds(q, p) for q in kept)]
-    return kept + new
-
-
-def cut(free: list[Rect], at: int, used: Rect) -> list[Rect]:
-    """Free rectangles after a guillotine cut of one: the direction that leaves the larger piece."""
-    x, y, w, h = free[at]
-    ux, uy, uw, uh = used
-    rest = free[:at] + free[at + 1 :]
-    if (ux, uy) != (x, y):
-        parts = [(x, y, ux - x, h), (ux + uw, y, x + w - ux - uw, h), (ux, y, uw, uy - y), (ux, uy + uh, uw, y + h - uy - uh)]
-    else:
-        right, below = w - uw, h - uh
-        if max(uw * below, right * h) >= max(w * below, right * uh):
-            parts = [(x, y + uh, uw, below), (x + uw, y, right, h)]
-        else:
-            parts = [(x, y + uh, w, below), (x + uw, y, right, uh)]
-    return rest + [p for p in parts if p[2] > 0 and p[3] > 0]
-
-
-def free_rectangles(items: Iterable[Item], o: FlowOptions, guillotine: bool) -> list[Placed]:
-    """Items by descending area, each on the newest page with room, at the best free rectangle, turned if that is better."""
-    score, pages, out = scores(o.score), [], []
-    start = (o.border, o.border, o.width - 2 * o.border, o.height - 2 * o.border)
+    found = np.array([(x, y, ux - x, h), (ux, y, uw, uy - y), (ux, uy + uh, uw, y + h - uy - uh), (ux + uw, y, x + w - ux - uw, h)])
+    return found[(found[:, 2:] > 0).all(axis=1)]
+
+
+class Page:
+    """The free rectangles of a page, in the order in which equal scores are settled, and what is on it."""
+
+    def __init__(self, o: FlowOptions, guillotine: bool) -> None:
+        self.o, self.guillotine = o, guillotine
+        self.free = np.array([(o.border, o.border, o.inner[0] - o.border, o.inner[1] - o.border)], np.int64)
+        self.used = np.zeros((0, 4), np.int64)
+
+    def spot(self, w: int, h: int) -> tuple[int, np.ndarray, bool] | None:
+        """The best free rectangle for an item, the item's rectangle, and whether it is turned."""
+        o = self.o
+        if not len(self.free):
+            return None
+        corner = o.up(self.free[:, :2])
+        room = np.hstack([corner, self.free[:, :2] + self.free[:, 2:] - corner])
+        turns = 2 if o.rotate and w != h else 1
+        # Free rectangles in order, and of each the item as it is before the item turned.
+        at, turned = np.repeat(np.arange(len(room)), turns), np.tile(np.arange(turns), len(room))
+        tw, th = np.where(turned, h, w), np.where(turned, w, h)
+        able = np.flatnonzero((tw <= room[at, 2]) & (th <= room[at, 3]))
+        if not len(able):
+            return None
+        at, turned, tw, th = at[able], turned[able], tw[able], th[able]
+        best = np.lexsort(ranks(o.score, room[at], tw, th, self.used, o)[::-1])[0]
+        k = at[best]
+        return int(k), np.array([room[k, 0], room[k, 1], tw[best], th[best]]), bool(turned[best])
+
+    def take(self, k: int, used: np.ndarray) -> None:
+        self.free = self.cut(k, used) if self.guillotine else self.carved(used)
+        self.used = np.vstack([self.used, used])
+
+    def cut(self, k: int, used: np.ndarray) -> np.ndarray:
+        """The rest of one free rectangle is tiled so that the largest tile is as large as can be (by columns if both are); tiles go last, from left to right. Items off the corner are cut by columns."""
+        free = self.free[k]
+        by = [strips(free, used, columns) for columns in ((True, False) if (free[:2] == used[:2]).all() else (True,))]
+        tiles = max(by, key=lambda t: (t[:, 2] * t[:, 3]).max(initial=0))
+        return np.vstack([np.delete(self.free, k, axis=0), tiles[np.lexsort((tiles[:, 1], tiles[:, 0]))]])
+
+    def carved(self, used: np.ndarray) -> np.ndarray:
+        """Every free rectangle that meets the item gives way to the maximal ones beside it: left, right, above, below. None within another stays."""
+        f = self.free
+        ends, far = f[:, :2] + f[:, 2:], used[:2] + used[2:]
+        met = ((used[:2] < ends) & (f[:, :2] < far)).all(axis=1)
+        x, y, w, h = f[met].T
+        sides = np.stack([
+            np.stack([x, y, used[0] - x, h], 1), np.stack([np.full_like(x, far[0]), y, x + w - far[0], h], 1),
+            np.stack([x, y, w, used[1] - y], 1), np.stack([x, np.full_like(y, far[1]), w, y + h - far[1]], 1),
+        ], 1).reshape(-1, 4)
+        # A piece stands where its parent stood.
+        order = np.concatenate([np.flatnonzero(~met) * 4, (np.flatnonzero(met)[:, None] * 4 + np.arange(4)).ravel()])
+        every, new = np.vstack([f[~met], sides]), np.append(np.zeros((~met).sum(), bool), np.ones(len(sides), bool))
+        keep = (every[:, 2:] > 0).all(axis=1)
+        every, new, order = every[keep], new[keep], order[keep]
+        by = np.argsort(order)
+        every, new = every[by], new[by]
+        # What wasn't met was maximal before, so only new pieces can lie within others; of equal ones the first stays.
+        low, high = every[:, :2], every[:, :2] + every[:, 2:]
+        inside = (low[None, :] <= low[new][:, None]).all(axis=2) & (high[None, :] >= high[new][:, None]).all(axis=2)
+        own = np.flatnonzero(new)
+        equal = inside & (every[None, :] == every[new][:, None]).all(axis=2)
+        inside &= ~equal | (np.arange(len(every))[None, :] < own[:, None])
+        return np.delete(every, own[inside.any(axis=1)], axis=0)
+
+
+def free_rectangles(items: Iterable[Item], o: FlowOptions, guillotine: bool, pages: int | None = None) -> list[Placed] | None:
+    """Items by descending area, each on the newest page with room, at the best free rectangle, turned if that is better. With a number of pages, None if more are needed."""
+    open_: list[Page] = []
+    out = []
     for name, w, h in sorted(items, key=lambda i: -i[1] * i[2]):
-        turns = [(w, h, False)] + ([(h, w, True)] if o.rotate and w != h else [])
-        placed = False
-        for n in [*range(len(pages) - 1, -1, -1), None]:
-            if n is None:
-                pages.append(([start], []))
-                n = len(pages) - 1
-            free, used = pages[n]
-            best = None
-            for at, (x, y, fw, fh) in enumerate(free):
-                px, py = o.up(x), o.up(y)
-                room = (px, py, x + fw - px, y + fh - py)
-                for tw, th, turned in turns:
-                    if tw <= room[2] and th <= room[3]:
-                        rank = score(room, tw, th, used, o)
-                        if best is None or rank < best[0]:
-                            best = (rank, at, (px, py, tw, th), turned)
-            if best:
-                _, at, rect, turned = best
-                pages[n] = (cut(free, at, rect) if guillotine else split_all(free, rect), [*used, rect] if o.score == "contact" else used)
-                out.append((name, n, *rect, turned))
-                placed = True
+        for n in range(len(open_) - 1, -1, -1):
+            if found := open_[n].spot(w, h):
                 break
-        if not placed:
-            raise ValueError(f"{name} doesn't fit on a page")
+        else:
+            n = len(open_)
+            if n == pages:
+                return None
+            open_.append(Page(o, guillotine))
+            if not (found := open_[n].spot(w, h)):
+                raise misfit(name)
+        k, rect, turned = found
+        open_[n].take(k, rect)
+        out.append((name, n, *(int(v) for v in rect), turned))
     return out
 
 
@@ -161,117 +217,193 @@ def ordered(rows: list[tuple[int, str, int, int]], o: FlowOptions) -> list[Item]
     return [(i, w + 2 * o.padding, h + 2 * o.padding) for _, i, w, h in rows]
 
 
+def extents(placed: list[Placed]) -> dict[int, tuple[int, int]]:
+    """Of each page where its content ends."""
+    out: dict[int, tuple[int, int]] = {}
+    for _, page, x, y, w, h, _ in placed:
+        a, b = out.get(page, (0, 0))
+        out[page] = max(a, x + w), max(b, y + h)
+    return out
+
+
+def tightest(tries: Iterator[list[Placed] | None]) -> list[Placed] | None:
+    """The fewest pages, then the least sum of content areas; the first of equal ones."""
+    able = [t for t in tries if t is not None]
+    size = lambda placed: ((e := extents(placed)) and len(e), sum(a * b for a, b in e.values()))
+    return min(able, key=size) if able else None
+
+
+def placed_as(rows: list[tuple[int, str, int, int]], how: str, o: FlowOptions, pages: int | None = None) -> list[Placed] | None:
+    """The placement of (ord, id, w, h); how: rows, maxrects or guillotine. With a number of pages, None if more are needed."""
+    if how == "rows":
+        tries = [replace(o, order=order, descending=down) for order, down in ORDERS] if o.order == "best" else [o]
+        found = tightest(rows_of(ordered(rows, t), t) for t in tries)
+        return None if pages is not None and found and max(p[1] for p in found) >= pages else found
+    items = ordered(rows, replace(o, order="name", descending=False) if o.order == "best" else o)
+    return tightest(free_rectangles(items, replace(o, score=s), how == "guillotine", pages) for s in (SCORES if o.score == "best" else [o.score]))
+
+
+def smallest(rows: list[tuple[int, str, int, int]], how: str, o: FlowOptions, passes: int) -> FlowOptions:
+    """The smallest page found that holds all rows: each pass bisects the width, then the height, until a pass changes nothing.
+
+    A side is tried only if the items' area and largest side allow it.
+    """
+    pad, best = 2 * o.padding, [o.width, o.height]
+    least = [max(r[2 + k] for r in rows) + pad + 2 * o.border for k in (0, 1)]
+    area = sum((r[2] + pad) * (r[3] + pad) for r in rows)
+
+    def holds(size: list[int]) -> bool:
+        own = replace(o, width=size[0], height=size[1])
+        if o.square and size[0] != size[1] or (own.inner[0] - o.border) * (own.inner[1] - o.border) < area:
+            return False
+        try:
+            return placed_as(rows, how, own, 1) is not None
+        except ValueError:
+            return False
+
+    def sides(k: int) -> list[int]:
+        """Values that a side may take, ascending, the present one last."""
+        if o.constraint == "pot":
+            return [v for v in (1 << b for b in range(32)) if least[k] <= v < best[k]] + [best[k]]
+        return list(range(up_to(least[k], o.step(k)), best[k], o.step(k))) + [best[k]]
+
+    for _ in range(passes):
+        before = list(best)
+        for k in (0, 1):
+            if o.fixed[k] or not holds(best):
+                continue
+            able, low, high = sides(k), 0, len(sides(k)) - 1
+            while low < high:
+                middle = (low + high) // 2
+                tried = list(best)
+                tried[k] = able[middle]
+                low, high = (low, middle) if holds(tried) else (middle + 1, high)
+            best[k] = able[high]
+        if best == before:
+            break
+    return replace(o, width=best[0], height=best[1])
+
+
+def page_size(o: FlowOptions, content: tuple[int, int], alone: bool) -> tuple[int, int]:
+    """A page's final size: a page that is alone shrinks to its content, rounded up as the constraint asks, or down where that would exceed the largest page, but never below the content."""
+    limits = o.width, o.height
+    if not alone:
+        return limits
+    size = [limits[k] if o.fixed[k] else content[k] + o.border for k in (0, 1)]
+    size = [max(size)] * 2 if o.square else size
+    out = []
+    for k, v in enumerate(size):
+        if not o.fixed[k]:
+            wanted = 1 << (v - 1).bit_length() if o.constraint == "pot" else up_to(v, o.step(k))
+            below = 1 << (limits[k].bit_length() - 1) if o.constraint == "pot" else limits[k] // o.step(k) * o.step(k)
+            v = wanted if wanted <= limits[k] else max(below, v)
+        out.append(max(v, 1))
+    return out[0], out[1]
+
+
+def grouped(df: DataFrame, group: str, columns: list[str], place: Callable[[list[tuple]], list[tuple]], schema: str = PLACED, more: tuple[str, ...] = ()) -> DataFrame:
+    """place() of the rows of each group, in columns; its tuples become rows of group and schema."""
+
+    def run(part: pa.Table) -> pa.Table:
+        name = part.column(group)[0]
+        placed = place(list(zip(*(part.column(c).to_pylist() for c in columns), strict=True)))
+        kinds = KINDS | {m: pa.int64() for m in more}
+        made = list(zip(*placed, strict=True)) if placed else [[]] * len(kinds)
+        return pa.table({group: pa.array([name.as_py()] * len(placed), name.type)} | {n: pa.array(c, kind) for (n, kind), c in zip(kinds.items(), made, strict=True)})
+
+    return df.select(group, *columns).groupBy(group).applyInArrow(run, f"{group} {dict(df.dtypes)[group]}, {schema}")
+
+
+ITEM = ["ord", "id", "w", "h"]
+
+
 def pack(df: DataFrame, group: str, how: str, options: FlowOptions = FlowOptions()) -> DataFrame:
     """group and the placement of each item of df (id, w, h, ord); how: rows, maxrects or guillotine.
 
     Each group is a page set of its own. An item that no page can hold is an error that names it.
     """
-    o = options
-
-    def place(part: pa.Table) -> pa.Table:
-        name = part.column(group)[0]
-        items = ordered(list(zip(*(part.column(c).to_pylist() for c in ("ord", "id", "w", "h")), strict=True)), o)
-        placed = rows_of(items, o) if how == "rows" else free_rectangles(items, o, how == "guillotine")
-        columns = list(zip(*placed, strict=True))
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        names = ["id", "page", "x", "y", "frame_w", "frame_h", "rotated"]
-        return pa.table({group: pa.array([name.as_py()] * len(placed), name.type)} | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
-
-    return df.select(group, "ord", "id", "w", "h").groupBy(group).applyInArrow(place, f"{group} {dict(df.dtypes)[group]}, {PLACED}")
+    return grouped(df, group, ITEM, lambda rows: placed_as(rows, how, options))
 
 
 def best_rows(df: DataFrame, group: str, options: FlowOptions = FlowOptions()) -> DataFrame:
     """pack(how rows) under each of ten orders, and of each group the tightest: fewest pages, then least area of extents; the first tried wins ties."""
-    tried = None
-    for k, (order, down) in enumerate((name, d) for name in ("name", "width", "height", "area", "around") for d in (False, True)):
-        one = pack(df, group, "rows", replace(options, order=order, descending=down)).withColumn("tried", F.lit(k))
-        tried = one if tried is None else tried.union(one)
-    pages = tried.groupBy(group, "tried", "page").agg((F.max(F.col("x") + F.col("frame_w")) * F.max(F.col("y") + F.col("frame_h"))).alias("area"))
-    best = pages.groupBy(group, "tried").agg(F.count("*").alias("pages"), F.sum("area").alias("area")).groupBy(group).agg(F.min(F.struct("pages", "area", "tried")).alias("best"))
-    return tried.join(best.select(group, F.col("best.tried").alias("tried")), [group, "tried"])
+    return pack(df, group, "rows", replace(options, order="best"))
+
+
+#: Passes of the size search by mode.
+MODES = {"fast": 0, "good": 1, "best": 4}
+
+
+def pack_pages(df: DataFrame, group: str, how: str = "maxrects", options: FlowOptions = FlowOptions(score="best"), mode: str = "good") -> DataFrame:
+    """The whole placement: pack() with checks that name what can't fit, a search for the smallest page, and each page's final width and height.
+
+    Only groups that take one page are searched, in the sides that aren't fixed. Pages of other groups keep the given size.
+    Of rows with null sizes or ids none may be present; an empty table gives no rows.
+    """
+    o = options
+
+    def place(rows: list[tuple]) -> list[tuple]:
+        pad = 2 * o.padding
+        check([(i, w + pad, h + pad) for _, i, w, h in rows], o)
+        placed = placed_as(rows, how, o)
+        alone = max(p[1] for p in placed) == 0
+        if alone and MODES[mode] and not all(o.fixed):
+            placed = placed_as(rows, how, smallest(rows, how, o, MODES[mode]))
+        ends = extents(placed)
+        sizes = {page: page_size(o, content, alone) for page, content in ends.items()}
+        return [(*p, *sizes[p[1]]) for p in placed]
+
+    return grouped(df, group, ITEM, place, SIZED, ("page_w", "page_h"))
 
 
 def manual_rows(items: list[tuple[str, int, int, int | None, int | None]], o: FlowOptions, step: int = 0) -> list[Placed]:
-    """Items (id, padded w and h, wanted x and y or null): those with a wish where they wish, the others in rows below.
+    """Items (id, padded w and h, wanted x and y or null): those with a wish where they wish, the others in rows under the lowest of them.
 
-    Wishes are kept within the page and moved to the alignment, up if that fits and down otherwise. With a step, rows and
-    items of the others begin at its multiples. Items go by descending area, then id.
+    Items go by descending area, then descending id. A wish counts from the border on; it is moved into the page, then to
+    the next multiple of the alignment or, where that leaves the page, to the one before.
     """
-    low, out, free = o.border, [], []
-    iw, ih = o.width - 2 * o.border, o.height - 2 * o.border
-    down = lambda v: v // o.align * o.align if o.align > 1 else v
-    for name, w, h, x, y in sorted(items, key=lambda i: (i[1] * i[2], i[0]), reverse=True):
-        if w > iw or h > ih:
-            raise ValueError(f"{name} doesn't fit on a page")
-        if x is None or y is None:
-            free.append((name, w, h))
-            continue
-        fx, fy = min(max(x, 0), iw - w), min(max(y, 0), ih - h)
-        px, py = o.up(o.border + fx), o.up(o.border + fy)
-        if px + w > o.border + iw or py + h > o.border + ih:
-            px, py = o.border + down(fx), o.border + down(fy)
-        out.append((name, 0, px, py, w, h, False))
-        low = max(low, py + h)
-    snap = lambda v: -(-v // step) * step if step > 1 else v
-    page, x, y = 0, o.border, snap(low)
-    low = y
-    for name, w, h in free:
-        px, py = o.up(snap(x)), o.up(y)
-        if px + w > o.border + iw:
-            x, y = o.border, snap(low)
-            px, py = o.up(snap(x)), o.up(y)
-        if py + h > o.border + ih:
-            page, x, y = page + 1, o.border, snap(o.border)
-            low = y
-            px, py = o.up(snap(x)), o.up(y)
-            if px + w > o.border + iw or py + h > o.border + ih:
-                raise ValueError(f"{name} doesn't fit on a page")
-        out.append((name, page, px, py, w, h, False))
-        x, low = px + w, max(low, py + h)
-    return out
+    check([i[:3] for i in items], o)
+    items = sorted(items, key=lambda i: (i[1] * i[2], i[0]), reverse=True)
+    wishes = [i for i in items if None not in i[3:]]
+    wished = []
+    if wishes:
+        size, want = (np.array([i[a:b] for i in wishes], np.int64) for a, b in ((1, 3), (3, 5)))
+        room = np.array(o.inner) - o.border - size  # the farthest place that a wish may name
+        want = np.clip(want, 0, room)
+        over = (o.up(o.border + want) > o.border + room).any(axis=1, keepdims=True)
+        spot = np.where(over, o.border + (want // o.align * o.align if o.align > 1 else want), o.up(o.border + want))
+        wished = [(name, 0, int(x), int(y), w, h, False) for (name, w, h, _, _), (x, y) in zip(wishes, spot, strict=True)]
+    low = max((y + h for _, _, _, y, _, h, _ in wished), default=o.border)
+    return wished + rows_of([i[:3] for i in items if None in i[3:]], o, max(low, o.border), step)
 
 
 def pack_manual(df: DataFrame, group: str, options: FlowOptions = FlowOptions(), step: int = 0) -> DataFrame:
     """pack() for items (id, w, h, want_x, want_y) of which some say where they want to be."""
-    o = options
-
-    def place(part: pa.Table) -> pa.Table:
-        name, pad = part.column(group)[0], 2 * o.padding
-        items = [(i, w + pad, h + pad, x, y) for i, w, h, x, y in zip(*(part.column(c).to_pylist() for c in ("id", "w", "h", "want_x", "want_y")), strict=True)]
-        columns = list(zip(*manual_rows(items, o, step), strict=True))
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        names = ["id", "page", "x", "y", "frame_w", "frame_h", "rotated"]
-        return pa.table({group: pa.array([name.as_py()] * len(items), name.type)} | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
-
-    return df.select(group, "id", "w", "h", "want_x", "want_y").groupBy(group).applyInArrow(place, f"{group} {dict(df.dtypes)[group]}, {PLACED}")
+    pad = 2 * options.padding
+    return grouped(df, group, ["id", "w", "h", "want_x", "want_y"], lambda rows: manual_rows([(i, w + pad, h + pad, x, y) for i, w, h, x, y in rows], options, step))
 
 
 def smallest_page(df: DataFrame, group: str, sides: list[int], options: FlowOptions = FlowOptions()) -> DataFrame:
-    """The free-rectangle placement of each group on the smallest page that holds it whole.
+    """The free-rectangle placement of each group on the smallest page, of the given sides, that holds it whole: group, width, height and the placement.
 
-    Every pair of sides is a row and a task of its own; of those where all items share a page the one with the least area
-    wins, then the least perimeter, then the least width. Groups that no page holds are left out.
+    Sizes are tried by area, then circumference, then width, until one holds all; those that the items' area or largest
+    side rules out aren't. Groups that no page holds are left out.
     """
-    tried = df.select(group, "ord", "id", "w", "h", F.explode(F.array(*[F.struct(F.lit(w).alias("width"), F.lit(h).alias("height")) for w in sides for h in sides])).alias("_s")).select("*", "_s.width", "_s.height").drop("_s")
-    kind = dict(df.dtypes)[group]
-
-    def place(part: pa.Table) -> pa.Table:
-        name, width, height = (part.column(c)[0] for c in (group, "width", "height"))
-        own = replace(options, width=width.as_py(), height=height.as_py())
-        items = ordered(list(zip(*(part.column(c).to_pylist() for c in ("ord", "id", "w", "h")), strict=True)), own)
-        room = (own.width - 2 * own.border) * (own.height - 2 * own.border)
-        try:
-            placed = free_rectangles(items, own, False) if sum(w * h for _, w, h in items) <= room else []
-        except ValueError:
-            placed = []
-        placed = placed if all(p[1] == 0 for p in placed) else []
-        columns = list(zip(*placed, strict=True)) if placed else [[]] * 7
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        names = ["id", "page", "x", "y", "frame_w", "frame_h", "rotated"]
-        first = {group: pa.array([name.as_py()] * len(placed), name.type), "width": pa.array([width.as_py()] * len(placed), pa.int32()), "height": pa.array([height.as_py()] * len(placed), pa.int32())}
-        return pa.table(first | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
-
-    found = tried.groupBy(group, "width", "height").applyInArrow(place, f"{group} {kind}, width int, height int, {PLACED}")
-    size = F.struct((F.col("width") * F.col("height")).alias("area"), (F.col("width") + F.col("height")).alias("around"), "width", "height")
-    best = found.groupBy(group).agg(F.min(size).alias("_b")).select(group, F.col("_b.width").alias("width"), F.col("_b.height").alias("height"))
-    return found.join(best, [group, "width", "height"])
+    sizes = sorted(((w, h) for w in sides for h in sides), key=lambda s: (s[0] * s[1], s[0] + s[1], s[0]))
+
+    def place(rows: list[tuple]) -> list[tuple]:
+        for width, height in sizes:
+            o = replace(options, width=width, height=height)
+            items = ordered(rows, o)
+            a, b = o.inner[0] - o.border, o.inner[1] - o.border
+            if sum(w * h for _, w, h in items) > a * b or any(min(w, h) > min(a, b) or max(w, h) > max(a, b) for _, w, h in items):
+                continue
+            try:
+                if (placed := free_rectangles(items, o, False, 1)) is not None:
+                    return [(*p, width, height) for p in placed]
+            except ValueError:
+                continue
+        return []
+
+    found = grouped(df, group, ITEM, place, f"{PLACED}, width bigint, height bigint", ("width", "height"))
+    return found.select(group, F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), *KINDS)

@@ -109,7 +109,7 @@ def maxrects_pack(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def guillotine_pack(spark: SparkSession, d: str) -> DataFrame:
-    return flow.pack(sprites(spark, d), "folder", "guillotine", flow.FlowOptions(score="area"))
+    return flow.pack(sprites(spark, d), "folder", "guillotine")
 
 
 @query(_AUDIT)
@@ -725,11 +725,38 @@ def manual_flow_audit(spark: SparkSession, d: str) -> DataFrame:
     return _audited(flow.pack_manual(wishes, "folder"))
 
 
+def _by_brand(spark: SparkSession, d: str) -> DataFrame:
+    return sprites(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("ord"), "p_brand"), "ord")
+
+
 @query()
 def page_size_search(spark: SparkSession, d: str) -> DataFrame:
     """Sprites of each brand on the smallest page of powers of two that holds them."""
-    by_brand = sprites(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("ord"), "p_brand"), "ord")
-    return flow.smallest_page(by_brand, "p_brand", [64, 128, 256, 512, 1024])
+    return flow.smallest_page(_by_brand(spark, d), "p_brand", [64, 128, 256, 512, 1024])
+
+
+@query()
+def pack_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole placement of each brand's sprites: the best of all scores, on the smallest page that a search finds."""
+    return flow.pack_pages(_by_brand(spark, d), "p_brand", "maxrects", flow.FlowOptions(width=2048, height=2048))
+
+
+@query("SELECT p_brand, count(*) AS sprites, CAST(0 AS BIGINT) AS beyond, CAST(0 AS BIGINT) AS overlaps, true AS compact FROM part GROUP BY p_brand")
+def pack_search_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Of each brand: nothing beyond its page, nothing overlaps, and, if it is alone, its page is at most a third larger than its sprites."""
+    placed = pack_search(spark, d)
+    beyond = ((F.col("x") + F.col("frame_w") > F.col("page_w")) | (F.col("y") + F.col("frame_h") > F.col("page_h"))).cast("long")
+    compact = (F.max("page") > 0) | (F.max(F.col("page_w") * F.col("page_h")) <= F.sum(F.col("frame_w") * F.col("frame_h")) * 4 / 3 + 4096)
+    found = placed.groupBy("p_brand").agg(F.count("*").alias("sprites"), F.sum(beyond).alias("beyond"), compact.alias("compact"))
+    pairs = packing.overlaps(placed, ["p_brand", "page"]).groupBy("p_brand").agg(F.count("*").alias("overlaps"))
+    return found.join(pairs, "p_brand", "left").select("p_brand", "sprites", "beyond", F.coalesce("overlaps", F.lit(0).cast("long")).alias("overlaps"), "compact")
+
+
+@query()
+def pack_600(spark: SparkSession, d: str) -> DataFrame:
+    """600 sprites of 64 by 64 on the smallest page that a search finds, with one score."""
+    sprites_ = spark.range(600).select(F.lit("all").alias("folder"), F.col("id").alias("ord"), F.concat(F.lit("s"), F.col("id")).alias("id"), F.lit(64).cast("long").alias("w"), F.lit(64).cast("long").alias("h"))
+    return flow.pack_pages(sprites_, "folder", "maxrects", flow.FlowOptions(width=4096, height=4096))
 
 
 @query(f"WITH {PIXELS}, m AS (SELECT vec_id, sum(r) // count(*) AS r, sum(g) // count(*) AS g, sum(b + 30) // count(*) AS b FROM pixels WHERE a <> 0 GROUP BY vec_id) SELECT vec_id, b > r AND b > g AND b >= 160 AND abs(r - 128) <= 48 AND abs(g - 128) <= 48 AS is_normal FROM m")

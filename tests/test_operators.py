@@ -43,6 +43,85 @@ def test_items_that_fit_nowhere_are_named():
         flow.rows_of([("a", 4, 4), ("huge", 64, 4)], flow.FlowOptions(width=32, height=32))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 20), st.integers(1, 20)), max_size=25))
+def test_the_lowest_place_is_the_one_that_a_search_of_all_places_finds(sizes):
+    """Without turns, the bottom score takes the first place, by lower edge and then by right edge, that is free on the newest page that has one."""
+    o = flow.FlowOptions(width=40, height=32, score="bottom", rotate=False)
+    pages, want = [], []
+    for k, (w, h) in sorted(enumerate(sizes), key=lambda s: -s[1][0] * s[1][1]):
+        for n in [*range(len(pages) - 1, -1, -1), len(pages)]:
+            if n == len(pages):
+                pages.append(np.zeros((32, 40), bool))
+            spots = [(y, x) for y in range(33 - h) for x in range(41 - w) if not pages[n][y : y + h, x : x + w].any()]
+            if spots:
+                y, x = min(spots)
+                pages[n][y : y + h, x : x + w] = True
+                want.append((f"s{k}", n, x, y))
+                break
+    assert [p[:4] for p in flow.free_rectangles([(f"s{k}", w, h) for k, (w, h) in enumerate(sizes)], o, False)] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 20), st.integers(1, 20)), min_size=1, max_size=20), st.booleans(), st.sampled_from([0, 3]))
+def test_free_rectangles_are_what_is_left(sizes, guillotine, align):
+    """Cuts tile what is free; carved rectangles cover it, are maximal and none lies within another."""
+    page, taken = flow.Page(flow.FlowOptions(width=50, height=40, align=align), guillotine), np.zeros((40, 50), int)
+    for w, h in sizes:
+        if found := page.spot(w, h):
+            page.take(found[0], found[1])
+            x, y, tw, th = found[1]
+            assert not taken[y : y + th, x : x + tw].any()
+            taken[y : y + th, x : x + tw] = 1
+    free = np.zeros((40, 50), int)
+    for x, y, w, h in page.free:
+        assert not taken[y : y + h, x : x + w].any()
+        free[y : y + h, x : x + w] += 1
+        if not guillotine:
+            assert all(taken[a:b, c:d].any() or not (0 <= c and d <= 50 and 0 <= a and b <= 40) for a, b, c, d in ((y, y + h, x - 1, x), (y, y + h, x + w, x + w + 1), (y - 1, y, x, x + w), (y + h, y + h + 1, x, x + w)))
+    assert ((free > 0) == (taken == 0)).all() and (not guillotine or free.max() <= 1)
+
+
+def test_the_larger_tile_decides_a_cut():
+    free, item = np.array([0, 0, 10, 20]), np.array([0, 0, 4, 5])
+    page = flow.Page(flow.FlowOptions(width=10, height=20), True)
+    page.take(0, item)
+    assert page.free.tolist() == [[0, 5, 10, 15], [4, 0, 6, 5]]  # 150 by rows beats 120 by columns
+    assert flow.strips(free, item, True).tolist() == [[0, 5, 4, 15], [4, 0, 6, 20]]
+
+
+def test_the_best_of_all_scores_and_the_size_search():
+    r = random.Random(5)
+    rows = [(k, f"s{k}", r.randrange(3, 30), r.randrange(3, 30)) for k in range(60)]
+    o = flow.FlowOptions(width=100, height=90, padding=0)
+    tries = [flow.placed_as(rows, "maxrects", flow.FlowOptions(width=100, height=90, padding=0, score=s)) for s in flow.SCORES]
+    size = lambda p: (len(flow.extents(p)), sum(a * b for a, b in flow.extents(p).values()))
+    best = flow.placed_as(rows, "maxrects", flow.replace(o, score="best"))
+    assert size(best) == min(map(size, tries))
+    for constraint, fits in (("any", lambda v: True), ("x4", lambda v: v % 4 == 0), ("pot", lambda v: v & (v - 1) == 0)):
+        own = flow.smallest(rows, "maxrects", flow.FlowOptions(width=1024, height=1024, padding=0, constraint=constraint), 4)
+        assert fits(own.width) and fits(own.height) and own.width * own.height < 1024 * 1024
+        placed = flow.placed_as(rows, "maxrects", own, 1)
+        assert placed and flow.placed_as(rows, "maxrects", flow.replace(own, height=own.height - max(1, own.step(1)) if constraint != "pot" else own.height // 2), 1) is None
+
+
+def test_whole_placement(spark):
+    r = random.Random(6)
+    rows = [(f"f{k % 3}", k, f"s{k}", r.randrange(3, 30), r.randrange(3, 30)) for k in range(60)]
+    df = spark.createDataFrame(rows, "folder string, ord long, id string, w long, h long")
+    for mode in ("fast", "good"):
+        for found in (flow.pack_pages(df, "folder", how, flow.FlowOptions(width=200, height=200, score="best", constraint="x4"), mode).collect() for how in ("maxrects", "guillotine", "rows")):
+            assert sorted(x.id for x in found) == sorted(x[2] for x in rows)
+            assert all(x.x + x.frame_w <= x.page_w <= 200 and x.y + x.frame_h <= x.page_h <= 200 and x.page_w % 4 == 0 for x in found)
+            for k, a in enumerate(found):
+                assert not any(a.folder == b.folder and a.page == b.page and met(a[1:], b[1:]) for b in found[:k])
+    assert flow.pack_pages(df.limit(0), "folder").collect() == []
+    with pytest.raises(Exception, match="s3"):
+        flow.pack_pages(df.where("id = 's3'"), "folder", options=flow.FlowOptions(width=4, height=4)).collect()
+    with pytest.raises(Exception, match="no room"):
+        flow.pack_pages(df, "folder", options=flow.FlowOptions(width=16, height=16, border=8)).collect()
+
+
 def test_rows_wrap_and_turn_pages():
     placed = flow.rows_of([(str(k), 10, 6) for k in range(7)], flow.FlowOptions(width=20, height=12))
     assert [(p[1], p[2], p[3]) for p in placed] == [(0, 0, 0), (0, 10, 0), (0, 0, 6), (0, 10, 6), (1, 0, 0), (1, 10, 0), (1, 0, 6)]
