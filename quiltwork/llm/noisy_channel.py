@@ -32,6 +32,8 @@ LEET = {
 MASKS, GAPS = "*#_%", ".-_*~'’·"
 CLASSES = 28  # 0: no letter; 1 to 26: a to z; 27: any other letter
 MEMO_WORDS = 200_000
+#: States that decoding carries on, the likeliest ones: a bound for signs that may stand for any letter, of which a few in a row leave hundreds.
+BEAM = 64
 #: Shorter texts count as this long.
 LEAST_TOKENS = 40
 
@@ -104,7 +106,24 @@ class Restorer:
     ANY_LETTER, SIGN_AFTER, SIGN_BEFORE = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+(<{¡€£§*#_%.\-~'’·]"), re.compile(r"[0-9@$!|+(<{¡€£§]")
     THRICE = re.compile(r"([^\W\d_])\1\1")
     TRIPLE = re.compile(r"(.)\1\1", re.I)
-    EDGE = re.compile(r"^[\"'“”„«»(\[{.,;:?]+|[\"'“”„«»)\]}.,;:?!]+$|(?:([#&%*$!])\1+)$")
+    #: Signs that stand around a token, and those that do where they come twice or more at its end.
+    OPENING, CLOSING, REPEATED = frozenset("\"'“”„«»([{.,;:?"), frozenset("\"'“”„«»)]}.,;:?!"), frozenset("#&%*$!")
+
+    def bared(self, token: str) -> str:
+        """The token without signs around it, in time linear in it."""
+        low, high = 0, len(token)
+        while low < high and token[low] in self.OPENING:
+            low += 1
+        while low < high:
+            last = token[high - 1]
+            if last in self.CLOSING:
+                high -= 1
+            elif last in self.REPEATED and high - low > 1 and token[high - 2] == last:
+                while high > low and token[high - 1] == last:
+                    high -= 1
+            else:
+                break
+        return token[low:high]
 
     def disguised(self, token: str) -> bool:
         """Whether a sign follows a letter, a letter follows a sign or a letter comes three times in a row; in time linear in the token."""
@@ -116,7 +135,8 @@ class Restorer:
     def decode(self, token: str) -> str:
         """The likeliest word behind a token of any length, in lower case.
 
-        A run of one character is one position; states point back to the ones before, so time and memory are linear.
+        A run of one character is one position; states point back to the ones before and a beam bounds them, so time and
+        memory are linear.
         """
         lattice: list[list[tuple[str, float]]] = []
         for run in re.finditer(r"(.)\1*", token.lower(), re.S):
@@ -145,6 +165,8 @@ class Restorer:
                         x, y = y, k
                     if (x, y) not in after or total < after[x, y][0]:
                         after[x, y] = (total, (back, letters))
+            if len(after) > BEAM:
+                after = dict(sorted(after.items(), key=lambda s: s[1][0])[:BEAM])
             states = after
         least = min(paid for paid, _ in states.values())
         return min(self.spell(back) for paid, back in states.values() if paid == least).strip()
@@ -162,9 +184,7 @@ class Restorer:
         bare = token.strip(".,;:!?")
         if bare.isalpha() and not self.TRIPLE.search(bare):
             return bare.lower()
-        while (cut := self.EDGE.sub("", bare)) != bare:
-            bare = cut
-        bare = bare.lower()
+        bare = self.bared(bare).lower()
         if self.disguised(bare) and "@" not in bare[1:-1].replace("@", "", bare.count("@") - ("." in bare)):
             return self.decode(bare)
         return bare

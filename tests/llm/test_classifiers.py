@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -97,3 +98,12 @@ def test_toxicity_without_labels(spark):
     (row,) = score_documents(docs, scorer, restored=True).collect()
     assert row.predicted == 0 and row.restored == "a b"
     assert score_documents(docs.limit(0), scorer).collect() == []
+
+
+def test_signs_around_a_token_take_linear_time():
+    restorer = Restorer(count_trigrams(["an idiot is here"]))
+    assert [restorer.bared(t) for t in ("(word).", "word**", "word*", "\"«x»\"", "a!!##", "....", "x.y..")] == ["word", "word", "word*", "x", "a", "", "x.y"]
+    began = time.time()
+    restorer.restore_token("x" + "." * 400_000 + "y")
+    restorer.restore_token("x" + ".*" * 500 + "..")
+    assert time.time() - began < 20
