@@ -47,7 +47,10 @@ PATTERNS = {
 }
 #: Any of them. None begins within a word, which is said once and first, so most places of a text are done with at once.
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-#: Rounds of new replacements for entities whose replacement collided; each leaves a small part of those before.
+#: Country codes; those that aren't listed have three digits.
+CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Rounds of new replacements for entities whose replacement collided; each leaves a small part of those before. After so
+#: many, forms with too few values for all entities get one more character every fourth round.
 ROUNDS = 12
 
 
@@ -75,8 +78,9 @@ def kind_of(mention: Column) -> Column:
 
 
 def normal(kind: Column, text: Column) -> Column:
-    """What makes two mentions one entity: letters and digits in lower case; of addresses the whole."""
-    return F.when(kind.isin("ipv4", "ipv6", "email"), F.lower(text)).otherwise(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")))
+    """What makes two mentions one entity: letters and digits in lower case, of phones with the + before a country code; of addresses the whole."""
+    plain = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+    return F.when(kind.isin("ipv4", "ipv6", "email"), F.lower(text)).when((kind == "phone") & text.startswith("+"), F.concat(F.lit("+"), plain)).otherwise(plain)
 
 
 def random_byte(digest: Column, i: Column) -> Column:
@@ -140,7 +144,10 @@ def email_like(text: Column, digest: Column, domain_digest: Column) -> Column:
 
 
 def propose(kind: Column, norm: Column, round_: Column, key: str) -> Column:
-    """The replacement of a normal form that a round proposes."""
+    """The replacement of a normal form that a round proposes; a phone's country code stays."""
+    extra = F.repeat(F.lit("0"), F.greatest(F.floor((round_ - ROUNDS) / 4) + 1, F.lit(0)).cast("int"))
+    norm = F.when(kind == "email", F.concat(extra, norm)).when(kind.isin("ipv4", "ipv6"), norm).otherwise(F.concat(norm, extra))
+    code = F.regexp_extract(norm, CODE, 0)
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, round_.cast("string")), 512)
     domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(norm, "@", -1)), 512)
     octets = F.array_join(F.transform(F.split(norm, r"\."), lambda _, i: (random_byte(digest, i) % 254 + 1).cast("string")), ".")
@@ -148,7 +155,8 @@ def propose(kind: Column, norm: Column, round_: Column, key: str) -> Column:
     return (
         F.when(kind == "email", email_like(norm, digest, domain)).when(kind == "ipv4", octets).when(kind == "ipv6", hex_like(norm, digest)).when(kind == "card", card_like(norm, digest))
         .when(kind == "family", family_like(norm, digest)).when((kind == "key") & norm.rlike("^[0-9a-f]+$"), hex_like(norm, digest)).when(kind == "key", F.concat(F.regexp_extract(norm, "^(akia|gh[pousr]|sk|xox[bap])", 1), F.substring(letters_like(norm, digest), F.char_length(F.regexp_extract(norm, "^(akia|gh[pousr]|sk|xox[bap])", 1)) + 1, F.char_length(norm))))
-        .when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(phone, F.lit(3), F.char_length(norm)))).otherwise(phone)
+        .when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(phone, F.lit(3), F.char_length(norm))))
+        .when((kind == "phone") & (code != ""), F.concat(code, F.substring(phone, F.char_length(code) + 1, F.char_length(norm)))).otherwise(phone)
     )
 
 
@@ -159,8 +167,8 @@ def settle(entities: DataFrame, key: str) -> DataFrame:
     replacement and if, among those that propose it now, the entity has the least normal form. The rounds go on only as
     long as any is left.
     """
-    left, settled, taken = materialise(entities), None, None
-    for k in range(ROUNDS):
+    left, settled, taken, k = materialise(entities), None, None, 0
+    while True:
         proposed = materialise(left.withColumn("surrogate", propose(F.col("kind"), F.col("norm"), F.lit(k), key)))
         winner = proposed.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
         winner = winner.join(entities.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
@@ -172,20 +180,20 @@ def settle(entities: DataFrame, key: str) -> DataFrame:
         left = materialise(left.join(winner.select("kind", "norm"), ["kind", "norm"], "left_anti"))
         if left.isEmpty():
             return settled
-    # Spaces too small for distinct replacements (as of very short names): a number from the entity's hash makes them differ.
-    return settled.union(left.select("kind", "norm", F.concat(propose(F.col("kind"), F.col("norm"), F.lit(ROUNDS), key), F.substring(F.sha2(F.concat(F.lit(key), "norm"), 256), 1, 24)).alias("surrogate")))
+        k += 1
 
 
 def dress(mention: Column, kind: Column, surrogate: Column) -> Column:
-    """The replacement of a normal form in the spelling of a mention: its separators and capitals; a phone's country code."""
+    """The replacement of a normal form in the spelling of a mention: its separators and capitals. Its normal form is the replacement, so what was checked is what is written."""
+    surrogate = F.regexp_replace(surrogate, r"^\+", "")
     plain = kind.isin("email", "ipv4", "ipv6")
 
     def place(ch: Column, i: Column) -> Column:
         nth = F.when(plain, i + 1).otherwise(F.char_length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), r"[^\p{L}\p{N}]", "")))
         new = F.substring(surrogate, nth, F.lit(1))
-        return F.when(~plain & ~ch.rlike(r"[\p{L}\p{N}]"), ch).when((kind == "phone") & (i <= F.char_length(F.regexp_extract(mention, r"^\+\d{1,3}(?=[ .\-(])", 0)) - 1), ch).when(ch.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
+        return F.when(~plain & ~ch.rlike(r"[\p{L}\p{N}]"), ch).when(ch.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
 
-    spelled = F.concat(F.array_join(F.transform(F.split(mention, ""), place), ""), F.when(plain, F.lit("")).otherwise(F.substring(surrogate, F.char_length(F.regexp_replace(mention, r"[^\p{L}\p{N}]", "")) + 1, F.lit(64))))
+    spelled = F.concat(F.array_join(F.transform(F.split(mention, ""), place), ""), F.when(plain, F.substring(surrogate, F.char_length(mention) + 1, F.lit(64))).otherwise(F.substring(surrogate, F.char_length(F.regexp_replace(mention, r"[^\p{L}\p{N}]", "")) + 1, F.lit(64))))
     return F.when(kind == "ipv4", surrogate).when((kind == "key") & ~mention.rlike(r"\p{Ll}"), F.upper(spelled)).when((kind == "family") & ~mention.rlike(r"\p{Ll}"), F.upper(surrogate)).when(kind == "family", F.initcap(surrogate)).otherwise(spelled)
 
 
@@ -199,7 +207,8 @@ def replace_entities(docs: DataFrame, options: SurrogateOptions = SurrogateOptio
     names = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
     text, nothing = F.col(text_col), F.expr("cast(array() as array<struct<kind:string,surrogate:string>>)")
     clean = docs.where(F.coalesce(~text.rlike(ANY), F.lit(True))).withColumn("_entities", nothing)
-    found = docs.where(text.rlike(ANY)).withColumn("_key", F.sha2(text, 256)).withColumn("_mentions", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    # Texts with entities are few; they are found once and kept.
+    found = materialise(docs.where(text.rlike(ANY)).withColumn("_key", F.sha2(text, 256)).withColumn("_mentions", F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
 
     mentions = found.select("_key", F.explode(F.array_distinct("_mentions")).alias("mention")).distinct().withColumn("kind", kind_of(F.col("mention")))
     word = F.explode(F.when(F.col("kind") == "name", F.split("mention", " ")).otherwise(F.array("mention"))).alias("part")

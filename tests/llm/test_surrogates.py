@@ -2,6 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quiltwork.llm.common import materialise
 from quiltwork.llm.surrogates import GIVEN, SurrogateOptions, given_names, replace_entities, settle
 
 ROWS = [
@@ -68,6 +69,32 @@ def test_distinct(spark):
     assert not {(r.kind, r.norm) for r in rows} & {(r.kind, r.surrogate) for r in rows}
 
 
+def test_what_is_written_is_distinct_and_no_entity(spark):
+    """10,000 mentions of each kind, many in small spaces: as many replacements as entities, none of them an entity, two spellings of one agree."""
+    shapes = {
+        "phone": lambda k: f"+1 {k % 100:02d} {k // 100 % 100:02d}", "long phone": lambda k: f"+49 {k % 1000:03d}-{k * 7919 % 10000:04d}", "email": lambda k: f"u{k}@mail{k % 3}.example.org", "ipv4": lambda k: f"10.{k % 250}.{k // 250}.7",
+        "ssn": lambda k: f"{k % 899 + 100}-{k % 90 + 10}-{k:04d}", "card": lambda k: f"4{k:07d} {k * 31:08d}"[:9] + f"{k * 31:08d}", "key": lambda k: f"{k * 2654435761:040x}",
+    }
+    rows = [(name, k, f"a {shape(k)} b") for name, shape in shapes.items() for k in range(0, 10_000, 1 if name != "phone" else 3)]
+    found = replace_entities(spark.createDataFrame(rows, "kind string, k long, text string")).collect()
+    plain = lambda t: re.sub(r"[ \-]", "", t[2:-2]).lower()
+    for name in shapes:
+        before = {plain(t) for n, _, t in rows if n == name}
+        after = [plain(r.text) for r in found if r.kind == name]
+        assert len(set(after)) == len(before) and not set(after) & before, name
+        if "phone" in name:
+            assert all(t.startswith("+1" if name == "phone" else "+49") for t in after)
+    spelled = spark.createDataFrame([(1, "call +49 123-4567 now"), (2, "call +491234567 89 now"), (3, "call +49 123-456789 now")], "k long, text string")
+    by = {r.k: re.sub(r"\D", "", r.text) for r in replace_entities(spelled).collect()}
+    assert by[2] == by[3] != by[1] and by[2].startswith("49")
+
+
+def test_exhausted_forms_grow(spark):
+    entities = spark.range(2500).select(F.lit("family").alias("kind"), F.lpad(F.conv("id", 10, 26), 3, "x").alias("norm")).distinct()
+    rows = settle(materialise(entities), "k").collect()
+    assert len({r.surrogate for r in rows}) == len(rows) == 2500 and not {r.surrogate for r in rows} & {r.norm for r in rows} and max(len(r.surrogate) for r in rows) <= 5
+
+
 def test_given_names_move_within_their_list():
     moved = given_names("k")
     for names in GIVEN.values():
