@@ -24,43 +24,54 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text."""
     return compare_with_edits(documents(spark, sf_dir))
 
 
 def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows of 35 words that start anywhere else."""
     return remove_phrases(documents(spark, sf_dir))
 
 
 def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
 def op4_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 50-byte strings that an earlier document has."""
     return remove_earlier(documents(spark, sf_dir))
 
 
 def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of them."""
     return identify_held_out(documents(spark, sf_dir))
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data, and of what kinds they are."""
     found = replace_entities(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "text", F.size("_entities").cast("long").alias("n_entities"), F.array_join(F.col("_entities.kind"), ",").alias("kinds"))
 
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, decoded text and source spans, as digests."""
     return encode_documents(documents(spark, sf_dir), PIECE_MODEL, ids=False)
 
 
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates by two-word shingles."""
     return near_duplicates(documents(spark, sf_dir), NearOptions(shingle=2))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """The plan of all documents; shards, epochs and places say where the splitting tree dealt each time that a document is taken."""
+    copies = [F.col(f"copies.{c}").alias(f"{c}s") for c in ("shard", "epoch", "place")]
+    return plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", *copies)
 
 
 def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from two thirds of the labels."""
     return score_held_out(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

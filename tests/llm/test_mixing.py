@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quiltwork.llm.mixing import MixOptions, fill_targets, mix, plan_mix, shard_ranges
 
@@ -70,3 +71,17 @@ def test_mix_goes_by_row(spark):
     assert all(abs(taken.get(s, 0) - target[s]) <= biggest[s] for s in target)
     want = sorted((str(x.doc_id), x.source, x.size) for x in plan for _ in x.copies)
     assert sorted((str(x.doc_id), x.source, len((x.text or "").split())) for x in mix(docs, options).collect()) == want
+
+
+def test_shards_are_shuffled_within(spark):
+    docs = spark.createDataFrame(rows(3), "doc_id long, text string, source string")
+    options = MixOptions(block_words=60, shard_words=700)
+    found = mix(docs, options).withColumn("task", F.spark_partition_id()).collect()
+    shards = {x.shard for x in found}
+    assert len(shards) > 10
+    for shard in shards:
+        own = [x for x in found if x.shard == shard]
+        assert len({x.task for x in own}) == 1 and [x.place for x in own] == sorted(x.place for x in own) and [x.doc_id for x in own] != sorted(str(x.doc_id) for x in own)
+    # The tree deals every source over all shards, by its quotas.
+    words = sum(len((x.text or "").split()) for x in found)
+    assert all(abs(sum(len((x.text or "").split()) for x in found if x.shard == shard) - words / len(shards)) < 0.6 * words / len(shards) for shard in shards)
