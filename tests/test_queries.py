@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from quiltwork.plans.catalogue import ORACLE_SQL, QUERIES
+from quiltwork.plans.assembly import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
