@@ -3,7 +3,10 @@ import random
 import re
 from collections import Counter
 
-from quiltwork.llm.phrase_automata import PhraseOptions, remove_phrases
+import numpy as np
+
+from quiltwork.llm import phrase_automata
+from quiltwork.llm.phrase_automata import PhraseOptions, locate, remove_phrases
 
 
 def brute(rows, n=35):
@@ -41,9 +44,34 @@ def test_brute_force(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as tkey", "2 as hashes", "3 as first").repartition(5)
         assert sorted((tuple(x) for x in remove_phrases(df).collect()), key=str) == brute(rows)
     small = [(i, t) for i, t in corpus(3)]
-    got = remove_phrases(spark.createDataFrame(small, "doc_id long, text string"), PhraseOptions(window=7, anchor=3, shard_bytes=500)).collect()
+    got = remove_phrases(spark.createDataFrame(small, "doc_id long, text string"), PhraseOptions(window=7, anchor=3)).collect()
     assert sorted((tuple(x) for x in got), key=str) == brute(small, 7)
 
 
 def test_empty(spark):
     assert remove_phrases(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_shard_against_brute_force():
+    o, r = PhraseOptions(window=5, anchor=2), random.Random(4)
+    for _ in range(40):
+        words = ["a", "b", "ab", "é", "x"]
+        contents = list({" ".join(r.choice(words) for _ in range(r.randrange(1, 25))).encode() for _ in range(12)})
+        weight = np.array([r.choice([1, 1, 1, 2]) for _ in contents])
+        twice = np.array([r.random() < 0.1 for _ in contents])
+        split = [c.split() for c in contents]
+        seen = Counter()
+        for w, n, t in zip(split, weight.tolist(), twice, strict=True):
+            for i in range(len(w) - 4):
+                seen[tuple(w[i : i + 5])] += 2 if t else n
+        for w, found in zip(split, locate(contents, weight, twice, o), strict=True):
+            gone = {k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+            assert {k for a, b in found.tolist() for k in range(a, b)} == gone
+
+
+def test_the_automaton_decides(monkeypatch):
+    contents = [b"a b c d e f g h", b"x a b c d e f y"]
+    o = PhraseOptions(window=5, anchor=2)
+    assert [f.tolist() for f in locate(contents, np.array([1, 1]), np.zeros(2, bool), o)] == [[[0, 6]], [[1, 7]]]
+    monkeypatch.setattr(phrase_automata.Passages, "found_in", lambda *_: [])
+    assert [f.tolist() for f in locate(contents, np.array([1, 1]), np.zeros(2, bool), o)] == [[], []]
