@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 BLANK = "▁"
-#: Distinct segments kept per task; the memo is emptied when full, which changes speed only.
-MEMO_SEGMENTS = 200_000
+#: Distinct segments kept per task, and their bytes; the memo is emptied when full, which changes speed only.
+MEMO_SEGMENTS, MEMO_BYTES = 200_000, 32_000_000
 
 
 class CharacterMap:
@@ -116,6 +116,7 @@ class PieceCodec:
         self.blank_id = self.library.piece_to_id(BLANK)
         self.names = [f"{i}" for i in range(len(plain))]
         self.memo: dict[str, tuple[int, str, bytes, bytes]] = {}
+        self.held = 0
         # How many source bytes a piece covers if its blank sign stands for a blank; bytes cover one each.
         self.widths = np.array([1 if p.type == p.BYTE else len(p.piece.replace(BLANK, " ").encode()) for p in proto.pieces], np.int32)
         self.first, self.segment = re.compile(r" *[^ \n]*"), re.compile(r" +[^ \n]*|\n+[^ \n]*")
@@ -133,8 +134,10 @@ class PieceCodec:
 
     def look_up(self, segment: str) -> tuple[int, str, bytes, bytes]:
         """Number of ids, the ids joined by commas, the decoded bytes, with a blank for each blank sign, and the ids."""
-        if len(self.memo) >= MEMO_SEGMENTS:
+        self.held += len(segment)
+        if len(self.memo) >= MEMO_SEGMENTS or self.held >= MEMO_BYTES:
             self.memo.clear()
+            self.held = len(segment)
         head = segment[0] == "\0"
         text = (segment[1:] if head else segment).replace(" ", BLANK)
         line = text[:1] == "\n" and not head
