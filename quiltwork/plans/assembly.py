@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quiltwork.functions import pixels as px
 from quiltwork.operators import assembly, dedup
+from quiltwork.plans import config
 from quiltwork.plans.catalogue import _GRID, _Q, _XY, ORACLE_SQL, PRESETS, QUERIES, _grid, _image, query
 from quiltwork.plans.views import PATHS, PIXELS, SPRITES, paths, pixels, sprites, table
+from quiltwork.sources import images
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 _NAMES = "names AS (SELECT p_partkey, p_type || '/' || replace(p_name, ' ', '_') AS rel FROM part)"
@@ -207,3 +209,52 @@ def pixel_formats(spark: SparkSession, d: str) -> DataFrame:
     r, g, b, a = (F.col(c) for c in "rgba")
     light = px.luma(r, g, b)
     return pixels(spark, d).select("vec_id", "k", (r * 65536 + g * 256 + b).alias("rgb888"), a.alias("alpha8"), light.alias("intensity8"), (light * 256 + a).alias("ai88"), px.packed_rgba(b, g, r, a).alias("bgra8888"), px.packed_rgba5551(r, g, b, a).alias("rgba5551"))
+
+
+def _round_trip(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    made = images.encoded(images.images_of(_image(spark, d), ["vec_id"]), kind)
+    return images.pixels_of(images.decoded(made.select("vec_id", "content")), ["vec_id"])
+
+
+@query(f"WITH {_XY} SELECT vec_id, x, y, r, g, b, a FROM image")
+def png_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel blocks written as PNG files, with a palette or without, and read again."""
+    return _round_trip(spark, d, "png")
+
+
+@query(f"WITH {_XY} SELECT vec_id, x, y, r, g, b, a FROM image")
+def bmp_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, "bmp")
+
+
+@query(f"WITH {_XY} SELECT vec_id, x, y, r, g, b, a FROM image")
+def tga_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, "tga")
+
+
+@query(f"WITH {_XY}, coded AS (SELECT vec_id, string_agg(format('{{:02X}}{{:02X}}{{:02X}}{{:02X}}', r, g, b, a), '' ORDER BY y, x) AS p FROM image GROUP BY vec_id) SELECT vec_id, CAST(4 AS INT) AS width, CAST(4 AS INT) AS height, p AS pixels FROM coded")
+def image_buffers(spark: SparkSession, d: str) -> DataFrame:
+    return images.images_of(_image(spark, d), ["vec_id"]).select("vec_id", "width", "height", F.hex("rgba").alias("pixels"))
+
+
+_CASES = {
+    "nothing is dithered at eight bits a channel": "p_partkey % 2 = 1 AND p_size % 3 = 0", "the template isn't there": "p_size = 7", "the folder holds no exporters": "p_size % 6 = 0", "a class prefix counts for css alone": "p_partkey % 4 <> 1 AND p_size % 7 = 1",
+    "only textures of hardware formats are turned upside down": "p_size % 4 = 0 AND p_partkey % 3 <> 0", "the texture can't hold the pixel format; it gets eight bits a channel": "p_size % 11 = 3", "coordinates of fractional scales are rounded": "p_size % 5 = 2",
+    "pixel art is enlarged at its own factor alone; other scales are smooth": "p_size % 5 = 2 AND p_partkey % 2 = 0", "distances are rounded up to the alignment": "p_size % 3 = 1 AND (p_size % 4 <> 0 OR p_partkey % 40 % 4 <> 0)", "the border leaves no room": "2 * (p_partkey % 40) >= 64",
+    "the texture's sides have to be powers of two": "p_partkey % 3 = 0 AND p_size % 2 = 0", "a fixed side leaves no room within the border": "p_size <= 2 * (p_partkey % 40)", "sprites get clear pixels until their sides can be divided": "p_size % 9 > 1",
+}
+
+
+@query("SELECT p_partkey, concat_ws('; ', " + ", ".join(f"CASE WHEN {when} THEN '{said.replace(chr(39), chr(39) * 2)}' END" for said, when in _CASES.items()) + ") AS advice FROM part")
+def config_advice_rest(spark: SparkSession, d: str) -> DataFrame:
+    """What full_advice() says beyond advice()."""
+    size, key = F.col("p_size").cast("long"), F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.lit(0).alias("extrude"), (size % 4).alias("padding"), (key % 40).alias("border"), F.lit(False).alias("rotate"), F.when(key % 4 == 1, "css").otherwise("json").alias("data_format"), (size % 2 == 1).alias("power_of_two"), F.lit(0).alias("fixed_height"),
+        size.alias("fixed_width"), F.when(size % 3 == 1, 4).otherwise(0).alias("align"), F.lit(64).alias("max_width"), F.lit(64).alias("max_height"), F.lit(1.0).alias("scale"), F.when(key % 2 == 1, "atkinson").otherwise("none").alias("dither"),
+        F.when(size % 3 == 0, "rgba8888").otherwise("rgb565").alias("colours"), (size != 7).alias("template_found"), (size % 6).alias("exporters"), (size % 7 == 1).alias("css_prefix"), F.when(key % 3 == 0, "pvrtc").otherwise("png").alias("texture"),
+        (size % 4 == 0).alias("flip"), (size % 11 != 3).alias("pixels_fit"), F.when(size % 5 == 2, F.array(F.lit(1.0), F.lit(1.5))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("scales"), F.when(key % 2 == 0, 2).otherwise(0).alias("art_factor"),
+        F.lit(1).alias("divisor_x"), (size % 9).alias("divisor_y"),
+    )
+    more = F.array_except(config.full_advice(["css"]), config.advice(["css"]))
+    return rows.select("p_partkey", F.array_join(more, "; ").alias("advice"))

@@ -53,7 +53,7 @@ def configurations(spark: SparkSession, configs: list[PackConfig]) -> DataFrame:
 
 
 def advice(families_without_turns: list[str]) -> Column:
-    """An array of what may be unwanted in a configuration row, in this order."""
+    """An array of what may be unwanted in a configuration row, in this order. Rules whose columns the row lacks are left to full_advice()."""
     c = F.col
     rules = [
         (c("extrude") > c("padding"), "extrude exceeds padding"),
@@ -65,3 +65,27 @@ def advice(families_without_turns: list[str]) -> Column:
         ((c("padding") == 0) & (c("scale") != 1), "without padding, scaled sprites bleed into each other"),
     ]
     return F.filter(F.array(*[F.when(when, F.lit(said)) for when, said in rules]), lambda x: x.isNotNull())
+
+
+def full_advice(families_without_turns: list[str]) -> Column:
+    """advice() and what rows with all columns can say: dither, colours, template_found, exporters, css_prefix, texture, flip, pixels_fit, scales, art_factor, divisor_x and divisor_y beside advice()'s."""
+    c = F.col
+    least = F.least(F.when(c("fixed_width") > 0, c("fixed_width")), F.when(c("fixed_height") > 0, c("fixed_height")))
+    others = F.filter("scales", lambda s: (F.abs(s - 1) > 1e-6) & (F.abs(s - c("art_factor")) > 1e-6))
+    align = F.greatest(c("align"), F.lit(1))
+    rules = [
+        ((c("dither") != "none") & (c("colours") == "rgba8888"), "nothing is dithered at eight bits a channel"),
+        (~c("template_found"), "the template isn't there"),
+        (c("exporters") == 0, "the folder holds no exporters"),
+        ((c("data_format") != "css") & c("css_prefix"), "a class prefix counts for css alone"),
+        (c("flip") & ~c("texture").isin("astc", "etc1", "etc2", "pvrtc"), "only textures of hardware formats are turned upside down"),
+        (~c("pixels_fit"), "the texture can't hold the pixel format; it gets eight bits a channel"),
+        (F.exists("scales", lambda s: s != F.floor(s)), "coordinates of fractional scales are rounded"),
+        ((c("art_factor") > 0) & (F.size(others) > 0), "pixel art is enlarged at its own factor alone; other scales are smooth"),
+        ((c("align") > 1) & ((c("padding") % align != 0) | (c("border") % align != 0)), "distances are rounded up to the alignment"),
+        (2 * c("border") >= F.greatest("max_width", "max_height"), "the border leaves no room"),
+        ((c("texture") == "pvrtc") & ~c("power_of_two"), "the texture's sides have to be powers of two"),
+        (least <= 2 * c("border"), "a fixed side leaves no room within the border"),
+        ((c("divisor_x") > 1) | (c("divisor_y") > 1), "sprites get clear pixels until their sides can be divided"),
+    ]
+    return F.concat(advice(families_without_turns), F.filter(F.array(*[F.when(when, F.lit(said)) for when, said in rules]), lambda x: x.isNotNull()))
