@@ -22,7 +22,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltwork.llm.common import materialise
 from quiltwork.llm.passages import buckets_for, contains, distinct_texts, recurring, runs, text_key
 from quiltwork.llm.rolling import anchor_of, anchors, batches, windows, word_hashes
 
@@ -272,7 +271,7 @@ def recurring_stretches(docs: DataFrame, packed: DataFrame, keyed: DataFrame, o:
 
     met = once.select("packed", "tkey", "twin", "hashes", "times").mapInArrow(send, STREAM).groupBy("bucket").applyInArrow(search, DEALT)
     found = met.groupBy("bucket").applyInArrow(gather, FOUND)
-    return materialise(texts.join(found, "tkey", "left").where("times > 1 or begins is not null").select("tkey", "twin", "begins", "ends", "times"))
+    return texts.join(found, "tkey", "left").where("times > 1 or begins is not null").select("tkey", "twin", "begins", "ends", "times")
 
 
 def removed(n: int, again: bool, begins: bytes | None, ends: bytes | None, o: PhraseOptions) -> np.ndarray:
