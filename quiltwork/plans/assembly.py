@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltwork.functions import pixels as px
-from quiltwork.operators import assembly, dedup
+from quiltwork.operators import assembly, dedup, frames
 from quiltwork.plans import config
 from quiltwork.plans.catalogue import _GRID, _Q, _XY, ORACLE_SQL, PRESETS, QUERIES, _grid, _image, query
 from quiltwork.plans.views import PATHS, PIXELS, SPRITES, paths, pixels, sprites, table
@@ -258,3 +258,96 @@ def config_advice_rest(spark: SparkSession, d: str) -> DataFrame:
     )
     more = F.array_except(config.full_advice(["css"]), config.advice(["css"]))
     return rows.select("p_partkey", F.array_join(more, "; ").alias("advice"))
+
+
+def _framed(spark: SparkSession, d: str) -> DataFrame:
+    """The grid with trims, turns and pivots made up from the sprites' numbers."""
+    c = F.col
+    own = _grid(spark, d).select("id", "page", "x", "y", "w", "h", "ord")
+    own = own.select("*", (c("ord") % 3 == 0).alias("rotated"), (c("ord") % 4).alias("left"), (c("ord") % 5).alias("top"), (c("w") + c("ord") % 4).alias("raw_w"), (c("h") + c("ord") % 5).alias("raw_h"), F.lit(0.5).alias("pivot_x"), (c("ord") % 5 / 4).alias("pivot_y"))
+    return frames.described(own, 1)
+
+
+_FRAMED = f"""{_GRID}, f AS (SELECT id, CAST(page AS BIGINT) AS page, CAST(x + 1 AS BIGINT) AS fx, CAST(y + 1 AS BIGINT) AS fy, w, h, ord % 3 = 0 AS rotated, ord % 4 <> 0 OR ord % 5 <> 0 AS trimmed, ord % 4 AS l, ord % 5 AS t, w + ord % 4 AS rw, h + ord % 5 AS rh, (ord % 5) / 4 AS py FROM placed),
+    j AS (SELECT *, to_json(struct_pack(filename := id, frame := struct_pack(x := fx, y := fy, w := w, h := h), rotated := rotated, trimmed := trimmed, "spriteSourceSize" := struct_pack(x := l, y := t, w := w, h := h), "sourceSize" := struct_pack(w := rw, h := rh), "pivot" := struct_pack(x := CAST(0.5 AS DOUBLE), y := CAST(py AS DOUBLE)))) AS o FROM f)"""
+
+
+def _lines(spark: SparkSession, d: str, family: str) -> DataFrame:
+    return _framed(spark, d).select("id", frames.line(family, F.concat(F.lit("page"), F.col("page"), F.lit(".png"))).alias("line"))
+
+
+@query(f"WITH {_FRAMED} SELECT id, CAST(o AS VARCHAR) AS line FROM j")
+def metadata_frames_json(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d, "json")
+
+
+@query(f"WITH {_FRAMED} SELECT id, '\"' || id || '\":{{' || substr(CAST(o AS VARCHAR), length(id) + 16) AS line FROM j")
+def metadata_frames_hash(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d, "json-hash")
+
+
+@query(f"WITH {_FRAMED} SELECT id, '\"' || id || '\":{{' || substr(CAST(o AS VARCHAR), length(id) + 16, length(CAST(o AS VARCHAR)) - length(id) - 16) || ',\"image\":\"page' || page || '.png\"}}' AS line FROM j")
+def metadata_frames_pixi(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d, "pixi")
+
+
+@query(f"""WITH {_FRAMED} SELECT id, '<sprite n="' || id || '" x="' || fx || '" y="' || fy || '" w="' || w || '" h="' || h || '" oX="' || l || '" oY="' || t || '" oW="' || rw || '" oH="' || rh || '"' || CASE WHEN rotated THEN ' r="y"' ELSE '' END || CASE WHEN trimmed THEN ' t="y"' ELSE '' END || '/>' AS line FROM f""")
+def metadata_frames_xml(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d, "xml")
+
+
+@query(f"""WITH {_FRAMED} SELECT id, '<SubTexture name="' || id || '" x="' || fx || '" y="' || fy || '" width="' || w || '" height="' || h || '"' || CASE WHEN rotated THEN ' rotated="true"' ELSE '' END || CASE WHEN trimmed THEN ' frameX="' || -l || '" frameY="' || -t || '" frameWidth="' || rw || '" frameHeight="' || rh || '"' ELSE '' END || '/>' AS line FROM f""")
+def metadata_frames_starling(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d, "starling")
+
+
+@query(f"WITH {_FRAMED} SELECT id, '<key>' || id || '</key><dict><key>x</key><integer>' || fx || '</integer><key>y</key><integer>' || fy || '</integer><key>w</key><integer>' || w || '</integer><key>h</key><integer>' || h || '</integer></dict>' AS line FROM f")
+def metadata_frames_uikit(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d, "uikit")
+
+
+_ATLAS_LINE = "id || chr(10) || '  rotate: ' || CAST(rotated AS VARCHAR) || chr(10) || '  xy: ' || fx || ', ' || fy || chr(10) || '  size: ' || w || ', ' || h || chr(10) || '  orig: ' || rw || ', ' || rh || chr(10) || '  offset: ' || l || ', ' || (rh - t - h) || chr(10) || '  index: -1'"
+_SHEET = "s AS (SELECT *, max(fx + w + 1) OVER (PARTITION BY page) AS pw, max(fy + h + 1) OVER (PARTITION BY page) AS ph FROM {0})"
+
+
+def _pages(framed: DataFrame) -> DataFrame:
+    found = framed.groupBy("page").agg(F.max(F.col("frame.frame.x") + F.col("frame.frame.w") + 1).alias("width"), F.max(F.col("frame.frame.y") + F.col("frame.frame.h") + 1).alias("height"))
+    return found.withColumn("file", F.concat(F.lit("page"), F.col("page"), F.lit(".png")))
+
+
+def _sheets(spark: SparkSession, d: str, family: str) -> DataFrame:
+    framed = _framed(spark, d)
+    return frames.sheets(framed, _pages(framed), family)
+
+
+@query(f"WITH {_FRAMED}, {_SHEET.format('f')} SELECT page, 'page' || page || '.png' || chr(10) || 'size: ' || max(pw) || ',' || max(ph) || chr(10) || 'format: RGBA8888' || chr(10) || 'filter: Linear, Linear' || chr(10) || 'repeat: none' || chr(10) || string_agg({_ATLAS_LINE}, chr(10) ORDER BY id) || chr(10) AS document FROM s GROUP BY page")
+def metadata_libgdx(spark: SparkSession, d: str) -> DataFrame:
+    return _sheets(spark, d, "libgdx")
+
+
+@query(f"WITH {_FRAMED}, {_SHEET.format('f')} SELECT page, chr(10) || 'page' || page || '.png' || chr(10) || 'size: ' || max(pw) || ',' || max(ph) || chr(10) || 'format: RGBA8888' || chr(10) || 'filter: Linear, Linear' || chr(10) || 'repeat: none' || chr(10) || string_agg({_ATLAS_LINE}, chr(10) ORDER BY id) || chr(10) AS document FROM s GROUP BY page")
+def metadata_spine(spark: SparkSession, d: str) -> DataFrame:
+    return _sheets(spark, d, "spine")
+
+
+@query(f"""WITH {_FRAMED}, {_SHEET.format('j')} SELECT page, '{{"textures":[{{"image":"page' || page || '.png","format":"RGBA8888","size":{{"w":' || max(pw) || ',"h":' || max(ph) || '}},"scale":1,"frames":[' || string_agg(CAST(o AS VARCHAR), ',' ORDER BY id) || ']}}]}}' AS document FROM s GROUP BY page""")
+def metadata_phaser(spark: SparkSession, d: str) -> DataFrame:
+    return _sheets(spark, d, "phaser")
+
+
+@query(f"""WITH {_FRAMED}, {_SHEET.format('j')} SELECT page, '{{"frames":[' || string_agg(CAST(o AS VARCHAR), ',' ORDER BY id) || '],"meta":{{"image":"page' || page || '.png","format":"RGBA8888","size":{{"w":' || max(pw) || ',"h":' || max(ph) || '}},"scale":"1"}}}}' AS document FROM s GROUP BY page""")
+def metadata_frames_document(spark: SparkSession, d: str) -> DataFrame:
+    return _sheets(spark, d, "json")
+
+
+_ALL = frames.presets()
+_VALUES = ", ".join(f"('{a}', '{b}', '{c}', {'NULL' if t is None else str(t).lower()}, {str(m).lower()}, {str(p).lower()})" for a, b, c, t, m, p in _ALL)
+
+
+@query(f"""WITH presets(preset, family, extension, turns, animations, polygons) AS (VALUES {_VALUES}), wanted AS (SELECT p_partkey, CASE WHEN p_partkey % 64 = 0 THEN 'unknown' ELSE upper([{', '.join(f"'{p[0]}'" for p in _ALL)}][CAST(p_partkey % 64 AS INT)]) END AS preset FROM part)
+    SELECT p_partkey, w.preset, family, extension, turns, animations, polygons FROM wanted w LEFT JOIN presets p ON lower(p.preset) = lower(w.preset)""")
+def preset_table(spark: SparkSession, d: str) -> DataFrame:
+    """Data formats by id, whatever the case."""
+    known = spark.createDataFrame(_ALL, "known string, family string, extension string, turns boolean, animations boolean, polygons boolean")
+    wanted = F.coalesce(F.upper(F.get(F.array(*[F.lit(p[0]) for p in _ALL]), (F.col("p_partkey") % 64 - 1).cast("int"))), F.lit("unknown"))
+    return table(spark, d, "part").select("p_partkey", wanted.alias("preset")).join(F.broadcast(known), F.lower("preset") == F.lower("known"), "left").drop("known")
