@@ -29,7 +29,9 @@ from quiltwork.llm.rolling import anchor_of, anchors, batches, windows, word_has
 ANCHOR_BYTES = 5
 #: Bytes of stretches that a task gathers before it sends them on.
 GATHER = 16_000_000
-STREAM = "bucket int, contents binary, counts binary, twice binary, keys binary, places binary"
+#: Shards of a bucket: their automata are built one after the other, each of some hundred thousand bytes of passages.
+SHARDS = 32
+STREAM = "bucket int, shard int, contents binary, counts binary, twice binary, keys binary, places binary"
 DEALT = "bucket int, keys binary, begins binary, ends binary"
 FOUND = "tkey bigint, begins binary, ends binary"
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
@@ -215,7 +217,7 @@ def recurring_stretches(docs: DataFrame, packed: DataFrame, keyed: DataFrame, o:
             raw = unpacked(part.column(0).take(pa.array(take, pa.int64())))
             for k, anchor, at, content in streamed(raw, [hashes[x] for x in take], o):
                 key, again = keys[take[k]], times[take[k]] > 1
-                found = held.setdefault((anchor % buckets, content), [[], [], False])
+                found = held.setdefault((anchor % (buckets * SHARDS), content), [[], [], False])
                 found[0].append(key)
                 found[1].append(at)
                 found[2] |= again
@@ -228,16 +230,17 @@ def recurring_stretches(docs: DataFrame, packed: DataFrame, keyed: DataFrame, o:
 
     def out(held: dict[tuple[int, bytes], list]) -> pa.RecordBatch:
         small, rows, by = zstandard.ZstdCompressor(level=3), [], {}
-        for (bucket, content), found in held.items():
-            by.setdefault(bucket, []).append((content, *found))
-        for bucket, found in by.items():
+        for (shard, content), found in held.items():
+            by.setdefault(shard, []).append((content, *found))
+        for shard, found in by.items():
             contents, keys, places, twice = zip(*found, strict=True)
             flat = [np.array([x for own in column for x in own], np.int64).tobytes() for column in (keys, places)]
-            rows.append((bucket, small.compress(b"\n".join(contents)), np.array([len(x) for x in keys], np.uint32).tobytes(), np.array(twice, np.uint8).tobytes(), flat[0], small.compress(flat[1])))
-        kinds = [pa.int32()] + [pa.binary()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "contents", "counts", "twice", "keys", "places"])
+            rows.append((shard % buckets, shard, small.compress(b"\n".join(contents)), np.array([len(x) for x in keys], np.uint32).tobytes(), np.array(twice, np.uint8).tobytes(), flat[0], small.compress(flat[1])))
+        kinds = [pa.int32()] * 2 + [pa.binary()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "shard", "contents", "counts", "twice", "keys", "places"])
 
-    def search(part: pa.Table) -> pa.Table:
+    def shard_spans(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Text keys, and begins and ends of stretches to remove, of one shard's stream."""
         number: dict[bytes, int] = {}
         which, large = [], zstandard.ZstdDecompressor()
         for blob in part.column("contents").to_pylist():
@@ -251,7 +254,13 @@ def recurring_stretches(docs: DataFrame, packed: DataFrame, keyed: DataFrame, o:
         sizes = np.array([len(f) for f in found], np.int64)
         flat, base, times = np.concatenate(found), np.cumsum(sizes) - sizes, sizes[occurrence]
         pick = np.repeat(base[occurrence], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        spans, keys = flat[pick] + np.repeat(places, times)[:, None], np.repeat(keys, times)
+        return np.repeat(keys, times), flat[pick] + np.repeat(places, times)[:, None]
+
+    def search(part: pa.Table) -> pa.Table:
+        shards = part.column("shard").to_numpy()
+        order = np.argsort(shards, kind="stable")
+        begin, end = runs(shards[order])
+        keys, spans = (np.concatenate(x) for x in zip(*(shard_spans(part.take(pa.array(order[a:b]))) for a, b in zip(begin, end, strict=True)), strict=True))
         bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket, keys, spans = bucket[order], keys[order], spans[order]
