@@ -20,17 +20,27 @@ def animations(df: DataFrame, base: Column, number: Column, id_: str, order: str
     )
 
 
+def summed_before(df: DataFrame, key: str, value: Column, to: str) -> DataFrame:
+    """df with the sum of value over the rows before, by key (nulls first; keys are distinct).
+
+    Keys that begin alike are summed up in a window of their own, and what their beginnings have before them is added: no window holds the table.
+    """
+    rows = df.withColumn("_head", F.coalesce(F.substring(F.col(key).cast("string"), 1, 4), F.lit(""))).withColumn("_value", value)
+    frame = "rows between unbounded preceding and 1 preceding"
+    heads = rows.groupBy("_head").agg(F.sum("_value").alias("_all")).withColumn("_before", F.expr(f"coalesce(sum(_all) over (order by _head {frame}), 0)")).drop("_all")
+    own = rows.withColumn("_own", F.expr(f"coalesce(sum(_value) over (partition by _head order by {key} {frame}), 0)"))
+    return own.join(heads, "_head").withColumn(to, (F.col("_before") + F.col("_own")).cast("long")).drop("_head", "_value", "_own", "_before")
+
+
 def folders(df: DataFrame, folder: Column) -> DataFrame:
     """folder, items, rank: the root (empty) first, the others in order of name."""
     found = df.groupBy(folder.alias("folder")).agg(F.count("*").alias("items"))
-    # A row for each folder only.
-    return found.withColumn("rank", F.expr("row_number() over (order by folder) - 1").cast("long"))
+    return summed_before(found, "folder", F.lit(1), "rank").select("folder", "items", "rank")
 
 
 def page_offsets(pages: DataFrame, group: str, count: str) -> DataFrame:
-    """pages (a row for each group) with first_page: how many pages the groups before have."""
-    before = F.expr(f"coalesce(sum({count}) over (order by {group} rows between unbounded preceding and 1 preceding), 0)")
-    return pages.withColumn("first_page", before.cast("long"))
+    """pages (a row for each group, named by text) with first_page: how many pages the groups before have."""
+    return summed_before(pages, group, F.col(count), "first_page").select(*pages.columns, "first_page")
 
 
 def tree_counts(df: DataFrame, path: str) -> DataFrame:

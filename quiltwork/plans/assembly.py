@@ -11,6 +11,7 @@ from quiltwork.plans import config
 from quiltwork.plans.catalogue import _GRID, _Q, _XY, ORACLE_SQL, PRESETS, QUERIES, _grid, _image, query
 from quiltwork.plans.views import PATHS, PIXELS, SPRITES, paths, pixels, sprites, table
 from quiltwork.sources import images
+from quiltwork.streaming import events as ev
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 _NAMES = "names AS (SELECT p_partkey, p_type || '/' || replace(p_name, ' ', '_') AS rel FROM part)"
@@ -351,3 +352,10 @@ def preset_table(spark: SparkSession, d: str) -> DataFrame:
     known = spark.createDataFrame(_ALL, "known string, family string, extension string, turns boolean, animations boolean, polygons boolean")
     wanted = F.coalesce(F.upper(F.get(F.array(*[F.lit(p[0]) for p in _ALL]), (F.col("p_partkey") % 64 - 1).cast("int"))), F.lit("unknown"))
     return table(spark, d, "part").select("p_partkey", wanted.alias("preset")).join(F.broadcast(known), F.lower("preset") == F.lower("known"), "left").drop("known")
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type, sum(CAST(event_type = 'purchase' AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS since FROM events WHERE event_type IN ('purchase', 'error'))
+    SELECT user_id, ts, event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, since ORDER BY ts, event_id) = 1 THEN 'retry' ELSE 'wait' END AS action FROM e WHERE event_type = 'error'""")
+def retry_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Errors as failures, purchases as changes of what failed."""
+    return ev.retries(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", "purchase", "error")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,40 @@ def newest_snapshot(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     columns = [c for c in events.columns if c != key]
     best = events.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
     return best.select(key, *[F.col(f"_last.{c}").alias(c) for c in columns])
+
+
+def watched(spark: SparkSession, folder: str, pattern: str = "*", per_batch: int = 1000) -> DataFrame:
+    """A stream of the files that come to a folder: path, modificationTime, length, content; so many in a batch at most."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch).load(folder)
+
+
+def retries(events: DataFrame, key: str, order: list[str], kind: str, change: str, failure: str) -> DataFrame:
+    """key, the order columns and action, for each failure: retry for the first since the key last changed, wait for later ones."""
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = events.where(F.col(kind).isin(change, failure)).withColumn("_since", F.sum((F.col(kind) == change).cast("long")).over(upto))
+    failed = marked.where(F.col(kind) == failure).withColumn("_nth", F.row_number().over(Window.partitionBy(key, "_since").orderBy(*order)))
+    return failed.select(key, *order, F.when(F.col("_nth") == 1, "retry").otherwise("wait").alias("action"))
+
+
+def retries_stream(events: DataFrame, key: str, time: str, kind: str, change: str, failure: str, forget_ms: int = 86_400_000) -> DataFrame:
+    """retries() of a stream: whether a key has been retried since its last change is kept, and forgotten after a time without events."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def follow(name: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        (tried,) = held.get if held.exists else (False,)
+        out = []
+        for part in [pd.concat(list(parts)).sort_values(time, kind="stable")]:
+            for at, what in zip(part[time], part[kind], strict=True):
+                if what == failure:
+                    out.append((name[0], at, "wait" if tried else "retry"))
+                tried = what == failure or tried and what != change
+        held.update((tried,))
+        held.setTimeoutDuration(forget_ms)
+        yield pd.DataFrame(out, columns=[key, time, "action"])
+
+    schema = f"{key} {dict(events.dtypes)[key]}, {time} timestamp, action string"
+    return events.groupBy(key).applyInPandasWithState(follow, schema, "tried boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)

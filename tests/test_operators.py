@@ -1,5 +1,6 @@
 """Operators on small cases worked out by hand or by brute force."""
 
+import binascii
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quiltwork.functions import text
-from quiltwork.operators import colour, dedup, flow, geometry, grouping, packing, pairing, render, select
+from quiltwork.operators import assembly, colour, dedup, flow, geometry, grouping, packing, pairing, render, select
 
 
 def met(a, b):
@@ -265,3 +266,35 @@ def test_parsing(spark):
     df = spark.createDataFrame([("#FFF",), ("10203040",), ("12345",), (None,), (" Yes ",), ("nope",)], "t string")
     rows = df.select(text.colour_channels(F.col("t")).alias("c"), text.truth(F.col("t")).alias("b")).collect()
     assert [r.c and tuple(r.c) for r in rows] == [(255, 255, 255, 255), (16, 32, 48, 64), None, None, None, None] and [r.b for r in rows] == [None, None, None, None, True, None]
+
+
+def test_sums_before_without_one_window(spark):
+    names = ["", "a", "ab", "abcd", "abcde", "abcdf", "b", "é", None]
+    rows = [(n, k + 1) for k, n in enumerate(names)]
+    got = {r.k: r.s for r in grouping.summed_before(spark.createDataFrame(rows, "k string, v long"), "k", F.col("v"), "s").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or ""))
+    assert got == {n: sum(v for _, v in order[:i]) for i, (n, _) in enumerate(order)}
+
+
+def test_crc16(spark):
+    rows = [bytes(range(k)) for k in (0, 1, 9, 200)] + [b"123456789"]
+    found = spark.createDataFrame([(bytearray(b),) for b in rows], "b binary").select("b", assembly.crc16(F.col("b")).alias("c")).collect()
+    assert all(r.c == binascii.crc_hqx(bytes(r.b), 0) for r in found)
+
+
+def test_paths(spark):
+    cases = {"/a/./b//c/": "/a/b/c", "../x/../../y": "../../y", "/../a": "/a", "": ".", "a/..": ".", "/": "/", "./a b": "a b"}
+    df = spark.createDataFrame([(c,) for c in cases], "p string")
+    assert {r.p: r.c for r in df.select("p", assembly.canonical_path(F.col("p")).alias("c")).collect()} == cases
+    order = assembly.in_path_order(spark.createDataFrame([(k, p) for k, p in enumerate(["b", "a/b", "a b/c", "a", "a/b", "a/a/z"])], "k long, p string"), "p", "k")
+    assert [r.k for r in order.orderBy("rank").collect()] == [3, 5, 1, 4, 2, 0]
+
+
+def test_four_times_is_twice_twice(spark):
+    r = random.Random(9)
+    rows = [(1, x, y, r.randrange(3)) for x in range(5) for y in range(4)]
+    df = spark.createDataFrame(rows, "i long, x long, y long, v long")
+    found = {(p.x, p.y): p.v for p in assembly.art(df, ["i"], (5, 4), "v", "scale4").collect()}
+    assert len(found) == 16 * 20 and {v for v in found.values()} <= {0, 1, 2}
+    flat = assembly.art(df.withColumn("v", F.lit(7)), ["i"], (5, 4), "v", "scale3").collect()
+    assert len(flat) == 9 * 20 and {p.v for p in flat} == {7}

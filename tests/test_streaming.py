@@ -39,3 +39,19 @@ def test_repeats(spark):
     df = spark.createDataFrame(rows, "k long, t long, s string")
     assert sorted((r.k, r.t) for r in ev.without_repeats(df, "k", ["t"], ["s"]).collect()) == [(1, 1), (1, 3), (1, 5), (2, 1)]
     assert sorted((r.k, r.t) for r in ev.without_repeats(df, "k", ["t"], ["s"], newest=1).collect()) == [(1, 5), (2, 1)]
+
+
+def test_retries(spark, tmp_path):
+    events, stream = source(spark, tmp_path)
+    drain(ev.retries_stream(stream, "user_id", "ts", "event_type", "purchase", "error"), "retries", "append")
+    got = sorted((r.user_id, r.ts, r.action) for r in spark.table("retries").collect())
+    assert got and got == sorted((r.user_id, r.ts, r.action) for r in ev.retries(events, "user_id", ["ts"], "event_type", "purchase", "error").collect())
+
+
+def test_watched_folder(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("a.png", "b.png", "c.txt"):
+        (folder / name).write_bytes(name.encode())
+    drain(ev.watched(spark, f"file://{folder}", "*.png", 1), "watched", "append")
+    assert sorted(bytes(r.content) for r in spark.table("watched").collect()) == [b"a.png", b"b.png"]
