@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from quiltwork.llm.rolling import batches as some
+
 BLANK = "▁"
 #: Distinct segments kept per task, and their bytes; the memo is emptied when full, which changes speed only.
 MEMO_SEGMENTS, MEMO_BYTES = 200_000, 32_000_000
@@ -235,20 +237,22 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(model)
+        sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [codec.encoded(t) for t in texts]
-            sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
-            spans_of = [np.stack([x[1], x[2]], axis=1).astype("<i4").tobytes() for x in found]
-            columns = [batch.column(0), pa.array([len(x[0]) for x in found], pa.int64()), sha([x[3] for x in found]), sha([x[4] for x in found]), sha(spans_of)]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
-            if ids:
-                columns.append(lists([x[0] for x in found]))
-                names.append("ids")
-            if spans:
-                columns += [lists([x[k] for x in found]) for k in (1, 2)]
-                names += ["begins", "ends"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            # A few texts at a time, so that what is held doesn't grow with the rows of a batch.
+            for a, b in some(texts):
+                found = [codec.encoded(t) for t in texts[a:b]]
+                spans_of = [np.stack([x[1], x[2]], axis=1).astype("<i4").tobytes() for x in found]
+                columns = [batch.column(0).slice(a, b - a), pa.array([len(x[0]) for x in found], pa.int64()), sha([x[3] for x in found]), sha([x[4] for x in found]), sha(spans_of)]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+                if ids:
+                    columns.append(lists([x[0] for x in found]))
+                    names.append("ids")
+                if spans:
+                    columns += [lists([x[k] for x in found]) for k in (1, 2)]
+                    names += ["begins", "ends"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string{extra}")
