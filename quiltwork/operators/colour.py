@@ -54,24 +54,34 @@ def border_colour(pixels: DataFrame, keys: list[str], x: str, y: str, w: Column,
 KERNELS = {
     "floyd-steinberg": ([(1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)], 16),
     "atkinson": ([(1, 0, 1), (2, 0, 1), (-1, 1, 1), (0, 1, 1), (1, 1, 1), (0, 2, 1)], 8),
-    "none": ([], 1),
+    "linear": ([(1, 0, 1)], 1), "nearest": ([], 1), "none": ([], 1),
 }
 
 
-def diffused(channel: np.ndarray, bits: int, kernel: str = "floyd-steinberg") -> np.ndarray:
-    """A channel (rows of 0 to 255) at fewer bits, errors passed on by a kernel in reading order."""
-    top, work = (1 << bits) - 1, channel.astype(float).copy()
-    height, width = work.shape
-    shares, whole = KERNELS[kernel]
+def diffused(images: np.ndarray, bits: int, kernel: str = "floyd-steinberg") -> np.ndarray:
+    """Images of one size (image, row, column, channel; 0 to 255) at fewer bits, errors passed on by a kernel in reading order.
+
+    Alpha, the fourth channel, gets fewer bits as well, but its errors go on only under kernels that end in -alpha. A pixel
+    of all images is done at once, so the steps are those of one image.
+    """
+    shares, whole = KERNELS[kernel.removesuffix("-alpha")]
+    step = np.float32(255) / np.float32((1 << bits) - 1)
+    many, height, width, channels = images.shape
+    # A margin takes what would go beyond the edges.
+    work = np.zeros((many, height + 2, width + 3, channels), np.float32)
+    work[:, :height, 1 : width + 1] = images
+    passed = np.ones(channels, np.float32)
+    if not kernel.endswith("-alpha"):
+        passed[3:] = 0
     for y in range(height):
-        for x in range(width):
-            old = min(255.0, max(0.0, work[y, x]))
-            new = round(old * top / 255) * 255 // top
-            work[y, x], error = new, old - new
+        for x in range(1, width + 1):
+            old = work[:, y, x].copy()
+            new = np.clip(np.floor(old / step + np.float32(0.5)), 0, (1 << bits) - 1) * step
+            work[:, y, x] = new
+            error = (old - new) * passed
             for dx, dy, share in shares:
-                if 0 <= x + dx < width and y + dy < height:
-                    work[y + dy, x + dx] += error * share / whole
-    return work.astype(np.uint8)
+                work[:, y + dy, x + dx] += error * np.float32(share / whole)
+    return np.clip(np.floor(work[:, :height, 1 : width + 1] + np.float32(0.5)), 0, 255).astype(np.uint8)
 
 
 def dithered(df: DataFrame, image: str, width: str, bits: int = 4, kernel: str = "floyd-steinberg") -> DataFrame:
@@ -79,13 +89,14 @@ def dithered(df: DataFrame, image: str, width: str, bits: int = 4, kernel: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw, w in zip(batch.column(image).to_pylist(), batch.column(width).to_pylist(), strict=True):
-                if not raw or not w or len(raw) % (4 * w):
-                    out.append(raw)
-                    continue
-                pixels = np.frombuffer(raw, np.uint8).reshape(-1, w, 4)
-                out.append(np.stack([diffused(pixels[:, :, c], bits, kernel) for c in range(4)], axis=2).tobytes())
+            out, alike = batch.column(image).to_pylist(), {}
+            for k, (raw, w) in enumerate(zip(out, batch.column(width).to_pylist(), strict=True)):
+                if raw and w and len(raw) % (4 * w) == 0:
+                    alike.setdefault((len(raw), w), []).append(k)
+            for (size, w), places in alike.items():
+                stacked = np.frombuffer(b"".join([out[k] for k in places]), np.uint8).reshape(len(places), size // (4 * w), w, 4)
+                for k, found in zip(places, diffused(stacked, bits, kernel), strict=True):
+                    out[k] = found.tobytes()
             at = batch.schema.get_field_index(image)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.binary()))
 

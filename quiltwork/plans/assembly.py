@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltwork.functions import pixels as px
-from quiltwork.operators import assembly, dedup, frames
+from quiltwork.operators import assembly, colour, dedup, frames
 from quiltwork.plans import config
 from quiltwork.plans.catalogue import _GRID, _Q, _XY, ORACLE_SQL, PRESETS, QUERIES, _grid, _image, query
 from quiltwork.plans.views import PATHS, PIXELS, SPRITES, paths, pixels, sprites, table
@@ -359,3 +359,19 @@ def preset_table(spark: SparkSession, d: str) -> DataFrame:
 def retry_actions(spark: SparkSession, d: str) -> DataFrame:
     """Errors as failures, purchases as changes of what failed."""
     return ev.retries(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", "purchase", "error")
+
+
+_LEVEL = lambda c: f"CAST(floor(floor(CAST({c} AS FLOAT) / CAST(17 AS FLOAT) + 0.5) * 17 + 0.5) AS BIGINT)"
+
+
+@query(f"WITH {_XY} SELECT vec_id, x, y, {_LEVEL('r')} AS r, {_LEVEL('g')} AS g, {_LEVEL('b')} AS b, {_LEVEL('a')} AS a FROM image")
+def dither_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel blocks at four bits a channel, each pixel on its own."""
+    own = images.images_of(_image(spark, d), ["vec_id"]).withColumnRenamed("rgba", "image")
+    return images.pixels_of(colour.dithered(own, "image", "width", 4, "nearest").withColumnRenamed("image", "rgba"), ["vec_id"])
+
+
+@query()
+def dither_linear(spark: SparkSession, d: str) -> DataFrame:
+    own = images.images_of(_image(spark, d), ["vec_id"]).withColumnRenamed("rgba", "image")
+    return images.pixels_of(colour.dithered(own, "image", "width", 2, "linear").withColumnRenamed("image", "rgba"), ["vec_id"])

@@ -218,7 +218,7 @@ def test_contours():
 
 def test_dither_keeps_levels_and_mean(spark):
     image = np.tile(np.arange(0, 256, 4, dtype=np.uint8), (32, 1))
-    out = colour.diffused(image, 4)
+    out = colour.diffused(image[None, :, :, None], 4)[0, :, :, 0]
     assert set(np.unique(out)) <= {v * 17 for v in range(16)} and abs(out.mean() - image.mean()) < 2
     df = spark.createDataFrame([(bytearray(64), 4), (None, 4), (bytearray(5), 4)], "image binary, width int")
     assert [None if r.image is None else len(r.image) for r in colour.dithered(df, "image", "width").collect()] == [64, None, 5]
@@ -298,3 +298,23 @@ def test_four_times_is_twice_twice(spark):
     assert len(found) == 16 * 20 and {v for v in found.values()} <= {0, 1, 2}
     flat = assembly.art(df.withColumn("v", F.lit(7)), ["i"], (5, 4), "v", "scale3").collect()
     assert len(flat) == 9 * 20 and {p.v for p in flat} == {7}
+
+
+def test_dithering_against_one_pixel_after_another():
+    r = np.random.default_rng(8)
+    art = r.integers(0, 256, (3, 6, 7, 4), dtype=np.uint8)
+    for kernel in ("none", "nearest", "linear", "floyd-steinberg", "floyd-steinberg-alpha", "atkinson", "atkinson-alpha"):
+        shares, whole = colour.KERNELS[kernel.removesuffix("-alpha")]
+        for bits in (1, 2, 4, 5):
+            step = np.float32(255) / np.float32(2**bits - 1)
+            for image, got in zip(art, colour.diffused(art, bits, kernel), strict=True):
+                work = image.astype(np.float32)
+                for y in range(6):
+                    for x in range(7):
+                        for c in range(4):
+                            old = work[y, x, c]
+                            work[y, x, c] = np.clip(np.floor(old / step + np.float32(0.5)), 0, 2**bits - 1) * step
+                            for dx, dy, share in shares if c < 3 or kernel.endswith("-alpha") else []:
+                                if 0 <= x + dx < 7 and y + dy < 6:
+                                    work[y + dy, x + dx, c] += (old - work[y, x, c]) * np.float32(share / whole)
+                assert (np.clip(np.floor(work + np.float32(0.5)), 0, 255).astype(np.uint8) == got).all()
