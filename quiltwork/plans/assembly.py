@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltwork.functions import pixels as px
-from quiltwork.operators import assembly, colour, dedup, frames
+from quiltwork.operators import assembly, blocks, colour, dedup, frames
 from quiltwork.plans import config
 from quiltwork.plans.catalogue import _GRID, _Q, _XY, ORACLE_SQL, PRESETS, QUERIES, _grid, _image, query
 from quiltwork.plans.views import PATHS, PIXELS, SPRITES, paths, pixels, sprites, table
@@ -375,3 +375,37 @@ def dither_nearest(spark: SparkSession, d: str) -> DataFrame:
 def dither_linear(spark: SparkSession, d: str) -> DataFrame:
     own = images.images_of(_image(spark, d), ["vec_id"]).withColumnRenamed("rgba", "image")
     return images.pixels_of(colour.dithered(own, "image", "width", 2, "linear").withColumnRenamed("image", "rgba"), ["vec_id"])
+
+
+_WIDE = lambda e: f"[({e} >> 11) * 8 + (({e} >> 11) >> 2), (({e} >> 5) & 63) * 4 + ((({e} >> 5) & 63) >> 4), ({e} & 31) * 8 + (({e} & 31) >> 2)]"
+_MIXED = lambda f: "[" + ", ".join(f.format(k=k) for k in (1, 2, 3)) + "]"
+
+
+@query(f"""WITH h AS (SELECT p_partkey, substr(md5(CAST(p_partkey AS VARCHAR)), 1, 16) AS x FROM part), b AS (SELECT p_partkey, list_transform(range(8), lambda i: CAST('0x' || substr(x, 2 * CAST(i AS INT) + 1, 2) AS BIGINT)) AS b FROM h),
+    e AS (SELECT p_partkey, b, b[1] + 256 * b[2] AS o, b[3] + 256 * b[4] AS t FROM b), w AS (SELECT *, {_WIDE('o')} AS p, {_WIDE('t')} AS q FROM e),
+    c AS (SELECT *, CASE WHEN o > t THEN {_MIXED('(2 * p[{k}] + q[{k}]) // 3')} ELSE {_MIXED('(p[{k}] + q[{k}]) // 2')} END AS third, CASE WHEN o > t THEN {_MIXED('(p[{k}] + 2 * q[{k}]) // 3')} ELSE [0, 0, 0] END AS fourth FROM w),
+    k AS (SELECT *, unnest(range(16)) AS k FROM c), n AS (SELECT *, (b[5 + k // 4] >> (2 * (k % 4))) & 3 AS n FROM k), s AS (SELECT p_partkey, k, CASE n WHEN 0 THEN p WHEN 1 THEN q WHEN 2 THEN third ELSE fourth END AS v, CASE WHEN n = 3 AND o <= t THEN 0 ELSE 255 END AS a FROM n)
+    SELECT p_partkey, string_agg(format('{{:02X}}{{:02X}}{{:02X}}{{:02X}}', v[1], v[2], v[3], a), '' ORDER BY k) AS pixels FROM s GROUP BY p_partkey""")
+def dxt1_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of part numbers seen as DXT1 blocks."""
+    code = table(spark, d, "part").select("p_partkey", F.unhex(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 16)).alias("block"))
+    return blocks.pixels_of_blocks(code, "dxt1").select("p_partkey", F.hex("pixels").alias("pixels"))
+
+
+def _texture_error(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """How far pixel blocks are from themselves after a texture, on average over all."""
+    own = _image(spark, d).withColumn("a", F.lit(255).cast("long"))
+    back = images.pixels_of(images.decoded(blocks.textured(images.images_of(own, ["vec_id"]), kind).select("vec_id", "content")), ["vec_id"])
+    both = own.join(back.select("vec_id", "x", "y", *[F.col(c).alias(f"_{c}") for c in "rgba"]), ["vec_id", "x", "y"])
+    apart = sum(F.abs(F.col(c) - F.col(f"_{c}")) for c in "rgb")
+    return both.groupBy("vec_id").agg(F.count("*").alias("pixels"), (F.avg(apart / 3) < 96).alias("near"), F.max(F.abs(F.col("a") - F.col("_a"))).alias("alpha_apart"))
+
+
+@query("SELECT vec_id, CAST(16 AS BIGINT) AS pixels, true AS near, CAST(0 AS BIGINT) AS alpha_apart FROM embeddings")
+def dxt1_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return _texture_error(spark, d, "dxt1")
+
+
+@query("SELECT vec_id, CAST(16 AS BIGINT) AS pixels, true AS near, CAST(0 AS BIGINT) AS alpha_apart FROM embeddings")
+def dxt5_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return _texture_error(spark, d, "dxt5")

@@ -1,4 +1,4 @@
-"""Image files as rows of pixels and back: PNG, BMP, TGA and PNM. Files are decoded where Spark reads them, batch by batch; a row is one image."""
+"""Image files as rows of pixels and back: PNG, BMP, TGA, PNM and DDS. Files are decoded where Spark reads them, batch by batch; a row is one image."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltwork.operators import blocks
+
 # What begins a PNG file, channels by colour type, and the passes of interlaced ones (first row and column, steps).
 PNG = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -188,6 +190,8 @@ def decode(content: bytes) -> np.ndarray:
     start = content[:8]
     if start == PNG:
         return decode_png(content)
+    if start[:4] == b"DDS ":
+        return blocks.decode_dds(content)
     if start[:2] == b"BM":
         return decode_bmp(content)
     return decode_pnm(content) if start[:2] in (b"P5", b"P6") else decode_tga(content)

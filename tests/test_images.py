@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+from quiltwork.operators import blocks
 from quiltwork.sources import images
 
 
@@ -83,3 +84,45 @@ def test_tables(spark):
         back = images.decoded(images.encoded(again, kind).select("id", "content"))
         assert {r.id: bytes(r.rgba) for r in back.collect()} == {k: a.tobytes() for k, a in enumerate(arts)}
     assert images.decoded(spark.createDataFrame([], "id long, content binary")).collect() == []
+
+
+def plain_block(b, kind):
+    """One block, decoded number by number."""
+    colour = b[-8:]
+    ends = [colour[0] | colour[1] << 8, colour[2] | colour[3] << 8]
+    wide = [((e >> 11) * 8 + (e >> 11) // 4, (e >> 5 & 63) * 4 + (e >> 5 & 63) // 16, (e & 31) * 8 + (e & 31) // 4) for e in ends]
+    if ends[0] > ends[1] or kind != "dxt1":
+        table = [*wide, tuple((2 * p + q) // 3 for p, q in zip(*wide)), tuple((p + 2 * q) // 3 for p, q in zip(*wide))]
+        alphas = [255] * 4
+    else:
+        table, alphas = [*wide, tuple((p + q) // 2 for p, q in zip(*wide)), (0, 0, 0)], [255, 255, 255, 0]
+    picks, out = int.from_bytes(colour[4:], "little"), []
+    levels = [b[0], b[1]]
+    levels += [(b[0] * (7 - k) + b[1] * k) // 7 for k in range(1, 7)] if b[0] > b[1] else [(b[0] * (5 - k) + b[1] * k) // 5 for k in range(1, 5)] + [0, 255]
+    for k in range(16):
+        n = picks >> 2 * k & 3
+        a = {"dxt1": alphas[n], "dxt3": (int.from_bytes(b[:8], "little") >> 4 * k & 15) * 17, "dxt5": levels[int.from_bytes(b[2:8], "little") >> 3 * k & 7]}[kind]
+        out.append((*table[n], a))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["dxt1", "dxt3", "dxt5"])
+def test_blocks(kind):
+    r = np.random.default_rng(7)
+    raw = r.integers(0, 256, (300, blocks.SIZES[kind]), dtype=np.uint8)
+    assert blocks.decode_blocks(raw, kind).tolist() == [[list(p) for p in plain_block(b.tolist(), kind)] for b in raw]
+    # Colours between two ends come back nearly, and flat blocks within the steps of the ends.
+    ends, share = r.integers(0, 256, (200, 2, 1, 4)), r.random((200, 16, 1))
+    art = (ends[:, 0] * share + ends[:, 1] * (1 - share)).astype(np.uint8)
+    art[:, :, 3] = 255 if kind == "dxt1" else art[:, :, 3]
+    far = np.abs(blocks.decode_blocks(blocks.encode_blocks(art, kind), kind).astype(int) - art)
+    assert far[:, :, :3].mean() < 14 and far[:, :, 3].max() <= {"dxt1": 0, "dxt3": 9, "dxt5": 19}[kind]
+    flat = np.repeat(r.integers(0, 256, (50, 1, 4), dtype=np.uint8), 16, axis=1)
+    flat[:, :, 3] = 255
+    assert np.abs(blocks.decode_blocks(blocks.encode_blocks(flat, kind), kind).astype(int) - flat).max() <= 4
+    image = picture(7, 10, seed=2)
+    image[:, :, 3] = 255
+    assert images.decode(blocks.dds(image, kind)).shape == image.shape
+    clear = image.copy()
+    clear[::2, :, 3] = 0
+    assert ((images.decode(blocks.dds(clear, kind))[:, :, 3] > 127) == (clear[:, :, 3] > 127)).all()
