@@ -51,12 +51,13 @@ def presence(texts: list[str], options: KernelOptions) -> np.ndarray:
     """A row for each text: for each n, which slots its n-grams fall into, scaled to length one."""
     out = np.zeros((len(texts), options.max_n * options.slots), np.float32)
     lowered = [t.lower() for t in texts]
-    codes = np.frombuffer(" ".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # Every text ends in a blank, so its n-grams don't depend on what stands beside it.
+    codes = np.frombuffer("".join([t + " " for t in lowered]).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(codes):
         return out
     table = letter_table()
     codes = np.where(codes < 1 << 16, table[np.minimum(codes, 0xFFFF)], codes)
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) + 1 for t in lowered])[: len(codes)]
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) + 1 for t in lowered])
     base = row * out.shape[1]
     flat, mixed = out.reshape(-1), np.zeros(len(codes), np.uint64)
     for n in range(options.max_n):
