@@ -135,7 +135,7 @@ def crc_marks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_name", assembly.crc16(name).alias("crc16"), F.crc32(name).alias("crc32"))
 
 
-@query(f"""WITH {SPRITES}, t AS (SELECT ord, w, h, [[0.0, 0.25], [w * 1.0, h * 0.5], [w * 0.3, h * 1.0]] AS p FROM sprites),
+@query(f"""WITH {SPRITES}, t AS (SELECT ord, w, h, [[0.0, 0.25], [w * 1.0, h * 0.5], [w * 0.25, h * 1.0]] AS p FROM sprites),
     cuts AS (SELECT ord, w, y, p[i][1] AS ax, p[i][2] AS ay, p[i % 3 + 1][1] AS bx, p[i % 3 + 1][2] AS "by" FROM (SELECT ord, w, p, unnest(range(h)) AS y FROM t), (SELECT unnest(range(1, 4)) AS i)),
     xs AS (SELECT ord, w, y, CAST(ax AS DOUBLE) + (y + CAST(0.5 AS DOUBLE) - CAST(ay AS DOUBLE)) / (CAST("by" AS DOUBLE) - CAST(ay AS DOUBLE)) * (CAST(bx AS DOUBLE) - CAST(ax AS DOUBLE)) AS x FROM cuts WHERE (ay <= y + 0.5) <> ("by" <= y + 0.5))
     SELECT ord, y, CAST(greatest(floor(min(x)), 0) AS BIGINT) AS "first", CAST(least(greatest(ceil(max(x)) - 1, 0), w - 1) AS BIGINT) AS "last" FROM xs GROUP BY ord, w, y HAVING max(x) > 0 AND min(x) < w""")
@@ -143,7 +143,7 @@ def polygon_runs(spark: SparkSession, d: str) -> DataFrame:
     """A triangle within each sprite, as runs of pixels."""
     w, h = F.col("w").cast("double"), F.col("h").cast("double")
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    shapes = sprites(spark, d).select("ord", "w", "h", F.array(point(F.lit(0.0), F.lit(0.25)), point(w, h * 0.5), point(w * 0.3, h)).alias("p"))
+    shapes = sprites(spark, d).select("ord", "w", "h", F.array(point(F.lit(0.0), F.lit(0.25)), point(w, h * 0.5), point(w * 0.25, h)).alias("p"))
     return assembly.rasterised(shapes, ["ord"], "p", F.col("w"), F.col("h"))
 
 
