@@ -170,15 +170,18 @@ def linked(one: np.ndarray, two: np.ndarray, options: NearOptions) -> bool:
 
 
 def confirmed(pairs: DataFrame, options: NearOptions) -> DataFrame:
-    """Of pairs (a, b, ta, tb: packed texts) those whose full sets make a link. Sets are built once for each text of a batch."""
+    """Of pairs (a, b, ta, tb: packed texts) those whose full sets make a link. Sets are built once for each text of some pairs."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            a, b = (part.column(k).to_pylist() for k in (0, 1))
-            texts = dict(zip(a + b, part.column(2).to_pylist() + part.column(3).to_pylist(), strict=True))
-            known = dict(zip(texts, sets_of(list(texts.values()), options), strict=True))
-            good = pa.array([linked(known[x], known[y], options) for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], ["a", "b"])
+        for whole in parts:
+            # A few pairs at a time, so that few sets are held.
+            for at in range(0, whole.num_rows, 400):
+                part = whole.slice(at, 400)
+                a, b = (part.column(k).to_pylist() for k in (0, 1))
+                texts = dict(zip(a + b, part.column(2).to_pylist() + part.column(3).to_pylist(), strict=True))
+                known = dict(zip(texts, sets_of(list(texts.values()), options), strict=True))
+                good = pa.array([linked(known[x], known[y], options) for x, y in zip(a, b, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], ["a", "b"])
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 

@@ -158,14 +158,17 @@ def planned(rows: DataFrame, carried: DataFrame, o: MixOptions) -> DataFrame:
     return plain.unionByName(last).withColumn("taken", F.col("size") * times).withColumn("copies", F.when(times > 0, copies).otherwise(none))
 
 
-def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
+def mix(docs: DataFrame, options: MixOptions = MixOptions(), arranged: bool = True) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them, with shard, epoch and place.
 
-    A shard's rows stand together and in the order of their place: shards are dealt over tasks and shuffled within. Null
-    texts have no words, so they are taken with whole passes alone; repeated rows are separate documents; ties of place go
-    by epoch. Texts of any length move whole, as rows of Spark's.
+    If arranged, a shard's rows stand together and in the order of their place: shards are dealt over tasks and shuffled
+    within. Null texts have no words, so they are taken with whole passes alone; repeated rows are separate documents; ties
+    of place go by epoch. Texts of any length move whole, as rows of Spark's.
     """
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     columns = ("doc_id", "text", "source")
     found = planned(materialise(keyed(docs, options, *columns)), keyed(docs, options, *columns, whole), options)
-    return found.select("row", F.explode("copies").alias("_copy")).repartition("_copy.shard").sortWithinPartitions("_copy.shard", "_copy.place", "_copy.epoch").select("row.*", "_copy.*")
+    found = found.select("row", F.explode("copies").alias("_copy"))
+    if arranged:
+        found = found.repartition("_copy.shard").sortWithinPartitions("_copy.shard", "_copy.place", "_copy.epoch")
+    return found.select("row.*", "_copy.*")

@@ -25,7 +25,7 @@ from quiltwork.llm.rolling import batches as some
 
 BLANK = "▁"
 #: Distinct segments kept per task, and their bytes; the memo is emptied when full, which changes speed only.
-MEMO_SEGMENTS, MEMO_BYTES = 200_000, 32_000_000
+MEMO_SEGMENTS, MEMO_BYTES = 100_000, 32_000_000
 
 
 class CharacterMap:
