@@ -33,11 +33,12 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources to their target weights: documents come as often as the mix takes them."""
-    return mix(docs).select(*docs.columns)
+    """Sources to their target weights: documents come as often as the mix takes them. Columns for shards have no place in a table of documents, so rows aren't put in their order."""
+    return mix(docs, arranged=False).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, with digests of ids, decoded text and source spans."""
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -53,6 +54,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
