@@ -73,6 +73,24 @@ def materialise(df: DataFrame, rows: int = 0, most: int = 0) -> DataFrame:
     return kept
 
 
+def group_key(value: Column) -> Column:
+    """Values as texts that are never null and sort bytewise, null first."""
+    return F.when(value.isNull(), "a").otherwise(F.concat(F.lit("b"), value.cast("string")))
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], many: str = "n", place: str = "pos") -> DataFrame:
+    """rows with each one's place in its group, from 0, and the group's size. A range shuffle cuts large groups; only counts by partition and group are summed up.
+
+    Rows alike in all columns of the order are interchangeable.
+    """
+    laid = materialise(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = laid.groupBy(group, part.alias("_part")).agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    sums = counts.withColumns({"_before": F.expr(f"sum(_rows) over (partition by {group} order by _part) - _rows"), many: F.expr(f"sum(_rows) over (partition by {group})")})
+    known = laid.withColumn("_part", part).join(sums.select(group, "_part", "_first", "_before", many), [group, "_part"])
+    return known.withColumn(place, F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_first", "_before", "_rows")
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of steps that are done: Spark deletes shuffle files of plans that no one refers to once the driver collects its garbage."""
     gc.collect()
