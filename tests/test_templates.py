@@ -79,7 +79,7 @@ def contexts(spark):
 def test_context(contexts):
     (row,) = contexts.collect()
     c = row.context
-    assert [f.filename for f in c.frames] == ["a", "b/1", 'q"'] and [len(s.frames) for s in c.sheets] == [2, 1] and [s.index for s in c.sheets] == [0, 1]
+    assert [f.filename for f in c.frames] == ["a", "b/1", 'q"'] and [len(s.frames) for s in c.sheets] == [2, 1] and [s["index"] for s in c.sheets] == [0, 1]
     b = c.frames[1]
     assert (b.offset, b.frameX, b.frameY, b.frameWidth, tuple(b.offsetBottomLeft), b.cssClass) == ("-1,0.5", -4, -5, 40, (4, 4), "b_1") and c.frames[0].aliased and c.frames[0].aliasTarget == "b/1" and not b.aliased
     assert c.meta.image == "p0.png" and c.meta.scale == "0.5" and [p.file for p in c.meta.pages] == ["p0.png", "p1.png"] and c.filter.startswith("Nearest")
