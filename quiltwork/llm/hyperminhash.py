@@ -374,5 +374,6 @@ def near_duplicates(docs: DataFrame, options: NearOptions = NearOptions(), id_co
 def without_near_duplicates(docs: DataFrame, options: NearOptions = NearOptions()) -> DataFrame:
     """The rows of docs, with all columns, that near_duplicates() keeps: one of each component, one of rows alike in id and text. Rows without an id stay."""
     kept = near_duplicates(docs, options, text_key=True).where("kept and doc_id is not null").select("doc_id", F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    return keyed.join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    # The row is one column, so that its names can't clash.
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return keyed.join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).select("_row.*").union(docs.where(F.col("doc_id").isNull()))

@@ -31,19 +31,20 @@ GIVEN = {
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Господин", "Госпожа", "Κύριος", "Κυρία"]
 
 LETTER = r"[\p{L}]"
-NAME_WORD = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
+NAME_WORD = r"\p{Lu}[\p{Ll}'’]{1,64}+(?:-\p{Lu}\p{Ll}{1,64}+)?"
 _GIVEN = "|".join(sorted((n for names in GIVEN.values() for n in names), key=lambda n: (-len(n), n)))
-#: Kinds in the order in which they are tried.
+#: Kinds in the order in which they are tried. Whatever repeats has a bound (an address's parts those of the mail standards),
+#: and groups are possessive: Java's matcher recurses once a repeat of a group, and a few thousand would overflow its stack.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,256}+@[\p{L}\p{N}\-]{1,63}+(?:\.[\p{L}\p{N}\-]{1,63}+){1,126}+",
     "ipv6": r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
     "ipv4": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z\-_]{16,}|xox[bap]-[0-9A-Za-z\-]{10,}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,512}+|sk-[0-9A-Za-z\-_]{16,512}+|xox[bap]-[0-9A-Za-z\-]{10,512}+|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}])",
-    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:(?:{'|'.join(TITLES)})\.? )+(?:{NAME_WORD} )?{NAME_WORD}|(?:{_GIVEN}) {NAME_WORD})(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:(?:{'|'.join(TITLES)})\.? ){{1,8}}+(?:{NAME_WORD} )?{NAME_WORD}|(?:{_GIVEN}) {NAME_WORD})(?![\p{{L}}\p{{N}}])",
 }
 #: Any of them. None begins within a word, which is said once and first, so most places of a text are done with at once.
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
@@ -201,14 +202,17 @@ def replace_entities(docs: DataFrame, options: SurrogateOptions = SurrogateOptio
     """docs with text replaced and one more column, _entities: array of (kind, surrogate) in order of appearance.
 
     Null texts stay null, with no entities; texts without entities pass unchanged and are not shuffled. The replacement is
-    the same for repeated rows. Other columns stay as they are.
+    the same for repeated rows. Other columns stay as they are, whatever their names; a column _entities is replaced.
     """
     given = given_names(options.key)
     names = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
+    docs = docs.drop("_entities")
     text, nothing = F.col(text_col), F.expr("cast(array() as array<struct<kind:string,surrogate:string>>)")
     clean = docs.where(F.coalesce(~text.rlike(ANY), F.lit(True))).withColumn("_entities", nothing)
-    # Texts with entities are few; they are found once and kept.
-    found = materialise(docs.where(text.rlike(ANY)).withColumn("_key", F.sha2(text, 256)).withColumn("_mentions", F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    # Texts with entities are few; they are found once and kept. The row is one column, so that its names can't clash.
+    hit = docs.where(text.rlike(ANY)).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), text.alias("_text"), F.sha2(text, 256).alias("_key"))
+    found = materialise(hit.withColumn("_mentions", F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))))
+    text = F.col("_text")
 
     mentions = found.select("_key", F.explode(F.array_distinct("_mentions")).alias("mention")).distinct().withColumn("kind", kind_of(F.col("mention")))
     word = F.explode(F.when(F.col("kind") == "name", F.split("mention", " ")).otherwise(F.array("mention"))).alias("part")
@@ -232,5 +236,5 @@ def replace_entities(docs: DataFrame, options: SurrogateOptions = SurrogateOptio
 
     known = known.withColumn("_entities", F.transform("_mentions", to))
     pieces = F.zip_with(F.split(text, ANY, -1), F.col("_entities"), lambda before, e: F.concat(before, F.coalesce(e["surrogate"], F.lit(""))))
-    known = known.withColumn(text_col, F.array_join(pieces, "")).select(*docs.columns, "_entities")
-    return clean.select(*docs.columns, "_entities").union(known)
+    columns = [F.array_join(pieces, "").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    return clean.select(*docs.columns, "_entities").union(known.select(*columns, "_entities"))

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quiltwork.llm.hyperminhash import NearOptions, near_duplicates
+from quiltwork.llm.hyperminhash import NearOptions, near_duplicates, without_near_duplicates
 from quiltwork.llm.mixing import mix, plan_mix
 from quiltwork.llm.noisy_channel import score_held_out
 from quiltwork.llm.piece_codec import encode_documents
@@ -46,7 +46,7 @@ def test_toxicity(spark, docs):
 
 
 def test_surrogates(spark, docs):
-    own = docs.drop("_key").withColumn("text", F.when(F.col("doc_id") == 100, F.concat("text", F.lit(" mail bob@example.org"))).otherwise(F.col("text")))
+    own = docs.withColumns({"_row": F.lit(1), "_text": F.lit("t"), "_mentions": F.lit(2), "_map": F.lit(3)}).withColumn("text", F.when(F.col("doc_id") == 100, F.concat("text", F.lit(" mail bob@example.org"))).otherwise(F.col("text")))
     found = replace_entities(own)
     assert found.columns == [*own.columns, "_entities"]
     rows = found.collect()
@@ -63,6 +63,13 @@ def test_near_duplicates(docs):
     assert all(r.component_id is None and r.kept for r in found if r.doc_id is None)
 
 
+def test_one_of_each_component(docs):
+    """All columns stay as they are, whatever their names."""
+    rows = without_near_duplicates(docs).collect()
+    ids = [r.doc_id for r in rows]
+    assert 100 in ids and 101 not in ids and ids.count(105) == 1 and 106 not in ids and ids.count(None) == 2 and all(r._key == 1 and r.band == 1 for r in rows)
+
+
 def test_mixture(docs):
     found = plan_mix(docs).collect()
     assert len(found) == docs.count() and all(r.taken <= 3 * r.size for r in found)

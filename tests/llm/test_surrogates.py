@@ -103,3 +103,14 @@ def test_given_names_move_within_their_list():
 
 def test_empty(spark):
     assert replace_entities(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+UNITS = ["a@b.", ".b", "Mr ", "Dr. ", "Prof. Dr. ", "1 ", "12-", "+1 ", "1.", "a:", "AB12 ", "(1) ", "A-", "Aa-", "Robert ", "sk-", "-_", "0f", "Ж", "é'", "1-2-", "@", "a@", "192.168.", "AKIA"]
+
+
+def test_repeated_units(spark):
+    """A megabyte of any repeated unit passes every pattern: no group recurses without a bound."""
+    rows = [(k, head + unit * (1_000_000 // len(unit)) + tail) for k, (unit, head, tail) in enumerate((u, h, t) for u in UNITS for h, t in (("", ""), ("a@b", ""), ("Mr ", " Smith")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = replace_entities(df).select("doc_id", F.char_length("text").alias("n"))
+    assert found.count() == len(rows) and found.where("n > 900000").count() == len(rows)
