@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltwork.operators import blocks
@@ -273,8 +273,15 @@ def pixels_of(images: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def images_of(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, width, height, rgba of pixel rows (x, y, r, g, b, a); places without a row are clear. An image bounds a row."""
+    """keys, width, height, rgba of pixel rows (x, y, r, g, b, a); places without a row are clear. An image bounds a row.
+
+    An image's rows meet in one task, its raster's places among them, and are put in order once.
+    """
     code = F.concat(*[F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in "rgba"])
-    sizes = pixels.groupBy(*keys).agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), F.map_from_entries(F.collect_list(F.struct(F.struct("y", "x"), code))).alias("_m"))
-    spots = F.transform(F.sequence(F.lit(0).cast("long"), (F.col("width") * F.col("height") - 1).cast("long")), lambda k: F.coalesce(F.element_at("_m", F.struct(F.floor(k / F.col("width")).alias("y"), F.pmod(k, F.col("width").cast("long")).alias("x"))), F.lit("00000000")))
-    return sizes.select(*keys, "width", "height", F.unhex(F.array_join(spots, "")).alias("rgba"))
+    whole = Window.partitionBy(*keys)
+    sides = {"width": (F.max("x").over(whole) + 1).cast("int"), "height": (F.max("y").over(whole) + 1).cast("int")}
+    own = pixels.withColumns(sides).select(*keys, "width", "height", (F.col("y") * F.col("width") + F.col("x")).cast("long").alias("_k"), code.alias("_c"))
+    places = own.groupBy(*keys, "width", "height").agg(F.lit(0)).select(*keys, "width", "height", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") * F.col("height") - 1)).alias("_k"), F.lit("00000000").alias("_c"))
+    spots = own.unionByName(places).groupBy(*keys, "width", "height", "_k").agg(F.max("_c").alias("_c"))
+    rows = spots.groupBy(*keys, "width", "height").agg(F.sort_array(F.collect_list(F.struct("_k", "_c"))).alias("_p"))
+    return rows.select(*keys, "width", "height", F.unhex(F.array_join("_p._c", "")).alias("rgba"))
