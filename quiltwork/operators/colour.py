@@ -50,6 +50,16 @@ def border_colour(pixels: DataFrame, keys: list[str], x: str, y: str, w: Column,
     return counted.withColumn("_k", first).where("_k = 1").select(*keys, *channels)
 
 
+def without_background(pixels: DataFrame, keys: list[str], x: str, y: str, w: Column, h: Column, channels: list[str], alpha: str) -> DataFrame:
+    """pixels with the border's most frequent colour made clear, in images that have no clear pixel yet (255 is opaque)."""
+    ground = border_colour(pixels, keys, x, y, w, h, channels)
+    opaque = pixels.groupBy(*keys).agg(F.min(alpha).alias("_least")).where("_least = 255").drop("_least")
+    told = ground.join(opaque, keys, "left_semi").select(*keys, F.struct(*channels).alias("_ground"))
+    found = pixels.join(told, keys, "left")
+    return found.withColumn(alpha, F.when(F.struct(*channels) == F.col("_ground"), F.lit(0)).otherwise(F.col(alpha))).select(*pixels.columns)
+
+
+
 # How kernels pass errors on, as (right, down, share), and the shares' whole.
 KERNELS = {
     "floyd-steinberg": ([(1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)], 16),

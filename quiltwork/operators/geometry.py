@@ -169,3 +169,8 @@ def with_margin(bounds_: DataFrame, margin: int, raw_w: Column, raw_h: Column) -
     left, top = F.greatest(F.col("left") - margin, F.lit(0)), F.greatest(F.col("top") - margin, F.lit(0))
     right, low = F.least(F.col("left") + F.col("width") + margin, raw_w), F.least(F.col("top") + F.col("height") + margin, raw_h)
     return bounds_.withColumns({"left": left, "top": top, "width": right - left, "height": low - top})
+
+
+def to_multiple(size: Column, divisor: int) -> Column:
+    """A size rounded up to what a divisor divides; divisors below 2 change nothing."""
+    return (F.ceil(size / divisor) * divisor).cast("long") if divisor > 1 else size

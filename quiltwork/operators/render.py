@@ -98,3 +98,13 @@ def offsets(raw_w: Column, raw_h: Column, left: Column, top: Column, width: Colu
 def cropped_pivot(pivot: Column, raw: Column, start: Column, size: Column) -> Column:
     """A pivot, a share of the raw side, as a share of the trimmed side, within 0 and 1."""
     return F.when(size > 0, F.least(F.greatest((pivot * raw - start) / size, F.lit(0.0)), F.lit(1.0))).otherwise(pivot)
+
+
+def pivot_on_page(pivot: Column, frame: Column, start: Column, raw: Column) -> Column:
+    """Where a pivot, a share of the raw side, stands on a page: its frame begins there, and the trimmed part `start` into the raw one."""
+    return frame + pivot * F.greatest(raw, F.lit(1)) - start
+
+
+def pivot_from_page(place: Column, start: Column, raw: Column) -> Column:
+    """The pivot of a place within a frame, within 0 and 1."""
+    return F.least(F.greatest((place + start).cast("double") / F.greatest(raw, F.lit(1)), F.lit(0.0)), F.lit(1.0))

@@ -61,3 +61,8 @@ def newest(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The last n rows of each key with their place, newest first: a bounded stack."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
     return df.withColumn("place", place.cast("long")).where(F.col("place") <= n)
+
+
+def restored(excluded: DataFrame, back: DataFrame, key: str) -> DataFrame:
+    """What stays excluded once some are restored."""
+    return excluded.join(back.select(key).distinct(), key, "left_anti")
