@@ -23,13 +23,14 @@ from quiltwork.llm.common import materialise, word_count
 
 @dataclass(frozen=True)
 class MixOptions:
-    """weights repeat over the sources in code point order, null last. One source has at most max_blocks blocks."""
+    """weights repeat over the sources in code point order, null last. One source has at most max_blocks blocks. Small tables are dealt to least_shards too."""
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     max_epochs: int = 3
     block_words: int = 50_000
     max_blocks: int = 1 << 22
     shard_words: int = 5_000_000
+    least_shards: int = 8
     seed: int = 17
 
 
@@ -129,7 +130,7 @@ def planned(rows: DataFrame, carried: DataFrame, o: MixOptions) -> DataFrame:
     counts = {r["rank"]: r for r in drawn.groupBy("rank").agg(F.count("*").alias("n"), F.sum((F.col("inside") | F.col("edge")).cast("int")).alias("more")).collect()}
     per_source = [counts[k]["n"] if k in counts else 0 for k in range(len(sums))]
     quotas = [whole[k] * n + (counts[k]["more"] if k in counts else 0) for k, n in enumerate(per_source)]
-    shards = max(1, -(-sum(r["size"] for r in sums) // o.shard_words))
+    shards = max(1, o.least_shards, -(-sum(r["size"] for r in sums) // o.shard_words))
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -85,3 +85,21 @@ def test_shards_are_shuffled_within(spark):
     # The tree deals every source over all shards, by its quotas.
     words = sum(len((x.text or "").split()) for x in found)
     assert all(abs(sum(len((x.text or "").split()) for x in found if x.shard == shard) - words / len(shards)) < 0.6 * words / len(shards) for shard in shards)
+
+
+def test_small_tables_are_dealt_by_the_tree(spark):
+    """Shards get what a direct walk of the tree says: block by block, and each about its share."""
+    from collections import Counter
+
+    docs = spark.createDataFrame([(k, " ".join(["w"] * 50), f"s{k % 3}") for k in range(3000)], "doc_id long, text string, source string")
+    o = MixOptions(block_words=500)
+    rows = plan_mix(docs, o).collect()
+    dealt = Counter((c.shard, r.source) for r in rows for c in r.copies)
+    assert {s for s, _ in dealt} == set(range(8))
+    words = Counter()
+    for (shard, _), n in dealt.items():
+        words[shard] += n
+    even = sum(words.values()) / 8
+    assert all(0.7 * even < n < 1.3 * even for n in words.values())
+    one = plan_mix(docs, MixOptions(block_words=500, least_shards=1)).collect()
+    assert {c.shard for r in one for c in r.copies} == {0} and sorted((r.doc_id, r.taken) for r in one) == sorted((r.doc_id, r.taken) for r in rows)
