@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from quiltwork.plans import exports, project_files, shapes  # noqa: F401
+from quiltwork.plans import exports, project_files, shapes, streams  # noqa: F401
 from quiltwork.plans.assembly import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
