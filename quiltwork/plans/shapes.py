@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltwork.functions import text as tx
-from quiltwork.operators import colour, geometry, meshes, render, select
+from quiltwork.operators import colour, geometry, meshes, render, select, tracing
 from quiltwork.plans.catalogue import _XY, _image, query
 from quiltwork.plans.views import PATHS, SPRITES, paths, sprites, table
 from quiltwork.sources import text_images
@@ -125,3 +125,16 @@ def xbm_pixels(spark: SparkSession, d: str) -> DataFrame:
     body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.concat(F.lit("0x"), F.lower(F.conv(byte(k), 2, 16)))), ", ")
     content = F.concat(F.lit("#define a_width 16\n#define a_height 8\nstatic unsigned char a_bits[] = {\n"), body, F.lit(" };\n"))
     return text_images.pixel_rows(text_images.xbm(table(spark, d, "part").select("p_partkey", content.alias("content"))), ["p_partkey"])
+
+
+@query(f"""WITH {_MASKS}, sides AS (SELECT p_partkey, CAST(sum(CAST(b <> c AS INT) + CAST(d <> c AS INT)) AS BIGINT) AS points FROM corners GROUP BY p_partkey), sums AS (SELECT p_partkey, CAST(sum(area) AS DOUBLE) AS area FROM areas GROUP BY p_partkey)
+    SELECT p_partkey, points, area FROM sides JOIN sums USING (p_partkey)""")
+def traced_contours(spark: SparkSession, d: str) -> DataFrame:
+    """Contours of masks over a table of pixels: how many points they have, and what their loops hold, holes taken off."""
+    byte = F.explode(F.sequence(F.lit(0), F.lit(127)))
+    bit = F.expr("cast(conv(substring(code, cast(k / 4 as int) + 1, 1), 16, 10) as int) >> (3 - k % 4) & 1")
+    solid = table(spark, d, "part").select("p_partkey", F.md5(F.col("p_partkey").cast("string")).alias("code"), byte.alias("k")).where(bit == 1).select("p_partkey", (F.col("k") % 16).alias("x"), F.floor(F.col("k") / 16).alias("y"))
+    found = tracing.contours(solid, ["p_partkey"])
+    rings = found.groupBy("p_partkey", "loop").agg(F.sort_array(F.collect_list(F.struct("position", F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("p")))).alias("r"))
+    each = rings.select("p_partkey", F.size("r").alias("n"), (geometry.twice_area(F.col("r.p")) / 2).alias("area"))
+    return each.groupBy("p_partkey").agg(F.sum("n").alias("points"), F.abs(F.sum("area")).alias("area"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quiltwork.operators import meshes
+from quiltwork.operators import geometry, meshes, tracing
 from quiltwork.sources import text_images
 
 
@@ -86,3 +86,23 @@ def test_xbm(spark):
     found = {r.name: r for r in text_images.xbm(spark.createDataFrame(list(cases.items()), "name string, content string")).collect()}
     assert [[p.a for p in line] for line in found["good"].rows] == [[255, 0, 0, 0, 0, 0, 0, 0, 255], [0, 0, 0, 0, 0, 0, 0, 255, 0]]
     assert {k: r.error for k, r in found.items() if r.error} == {"short": "bytes are missing", "byte": "no byte: zz", "no bits": "no bits", "no size": "no width and height", "null": "no width and height"}
+
+
+def turned(loop):
+    """A loop from its least point on, in the direction that comes first."""
+    k = loop.index(min(loop))
+    ring = loop[k:] + loop[:k]
+    return min(tuple(ring), tuple(ring[:1] + ring[:0:-1]))
+
+
+def test_contours_over_pixels(spark):
+    """Points, loops and their order are those of the array version, for many images at once."""
+    r = np.random.default_rng(8)
+    masks = {k: r.random(r.integers(1, 12, 2)) < r.choice([0.4, 0.6, 0.9]) for k in range(20)} | {20: np.ones((1, 1), bool), 21: np.zeros((3, 3), bool), 22: np.indices((40, 40)).sum(axis=0) % 2 == 0}
+    rows = [(k, int(x), int(y)) for k, m in masks.items() for y, x in zip(*np.nonzero(m))]
+    found = tracing.contours(spark.createDataFrame(rows + rows[:5], "image int, x int, y int").repartition(4), ["image"]).collect()
+    by = {}
+    for row in sorted(found, key=lambda row: row.position):
+        by.setdefault((row.image, row.loop), []).append((row.px, row.py))
+    for k, mask in masks.items():
+        assert sorted(turned(loop) for (image, _), loop in by.items() if image == k) == sorted(turned(loop) for loop in geometry.stitched(geometry.segments(mask))), k
