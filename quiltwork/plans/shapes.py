@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltwork.functions import text as tx
-from quiltwork.operators import colour, geometry, meshes, render, select, tracing
+from quiltwork.operators import colour, geometry, indexed, meshes, render, select, tracing
 from quiltwork.plans.catalogue import _XY, _image, query
 from quiltwork.plans.views import PATHS, SPRITES, paths, sprites, table
-from quiltwork.sources import text_images
+from quiltwork.sources import images, text_images
 
 _BIT = "CASE WHEN {0} < 0 OR {0} > 7 OR {1} < 0 OR {1} > 15 THEN 0 ELSE bits[{0} * 16 + {1} + 1] END"
 _MASKS = f"""code AS (SELECT p_partkey, md5(CAST(p_partkey AS VARCHAR)) AS code FROM part),
@@ -138,3 +138,14 @@ def traced_contours(spark: SparkSession, d: str) -> DataFrame:
     rings = found.groupBy("p_partkey", "loop").agg(F.sort_array(F.collect_list(F.struct("position", F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("p")))).alias("r"))
     each = rings.select("p_partkey", F.size("r").alias("n"), (geometry.twice_area(F.col("r.p")) / 2).alias("area"))
     return each.groupBy("p_partkey").agg(F.sum("n").alias("points"), F.abs(F.sum("area")).alias("area"))
+
+
+@query(f"""WITH {_XY}, entries AS (SELECT vec_id, x AS e, r, g, b, a FROM image WHERE x = y), far AS (SELECT i.vec_id, 4 * i.y + i.x AS k, e, p.r, p.g, p.b, p.a, row_number() OVER (PARTITION BY i.vec_id, i.y, i.x ORDER BY (i.r - p.r) ** 2 + (i.g - p.g) ** 2 + (i.b - p.b) ** 2 + (i.a - p.a) ** 2, e) AS n FROM image i JOIN entries p ON p.vec_id = i.vec_id)
+    SELECT vec_id, string_agg(format('{{:02X}}', e), '' ORDER BY k) AS places, string_agg(format('{{:02X}}{{:02X}}{{:02X}}{{:02X}}', r, g, b, a), '' ORDER BY k) AS pixels FROM far WHERE n = 1 GROUP BY vec_id""")
+def palette_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel blocks by palettes of four of their own pixels."""
+    own = _image(spark, d)
+    corner = (F.col("x") == F.col("y"))
+    entry = own.where(corner).groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", F.array(*[F.col(c).cast("int") for c in "rgba"]).alias("c")))), lambda e: e["c"]).alias("palette"))
+    found = indexed.indexed(images.images_of(own, ["vec_id"]).join(entry, "vec_id"), "rgba", "width", "palette")
+    return found.select("vec_id", F.hex("indices").alias("places"), F.hex("rgba").alias("pixels"))

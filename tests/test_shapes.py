@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quiltwork.operators import geometry, meshes, tracing
-from quiltwork.sources import text_images
+from quiltwork.operators import geometry, indexed, meshes, tracing
+from quiltwork.sources import images, text_images
 
 
 def cut_area(mask):
@@ -106,3 +106,37 @@ def test_contours_over_pixels(spark):
         by.setdefault((row.image, row.loop), []).append((row.px, row.py))
     for k, mask in masks.items():
         assert sorted(turned(loop) for (image, _), loop in by.items() if image == k) == sorted(turned(loop) for loop in geometry.stitched(geometry.segments(mask))), k
+
+
+def one_by_one(image, palette):
+    """Serpentine Floyd-Steinberg, pixel by pixel."""
+    work, out = image.astype(np.float32), np.empty(image.shape[:2], int)
+    h, w = image.shape[:2]
+    for y in range(h):
+        ahead = -1 if y % 2 else 1
+        for x in range(w)[::ahead]:
+            old = np.clip(work[y, x], 0, 255)
+            out[y, x] = ((old - palette) ** 2).sum(axis=1).argmin()
+            error = old - palette[out[y, x]]
+            for dx, dy, share in ((ahead, 0, 7), (-ahead, 1, 3), (0, 1, 5), (ahead, 1, 1)):
+                if 0 <= x + dx < w and y + dy < h:
+                    work[y + dy, x + dx] += error * np.float32(share / 16)
+    return out
+
+
+def test_palettes(spark):
+    r = np.random.default_rng(3)
+    pictures = [r.integers(0, 256, (*r.integers(1, 9, 2), 4)).astype(np.uint8) for _ in range(12)]
+    palettes = [r.integers(0, 256, (n, 4)) for n in (1, 2, 16, 256) * 3]
+    rows = [(k, bytearray(p.tobytes()), p.shape[1], [[int(c) for c in e] for e in t]) for k, (p, t) in enumerate(zip(pictures, palettes))]
+    rows += [(20, None, 3, [[0, 0, 0, 0]]), (21, bytearray(8), 3, [[0, 0, 0, 0]]), (22, bytearray(8), 2, None), (23, bytearray(8), 2, [])]
+    df = spark.createDataFrame(rows, "id int, rgba binary, width int, palette array<array<int>>").coalesce(2)
+    for errors in (False, True):
+        found = {x.id: x for x in indexed.indexed(df, "rgba", "width", "palette", errors).collect()}
+        for k, (p, t) in enumerate(zip(pictures, palettes)):
+            want = one_by_one(p, t.astype(np.float32)) if errors else ((p.reshape(-1, 1, 4).astype(int) - t) ** 2).sum(axis=2).argmin(axis=1).reshape(p.shape[:2])
+            assert bytes(found[k].indices) == want.astype(np.uint8).tobytes() and bytes(found[k].rgba) == t[want].astype(np.uint8).tobytes(), (k, errors)
+        assert all(found[k].indices is None for k in range(20, 24)) and bytes(found[21].rgba) == bytes(8)
+    small = indexed.indexed(df, "rgba", "width", "palette", True).where("id < 12").withColumn("height", (F.octet_length("rgba") / F.col("width") / 4).cast("int"))
+    files = {x.id: bytes(x.content) for x in images.encoded(small, "png").collect()}
+    assert all(b"PLTE" in f for f in files.values())
