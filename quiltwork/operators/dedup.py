@@ -13,7 +13,7 @@ def aliases(df: DataFrame, content: str, id_: str, order: str, within: list[str]
     that very many items have needs no window over them. Null contents are alike. `within` are columns that must agree too.
     """
     keys = ["_digest", *(within or [])]
-    digested = df.select(id_, order, *(within or []), F.sha2(F.coalesce(F.col(content).cast("binary"), F.lit("\x00null").cast("binary")), 256).alias("_digest"))
+    digested = df.select(id_, order, *(within or []), F.coalesce(F.sha2(F.col(content).cast("binary"), 256), F.lit("none")).alias("_digest"))
     owner = digested.groupBy(*keys).agg(F.min(F.struct(order, id_)).alias("_own"))
     found = digested.join(owner, keys)
     return found.select(id_, order, *(within or []), F.when(F.col(f"_own.{order}") != F.col(order), F.col(f"_own.{id_}")).alias("alias_of"))
@@ -27,10 +27,9 @@ def alias_summary(aliased: DataFrame, id_: str) -> DataFrame:
     )
 
 
-def duplicate_ids(df: DataFrame, id_: str, named: int = 8) -> DataFrame:
-    """Ids that several rows have, with how many; and, in `named` order, whether a message would name it."""
-    found = df.groupBy(id_).agg(F.count("*").alias("times")).where("times > 1")
-    return found
+def duplicate_ids(df: DataFrame, id_: str) -> DataFrame:
+    """Ids that several rows have, with how many."""
+    return df.groupBy(id_).agg(F.count("*").alias("times")).where("times > 1")
 
 
 def alias_targets(aliased: DataFrame, id_: str) -> DataFrame:

@@ -792,12 +792,12 @@ def lcm_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT doc_id, substr(md5(text), 1, CAST([3, 6, 8, 5][doc_id % 4 + 1] AS INT)) AS code FROM documents), f AS (SELECT doc_id, CASE length(code) WHEN 3 THEN code[1] || code[1] || code[2] || code[2] || code[3] || code[3] || 'ff' WHEN 6 THEN code || 'ff' WHEN 8 THEN code END AS x FROM c)
-    SELECT doc_id, CAST(CAST('0x' || x[1:2] AS INT) AS BIGINT) AS r, CAST(CAST('0x' || x[5:6] AS INT) AS BIGINT) AS b, CAST(CAST('0x' || x[7:8] AS INT) AS BIGINT) AS a FROM f""")
+    SELECT doc_id, CAST(CAST('0x' || x[1:2] AS INT) AS BIGINT) AS r, CAST(CAST('0x' || x[3:4] AS INT) AS BIGINT) AS g, CAST(CAST('0x' || x[5:6] AS INT) AS BIGINT) AS b, CAST(CAST('0x' || x[7:8] AS INT) AS BIGINT) AS a FROM f""")
 def hex_colours(spark: SparkSession, d: str) -> DataFrame:
     size = F.get(F.array(F.lit(3), F.lit(6), F.lit(8), F.lit(5)), (F.col("doc_id") % 4).cast("int"))
     code = F.concat(F.lit("#"), F.substring(F.upper(F.md5("text")), F.lit(1), size))
     found = table(spark, d, "documents").select("doc_id", text.colour_channels(code).alias("c"))
-    return found.select("doc_id", *[F.col(f"c.{x}").cast("long").alias(x) for x in "rba"])
+    return found.select("doc_id", *[F.col(f"c.{x}").cast("long").alias(x) for x in "rgba"])
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('view', 'signup') THEN NULL ELSE event_type = 'click' END AS flag FROM events")

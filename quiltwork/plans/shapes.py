@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltwork.functions import text as tx
-from quiltwork.operators import colour, geometry, indexed, meshes, render, select, tracing
+from quiltwork.operators import blocks, colour, geometry, indexed, meshes, render, select, tracing
+from quiltwork.plans.assembly import _MIXED, _WIDE
 from quiltwork.plans.catalogue import _XY, _image, query
 from quiltwork.plans.views import PATHS, SPRITES, paths, sprites, table
 from quiltwork.sources import images, text_images
@@ -149,3 +150,32 @@ def palette_mapping(spark: SparkSession, d: str) -> DataFrame:
     entry = own.where(corner).groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", F.array(*[F.col(c).cast("int") for c in "rgba"]).alias("c")))), lambda e: e["c"]).alias("palette"))
     found = indexed.indexed(images.images_of(own, ["vec_id"]).join(entry, "vec_id"), "rgba", "width", "palette")
     return found.select("vec_id", F.hex("indices").alias("places"), F.hex("rgba").alias("pixels"))
+
+
+def _block_sql(alpha: str) -> str:
+    """Digests as blocks of 16 bytes: alpha in the first eight, four colours in the others."""
+    return f"""WITH h AS (SELECT p_partkey, md5(CAST(p_partkey AS VARCHAR)) AS x FROM part), b AS (SELECT p_partkey, list_transform(range(16), lambda i: CAST('0x' || substr(x, 2 * CAST(i AS INT) + 1, 2) AS BIGINT)) AS b FROM h),
+    e AS (SELECT p_partkey, b, b[9] + 256 * b[10] AS o, b[11] + 256 * b[12] AS t FROM b), w AS (SELECT *, {_WIDE('o')} AS p, {_WIDE('t')} AS q FROM e), c AS (SELECT *, {_MIXED('(2 * p[{k}] + q[{k}]) // 3')} AS third, {_MIXED('(p[{k}] + 2 * q[{k}]) // 3')} AS fourth FROM w),
+    k AS (SELECT *, unnest(range(16)) AS k FROM c), n AS (SELECT *, (b[13 + k // 4] >> (2 * (k % 4))) & 3 AS n FROM k), s AS (SELECT p_partkey, k, CASE n WHEN 0 THEN p WHEN 1 THEN q WHEN 2 THEN third ELSE fourth END AS v, {alpha} AS a FROM n)
+    SELECT p_partkey, string_agg(format('{{:02X}}{{:02X}}{{:02X}}{{:02X}}', v[1], v[2], v[3], a), '' ORDER BY k) AS pixels FROM s GROUP BY p_partkey"""
+
+
+def _block_pixels(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    code = table(spark, d, "part").select("p_partkey", F.unhex(F.md5(F.col("p_partkey").cast("string"))).alias("block"))
+    return blocks.pixels_of_blocks(code, kind).select("p_partkey", F.hex("pixels").alias("pixels"))
+
+
+_AT = "((b[3 + (3 * k) // 8] + (CASE WHEN (3 * k) // 8 < 5 THEN b[4 + (3 * k) // 8] ELSE 0 END) * 256) >> ((3 * k) % 8)) & 7"
+_RAMP = f"CASE WHEN ({_AT}) = 0 THEN b[1] WHEN ({_AT}) = 1 THEN b[2] WHEN b[1] > b[2] THEN ((8 - ({_AT})) * b[1] + (({_AT}) - 1) * b[2]) // 7 WHEN ({_AT}) = 6 THEN 0 WHEN ({_AT}) = 7 THEN 255 ELSE ((6 - ({_AT})) * b[1] + (({_AT}) - 1) * b[2]) // 5 END"
+
+
+@query(_block_sql("((b[1 + k // 2] >> (4 * (k % 2))) & 15) * 17"))
+def dxt3_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of part numbers as DXT3 blocks: alpha at four bits."""
+    return _block_pixels(spark, d, "dxt3")
+
+
+@query(_block_sql(_RAMP))
+def dxt5_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of part numbers as DXT5 blocks: alpha between two ends, in both of its modes."""
+    return _block_pixels(spark, d, "dxt5")
