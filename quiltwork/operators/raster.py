@@ -128,3 +128,42 @@ def with_bleeding(df: DataFrame, image: str, width: str) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.binary()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def line_pixels(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, x, y: the pixels of lines (x0, y0, x1, y1, whole numbers), one for each step along the longer axis; halves across it go away from the start, as Bresenham's do."""
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    steps = lines.withColumn("_n", F.greatest(F.abs(dx), F.abs(dy)).cast("long")).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))))
+
+    def at(start: str, apart: Column) -> Column:
+        way = F.floor((2 * F.col("_k") * F.abs(apart) + F.col("_n")) / F.greatest(2 * F.col("_n"), F.lit(1)))
+        return (F.col(start) + F.signum(apart.cast("double")).cast("long") * way).cast("long")
+
+    return steps.select(*keys, at("x0", dx).alias("x"), at("y0", dy).alias("y"))
+
+
+def shape_lines(frames: DataFrame, keys: list[str], contours: str | None = None) -> DataFrame:
+    """keys and the lines around placed frames (x, y, w, h) and, if there are any, their contours: an array of arrays of (x, y) within the upright frame, turned with it where rotated.
+
+    Frames without area have no lines.
+    """
+    seen = frames.where("w > 0 and h > 0")
+    x, y, right, low = F.col("x"), F.col("y"), F.col("x") + F.col("w") - 1, F.col("y") + F.col("h") - 1
+    side = lambda *ends: F.struct(*[e.cast("long").alias(n) for n, e in zip(("x0", "y0", "x1", "y1"), ends, strict=True)])
+    box = F.array(side(x, y, right, y), side(x, low, right, low), side(x, y, x, low), side(right, y, right, low))
+    if contours is not None:
+        place = lambda p: F.struct(F.round(x + F.when(F.col("rotated"), F.col("h") - p["y"]).otherwise(p["x"])).alias("x"), F.round(y + F.when(F.col("rotated"), p["x"]).otherwise(p["y"])).alias("y"))
+
+        def around(ring: Column) -> Column:
+            placed = F.transform(ring, place)
+            return F.zip_with(placed, F.concat(F.slice(placed, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(placed, 1, 1)), lambda a, b: side(a["x"], a["y"], b["x"], b["y"]))
+
+        box = F.concat(box, F.flatten(F.transform(F.filter(F.coalesce(F.col(contours), F.array().cast(dict(frames.dtypes)[contours])), lambda r: F.size(r) >= 2), around)))
+    return seen.select(*keys, F.explode(box).alias("_line")).select(*keys, "_line.*")
+
+
+def outlined(pixels: DataFrame, lines: DataFrame, keys: list[str], channels: tuple[str, ...] = ("r", "g", "b", "a"), colour: tuple[int, ...] = (255, 0, 255, 255)) -> DataFrame:
+    """pixels with those on lines in one colour. What lines have beyond the pixels is cut off."""
+    hit = line_pixels(lines, keys).distinct().withColumn("_hit", F.lit(True))
+    found = pixels.join(hit, [*keys, "x", "y"], "left")
+    return found.select(*[F.when(F.col("_hit"), F.lit(colour[channels.index(c)]).cast(k)).otherwise(F.col(c)).alias(c) if c in channels else F.col(c) for c, k in pixels.dtypes])

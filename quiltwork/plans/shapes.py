@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltwork.functions import text as tx
-from quiltwork.operators import blocks, colour, geometry, indexed, meshes, render, select, tracing
+from quiltwork.operators import blocks, colour, geometry, indexed, meshes, raster, render, select, tracing
 from quiltwork.plans.assembly import _MIXED, _WIDE
 from quiltwork.plans.catalogue import _XY, _image, query
 from quiltwork.plans.views import PATHS, SPRITES, paths, sprites, table
@@ -179,3 +179,23 @@ def dxt3_pixels(spark: SparkSession, d: str) -> DataFrame:
 def dxt5_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Digests of part numbers as DXT5 blocks: alpha between two ends, in both of its modes."""
     return _block_pixels(spark, d, "dxt5")
+
+
+@query(f"""WITH RECURSIVE {SPRITES}, lines AS (SELECT ord, ord % 50 AS x, ord % 31 AS y, 3 * w - 40 AS x1, 2 * h - 30 AS y1 FROM sprites),
+    walk AS (SELECT ord, x, y, x1, y1, abs(x1 - x) AS dx, -abs(y1 - y) AS dy, abs(x1 - x) - abs(y1 - y) AS err FROM lines UNION ALL
+        SELECT ord, CASE WHEN 2 * err >= dy THEN x + sign(x1 - x) ELSE x END, CASE WHEN 2 * err <= dx THEN y + sign(y1 - y) ELSE y END, x1, y1, dx, dy, err + CASE WHEN 2 * err >= dy THEN dy ELSE 0 END + CASE WHEN 2 * err <= dx THEN dx ELSE 0 END FROM walk WHERE x <> x1 OR y <> y1)
+    SELECT ord, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM walk""")
+def line_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in all directions, pixel by pixel."""
+    lines = sprites(spark, d).select("ord", (F.col("ord") % 50).alias("x0"), (F.col("ord") % 31).alias("y0"), (F.col("w") * 3 - 40).alias("x1"), (F.col("h") * 2 - 30).alias("y1"))
+    return raster.line_pixels(lines, ["ord"])
+
+
+@query(f"""WITH {_XY}, f AS (SELECT vec_id, vec_id % 3 AS fx, vec_id % 2 AS fy, 1 + vec_id % 4 AS fw, vec_id % 4 AS fh FROM embeddings)
+    SELECT i.vec_id, i.x, i.y, CASE WHEN hit THEN 255 ELSE r END AS r, CASE WHEN hit THEN 0 ELSE g END AS g, CASE WHEN hit THEN 255 ELSE b END AS b, CASE WHEN hit THEN 255 ELSE a END AS a
+    FROM (SELECT i.*, fh > 0 AND x BETWEEN fx AND fx + fw - 1 AND y BETWEEN fy AND fy + fh - 1 AND (x IN (fx, fx + fw - 1) OR y IN (fy, fy + fh - 1)) AS hit FROM image i JOIN f USING (vec_id)) i""")
+def shape_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Frames drawn over pixel blocks, some beyond their edges, some without area."""
+    n = F.col("vec_id")
+    frames = table(spark, d, "embeddings").select("vec_id", (n % 3).alias("x"), (n % 2).alias("y"), (n % 4 + 1).alias("w"), (n % 4).alias("h"))
+    return raster.outlined(_image(spark, d).select("vec_id", "x", "y", "r", "g", "b", "a"), raster.shape_lines(frames, ["vec_id"]), ["vec_id"])

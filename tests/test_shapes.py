@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quiltwork.operators import geometry, indexed, meshes, tracing
+from quiltwork.operators import geometry, indexed, meshes, raster, tracing
 from quiltwork.sources import images, text_images
 
 
@@ -140,3 +140,13 @@ def test_palettes(spark):
     small = indexed.indexed(df, "rgba", "width", "palette", True).where("id < 12").withColumn("height", (F.octet_length("rgba") / F.col("width") / 4).cast("int"))
     files = {x.id: bytes(x.content) for x in images.encoded(small, "png").collect()}
     assert all(b"PLTE" in f for f in files.values())
+
+
+def test_outlines_of_contours(spark):
+    """A turned frame's triangle, drawn on a page with its frame; single points draw nothing."""
+    frames = spark.createDataFrame([(1, 2, 3, 5, 4, True, [[(0.0, 0.0), (3.0, 0.0), (0.0, 4.0)], [(1.0, 1.0)]]), (1, 0, 0, 0, 9, False, [[(0.0, 0.0), (9.0, 9.0)]]), (2, 0, 0, 1, 1, False, None)], "page int, x int, y int, w int, h int, rotated boolean, c array<array<struct<x:double,y:double>>>")
+    lines = raster.shape_lines(frames, ["page"], "c")
+    assert sorted(tuple(r) for r in lines.where("page = 1").collect()) == sorted([(1, 2, 3, 6, 3), (1, 2, 6, 6, 6), (1, 2, 3, 2, 6), (1, 6, 3, 6, 6), (1, 6, 3, 6, 6), (1, 6, 6, 2, 3), (1, 2, 3, 6, 3)])
+    pixels = spark.createDataFrame([(1, x, y, 1, 2, 3, 4) for x in range(5) for y in range(5)], "page int, x int, y int, r int, g int, b int, a int")
+    found = {(r.x, r.y) for r in raster.outlined(pixels, lines, ["page"]).where("r = 255 and g = 0 and a = 255").collect()}
+    assert found == {(2, 3), (3, 3), (4, 3), (2, 4), (3, 4), (4, 4)} and raster.line_pixels(lines.where("page = 2"), ["page"]).distinct().count() == 1
