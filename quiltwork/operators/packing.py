@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiltwork.functions.numeric import ceil_to, next_pot
+from quiltwork.functions.numeric import ceil_to, next_pot, snap_nearest
 
 
 @dataclass(frozen=True)
@@ -113,3 +113,22 @@ def slices(df: DataFrame, w: str, h: str, margin: int, spacing: int, cells: tupl
     each = sized.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ny") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nx") - 1)))
     each = each.withColumn("x", margin + F.col("col") * (F.col("cell_w") + spacing)).withColumn("y", margin + F.col("row") * (F.col("cell_h") + spacing))
     return each.where((F.col("x") + F.col("cell_w") <= F.col(w)) & (F.col("y") + F.col("cell_h") <= F.col(h))).drop("_nx", "_ny")
+
+
+def dropped(frames: DataFrame, keys: list[str], id_: str, at_x: Column, at_y: Column, canvas: tuple[int, int], border: int = 0, padding: int = 0, step: int = 0) -> DataFrame:
+    """keys, id and wish_x, wish_y: where placed frames (x, y, w, h) land that are dropped together at a point.
+
+    The first by id lands with its pixels under the point, on a grid of `step` if there is one; the others keep their places
+    relative to it, and each stays on the canvas with its padding. The point is one for each of the keys' groups.
+    """
+    first = frames.groupBy(*keys).agg(F.min(F.struct(id_, "x", "y")).alias("_first"))
+    inset = border + padding
+    landed = frames.join(first, keys) if keys else frames.crossJoin(first)
+
+    def wish(c: str, at: Column, size: str, side: int) -> Column:
+        anchor = F.greatest(at.cast("long") - inset, F.lit(0).cast("long"))
+        anchor = snap_nearest(anchor, step) if step > 1 else anchor
+        most = F.greatest(F.lit(side - 2 * border - 2 * padding) - F.col(size), F.lit(0))
+        return F.greatest(F.least(anchor + F.col(c) - F.col(f"_first.{c}"), most), F.lit(0)).cast("long")
+
+    return landed.select(*keys, id_, wish("x", at_x, "w", canvas[0]).alias("wish_x"), wish("y", at_y, "h", canvas[1]).alias("wish_y"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltwork.functions import text as tx
-from quiltwork.operators import blocks, colour, geometry, indexed, meshes, raster, render, select, tracing
+from quiltwork.operators import blocks, colour, geometry, indexed, meshes, packing, raster, render, select, tracing
 from quiltwork.plans.assembly import _MIXED, _WIDE
-from quiltwork.plans.catalogue import _XY, _image, query
+from quiltwork.plans.catalogue import _GRID, _XY, _grid, _image, query
 from quiltwork.plans.views import PATHS, SPRITES, paths, sprites, table
 from quiltwork.sources import images, text_images
 
@@ -199,3 +199,10 @@ def shape_outlines(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("vec_id")
     frames = table(spark, d, "embeddings").select("vec_id", (n % 3).alias("x"), (n % 2).alias("y"), (n % 4 + 1).alias("w"), (n % 4).alias("h"))
     return raster.outlined(_image(spark, d).select("vec_id", "x", "y", "r", "g", "b", "a"), raster.shape_lines(frames, ["vec_id"]), ["vec_id"])
+
+
+@query(f"""WITH {_GRID}, f AS (SELECT page, id, x, y, w, h, first_value(x) OVER p AS fx, first_value(y) OVER p AS fy FROM placed WINDOW p AS (PARTITION BY page ORDER BY id)), a AS (SELECT *, (greatest(500 + 13 * page - 3, 0) + 8) // 16 * 16 AS ax, (greatest(2 - 3, 0) + 8) // 16 * 16 AS ay FROM f)
+    SELECT CAST(page AS BIGINT) AS page, id, CAST(greatest(least(ax + x - fx, greatest(1000 - 4 - 2 - w, 0)), 0) AS BIGINT) AS wish_x, CAST(greatest(least(ay + y - fy, greatest(900 - 4 - 2 - h, 0)), 0) AS BIGINT) AS wish_y FROM a""")
+def drop_plan(spark: SparkSession, d: str) -> DataFrame:
+    """All sprites of a page dropped together, on a grid."""
+    return packing.dropped(_grid(spark, d).withColumn("page", F.col("page").cast("long")), ["page"], "id", F.lit(500) + F.col("page") * 13, F.lit(2), (1000, 900), 2, 1, 16)
