@@ -200,7 +200,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
-        turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM said),
+        turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text)) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM said),
         sizes AS (SELECT *, length('<|im_start|>' || replace({_ESCAPED.format("role")}, chr(10), '\n') || ' ' || {_ESCAPED.format("text")} || '<|im_end|> ') AS chars FROM turns),
         sums AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS so_far FROM sizes)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
