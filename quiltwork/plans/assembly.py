@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quiltwork.functions import pixels as px
 from quiltwork.operators import assembly, blocks, colour, dedup, frames
 from quiltwork.plans import config
-from quiltwork.plans.catalogue import _GRID, _Q, _XY, ORACLE_SQL, PRESETS, QUERIES, _grid, _image, query
+from quiltwork.plans.catalogue import _GRID, _Q, _XY, ORACLE_SQL, QUERIES, _grid, _image, query
 from quiltwork.plans.views import PATHS, PIXELS, SPRITES, paths, pixels, sprites, table
 from quiltwork.sources import images
 from quiltwork.streaming import events as ev
@@ -93,9 +93,10 @@ def unsupported_keys(spark: SparkSession, d: str) -> DataFrame:
     return assembly.unsupported_keys(table(spark, d, "events"), "event_type", ["click", "view"])
 
 
-@query(f"WITH p(preset, family, extension) AS (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for a, b, c, _ in PRESETS)}, ('css', 'other', 'css')), e AS (SELECT 'preset' AS field, preset AS value FROM p UNION ALL SELECT 'extension', extension FROM p) SELECT field, value, count(*) AS times FROM e GROUP BY ALL HAVING count(*) > 1")
+@query("WITH p AS (SELECT CAST(p_partkey % 1500 AS VARCHAR) || p_brand AS preset, p_type || p_size AS extension FROM part), e AS (SELECT 'preset' AS field, preset AS value FROM p UNION ALL SELECT 'extension', extension FROM p) SELECT field, value, count(*) AS times FROM e GROUP BY ALL HAVING count(*) > 1")
 def preset_distinctness(spark: SparkSession, d: str) -> DataFrame:
-    presets = spark.createDataFrame([p[:3] for p in PRESETS] + [("css", "other", "css")], "preset string, family string, extension string")
+    """Values that several rows have where each should be one's own, parts seen as presets."""
+    presets = table(spark, d, "part").select(F.concat((F.col("p_partkey") % 1500).cast("string"), "p_brand").alias("preset"), F.concat("p_type", F.col("p_size").cast("string")).alias("extension"))
     return assembly.repeated_values(presets, ["preset", "extension"])
 
 

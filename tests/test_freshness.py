@@ -4,7 +4,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from quiltwork.streaming.freshness import freshness, freshness_stream
 
