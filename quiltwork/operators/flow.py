@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -98,115 +98,183 @@ def rows_of(items: Iterable[Item], o: FlowOptions, top: int | None = None, step:
     return out
 
 
-def ranks(kind: str, room: np.ndarray, w: np.ndarray, h: np.ndarray, used: np.ndarray, o: FlowOptions) -> tuple[np.ndarray, ...]:
-    """Keys of candidates, the first weighing most; lower is better. room: x, y, width and height from the snapped origin on, a row each."""
-    x, y = room[:, 0], room[:, 1]
-    a, b = room[:, 2] - w, room[:, 3] - h
-    short, long = np.minimum(a, b), np.maximum(a, b)
-    if kind == "contact":
-        touch = h * ((x == 0).astype(int) + (x + w == o.width)) + w * ((y == 0).astype(int) + (y + h == o.height))
-        for k, s, end in ((0, h, w), (1, w, h)):  # sides that face each other along an axis, and how much of them is shared
-            p, q = used[None, :, k], used[None, :, 1 - k]
-            meets = (p == (room[:, k] + end)[:, None]) | (room[:, k, None] == p + used[None, :, 2 + k])
-            shared = np.minimum(q + used[None, :, 3 - k], (room[:, 1 - k] + s)[:, None]) - np.maximum(q, room[:, 1 - k, None])
-            touch = touch + (meets * np.maximum(shared, 0)).sum(axis=1)
-        return -touch, short
-    return {"short": (short, long), "long": (long, short), "area": (a * b, short), "bottom": (y + h, x + w, short)}[kind]
-
-
-def strips(free: np.ndarray, used: np.ndarray, columns: bool) -> np.ndarray:
+def strips(free: Sequence[int], used: Sequence[int], columns: bool) -> np.ndarray:
     """What an item leaves of a free rectangle, tiled: full-height columns beside it and its own column's ends, or the same by rows."""
-    if not columns:
-        turned = [1, 0, 3, 2]
-        return strips(free[turned], used[turned], True)[:, turned]
-    x, y, w, h = free
-    ux, uy, uw, uh = used
-    found = np.array([(x, y, ux - x, h), (ux, y, uw, uy - y), (ux, uy + uh, uw, y + h - uy - uh), (ux + uw, y, x + w - ux - uw, h)])
-    return found[(found[:, 2:] > 0).all(axis=1)]
+    x, y, w, h = (int(v) for v in free)
+    ux, uy, uw, uh = (int(v) for v in used)
+    if columns:
+        found = [(x, y, ux - x, h), (ux, y, uw, uy - y), (ux, uy + uh, uw, y + h - uy - uh), (ux + uw, y, x + w - ux - uw, h)]
+    else:
+        found = [(x, y, w, uy - y), (x, uy, ux - x, uh), (ux + uw, uy, x + w - ux - uw, uh), (x, uy + uh, w, y + h - uy - uh)]
+    return np.array([t for t in found if t[2] > 0 and t[3] > 0], np.int64).reshape(-1, 4)
 
 
 class Page:
-    """The free rectangles of a page, in the order in which equal scores are settled, and what is on it."""
+    """The free rectangles of a page, in the order in which equal scores are settled, and what is on it.
+
+    Rectangles are tuples of x, y and where they end: a page has some tens of them, for which lists are faster than arrays.
+    """
 
     def __init__(self, o: FlowOptions, guillotine: bool) -> None:
         self.o, self.guillotine = o, guillotine
-        self.free = np.array([(o.border, o.border, o.inner[0] - o.border, o.inner[1] - o.border)], np.int64)
-        self.used = np.zeros((0, 4), np.int64)
-
-    def spot(self, w: int, h: int) -> tuple[int, np.ndarray, bool] | None:
-        """The best free rectangle for an item, the item's rectangle, and whether it is turned."""
-        o = self.o
-        if not len(self.free):
-            return None
-        corner = o.up(self.free[:, :2])
-        room = np.hstack([corner, self.free[:, :2] + self.free[:, 2:] - corner])
-        turns = 2 if o.rotate and w != h else 1
-        # Free rectangles in order, and of each the item as it is before the item turned.
-        at, turned = np.repeat(np.arange(len(room)), turns), np.tile(np.arange(turns), len(room))
-        tw, th = np.where(turned, h, w), np.where(turned, w, h)
-        able = np.flatnonzero((tw <= room[at, 2]) & (th <= room[at, 3]))
-        if not len(able):
-            return None
-        at, turned, tw, th = at[able], turned[able], tw[able], th[able]
-        best = np.lexsort(ranks(o.score, room[at], tw, th, self.used, o)[::-1])[0]
-        k = at[best]
-        return int(k), np.array([room[k, 0], room[k, 1], tw[best], th[best]]), bool(turned[best])
-
-    def take(self, k: int, used: np.ndarray) -> None:
-        self.free = self.cut(k, used) if self.guillotine else self.carved(used)
-        self.used = np.vstack([self.used, used])
-
-    def cut(self, k: int, used: np.ndarray) -> np.ndarray:
+        self.rects = [(o.border, o.border, *o.inner)]
+        #: For the score by contact: of each column which rows are taken, as bits, and of each row which columns.
+        self.columns: dict[int, int] = {}
+        self.rows: dict[int, int] = {}
+
+    @property
+    def free(self) -> np.ndarray:
+        """The free rectangles' x, y, width and height, a row each."""
+        return np.array([(x, y, x1 - x, y1 - y) for x, y, x1, y1 in self.rects], np.int64).reshape(-1, 4)
+
+    def contact(self, x: int, y: int, w: int, h: int) -> int:
+        """How much of an item's sides would touch the page's edges or other items. What is taken beside a free place ends at its side."""
+        high, wide, none = ((1 << h) - 1) << y, ((1 << w) - 1) << x, 0
+        columns, rows = self.columns.get, self.rows.get
+        out = (columns(x - 1, none) & high).bit_count() + (columns(x + w, none) & high).bit_count() + (rows(y - 1, none) & wide).bit_count() + (rows(y + h, none) & wide).bit_count()
+        return out + h * ((x == 0) + (x + w == self.o.width)) + w * ((y == 0) + (y + h == self.o.height))
+
+    def rank(self, x: int, y: int, w: int, h: int, a: int, b: int) -> tuple[int, ...]:
+        """A candidate's keys, the first weighing most; lower is better. a, b: what the item leaves of the width and height."""
+        short, long = (a, b) if a < b else (b, a)
+        kind = self.o.score
+        if kind == "short":
+            return short, long
+        if kind == "long":
+            return long, short
+        if kind == "area":
+            return a * b, short
+        if kind == "bottom":
+            return y + h, x + w, short
+        return -self.contact(x, y, w, h), short
+
+    def spot(self, w: int, h: int) -> tuple[int, tuple[int, int, int, int], bool] | None:
+        """The best free rectangle for an item, the item's rectangle, and whether it is turned; the first of equal ones, as it is before turned."""
+        step, turns, rank = self.o.align, self.o.rotate and w != h, self.rank
+        best = found = None
+        for k, (x, y, x1, y1) in enumerate(self.rects):
+            if step > 1:
+                x, y = -(-x // step) * step, -(-y // step) * step
+            a, b = x1 - x, y1 - y
+            if a >= w and b >= h:
+                key = rank(x, y, w, h, a - w, b - h)
+                if best is None or key < best:
+                    best, found = key, (k, (x, y, w, h), False)
+            if turns and a >= h and b >= w:
+                key = rank(x, y, h, w, a - h, b - w)
+                if best is None or key < best:
+                    best, found = key, (k, (x, y, h, w), True)
+        return found
+
+    def take(self, k: int, used: Sequence[int]) -> None:
+        x, y, w, h = (int(v) for v in used)
+        self.rects = self.cut(k, (x, y, w, h)) if self.guillotine else self.carved(x, y, x + w, y + h)
+        if self.o.score == "contact":
+            high, wide = ((1 << h) - 1) << y, ((1 << w) - 1) << x
+            for c in range(x, x + w):
+                self.columns[c] = self.columns.get(c, 0) | high
+            for r in range(y, y + h):
+                self.rows[r] = self.rows.get(r, 0) | wide
+
+    def cut(self, k: int, used: tuple[int, int, int, int]) -> list[tuple[int, int, int, int]]:
         """The rest of one free rectangle is tiled so that the largest tile is as large as can be (by columns if both are); tiles go last, from left to right. Items off the corner are cut by columns."""
-        free = self.free[k]
-        by = [strips(free, used, columns) for columns in ((True, False) if (free[:2] == used[:2]).all() else (True,))]
-        tiles = max(by, key=lambda t: (t[:, 2] * t[:, 3]).max(initial=0))
-        return np.vstack([np.delete(self.free, k, axis=0), tiles[np.lexsort((tiles[:, 1], tiles[:, 0]))]])
-
-    def carved(self, used: np.ndarray) -> np.ndarray:
-        """Every free rectangle that meets the item gives way to the maximal ones beside it: left, right, above, below. None within another stays."""
-        f = self.free
-        ends, far = f[:, :2] + f[:, 2:], used[:2] + used[2:]
-        met = ((used[:2] < ends) & (f[:, :2] < far)).all(axis=1)
-        x, y, w, h = f[met].T
-        sides = np.stack([
-            np.stack([x, y, used[0] - x, h], 1), np.stack([np.full_like(x, far[0]), y, x + w - far[0], h], 1),
-            np.stack([x, y, w, used[1] - y], 1), np.stack([x, np.full_like(y, far[1]), w, y + h - far[1]], 1),
-        ], 1).reshape(-1, 4)
-        # A piece stands where its parent stood.
-        order = np.concatenate([np.flatnonzero(~met) * 4, (np.flatnonzero(met)[:, None] * 4 + np.arange(4)).ravel()])
-        every, new = np.vstack([f[~met], sides]), np.append(np.zeros((~met).sum(), bool), np.ones(len(sides), bool))
-        keep = (every[:, 2:] > 0).all(axis=1)
-        every, new, order = every[keep], new[keep], order[keep]
-        by = np.argsort(order)
-        every, new = every[by], new[by]
-        # What wasn't met was maximal before, so only new pieces can lie within others; of equal ones the first stays.
-        low, high = every[:, :2], every[:, :2] + every[:, 2:]
-        inside = (low[None, :] <= low[new][:, None]).all(axis=2) & (high[None, :] >= high[new][:, None]).all(axis=2)
-        own = np.flatnonzero(new)
-        equal = inside & (every[None, :] == every[new][:, None]).all(axis=2)
-        inside &= ~equal | (np.arange(len(every))[None, :] < own[:, None])
-        return np.delete(every, own[inside.any(axis=1)], axis=0)
+        x, y, x1, y1 = self.rects[k]
+        by = [strips((x, y, x1 - x, y1 - y), used, columns).tolist() for columns in ((True, False) if (x, y) == used[:2] else (True,))]
+        tiles = max(by, key=lambda t: max((w * h for _, _, w, h in t), default=0))
+        return [*self.rects[:k], *self.rects[k + 1 :], *((x, y, x + w, y + h) for x, y, w, h in sorted(tiles, key=lambda t: t[:2]))]
+
+    def carved(self, ux: int, uy: int, ux1: int, uy1: int) -> list[tuple[int, int, int, int]]:
+        """Every free rectangle that meets the item gives way to the maximal ones beside it: left, right, above, below. None within another stays.
+
+        A piece stands where its parent stood. What wasn't met was maximal before, so only pieces can lie within others; and
+        what holds a piece beside one side of the item ends at that side too, so only such are compared.
+        """
+        out: list[tuple[int, int, int, int]] = []
+        beside: tuple[list[int], ...] = ([], [], [], [])
+        pieces: list[tuple[int, int]] = []
+        for rect in self.rects:
+            x, y, x1, y1 = rect
+            if x < ux1 and ux < x1 and y < uy1 and uy < y1:
+                for side, piece in enumerate(((x, y, ux, y1) if x < ux else None, (ux1, y, x1, y1) if ux1 < x1 else None, (x, y, x1, uy) if y < uy else None, (x, uy1, x1, y1) if uy1 < y1 else None)):
+                    if piece:
+                        pieces.append((side, len(out)))
+                        out.append(piece)
+                        x_, y_, x1_, y1_ = piece
+                        for s, meets in enumerate((x1_ == ux, x_ == ux1, y1_ == uy, y_ == uy1)):
+                            if meets:
+                                beside[s].append(len(out) - 1)
+            else:
+                if x1 == ux:
+                    beside[0].append(len(out))
+                elif x == ux1:
+                    beside[1].append(len(out))
+                if y1 == uy:
+                    beside[2].append(len(out))
+                elif y == uy1:
+                    beside[3].append(len(out))
+                out.append(rect)
+        gone = set()
+        for side, k in pieces:
+            x, y, x1, y1 = piece = out[k]
+            for j in beside[side]:
+                p, q, p1, q1 = out[j]
+                # Of equal ones the first stays.
+                if p <= x and q <= y and p1 >= x1 and q1 >= y1 and j != k and (j < k or out[j] != piece):
+                    gone.add(k)
+                    break
+        return [r for k, r in enumerate(out) if k not in gone] if gone else out
+
+
+class Shelf:
+    """The pages of a set, and which of them may still hold items of a size.
+
+    Room on a page only shrinks, so a page that has no place for a size never has one again: for each size pages are
+    asked once more only as long as they hold it. A size that comes for the first time skips pages whose largest or
+    thickest free rectangle is too small.
+    """
+
+    def __init__(self, o: FlowOptions, guillotine: bool) -> None:
+        self.o, self.guillotine = o, guillotine
+        self.pages: list[Page] = []
+        self.bounds: list[tuple[int, int]] = []  # of each page an upper bound of its free rectangles' lesser sides and areas
+        self.able: dict[tuple[int, int], tuple[list[int], int]] = {}  # of a size pages that may hold it, and how many pages were seen
+
+    def spot(self, w: int, h: int) -> tuple[int, int, tuple[int, int, int, int], bool] | None:
+        """The newest page with room, and Page.spot() of it."""
+        size = (min(w, h), max(w, h)) if self.o.rotate else (w, h)
+        thick, area = min(w, h), w * h
+        if len(self.able) > 100_000:
+            self.able.clear()
+        left, seen = self.able.get(size, ([], 0))
+        left += [n for n in range(seen, len(self.pages)) if self.bounds[n][0] >= thick and self.bounds[n][1] >= area]
+        found = None
+        while left and not (found := self.pages[left[-1]].spot(w, h)):
+            n = left.pop()
+            if n < len(self.pages) - 1:
+                # An older page changes seldom, so its bounds are taken when it disappoints.
+                self.bounds[n] = max((min(x1 - x, y1 - y) for x, y, x1, y1 in self.pages[n].rects), default=0), max(((x1 - x) * (y1 - y) for x, y, x1, y1 in self.pages[n].rects), default=0)
+        self.able[size] = left, len(self.pages)
+        return (left[-1], *found) if found else None
+
+    def open(self) -> None:
+        self.pages.append(Page(self.o, self.guillotine))
+        self.bounds.append((1 << 62, 1 << 62))
 
 
 def free_rectangles(items: Iterable[Item], o: FlowOptions, guillotine: bool, pages: int | None = None) -> list[Placed] | None:
     """Items by descending area, each on the newest page with room, at the best free rectangle, turned if that is better. With a number of pages, None if more are needed."""
-    open_: list[Page] = []
-    out = []
+    shelf, out = Shelf(o, guillotine), []
     for name, w, h in sorted(items, key=lambda i: -i[1] * i[2]):
-        for n in range(len(open_) - 1, -1, -1):
-            if found := open_[n].spot(w, h):
-                break
-        else:
-            n = len(open_)
-            if n == pages:
+        found = shelf.spot(w, h)
+        if not found:
+            if len(shelf.pages) == pages:
                 return None
-            open_.append(Page(o, guillotine))
-            if not (found := open_[n].spot(w, h)):
+            shelf.open()
+            if not (found := shelf.spot(w, h)):
                 raise misfit(name)
-        k, rect, turned = found
-        open_[n].take(k, rect)
-        out.append((name, n, *(int(v) for v in rect), turned))
+        n, k, rect, turned = found
+        shelf.pages[n].take(k, rect)
+        out.append((name, n, *rect, turned))
     return out
 
 

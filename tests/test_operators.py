@@ -318,3 +318,20 @@ def test_dithering_against_one_pixel_after_another():
                                 if 0 <= x + dx < 7 and y + dy < 6:
                                     work[y + dy, x + dx, c] += (old - work[y, x, c]) * np.float32(share / whole)
                 assert (np.clip(np.floor(work + np.float32(0.5)), 0, 255).astype(np.uint8) == got).all()
+
+
+@pytest.mark.parametrize("guillotine", [False, True])
+def test_pages_that_have_no_room_for_a_size_are_not_asked_again(monkeypatch, guillotine):
+    asked, spot = [], flow.Page.spot
+    monkeypatch.setattr(flow.Page, "spot", lambda page, w, h: asked.append(1) or spot(page, w, h))
+    items = [(str(k), *((9, 9), (8, 10))[k % 2]) for k in range(400)]
+    placed = flow.free_rectangles(items, flow.FlowOptions(width=20, height=20), guillotine)
+    pages = 1 + max(p[1] for p in placed)
+    assert pages >= 100 and len(asked) <= len(items) + 3 * pages
+
+
+def test_contact_is_the_length_of_shared_sides():
+    page = flow.Page(flow.FlowOptions(width=20, height=20, score="contact"), False)
+    page.take(0, (0, 0, 5, 4))
+    page.take(0, (9, 2, 3, 6))
+    assert [page.contact(*at) for at in ((5, 0, 4, 4), (0, 4, 5, 3), (12, 7, 8, 13))] == [4 + 2 + 4, 5 + 3, 1 + 13 + 8]
