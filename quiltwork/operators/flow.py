@@ -73,13 +73,17 @@ def check(items: Iterable[Item], o: FlowOptions) -> None:
 
 
 def rows_of(items: Iterable[Item], o: FlowOptions, top: int | None = None, step: int = 0) -> list[Placed]:
+    return list(flowing(items, o, top, step))
+
+
+def flowing(items: Iterable[Item], o: FlowOptions, top: int | None = None, step: int = 0) -> Iterator[Placed]:
     """From left to right, from row to row, from page to page; the first row starts at top.
 
     An item goes where the row has come to, else to a new row under the lowest item, else to a new page. With a step, rows
     and items begin at its multiples. Items beyond the page raise an error that names them.
     """
     right, bottom = o.inner
-    page, x, low, out = 0, o.border, o.border if top is None else top, []
+    page, x, low = 0, o.border, o.border if top is None else top
     row = up_to(low, step)
     for name, w, h in items:
         for where in ("row", "next row", "next page", "nowhere"):
@@ -93,9 +97,8 @@ def rows_of(items: Iterable[Item], o: FlowOptions, top: int | None = None, step:
             px, py = o.up(up_to(x, step)), o.up(row)
             if px + w <= right and py + h <= bottom:
                 break
-        out.append((name, page, px, py, w, h, False))
+        yield name, page, px, py, w, h, False
         x, low = px + w, max(low, py + h)
-    return out
 
 
 def strips(free: Sequence[int], used: Sequence[int], columns: bool) -> np.ndarray:
@@ -285,7 +288,7 @@ def ordered(rows: list[tuple[int, str, int, int]], o: FlowOptions) -> list[Item]
     return [(i, w + 2 * o.padding, h + 2 * o.padding) for _, i, w, h in rows]
 
 
-def extents(placed: list[Placed]) -> dict[int, tuple[int, int]]:
+def extents(placed: Iterable[Placed]) -> dict[int, tuple[int, int]]:
     """Of each page where its content ends."""
     out: dict[int, tuple[int, int]] = {}
     for _, page, x, y, w, h, _ in placed:
@@ -295,20 +298,31 @@ def extents(placed: list[Placed]) -> dict[int, tuple[int, int]]:
 
 
 def tightest(tries: Iterator[list[Placed] | None]) -> list[Placed] | None:
-    """The fewest pages, then the least sum of content areas; the first of equal ones."""
-    able = [t for t in tries if t is not None]
+    """The fewest pages, then the least sum of content areas; the first of equal ones. No more than two are held at a time."""
     size = lambda placed: ((e := extents(placed)) and len(e), sum(a * b for a, b in e.values()))
-    return min(able, key=size) if able else None
+    best = least = None
+    for t in tries:
+        if t is not None and (least is None or size(t) < least):
+            best, least = t, size(t)
+        t = None
+    return best
 
 
 def placed_as(rows: list[tuple[int, str, int, int]], how: str, o: FlowOptions, pages: int | None = None) -> list[Placed] | None:
     """The placement of (ord, id, w, h); how: rows, maxrects or guillotine. With a number of pages, None if more are needed."""
     if how == "rows":
-        tries = [replace(o, order=order, descending=down) for order, down in ORDERS] if o.order == "best" else [o]
-        found = tightest(rows_of(ordered(rows, t), t) for t in tries)
+        if o.order == "best":
+            # Orders are compared by the ends of their pages alone, then the best one is placed again: ten placements at once would be large.
+            size = lambda t: ((e := extents(flowing(ordered(rows, t), t))) and len(e), sum(a * b for a, b in e.values()))
+            o = min((replace(o, order=order, descending=down) for order, down in ORDERS), key=size)
+        found = rows_of(ordered(rows, o), o)
         return None if pages is not None and found and max(p[1] for p in found) >= pages else found
     items = ordered(rows, replace(o, order="name", descending=False) if o.order == "best" else o)
-    return tightest(free_rectangles(items, replace(o, score=s), how == "guillotine", pages) for s in (SCORES if o.score == "best" else [o.score]))
+    return tightest(free_rectangles(items, t, how == "guillotine", pages) for t in scored(o))
+
+
+def scored(o: FlowOptions) -> list[FlowOptions]:
+    return [replace(o, score=s) for s in SCORES] if o.score == "best" else [o]
 
 
 def smallest(rows: list[tuple[int, str, int, int]], how: str, o: FlowOptions, passes: int) -> FlowOptions:
@@ -319,15 +333,26 @@ def smallest(rows: list[tuple[int, str, int, int]], how: str, o: FlowOptions, pa
     pad, best = 2 * o.padding, [o.width, o.height]
     least = [max(r[2 + k] for r in rows) + pad + 2 * o.border for k in (0, 1)]
     area = sum((r[2] + pad) * (r[3] + pad) for r in rows)
+    known: dict[tuple[int, int], bool] = {}
+    scores = [t.score for t in scored(o)] if how != "rows" else [o.score]
 
     def holds(size: list[int]) -> bool:
-        own = replace(o, width=size[0], height=size[1])
-        if o.square and size[0] != size[1] or (own.inner[0] - o.border) * (own.inner[1] - o.border) < area:
-            return False
+        key = (size[0], size[1])
+        if key not in known:
+            own = replace(o, width=size[0], height=size[1])
+            known[key] = not (o.square and size[0] != size[1]) and (own.inner[0] - o.border) * (own.inner[1] - o.border) >= area and tried(own)
+        return known[key]
+
+    def tried(own: FlowOptions) -> bool:
+        """Whether any score places all; the one that last did is asked first."""
         try:
-            return placed_as(rows, how, own, 1) is not None
+            for s in scores:
+                if placed_as(rows, how, replace(own, score=s), 1) is not None:
+                    scores.insert(0, scores.pop(scores.index(s)))
+                    return True
         except ValueError:
-            return False
+            pass
+        return False
 
     def sides(k: int) -> list[int]:
         """Values that a side may take, ascending, the present one last."""
@@ -376,8 +401,7 @@ def grouped(df: DataFrame, group: str, columns: list[str], place: Callable[[list
         name = part.column(group)[0]
         placed = place(list(zip(*(part.column(c).to_pylist() for c in columns), strict=True)))
         kinds = KINDS | {m: pa.int64() for m in more}
-        made = list(zip(*placed, strict=True)) if placed else [[]] * len(kinds)
-        return pa.table({group: pa.array([name.as_py()] * len(placed), name.type)} | {n: pa.array(c, kind) for (n, kind), c in zip(kinds.items(), made, strict=True)})
+        return pa.table({group: pa.repeat(name, len(placed))} | {n: pa.array((p[k] for p in placed), kind, size=len(placed)) for k, (n, kind) in enumerate(kinds.items())})
 
     return df.select(group, *columns).groupBy(group).applyInArrow(run, f"{group} {dict(df.dtypes)[group]}, {schema}")
 

@@ -335,3 +335,25 @@ def test_contact_is_the_length_of_shared_sides():
     page.take(0, (0, 0, 5, 4))
     page.take(0, (9, 2, 3, 6))
     assert [page.contact(*at) for at in ((5, 0, 4, 4), (0, 4, 5, 3), (12, 7, 8, 13))] == [4 + 2 + 4, 5 + 3, 1 + 13 + 8]
+
+
+def test_a_size_is_tried_once_and_only_until_a_score_holds_all(monkeypatch):
+    asked, place = [], flow.free_rectangles
+    monkeypatch.setattr(flow, "free_rectangles", lambda items, o, *more: asked.append((o.width, o.height, o.score)) or place(items, o, *more))
+    rows = [(k, f"s{k}", 8, 8) for k in range(16)]
+    own = flow.smallest(rows, "maxrects", flow.FlowOptions(width=64, height=64, padding=0, score="best"), 4)
+    assert own.width * own.height == 1024 and len(asked) == len(set(asked))
+    assert [a[2] for a in asked if a[:2] == (64, 64)] == ["short"]
+
+
+def test_the_best_order_holds_one_placement():
+    import tracemalloc
+
+    rows = [(k, f"s{k}", k % 37 + 1, k % 50 + 1) for k in range(4000)]
+    peaks = []
+    for order in ("area", "best"):
+        tracemalloc.start()
+        found = flow.placed_as(rows, "rows", flow.FlowOptions(order=order))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert len(found) == 4000 and peaks[1] < 2 * peaks[0]
