@@ -340,10 +340,10 @@ def smallest(rows: list[tuple[int, str, int, int]], how: str, o: FlowOptions, pa
         key = (size[0], size[1])
         if key not in known:
             own = replace(o, width=size[0], height=size[1])
-            known[key] = not (o.square and size[0] != size[1]) and (own.inner[0] - o.border) * (own.inner[1] - o.border) >= area and tried(own)
+            known[key] = not (o.square and size[0] != size[1]) and (own.inner[0] - o.border) * (own.inner[1] - o.border) >= area and held(own)
         return known[key]
 
-    def tried(own: FlowOptions) -> bool:
+    def held(own: FlowOptions) -> bool:
         """Whether any score places all; the one that last did is asked first."""
         try:
             for s in scores:

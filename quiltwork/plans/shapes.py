@@ -20,30 +20,30 @@ _MASKS = f"""code AS (SELECT p_partkey, md5(CAST(p_partkey AS VARCHAR)) AS code
     areas AS (SELECT p_partkey, CASE a + b + c + d WHEN 0 THEN 0 WHEN 1 THEN 0.125 WHEN 3 THEN 0.875 WHEN 4 THEN 1 ELSE CASE WHEN a = c THEN 0.75 ELSE 0.5 END END AS area FROM corners)"""
 
 
-def _shapes(spark: SparkSession, d: str, tolerance: float) -> DataFrame:
+def _masks(spark: SparkSession, d: str) -> DataFrame:
     """A mask of 16 by 8 pixels for each part, by the bits of a digest."""
     code = F.md5(F.col("p_partkey").cast("string"))
     bits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.lpad(F.conv(F.substring(code, k + 1, F.lit(1)), 16, 2), 4, "0")), "")
     mask = F.unhex(F.regexp_replace(bits, "([01])", "0$1"))
-    rows = table(spark, d, "part").select("p_partkey", mask.alias("mask"), F.lit(16).alias("width"))
-    # Masks are small and take long, so they are dealt out before.
-    return meshes.with_meshes(rows.repartition(4 * spark.sparkContext.defaultParallelism), "mask", "width", tolerance)
+    # Masks are small and take long, so parts are dealt out before.
+    parts = table(spark, d, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    return parts.select("p_partkey", mask.alias("mask"), F.lit(16).alias("width"))
 
 
 @query(f"WITH {_MASKS} SELECT p_partkey, CAST(sum(area) AS DOUBLE) AS area FROM areas GROUP BY p_partkey")
 def mesh_areas(spark: SparkSession, d: str) -> DataFrame:
     """What the triangles of masks with holes and islands cover: as much as the squares that a contour cuts."""
-    return _shapes(spark, d, 0.0).select("p_partkey", meshes.mesh_area(F.col("shape.mesh")).alias("area"))
+    return meshes.with_meshes(_masks(spark, d), "mask", "width", 0.0).select("p_partkey", meshes.mesh_area(F.col("shape.mesh")).alias("area"))
 
 
 @query(f"WITH {_MASKS} SELECT p_partkey, CAST(sum(area) AS DOUBLE) AS area, CAST(sum(area) AS DOUBLE) AS straight, true AS sound FROM areas GROUP BY p_partkey")
 def mesh_families(spark: SparkSession, d: str) -> DataFrame:
     """Contours' areas, holes taken off; triangles of contours without the points that lie on a line; and whether each hole's parent is a solid and each solid's a hole or none."""
     signed = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.when(x["is_hole"], -1).otherwise(1) * F.abs(geometry.twice_area(x["points"])) / 2)
-    own = _shapes(spark, d, 0.0).select("p_partkey", F.col("shape.contours").alias("c"))
+    full = meshes.with_meshes(_masks(spark, d), "mask", "width", 0.0, "full", triangulate=False)
+    both = meshes.with_meshes(full, "mask", "width", 0.3).select("p_partkey", F.col("full.contours").alias("c"), meshes.mesh_area(F.col("shape.mesh")).alias("straight"))
     sound = F.forall("c", lambda x: F.when(x["parent"].isNull(), ~x["is_hole"]).otherwise(F.get("c", x["parent"])["is_hole"] != x["is_hole"]))
-    simple = _shapes(spark, d, 0.3).select("p_partkey", meshes.mesh_area(F.col("shape.mesh")).alias("straight"))
-    return own.join(simple, "p_partkey").select("p_partkey", signed(F.col("c")).alias("area"), "straight", sound.alias("sound"))
+    return both.select("p_partkey", signed(F.col("c")).alias("area"), "straight", sound.alias("sound"))
 
 
 @query(f"WITH {SPRITES} SELECT ord, [round(CAST(ord % 100 + CASE WHEN ord % 3 = 0 THEN h ELSE 0 END AS DOUBLE) / 256, 4), round(CAST(ord % 50 AS DOUBLE) / 128, 4), round(CAST(ord % 100 + CASE WHEN ord % 3 = 0 THEN h - h ELSE w END AS DOUBLE) / 256, 4), round(CAST(ord % 50 + CASE WHEN ord % 3 = 0 THEN w ELSE h END AS DOUBLE) / 128, 4)] AS uvs FROM sprites")

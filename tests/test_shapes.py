@@ -150,3 +150,20 @@ def test_outlines_of_contours(spark):
     pixels = spark.createDataFrame([(1, x, y, 1, 2, 3, 4) for x in range(5) for y in range(5)], "page int, x int, y int, r int, g int, b int, a int")
     found = {(r.x, r.y) for r in raster.outlined(pixels, lines, ["page"]).where("r = 255 and g = 0 and a = 255").collect()}
     assert found == {(2, 3), (3, 3), (4, 3), (2, 4), (3, 4), (4, 4)} and raster.line_pixels(lines.where("page = 2"), ["page"]).distinct().count() == 1
+
+
+def test_contours_alone_cut_no_ears(monkeypatch):
+    mask = np.array([[1, 1, 1], [1, 0, 1], [1, 1, 1]], bool)
+    whole = meshes.meshed(mask, 0.0)
+    monkeypatch.setattr(meshes, "clipped", None)
+    assert meshes.meshed(mask, 0.0, False) == (whole[0], [], [])
+
+
+def test_ears_are_cut_in_numbers_that_fit_small_rings(monkeypatch):
+    """Turns of corners that nothing touched aren't taken again: three for each corner and two for each that goes, at most."""
+    ring = [(float(x), float(y)) for x, y in [(0, 0), *((k, 5 + k % 2) for k in range(1, 40)), (40, 0)]][::-1]
+    ring = ring if meshes.ring_area(ring) > 0 else ring[::-1]
+    asked, side = [], meshes.side
+    monkeypatch.setattr(meshes, "side", lambda *p: asked.append(1) or side(*p))
+    ears = meshes.clipped(ring)
+    assert abs(meshes.covered(ring, ears) - meshes.ring_area(ring)) < 1e-9 and len(asked) <= 3 * len(ring) + 1
