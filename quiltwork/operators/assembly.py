@@ -155,7 +155,9 @@ def rasterised(shapes: DataFrame, keys: list[str], points: str, width: Column, h
     edge = lambda a, i: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), F.get(F.col(points), (i + 1) % F.size(points))["x"].alias("bx"), F.get(F.col(points), (i + 1) % F.size(points))["y"].alias("by"))
     crossed = F.filter(F.transform(F.col(points), edge), lambda e: (e["ay"] <= at) != (e["by"] <= at))
     xs = F.sort_array(F.transform(crossed, lambda e: e["ax"] + (at - e["ay"]) / (e["by"] - e["ay"]) * (e["bx"] - e["ax"])))
-    runs = F.filter(F.transform(xs, lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("a"), F.get(xs, i + 1).alias("b")))), lambda r: r.isNotNull() & r["b"].isNotNull())
+    # The crossings are an argument, so that they are found once a row and not once for each of them.
+    pairs = lambda c: F.filter(F.transform(c, lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("a"), F.get(c, i + 1).alias("b")))), lambda r: r.isNotNull() & r["b"].isNotNull())
+    runs = F.flatten(F.transform(F.array(xs), pairs))
     found = rows.select(*keys, "_w", "y", F.explode(runs).alias("r")).where(~F.isnan("r.a") & ~F.isnan("r.b") & (F.col("r.b") > 0) & (F.col("r.a") < F.col("_w")))
     return found.select(*keys, "y", F.greatest(F.floor("r.a"), F.lit(0)).cast("long").alias("first"), F.least(F.greatest(F.ceil("r.b") - 1, F.lit(0)), F.col("_w") - 1).cast("long").alias("last"))
 
