@@ -2,16 +2,22 @@
 
 A square of four pixels' middles that is partly solid gives one or two directed edges with the solid on their left, so every
 point has one edge in and one out. Loops are found by pointer doubling: in each round a point learns of twice as many
-points ahead, so rounds are logarithmic in the longest loop, whatever the number of images.
+points ahead, so rounds are logarithmic in the longest loop, whatever the number of images. Images of up to some points are
+done in the task that gets them, many at once; only the points of larger ones go through rounds of joins.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Of a square's solid corners (8 top left, 4 top right, 2 bottom right, 1 bottom left; diagonal ones are joined)
 # the edges between the middles of its sides, as (x, y) in halves of a square.
@@ -69,8 +75,77 @@ def loops(found: DataFrame, keys: list[str]) -> DataFrame:
     return way.join(size, [*keys, "loop"]).select(*keys, "loop", (F.col("_most") - F.col("left")).alias("position"), "here")
 
 
-def contours(solid: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
+def closed(image: np.ndarray, here: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole images' edges the loop (its least point) and the position in it."""
+    points, at = np.unique(np.concatenate([here, ahead]), return_inverse=True)
+    own, to = image * len(points) + at[: len(here)], image * len(points) + at[len(here) :]
+    order = np.argsort(own)
+    row = lambda code: order[np.searchsorted(own[order], code)]
+    after = row(to)
+    least, jump = np.minimum(here, ahead), after
+    while (less := np.minimum(least, least[jump])).tolist() != least.tolist():
+        least, jump = less, jump[jump]
+    # Each loop is cut before its least point.
+    left = (ahead != least).astype(np.int64)
+    jump = np.where(left > 0, after, np.arange(len(here)))
+    while (more := left[jump]).any():
+        left, jump = left + more, jump[jump]
+    return least, left[row(image * len(points) + np.searchsorted(points, least))] - left
+
+
+def looped(found: DataFrame, keys: list[str], most: int = 200_000) -> DataFrame:
+    """loops() of edges, with images of at most so many points closed where they stand."""
+    kept = [T.StructField(k, found.schema[k].dataType) for k in keys]
+    kind = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ("here", "ahead", "loop", "position"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, large = 0, None  # points that are held; the keys of an image that is being passed on
+
+        def told(part: pa.Table, loop: np.ndarray | None = None, position: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+            none = pa.nulls(len(part), pa.int64())
+            yield from part.append_column("loop", none if loop is None else pa.array(loop)).append_column("position", none if position is None else pa.array(position)).to_batches()
+
+        def ended(last: bool) -> Iterator[pa.RecordBatch]:
+            """What is held, but for the last image if more of it may come."""
+            nonlocal held, size, large
+            part = pa.Table.from_batches(held).combine_chunks()
+            change = np.zeros(len(part), bool)
+            for k in keys:
+                change[1:] |= pc.not_equal(part.column(k).slice(1), part.column(k).slice(0, len(part) - 1)).to_numpy(zero_copy_only=False)
+            begins = np.append(0, np.flatnonzero(change))
+            if large is not None and large == [part.column(k)[0].as_py() for k in keys]:
+                end = len(part) if len(begins) == 1 else int(begins[1])
+                yield from told(part.slice(0, end))
+                part, change, begins = part.slice(end), change[end:], begins[1:] - end
+            end = len(part) if last or not len(begins) else int(begins[-1])
+            if len(part) - end > most:
+                large = [part.column(k)[len(part) - 1].as_py() for k in keys]
+                yield from told(part.slice(end))
+                part, change = part.slice(0, end), change[:end]
+            if end:
+                image, here, ahead = np.cumsum(change[:end]), *(part.column(c).slice(0, end).to_numpy() for c in ("here", "ahead"))
+                yield from told(part.slice(0, end), *closed(image - image[0], here, ahead))
+            held = part.slice(end).to_batches()
+            size = len(part) - end
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+                if size > most:
+                    yield from ended(False)
+        if size:
+            yield from ended(True)
+
+    done = settled(found.select(*keys, "here", "ahead").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, kind))
+    out = done.where("loop is not null").select(*keys, "loop", "position", "here")
+    large = done.where("loop is null").select(*keys, "here", "ahead")
+    return out if large.isEmpty() else out.unionByName(loops(large, keys))
+
+
+def contours(solid: DataFrame, keys: list[str], x: str = "x", y: str = "y", most: int = 200_000) -> DataFrame:
     """keys, loop, position, px, py: contours' points in order, in pixels; a pixel's own corner is half a pixel before its middle. Images without a solid pixel have none; keys aren't null."""
-    found = loops(edges(solid, keys, x, y), keys)
+    found = looped(edges(solid, keys, x, y), keys, most)
     half = lambda c: (c - 2) / 2 + 0.5
     return found.select(*keys, "loop", "position", half(F.pmod("here", F.lit(1 << 32))).alias("px"), half(F.shiftright("here", 32)).alias("py"))

@@ -1,5 +1,7 @@
 """Meshes of masks with holes, and images written as C source."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +169,15 @@ def test_ears_are_cut_in_numbers_that_fit_small_rings(monkeypatch):
     monkeypatch.setattr(meshes, "side", lambda *p: asked.append(1) or side(*p))
     ears = meshes.clipped(ring)
     assert abs(meshes.covered(ring, ears) - meshes.ring_area(ring)) < 1e-9 and len(asked) <= 3 * len(ring) + 1
+
+
+def test_images_close_in_tasks_or_by_rounds(spark, monkeypatch):
+    """Small images need no rounds of joins; a bound that some exceed gives the same."""
+    r = random.Random(8)
+    rows = [(k, x, y) for k in range(12) for y in range(9) for x in range(9) if r.random() < (0.55 if k % 3 else 0.05)]
+    df = spark.createDataFrame(rows, "image int, x int, y int").repartition(3)
+    by_rounds = sorted(map(tuple, tracing.loops(tracing.edges(df, ["image"]), ["image"]).collect()))
+    for most in (1, 30, 100):
+        assert sorted(map(tuple, tracing.looped(tracing.edges(df, ["image"]), ["image"], most).collect())) == by_rounds
+    monkeypatch.setattr(tracing, "loops", None)
+    assert sorted(map(tuple, tracing.looped(tracing.edges(df, ["image"]), ["image"]).collect())) == by_rounds
