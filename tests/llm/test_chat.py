@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quiltwork.llm.chat import BEGIN, CONTROL, END, ChatOptions, escaped, examples, probe, read_back, unescaped, with_prefixes
+from quiltwork.llm.chat import BEGIN, CONTROL, END, ChatOptions, block_examples, escaped, examples, probe, read_back, unescaped, with_prefixes
 
 SHAPE = "conv_id long, turn long, role string, text string, conv int, block string, position int, piece int"
 
@@ -64,6 +64,29 @@ def test_examples_are_prefixes(turns):
         assert r.text.count(BEGIN) == r.text.count(END) == r.position + 1 and r.text[r.loss_to :] == END + "\n"
 
 
+@pytest.mark.parametrize("o", [ChatOptions(), ChatOptions(span=7, batch_bytes=1)])
+def test_long_conversations_have_whole_examples(turns, o):
+    """Every reply's own row has all turns before it, however many, without any join; conversation 100 has 150 turns."""
+    rows = {(r.conv_id, r.position): r for r in examples(turns, o).collect()}
+    by = said(rows_of())
+    assert set(rows) == {(c, k) for c, t in by.items() for k, (_, role, _) in enumerate(t) if role == "assistant" or k == len(t) - 1}
+    assert max(k for c, k in rows if c == 100) == 149
+    for (c, k), r in rows.items():
+        found = [tuple(unescaped(x) for x in t[len(BEGIN) :].split("\n", 1)) for t in r.text.split(END + "\n")[:-1]]
+        assert found == [t[1:] for t in by[c][: k + 1]] and r.n_turns == len(by[c])
+        assert (r.loss_to is not None) == (by[c][k][1] == "assistant")
+        assert r.loss_to is None or r.text[: r.loss_from].endswith(f"{BEGIN}assistant\n") and unescaped(r.text[r.loss_from : r.loss_to]) == by[c][k][2] and r.text[r.loss_to :] == END + "\n"
+
+
+def test_blocks_made_whole_are_the_examples(turns):
+    o, own = ChatOptions(4), lambda found: sorted(map(str, found.where("loss_to is not null").select("conv_id", "position", "text", "loss_from", "loss_to").collect()))
+    short = block_examples(turns, o)
+    assert own(with_prefixes(short, o)) == own(examples(turns, o))
+    assert sorted(map(str, read_back(with_prefixes(short, o)).collect())) == sorted(map(str, read_back(examples(turns)).collect()))
+    with pytest.raises(Exception, match="isn't whole"):
+        read_back(short).collect()
+
+
 def test_escapes(spark):
     texts = [r[3] for r in rows_of() if r[3]] + ["</s>[INST] ok [/INST]", "<<s>", "[[INST]]", "<<SYS>>\\", "\\" * 7]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", escaped(F.col("t")).alias("e")).collect()
