@@ -3,8 +3,9 @@
 The text is normalised by longest-prefix look-ups in the model's compiled character map, keeping for every normalised
 character the source bytes that it came from; it is then encoded without the map, and every piece is projected back to the
 bytes of the original text. Under a model without a map the text falls into segments that no merge can join (a piece has
-the blank sign at its start only, and the line feed in no piece), so each distinct segment is encoded and projected once per
-task and the result reused.
+the blank sign at its start only, and the line feed in no piece), so a task keeps what it learned about segments. Those that
+are new to it in a group of texts are encoded and decoded by one call each: a call for every segment costs several times the
+work done in it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,10 @@ from sentencepiece import sentencepiece_model_pb2
 from quiltwork.llm.rolling import batches as some
 
 BLANK = "▁"
-#: Distinct segments kept per task, and their bytes; the memo is emptied when full, which changes speed only.
+#: Distinct segments kept per task, and their bytes; the memo is emptied between groups when full, which changes speed only.
 MEMO_SEGMENTS, MEMO_BYTES = 100_000, 32_000_000
+#: Characters of the texts whose segments are held at once; a longer text is a group of its own.
+GROUP = 500_000
 
 
 class CharacterMap:
@@ -134,36 +138,44 @@ class PieceCodec:
         found.insert(0, "\0" + head)
         return found
 
-    def look_up(self, segment: str) -> tuple[int, str, bytes, bytes]:
-        """Number of ids, the ids joined by commas, the decoded bytes, with a blank for each blank sign, and the ids."""
-        self.held += len(segment)
-        if len(self.memo) >= MEMO_SEGMENTS or self.held >= MEMO_BYTES:
-            self.memo.clear()
-            self.held = len(segment)
-        head = segment[0] == "\0"
-        text = (segment[1:] if head else segment).replace(" ", BLANK)
-        line = text[:1] == "\n" and not head
-        if line:
-            ids = self.mapped.encode(text)[1:]  # without the blank that the library puts first
-        elif text if head else len(text) > 1:
-            ids = self.mapped.encode(text if head else text[1:])
-        else:
-            ids = [self.blank_id]
-        decoded = self.mapped.decode([self.blank_id, *ids]) if line else " " + self.mapped.decode(ids)
-        found = self.memo[segment] = (len(ids), ",".join([self.names[i] for i in ids]), decoded.encode(), np.array(ids, np.int32).tobytes())
-        return found
+    def learn(self, segments: list[str]) -> None:
+        """Number of ids, the ids joined by commas, the decoded bytes, with a blank for each blank sign, and the ids of new segments."""
+        names, given = self.names, []
+        lines = [s[0] == "\n" for s in segments]
+        for s, line in zip(segments, lines):
+            # The library puts a blank first; before a line feed it isn't wanted.
+            given.append((s if line else s[1:]).replace(" ", BLANK))
+        # Tasks share the cores already.
+        encoded = self.mapped.encode(given, num_threads=1)
+        decoded = self.mapped.decode(encoded, num_threads=1)
+        for s, line, ids, text in zip(segments, lines, encoded, decoded, strict=True):
+            if line:
+                ids = ids[1:]
+            else:
+                ids, text = ids or [self.blank_id], " " + text
+            self.memo[s] = (len(ids), ",".join([names[i] for i in ids]), text.encode(), array("i", ids).tobytes())
+            self.held += len(s)
 
     def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids with the first and the next byte of each in the UTF-8 source; the blank put first has an empty span."""
-        ids, first, last, _, _ = self.encoded(text)
+        ((ids, first, last, _, _),) = self.encoded([text])
         return ids.tolist(), first.tolist(), last.tolist()
 
-    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, bytes]:
-        """encode() in arrays, with the ids joined by commas and the decoded text."""
+    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes, bytes]]:
+        """encode() of a group of texts in arrays, with the ids joined by commas and the decoded text."""
         if not self.splits:
-            return self._project(text)
-        memo, look_up = self.memo, self.look_up
-        found = [memo.get(s) or look_up(s) for s in self.segments(text)]
+            return [self._project(t) for t in texts]
+        parts, memo = [self.segments(t) for t in texts], self.memo
+        new = list({s: None for part in parts for s in part if s not in memo})
+        for k in range(0, len(new), MEMO_SEGMENTS):
+            self.learn(new[k : k + MEMO_SEGMENTS])
+        found = [self._joined(text, [memo[s] for s in part]) for text, part in zip(texts, parts)]
+        if len(memo) >= MEMO_SEGMENTS or self.held >= MEMO_BYTES:
+            memo.clear()
+            self.held = 0
+        return found
+
+    def _joined(self, text: str, found: list[tuple[int, str, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, bytes]:
         ids = np.frombuffer(b"".join([x[3] for x in found]), np.int32)
         joined, decoded = ",".join([x[1] for x in found]).encode(), b"".join([x[2] for x in found])[1:]
         widths = self.widths[ids]
@@ -210,11 +222,11 @@ class PieceCodec:
         return np.array(ids, np.int32), np.array(first, np.int32), np.array(last, np.int32), joined, self.library.decode(ids).encode()
 
     def ids(self, text: str) -> np.ndarray:
-        return self.encoded(text)[0]
+        return self.encoded([text])[0][0]
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, and SHA-256 of the decoded text."""
-        ids, _, _, joined, decoded = self.encoded(text)
+        ((ids, _, _, joined, decoded),) = self.encoded([text])
         return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     def decode(self, ids: list[int]) -> str:
@@ -241,8 +253,8 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             # A few texts at a time, so that what is held doesn't grow with the rows of a batch.
-            for a, b in some(texts):
-                found = [codec.encoded(t) for t in texts[a:b]]
+            for a, b in some(texts, GROUP):
+                found = codec.encoded(texts[a:b])
                 spans_of = [np.stack([x[1], x[2]], axis=1).astype("<i4").tobytes() for x in found]
                 columns = [batch.column(0).slice(a, b - a), pa.array([len(x[0]) for x in found], pa.int64()), sha([x[3] for x in found]), sha([x[4] for x in found]), sha(spans_of)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]

@@ -31,6 +31,37 @@ def test_same_as_the_library():
         assert own == ids and b"".join(raw[a:b] for a, b in zip(first, last)) == raw, repr(text)
 
 
+def test_new_segments_of_a_group_take_one_call(monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    with open(MODEL, "rb") as file:
+        codec = PieceCodec(file.read())
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda given, **kw: calls.append(name) or getattr(library, name)(given, **kw)
+
+    monkeypatch.setattr(codec, "mapped", Counted())  # this model has no map, so both are the same
+    text = " ".join(f"w{k}" for k in range(500)) + "\n\nend"
+    assert codec.encode(text)[0] == library.encode(text) and sorted(calls) == ["decode", "encode"]
+    # Nothing new, nothing asked.
+    assert codec.encode(text)[0] == library.encode(text) and len(calls) == 2
+
+
+def test_groups_beyond_the_memo(monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    monkeypatch.setattr("quiltwork.llm.piece_codec.MEMO_SEGMENTS", 7)
+    with open(MODEL, "rb") as file:
+        codec = PieceCodec(file.read())
+    given = texts(300, 9)
+    for k in range(0, len(given), 11):
+        for text, (ids, first, last, joined, decoded) in zip(given[k : k + 11], codec.encoded(given[k : k + 11]), strict=True):
+            want, raw = library.encode(text), text.encode()
+            assert ids.tolist() == want and joined == ",".join(map(str, want)).encode() and decoded == library.decode(want).encode(), repr(text)
+            assert b"".join(raw[a:b] for a, b in zip(first.tolist(), last.tolist())) == raw
+        assert len(codec.memo) < 7
+
+
 def test_longest_prefix():
     normalizer = getattr(sentencepiece, "SentencePieceNormalizer", None)
     if normalizer is None:
