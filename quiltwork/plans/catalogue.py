@@ -738,7 +738,7 @@ def page_size_search(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pack_search(spark: SparkSession, d: str) -> DataFrame:
     """The whole placement of each brand's sprites: the best of all scores, on the smallest page that a search finds."""
-    return flow.pack_pages(_by_brand(spark, d), "p_brand", "maxrects", flow.FlowOptions(width=2048, height=2048))
+    return flow.pack_pages(_by_brand(spark, d), "p_brand", "maxrects", flow.FlowOptions(width=2048, height=2048, score="best"))
 
 
 @query("SELECT p_brand, count(*) AS sprites, CAST(0 AS BIGINT) AS beyond, CAST(0 AS BIGINT) AS overlaps, true AS compact FROM part GROUP BY p_brand")

@@ -357,3 +357,12 @@ def test_the_best_order_holds_one_placement():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert len(found) == 4000 and peaks[1] < 2 * peaks[0]
+
+
+def test_the_size_search_takes_all_scores(spark, monkeypatch):
+    from quiltwork.plans import catalogue
+
+    seen = []
+    monkeypatch.setattr(flow, "pack_pages", lambda df, group, how, options: seen.append(options.score))
+    catalogue.pack_search(spark, "/root/testdata/sf0.001")
+    assert seen == ["best"]
