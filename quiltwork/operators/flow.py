@@ -112,19 +112,29 @@ def strips(free: Sequence[int], used: Sequence[int], columns: bool) -> np.ndarra
     return np.array([t for t in found if t[2] > 0 and t[3] > 0], np.int64).reshape(-1, 4)
 
 
+#: Free rectangles from which on a page has them in arrays.
+MANY = 100
+
+
 class Page:
     """The free rectangles of a page, in the order in which equal scores are settled, and what is on it.
 
-    Rectangles are tuples of x, y and where they end: a page has some tens of them, for which lists are faster than arrays.
+    Rectangles are tuples of x, y and where they end: most pages have some tens of them, for which lists are faster than
+    arrays. Pages that come to hold very many, as large ones of small items do, go on in arrays.
     """
 
     def __init__(self, o: FlowOptions, guillotine: bool) -> None:
         self.o, self.guillotine = o, guillotine
-        self.rects = [(o.border, o.border, *o.inner)]
+        self.listed = [(o.border, o.border, *o.inner)]
+        self.wide: WidePage | None = None
         #: For the score by contact: of each column which rows are taken, as bits, and of each row which columns.
         self.columns: dict[int, int] = {}
         self.rows: dict[int, int] = {}
 
+    @property
+    def rects(self) -> list[tuple[int, int, int, int]]:
+        return self.wide.rects if self.wide else self.listed
+
     @property
     def free(self) -> np.ndarray:
         """The free rectangles' x, y, width and height, a row each."""
@@ -153,9 +163,11 @@ class Page:
 
     def spot(self, w: int, h: int) -> tuple[int, tuple[int, int, int, int], bool] | None:
         """The best free rectangle for an item, the item's rectangle, and whether it is turned; the first of equal ones, as it is before turned."""
+        if self.wide:
+            return self.wide.spot(w, h)
         step, turns, rank = self.o.align, self.o.rotate and w != h, self.rank
         best = found = None
-        for k, (x, y, x1, y1) in enumerate(self.rects):
+        for k, (x, y, x1, y1) in enumerate(self.listed):
             if step > 1:
                 x, y = -(-x // step) * step, -(-y // step) * step
             a, b = x1 - x, y1 - y
@@ -169,22 +181,29 @@ class Page:
                     best, found = key, (k, (x, y, h, w), True)
         return found
 
-    def take(self, k: int, used: Sequence[int]) -> None:
+    def take(self, k: int, used: Sequence[int], need: list[int] | None = None) -> None:
+        """Puts an item into the free rectangle k. need: see needs(); free rectangles that are of no use any more may go."""
         x, y, w, h = (int(v) for v in used)
-        self.rects = self.cut(k, (x, y, w, h)) if self.guillotine else self.carved(x, y, x + w, y + h)
+        if self.wide:
+            self.wide.take(x, y, w, h, need)
+            return
+        self.listed = self.cut(k, (x, y, w, h)) if self.guillotine else self.carved(x, y, x + w, y + h)
         if self.o.score == "contact":
             high, wide = ((1 << h) - 1) << y, ((1 << w) - 1) << x
             for c in range(x, x + w):
                 self.columns[c] = self.columns.get(c, 0) | high
             for r in range(y, y + h):
                 self.rows[r] = self.rows.get(r, 0) | wide
+        if len(self.listed) > MANY and not self.guillotine and max(self.o.width, self.o.height) < 1 << 20:
+            self.wide = WidePage(self)
+            self.listed, self.columns, self.rows = [], {}, {}
 
     def cut(self, k: int, used: tuple[int, int, int, int]) -> list[tuple[int, int, int, int]]:
         """The rest of one free rectangle is tiled so that the largest tile is as large as can be (by columns if both are); tiles go last, from left to right. Items off the corner are cut by columns."""
-        x, y, x1, y1 = self.rects[k]
+        x, y, x1, y1 = self.listed[k]
         by = [strips((x, y, x1 - x, y1 - y), used, columns).tolist() for columns in ((True, False) if (x, y) == used[:2] else (True,))]
         tiles = max(by, key=lambda t: max((w * h for _, _, w, h in t), default=0))
-        return [*self.rects[:k], *self.rects[k + 1 :], *((x, y, x + w, y + h) for x, y, w, h in sorted(tiles, key=lambda t: t[:2]))]
+        return [*self.listed[:k], *self.listed[k + 1 :], *((x, y, x + w, y + h) for x, y, w, h in sorted(tiles, key=lambda t: t[:2]))]
 
     def carved(self, ux: int, uy: int, ux1: int, uy1: int) -> list[tuple[int, int, int, int]]:
         """Every free rectangle that meets the item gives way to the maximal ones beside it: left, right, above, below. None within another stays.
@@ -195,7 +214,7 @@ class Page:
         out: list[tuple[int, int, int, int]] = []
         beside: tuple[list[int], ...] = ([], [], [], [])
         pieces: list[tuple[int, int]] = []
-        for rect in self.rects:
+        for rect in self.listed:
             x, y, x1, y1 = rect
             if x < ux1 and ux < x1 and y < uy1 and uy < y1:
                 for side, piece in enumerate(((x, y, ux, y1) if x < ux else None, (ux1, y, x1, y1) if ux1 < x1 else None, (x, y, x1, uy) if y < uy else None, (x, uy1, x1, y1) if uy1 < y1 else None)):
@@ -228,6 +247,141 @@ class Page:
         return [r for k, r in enumerate(out) if k not in gone] if gone else out
 
 
+class WidePage:
+    """Page.spot() and Page.take() of a page without guillotine cuts, over arrays: the same places in the same order."""
+
+    def __init__(self, page: Page) -> None:
+        self.o = o = page.o
+        self.kind = np.int16 if max(o.width, o.height) < 1 << 14 else np.int32
+        self.table = self.columns(page.listed)
+        if o.score == "contact":
+            # Of each column which rows are taken, as bits, and of each row which columns; an empty line before and after both, an empty word after each.
+            self.words = (max(o.width, o.height) >> 6) + 2
+            self.taken = np.zeros((o.width + o.height + 4, self.words), np.uint64)
+            for first, lines in ((1, page.columns), (o.width + 3, page.rows)):
+                for k, bits in lines.items():
+                    self.taken[first + k] = np.frombuffer(bits.to_bytes(8 * self.words, "little"), "<u8")
+
+    def columns(self, rects: Sequence[tuple[int, int, int, int]]) -> np.ndarray:
+        """A column for each rectangle: x, y and its ends, negative; the room from the place that alignment leaves an item on, and that place if it is another."""
+        if self.o.align > 1:
+            up = self.o.up
+            return np.array([(x, y, -x1, -y1, x1 - up(x), y1 - up(y), up(x), up(y)) for x, y, x1, y1 in rects], self.kind).T
+        return np.array([(x, y, -x1, -y1, x1 - x, y1 - y) for x, y, x1, y1 in rects], self.kind).T
+
+    @property
+    def rects(self) -> list[tuple[int, int, int, int]]:
+        return [(x, y, -x1, -y1) for x, y, x1, y1 in self.table[:4].T.tolist()]
+
+    def touching(self, lines: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """How many bits from a start on, so many, are taken in lines."""
+        out, flat, n = np.zeros(len(lines), np.int64), self.taken.ravel(), np.uint64
+        for at in range(0, int(many.max()), 64):
+            word, off = lines * self.words + (start + at >> 6), (start + at & 63).astype(n)
+            bits = (flat[word] >> off) | ((flat[word + 1] << n(1)) << (n(63) - off))
+            none = np.clip(64 - (many - at), 0, 64)
+            out += np.bitwise_count((bits << (none >> 1).astype(n)) << (none - (none >> 1)).astype(n))
+        return out
+
+    def contact(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Page.contact() of many places."""
+        width, height, n = self.o.width, self.o.height, len(x)
+        lines = np.concatenate([x, x + w + 1, y + width + 2, y + h + width + 3])
+        found = self.touching(lines, np.concatenate([y, y, x, x]), np.concatenate([h, h, w, w])).reshape(4, n).sum(axis=0)
+        return found + h * ((x == 0).astype(np.int64) + (x + w == width)) + w * ((y == 0).astype(np.int64) + (y + h == height))
+
+    def spot(self, w: int, h: int) -> tuple[int, tuple[int, int, int, int], bool] | None:
+        table, kind, best, beside = self.table, self.o.score, None, []
+        wide, high, at = table[4], table[5], -2 if self.o.align > 1 else 0
+        for tw, th, turned in ((w, h, False), (h, w, True)) if self.o.rotate and w != h else ((w, h, False),):
+            (fit,) = ((wide >= tw) & (high >= th)).nonzero()
+            if not len(fit):
+                continue
+            a, b = wide.take(fit) - tw, high.take(fit) - th
+            # A side is below 2 ** 20, so all that a score compares goes into one number.
+            short = np.minimum(a, b).astype(np.int64)
+            if kind == "short":
+                key = (short << 20) + np.maximum(a, b)
+            elif kind == "long":
+                key = (np.maximum(a, b).astype(np.int64) << 20) + short
+            elif kind == "area":
+                key = (a.astype(np.int64) * b << 20) + short
+            elif kind == "bottom":
+                key = ((table[at + 1].take(fit).astype(np.int64) + th << 20) + (table[at].take(fit) + tw) << 20) + short
+            else:
+                beside.append((fit, short, np.full(len(fit), tw), np.full(len(fit), th), np.full(len(fit), turned)))
+                continue
+            k = key.argmin()
+            found = key[k], fit[k], turned
+            if best is None or found < best:
+                best = found
+        if beside:
+            fit, short, ws, hs, turned = (np.concatenate(c) for c in zip(*beside, strict=True)) if len(beside) > 1 else beside[0]
+            key = short - (self.contact(table[at].take(fit).astype(np.int64), table[at + 1].take(fit).astype(np.int64), ws, hs) << 20)
+            (k,) = (key == key.min()).nonzero()
+            best = min((0, fit[i], bool(turned[i])) for i in k.tolist())
+        if best is None:
+            return None
+        k = int(best[1])
+        return k, (int(table[at, k]), int(table[at + 1, k]), *((h, w) if best[2] else (w, h))), best[2]
+
+    def take(self, ux: int, uy: int, w: int, h: int, need: list[int] | None) -> None:
+        """Page.carved() and what is taken. Few rectangles meet an item."""
+        ux1, uy1, table = ux + w, uy + h, self.table
+        (near,) = ((table[0] <= ux1) & (table[1] <= uy1) & (table[2] <= -ux) & (table[3] <= -uy)).nonzero()
+        met, beside, pieces = [], [], []
+        for k, (x, y, x1, y1) in zip(near.tolist(), table[:4, near].T.tolist(), strict=True):
+            x1, y1 = -x1, -y1
+            if x < ux1 and ux < x1 and y < uy1 and uy < y1:
+                met.append(k)
+                for piece in ((x, y, ux, y1) if x < ux else None, (ux1, y, x1, y1) if ux1 < x1 else None, (x, y, x1, uy) if y < uy else None, (x, uy1, x1, y1) if uy1 < y1 else None):
+                    if piece:
+                        if need:
+                            a, b = piece[2] - piece[0], piece[3] - piece[1]
+                            if (b < need[a] if a < len(need) else b < need[-1]) if a < b else (a < need[b] if b < len(need) else a < need[-1]):
+                                continue
+                        pieces.append((k, piece))
+            else:
+                beside.append((x, y, x1, y1))
+        stay = []
+        for k, (parent, piece) in enumerate(pieces):
+            x, y, x1, y1 = piece
+            for p, q, p1, q1 in beside:
+                if p <= x and q <= y and p1 >= x1 and q1 >= y1:
+                    break
+            else:
+                for j, (_, other) in enumerate(pieces):
+                    # Of equal ones the first stays.
+                    if other[0] <= x and other[1] <= y and other[2] >= x1 and other[3] >= y1 and j != k and (j < k or other != piece):
+                        break
+                else:
+                    stay.append((parent, piece))
+        new, parts, last, begin = self.columns([p for _, p in stay]) if stay else table[:, :0], [], 0, 0
+        for k in met:
+            end = begin
+            while end < len(stay) and stay[end][0] == k:
+                end += 1
+            parts += [table[:, last:k], new[:, begin:end]]
+            last, begin = k + 1, end
+        self.table = np.concatenate([*parts, table[:, last:]], axis=1)
+        if self.o.score == "contact":
+            for first, a, n, b, m in ((1, ux, w, uy, h), (self.o.width + 3, uy, h, ux, w)):
+                bits = np.frombuffer((((1 << m) - 1) << (b & 63)).to_bytes(8 * ((b + m - 1 >> 6) - (b >> 6) + 1), "little"), "<u8")
+                self.taken[first + a : first + a + n, b >> 6 : (b >> 6) + len(bits)] |= bits
+
+    def useful(self, need: list[int]) -> None:
+        """Leaves out free rectangles that no item to come fits."""
+        short, long = np.minimum(self.table[4], self.table[5]), np.maximum(self.table[4], self.table[5])
+        self.table = self.table[:, long >= np.minimum(need, 1 << 14 if self.kind == np.int16 else 1 << 30)[np.clip(short, 0, len(need) - 1)]]
+
+
+def needs(short: np.ndarray, long: np.ndarray) -> list[int]:
+    """By a free rectangle's lesser side (the last for all greater ones) what its greater side has to be, at least, for any item to fit, of items' lesser and greater sides."""
+    out = np.full(int(short.max()) + 1, 1 << 62, np.int64)
+    np.minimum.at(out, short, long)
+    return np.minimum.accumulate(out).tolist()
+
+
 class Shelf:
     """The pages of a set, and which of them may still hold items of a size.
 
@@ -266,8 +420,17 @@ class Shelf:
 
 def free_rectangles(items: Iterable[Item], o: FlowOptions, guillotine: bool, pages: int | None = None) -> list[Placed] | None:
     """Items by descending area, each on the newest page with room, at the best free rectangle, turned if that is better. With a number of pages, None if more are needed."""
-    shelf, out = Shelf(o, guillotine), []
-    for name, w, h in sorted(items, key=lambda i: -i[1] * i[2]):
+    shelf, out, need = Shelf(o, guillotine), [], None
+    items = sorted(items, key=lambda i: -i[1] * i[2])
+    sides = np.sort(np.array([i[1:] for i in items], np.int64).reshape(-1, 2), axis=1)
+    step = max(100, len(items) // 16)
+    for k, (name, w, h) in enumerate(items):
+        if k % step == 0 and k:
+            # The items to come need ever less of what is free.
+            need = needs(*sides[k:].T)
+            for page in shelf.pages:
+                if page.wide:
+                    page.wide.useful(need)
         found = shelf.spot(w, h)
         if not found:
             if len(shelf.pages) == pages:
@@ -275,8 +438,8 @@ def free_rectangles(items: Iterable[Item], o: FlowOptions, guillotine: bool, pag
             shelf.open()
             if not (found := shelf.spot(w, h)):
                 raise misfit(name)
-        n, k, rect, turned = found
-        shelf.pages[n].take(k, rect)
+        n, at, rect, turned = found
+        shelf.pages[n].take(at, rect, need)
         out.append((name, n, *rect, turned))
     return out
 
@@ -437,15 +600,16 @@ def pack_pages(df: DataFrame, group: str, how: str = "maxrects", options: FlowOp
     def place(rows: list[tuple]) -> list[tuple]:
         pad = 2 * o.padding
         check([(i, w + pad, h + pad) for _, i, w, h in rows], o)
-        placed = placed_as(rows, how, o)
+        own = smallest(rows, how, o, MODES[mode]) if MODES[mode] and not all(o.fixed) else o
+        placed = placed_as(rows, how, own, None if own == o else 1)
         alone = max(p[1] for p in placed) == 0
-        if alone and MODES[mode] and not all(o.fixed):
-            placed = placed_as(rows, how, smallest(rows, how, o, MODES[mode]))
         ends = extents(placed)
         sizes = {page: page_size(o, content, alone) for page, content in ends.items()}
         return [(*p, *sizes[p[1]]) for p in placed]
 
-    return grouped(df, group, ITEM, place, SIZED, ("page_w", "page_h"))
+    # A search takes long however few rows a group has, so groups are dealt out by number: by their bytes alone they would meet in a task or two.
+    spread = df.select(group, *ITEM).repartition(8 * df.sparkSession.sparkContext.defaultParallelism, group)
+    return grouped(spread, group, ITEM, place, SIZED, ("page_w", "page_h"))
 
 
 def manual_rows(items: list[tuple[str, int, int, int | None, int | None]], o: FlowOptions, step: int = 0) -> list[Placed]:

@@ -359,6 +359,35 @@ def test_the_best_order_holds_one_placement():
     assert len(found) == 4000 and peaks[1] < 2 * peaks[0]
 
 
+@pytest.mark.parametrize("score", flow.SCORES)
+@pytest.mark.parametrize("rotate,align,border", [(True, 0, 0), (False, 0, 1), (True, 3, 2)])
+def test_pages_of_very_many_free_rectangles_place_the_same(monkeypatch, score, rotate, align, border):
+    r = random.Random(f"{score} {rotate} {align}")
+    o = flow.FlowOptions(width=150, height=131, score=score, rotate=rotate, align=align, border=border)
+    for _ in range(3):
+        items = [(str(k), r.randrange(1, 30), r.randrange(1, 100 if k % 9 == 0 else 30)) for k in range(250)]
+        found = []
+        for many in (10**9, 5):
+            monkeypatch.setattr(flow, "MANY", many)
+            found.append((flow.free_rectangles(items, o, False), flow.free_rectangles(items, o, False, 1)))
+        assert found[0] == found[1]
+        page = flow.Page(o, False)
+        for _, w, h in items[:40]:
+            if at := page.spot(w, h):
+                page.take(*at[:2])
+        listed = flow.Page(o, False)
+        monkeypatch.setattr(flow, "MANY", 10**9)
+        for _, w, h in items[:40]:
+            if at := listed.spot(w, h):
+                listed.take(*at[:2])
+        assert page.wide and page.rects == listed.rects
+
+
+def test_groups_of_a_size_search_are_dealt_out(spark):
+    df = spark.range(80).select((F.col("id") % 20).cast("string").alias("folder"), F.col("id").alias("ord"), F.concat(F.lit("s"), "id").alias("id"), F.lit(3).cast("long").alias("w"), (F.col("id") % 7 + 1).alias("h"))
+    assert flow.pack_pages(df, "folder").select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_the_size_search_takes_all_scores(spark, monkeypatch):
     from quiltwork.plans import catalogue
 
