@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quiltwork.functions import numeric, pixels as px, text
 from quiltwork.operators import colour, dedup, flow, geometry, grouping, packing, pairing, raster, render, select
+from quiltwork.operators.tracing import settled
 from quiltwork.plans import config
 from quiltwork.plans.views import PATHS, PIXELS, SPRITES, paths, pixels, sprites, table
 from quiltwork.streaming import events as ev
@@ -744,7 +745,8 @@ def pack_search(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_brand, count(*) AS sprites, CAST(0 AS BIGINT) AS beyond, CAST(0 AS BIGINT) AS overlaps, true AS compact FROM part GROUP BY p_brand")
 def pack_search_audit(spark: SparkSession, d: str) -> DataFrame:
     """Of each brand: nothing beyond its page, nothing overlaps, and, if it is alone, its page is at most a third larger than its sprites."""
-    placed = pack_search(spark, d)
+    # Two steps read the placement, which takes long.
+    placed = settled(pack_search(spark, d))
     beyond = ((F.col("x") + F.col("frame_w") > F.col("page_w")) | (F.col("y") + F.col("frame_h") > F.col("page_h"))).cast("long")
     compact = (F.max("page") > 0) | (F.max(F.col("page_w") * F.col("page_h")) <= F.sum(F.col("frame_w") * F.col("frame_h")) * 4 / 3 + 4096)
     found = placed.groupBy("p_brand").agg(F.count("*").alias("sprites"), F.sum(beyond).alias("beyond"), compact.alias("compact"))
