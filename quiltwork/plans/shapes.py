@@ -134,10 +134,9 @@ def traced_contours(spark: SparkSession, d: str) -> DataFrame:
     """Contours of masks over a table of pixels: how many points they have, and what their loops hold, holes taken off."""
     byte = F.explode(F.sequence(F.lit(0), F.lit(127)))
     bit = F.expr("cast(conv(substring(code, cast(k / 4 as int) + 1, 1), 16, 10) as int) >> (3 - k % 4) & 1")
-    solid = table(spark, d, "part").select("p_partkey", F.md5(F.col("p_partkey").cast("string")).alias("code"), byte.alias("k")).where(bit == 1).select("p_partkey", (F.col("k") % 16).alias("x"), F.floor(F.col("k") / 16).alias("y"))
-    found = tracing.contours(solid, ["p_partkey"])
-    rings = found.groupBy("p_partkey", "loop").agg(F.sort_array(F.collect_list(F.struct("position", F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("p")))).alias("r"))
-    each = rings.select("p_partkey", F.size("r").alias("n"), (geometry.twice_area(F.col("r.p")) / 2).alias("area"))
+    parts = table(spark, d, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    solid = parts.select("p_partkey", F.md5(F.col("p_partkey").cast("string")).alias("code"), byte.alias("k")).where(bit == 1).select("p_partkey", (F.col("k") % 16).alias("x"), F.floor(F.col("k") / 16).alias("y"))
+    each = tracing.rings(solid, ["p_partkey"]).select("p_partkey", F.size("points").alias("n"), (geometry.twice_area(F.col("points")) / 2).alias("area"))
     return each.groupBy("p_partkey").agg(F.sum("n").alias("points"), F.abs(F.sum("area")).alias("area"))
 
 

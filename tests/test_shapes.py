@@ -181,3 +181,20 @@ def test_images_close_in_tasks_or_by_rounds(spark, monkeypatch):
         assert sorted(map(tuple, tracing.looped(tracing.edges(df, ["image"]), ["image"], most).collect())) == by_rounds
     monkeypatch.setattr(tracing, "loops", None)
     assert sorted(map(tuple, tracing.looped(tracing.edges(df, ["image"]), ["image"]).collect())) == by_rounds
+
+
+def test_pixels_travel_as_tiles(spark, monkeypatch):
+    """Contours by tiles are those by edges and rounds, whether an image closes in its task or not; points aren't kept anywhere."""
+    r = random.Random(9)
+    rows = [(f"i{k}", x, y) for k in range(8) for y in range(21) for x in range(27) if r.random() < (0.55 if k % 3 else 0.05)]
+    df = spark.createDataFrame(rows + rows[:9], "image string, x int, y long").repartition(3)
+    half = lambda c: (c - 2) / 2 + 0.5
+    want = sorted((e.image, e.loop, e.position, half(e.here % (1 << 32)), half(e.here >> 32)) for e in tracing.loops(tracing.edges(df, ["image"]), ["image"]).collect())
+    for most in (1, 64 * 6, 200_000):
+        assert sorted(map(tuple, tracing.contours(df, ["image"], most=most).collect())) == want, most
+        by = {(q.image, q.loop): [(p.x, p.y) for p in q.points] for q in tracing.rings(df, ["image"], most=most).collect()}
+        assert sum(map(len, by.values())) == len(want) and all(by[w[:2]][w[2]] == w[3:] for w in want)
+    kept, settled = [], tracing.settled
+    monkeypatch.setattr(tracing, "settled", lambda df: kept.append(df.count()) or settled(df))
+    tracing.contours(df, ["image"]).collect()
+    assert kept == [df.selectExpr("image", "x >> 3", "y >> 3").distinct().count()]
