@@ -198,3 +198,27 @@ def test_pixels_travel_as_tiles(spark, monkeypatch):
     monkeypatch.setattr(tracing, "settled", lambda df: kept.append(df.count()) or settled(df))
     tracing.contours(df, ["image"]).collect()
     assert kept == [df.selectExpr("image", "x >> 3", "y >> 3").distinct().count()]
+
+
+def test_masks_are_swept(monkeypatch):
+    """Loops that don't cross need no bridges and ears: triangles by height cover a mask once, holes, islands and level sides included."""
+    monkeypatch.setattr(meshes, "bridged", None)
+    monkeypatch.setattr(meshes, "clipped", None)
+    r = np.random.default_rng(12)
+    masks = [r.random(r.integers(1, 18, 2)) < r.choice([0.3, 0.5, 0.6, 0.9]) for _ in range(80)] + [np.pad(np.pad(np.pad(np.ones((1, 1), bool), 1), 1, constant_values=True), 1), np.ones((7, 3), bool)]
+    for mask in filter(np.any, masks):
+        contours, vertices, indices = meshes.meshed(mask, 0.0)
+        corners = np.array(vertices)[np.array(indices).reshape(-1, 3)]
+        at = r.random((60, 2)) * (mask.shape[1] + 2, mask.shape[0] + 2) - 1
+        turn = lambda a, b: (b[:, :1] - a[:, :1]) * (at[:, 1] - a[:, 1:]) - (b[:, 1:] - a[:, 1:]) * (at[:, 0] - a[:, :1])
+        held = np.all([turn(corners[:, k], corners[:, (k + 1) % 3]) > 0 for k in range(3)], axis=0).sum(axis=0)
+        want = [sum(geometry.inside(tuple(p), loop) for loop, _, _ in contours) % 2 for p in at.tolist()]
+        assert held.tolist() == want and abs(area_of(vertices, indices) - cut_area(mask)) < 1e-9
+        assert len(vertices) == sum(len(loop) for loop, _, _ in contours)
+
+
+def test_loops_in_numbers_are_those_of_segments():
+    r = np.random.default_rng(13)
+    for _ in range(60):
+        mask = r.random(r.integers(1, 20, 2)) < r.choice([0.3, 0.5, 0.9])
+        assert geometry.mask_loops(mask) == geometry.stitched(geometry.segments(mask))
